@@ -16,6 +16,7 @@ import json
 import os
 import re
 import struct
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -23,8 +24,10 @@ from pyspark.sql import DataFrame
 
 from threadloom.llm.common import slices, text_or_empty
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
 CACHE_PIECE_CHARS = 64
+_STOPS = frozenset(".,;:!?")
+_WORDS = [struct.Struct(f"<{n}I") for n in range(33)]
 _ODD_SPACE = re.compile(r" (?=\s|\Z)")
 
 
@@ -96,11 +99,25 @@ class ByteBPE:
             self.token_bytes[i] = bytes(from_char[c] for c in spelled)
         self.token_len = np.array([len(t) for t in self.token_bytes], dtype=np.int64)
 
+    def _word(self, word: str) -> str:
+        """A word in the byte alphabet."""
+        if word.isascii() and word.isalnum():
+            return word
+        return word.encode().decode("latin-1").translate(self.to_char)
+
     def _encode_piece(self, piece: str) -> bytes:
-        body = piece[1:] if piece[:1] == " " else piece
-        words = (piece,) if body.isascii() and body.isalpha() else self.split(piece)
-        ids = [t.id for w in words for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.to_char))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        """Letters of Latin-1 with a space before and one stop after need no pattern: they are one or two matches."""
+        tokenize, space = self.model.tokenize, self.to_char[32] if piece[:1] == " " else ""
+        body = piece[1:] if space else piece
+        stop = body[-1:] if body[-1:] in _STOPS else ""
+        letters = body[:-1] if stop else body
+        if letters and letters.isalpha() and max(letters) < "\u0100":
+            if stop:
+                return self.pieces[piece[:-1]] + self.pieces[stop]
+            ids = [t.id for t in tokenize(space + self._word(letters))]
+        else:
+            ids = [t.id for w in self.split(piece) for t in tokenize(self._word(w))]
+        return _WORDS[len(ids)].pack(*ids) if len(ids) < len(_WORDS) else struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -125,6 +142,12 @@ class ByteBPE:
         return np.stack([character[starts], character[ends - 1] + 1], axis=1)
 
 
+@lru_cache(maxsize=2)
+def shared_bpe(tokenizer_json: str, pattern: str) -> ByteBPE:
+    """One encoder, and so one cache of pieces, for all tasks that a worker process runs."""
+    return ByteBPE(tokenizer_json, pattern)
+
+
 def encode_documents(docs: DataFrame, tokenizer_json: str, pattern: str, key: str = "doc_id", text: str = "text", with_offsets: bool = False) -> DataFrame:
     """(key, ids binary, decoded binary[, offsets]) per row, in input partitions: no shuffle.
 
@@ -138,7 +161,7 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, pattern: str, key: st
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        bpe = ByteBPE(shared.value, pattern)
+        bpe = shared_bpe(shared.value, pattern)
         for part in slices(batches):
             ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
             arrays = [np.frombuffer(i, dtype="<u4") for i in ids]
@@ -160,7 +183,7 @@ def encode_digests(docs: DataFrame, tokenizer_json: str, pattern: str, key: str
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        bpe = ByteBPE(shared.value, pattern)
+        bpe = shared_bpe(shared.value, pattern)
         digest = lambda raw: hashlib.sha256(raw).hexdigest()
         for part in slices(batches):
             ids = [bpe.encode(t) for t in part.column(1).to_pylist()]

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.bpe import ByteBPE
+from threadloom.llm.bpe import shared_bpe
 from threadloom.llm.common import materialize, read_bytes, shared_dir, slices, text_or_empty, write_bytes
 
 BLOCK = 128
@@ -154,7 +154,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, out_di
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(tokenizer_path) as src:
-            bpe = ByteBPE(src.read(), pattern)
+            bpe = shared_bpe(src.read(), pattern)
         part, seq = TaskContext.get().partitionId(), 0
         end = struct.pack("<I", end_id)
         keys, lengths, held, count = [], [], [], 0
