@@ -1,4 +1,10 @@
 """All registered queries and the SQL that states the same."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from threadloom.plans import archive_queries, history_queries, report_queries, search_queries  # noqa: F401
+from threadloom.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
+
+
+def flagship(spark, sf_dir):
+    return QUERIES["agg07_project_rollup"](spark, sf_dir)
