@@ -17,7 +17,6 @@ import os
 import re
 import struct
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -90,7 +89,8 @@ class ByteBPE:
         self.model = Tokenizer.from_str(tokenizer_json).model
         self.split = regex.compile(pattern).findall
         self.to_char = byte_alphabet()
-        self.pieces = _Pieces(self._encode_piece)
+        self.pieces = _Pieces(lambda piece: self._encode_piece("", piece))
+        self.spaced = _Pieces(lambda body: self._encode_piece(self.to_char[32], body))
         size, from_char = 0, {c: b for b, c in self.to_char.items()}
         vocab = json.loads(tokenizer_json)["model"]["vocab"]
         size = 1 + max(vocab.values(), default=-1)
@@ -105,27 +105,27 @@ class ByteBPE:
             return word
         return word.encode().decode("latin-1").translate(self.to_char)
 
-    def _encode_piece(self, piece: str) -> bytes:
-        """Letters of Latin-1 with a space before and one stop after need no pattern: they are one or two matches."""
-        tokenize, space = self.model.tokenize, self.to_char[32] if piece[:1] == " " else ""
-        body = piece[1:] if space else piece
+    def _encode_piece(self, space: str, body: str) -> bytes:
+        """Ids of a piece that a space may precede.
+
+        Letters of Latin-1 with one stop after them need no pattern: they are one or two matches.
+        """
         stop = body[-1:] if body[-1:] in _STOPS else ""
         letters = body[:-1] if stop else body
-        if letters and letters.isalpha() and max(letters) < "\u0100":
+        if letters.isalpha() and max(letters) < "\u0100":
             if stop:
-                return self.pieces[piece[:-1]] + self.pieces[stop]
-            ids = [t.id for t in tokenize(space + self._word(letters))]
+                return (self.spaced if space else self.pieces)[letters] + self.pieces[stop]
+            ids = [t.id for t in self.model.tokenize(space + self._word(letters))]
         else:
-            ids = [t.id for w in self.split(piece) for t in tokenize(self._word(w))]
+            ids = [t.id for w in self.split(" " + body if space else body) for t in self.model.tokenize(self._word(w))]
         return _WORDS[len(ids)].pack(*ids) if len(ids) < len(_WORDS) else struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        get = self.pieces.__getitem__
         if _ODD_SPACE.search(text):
-            return b"".join(map(get, self.split(text)))
+            return b"".join(map(self.pieces.__getitem__, self.split(text)))
         first, *rest = text.split(" ")
-        return get(first) + b"".join(map(get, map("".join, zip(repeat(" "), rest)))) if text else b""
+        return self.pieces[first] + b"".join(map(self.spaced.__getitem__, rest)) if text else b""
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes the ids stand for; a character split over tokens comes back whole."""
