@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.operators import gate, graph, history, retrieval
 from threadloom.plans.base import EXCHANGES, RELATIONS, exchanges, query, relations, table
 
-WORDS = ["that", "with", "from", "erthe"]
+WORDS = ["that", "with", "from", "thing"]
 PROBE = [((i * 37) % 19 - 9) / 40.0 for i in range(64)]
 _PROBE_SQL = "[" + ", ".join(map(repr, PROBE)) + "]"
 _TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
