@@ -93,23 +93,26 @@ class Index:
             for block in range(BLOCKS):
                 for value in np.unique(prints[:, block]):
                     tables[block, near ^ value] = True
-            self.groups[n] = (own, prints, np.packbits(tables, axis=1, bitorder="little"))
+            self.groups[n] = (own, prints, np.packbits(tables, axis=1, bitorder="little"), np.unique(np.concatenate([g for _, g in own])))
 
     def search(self, ids: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """(item, first word, words, Hamming distance, similarity): the best window for each item that is found."""
         found = []
         sizes = {s: _grams(ids, s) for s in self.grams}
-        anchors = {s: np.isin(g, self.grams[s]) for s, g in sizes.items()}
-        for n, (own, prints, tables) in self.groups.items():
+        anchors = {s: np.flatnonzero(self._known_grams(g, s)) for s, g in sizes.items()}
+        for n, (own, prints, tables, own_grams) in self.groups.items():
             s = min(SHINGLE, n)
             m = n - s + 1
-            marks, grams = anchors[s], sizes[s]
-            if len(grams) < m or not marks.any():
+            grams = sizes[s]
+            at = anchors[s][np.isin(grams[anchors[s]], own_grams)]
+            if len(grams) < m or not len(at):
                 continue
-            seen = np.concatenate([[0], np.cumsum(marks)])
-            starts = np.flatnonzero(seen[m:] - seen[:-m])
-            for at in range(0, len(starts), 4096):
-                found += self._verify(starts[at : at + 4096], grams, n, m, own, prints, tables)
+            edges = np.zeros(len(grams) - m + 2, dtype=np.int64)
+            np.add.at(edges, np.maximum(at - m + 1, 0), 1)
+            np.add.at(edges, np.minimum(at + 1, len(edges) - 1), -1)
+            starts = np.flatnonzero(np.cumsum(edges[:-1]))
+            for k in range(0, len(starts), 4096):
+                found += self._verify(starts[k : k + 4096], grams, n, m, own, prints, tables)
         best: dict[int, tuple] = {}
         for row in found:
             if row[0] not in best or (-row[4], row[1]) < (-best[row[0]][4], best[row[0]][1]):
@@ -137,12 +140,28 @@ class Index:
                     out.append((own[k][0], start, n, int(distance[k]), similarity))
         return out
 
+    def _has_anchor(self, known: np.ndarray, size: int) -> bool:
+        """Does a run of ``size`` known words (0: unknown) spell an item's shingle?"""
+        if len(known) < size:
+            return False
+        seen = np.concatenate([[0], np.cumsum(known > 0)])
+        runs = np.flatnonzero(seen[size:] - seen[:-size] == size)
+        if not len(runs):
+            return False
+        grams = np.zeros(len(runs), dtype=np.uint64)
+        for k in range(size):
+            grams = _hash64(grams + known[runs + k] * _MIX[k])
+        return bool(self._known_grams(grams, size).any())
+
+    def _known_grams(self, grams: np.ndarray, size: int) -> np.ndarray:
+        own = self.grams[size]
+        return own[np.minimum(np.searchsorted(own, grams), len(own) - 1)] == grams
+
     def numbers(self, text: str) -> np.ndarray | None:
         """Word numbers, other words numbered apart; None if no item's shingle can be there."""
         words = words_of(text)
         known = np.fromiter(map(self.vocab.get, words, repeat(0)), dtype=np.uint64, count=len(words))
-        seen = np.concatenate([[0], np.cumsum(known > 0)])
-        if not any(len(known) >= s and (seen[s:] - seen[:-s] == s).any() for s in self.grams):
+        if not any(self._has_anchor(known, s) for s in self.grams):
             return None
         # A word outside the vocabulary gets a number that no item has, the same wherever it stands in this text.
         other: dict[str, int] = {}
