@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import shared_dir
+from threadloom.llm.common import materialize, shared_dir
 
 CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -45,7 +45,8 @@ def write_archive(pages: DataFrame, out: str, min_revisit_bytes: int = 0, warc_d
     body = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), body.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
     rows.select("sha256", "payload").dropDuplicates(["sha256"]).write.parquet(f"{out}/payloads")
-    meta = rows.select("page_id", "url", "sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("sha1"), F.monotonically_increasing_id().alias("row"))
+    described = rows.select("page_id", "url", "sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("sha1"), F.monotonically_increasing_id().alias("row"))
+    meta = materialize(described, "warc-meta")  # row numbers must not change between the two uses
     first = meta.groupBy("sha256").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"))
     placed = meta.join(first, "sha256").withColumn("is_first", F.col("first.row") == F.col("row"))
     revisit = ~F.col("is_first") & (F.col("payload_bytes") >= min_revisit_bytes)
