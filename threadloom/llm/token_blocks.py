@@ -15,6 +15,7 @@ no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import uuid
@@ -67,12 +68,15 @@ def encode_blocks(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> byt
     grid = padded.reshape(n_blocks, BLOCK)
     low = grid.min(axis=1) if n_blocks else np.zeros(0, np.uint32)
     diff = grid - low[:, None]
-    bits = np.frexp(diff.astype(np.float64))[1].astype(np.uint8)
-    order = np.sort(bits, axis=1)
+    # The exponent of a float is the bit length of a whole number; zero has none.
+    exponent = (diff.astype(np.float64).view(np.uint64) >> np.uint64(52)).astype(np.int16)
+    bits = np.maximum(exponent - 1022, 0).astype(np.uint8)
+    counts = np.bincount((np.arange(n_blocks, dtype=np.int64)[:, None] * 33 + bits).ravel(), minlength=33 * n_blocks)
+    within = np.cumsum(counts.reshape(n_blocks, 33), axis=1)
     best, widths = np.full(n_blocks, 1 << 30), np.zeros(n_blocks, dtype=np.uint8)
     for p in PERCENTILES:
-        w = order[:, int(np.ceil(p * BLOCK)) - 1] if n_blocks else widths
-        cost = 16 * w.astype(np.int64) + 5 * (bits > w[:, None]).sum(axis=1)
+        w = (within >= int(np.ceil(p * BLOCK))).argmax(axis=1)
+        cost = 16 * w + 5 * (BLOCK - within[np.arange(n_blocks), w])
         better = cost < best
         best[better], widths[better] = cost[better], w[better]
     rows, cols = np.nonzero(bits > widths[:, None])
@@ -169,6 +173,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, out_di
             keys, lengths, held, count, seq = [], [], [], 0, seq + 1
             return row
 
+        gc.disable()  # nothing here makes cycles, and the collector would walk the cache of pieces again and again
         for piece in slices(batches):
             for k, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
                 ids = bpe.encode(t) + end
@@ -180,6 +185,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, out_di
                     yield flush()
         if keys:
             yield flush()
+        gc.enable()
 
     manifest = ranged.mapInArrow(run, "part bigint, seq bigint, uri string, n_docs bigint, n_ids bigint, n_bytes bigint")
     return materialize(manifest, "token-manifest")
