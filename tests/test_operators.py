@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
-from threadloom.operators import gate, graph, history, retrieval, scope
+from threadloom.operators import continuity, extraction, gate, graph, history, identity, retrieval, scope
 from threadloom.sources import transcripts
 from threadloom.streaming import windows
 
@@ -121,3 +121,39 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
         run.stop()
         want = f(events)
         assert spark.table(name).exceptAll(want).isEmpty() and want.exceptAll(spark.table(name)).isEmpty()
+
+
+def test_windows_stop_at_ineligible_rows_and_at_five(spark):
+    kinds = ["a", "a", "a", "a", "x", "a", "-", "-", "-", "a"]
+    rows = spark.createDataFrame([("s", i, k) for i, k in enumerate(kinds)] + [("t", 0, "-")], "session string, at long, kind string")
+    got = extraction.anchor_windows(rows, "session", ["at"], F.col("kind") != "x", F.col("kind") == "a")
+    assert sorted((r["first_pos"], r["last_pos"]) for r in got.collect()) == [(1, 4), (6, 7), (9, 10)]
+    long = spark.createDataFrame([("s", i, "a") for i in range(8)], rows.schema)
+    assert sorted((r["first_pos"], r["last_pos"]) for r in extraction.anchor_windows(long, "session", ["at"], F.lit(True), F.lit(True)).collect()) == [(1, 5), (4, 8)]
+    assert extraction.anchor_windows(rows.limit(0), "session", ["at"], F.lit(True), F.lit(True)).count() == 0
+
+
+def test_paths_are_lexical(spark):
+    cases = {"/a//b/./c/": "/a/b/c", "/a/../../b": "/b", " x/y ": "/x/y", "/": "/", "  ": "", "/..": "/"}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, "")], "p string, want string")
+    assert df.where(identity.canonical_path(F.col("p")) != F.col("want")).count() == 0
+
+
+def test_an_unfinished_check_holds_its_batch(spark):
+    df = spark.createDataFrame([(1, 1, "fine"), (2, 1, "y" * 11), (3, 2, "bad"), (4, 2, None)], "id long, batch long, t string")
+    got = {r["id"]: (r["state"], r["pattern_ids"]) for r in extraction.block_set(df, "batch", {"t": {"p": "^bad$"}}, 10).collect()}
+    assert got == {1: ("held", ""), 2: ("held", ""), 3: ("blocked", "p"), 4: ("kept", "")}
+
+
+def test_conflicting_identities_raise_no_project(spark):
+    requests = spark.createDataFrame([(1, "/a", None, None, None, None), (2, "/a", 9, None, None, None), (3, None, None, None, "d", None), (4, None, None, None, None, "r"), (5, None, None, None, None, None)], "request_id long, path string, explicit_id long, portable_key string, common_dir string, remote string")
+    spaces = spark.createDataFrame([("/a", 1, "d", "r", False), ("/b", 2, "d", "r", True)], "path string, project_id long, common_dir string, remote string, approved boolean")
+    got = {r["request_id"]: (r["project_id"], r["reason"]) for r in identity.resolve_projects(requests, spaces, spark.createDataFrame([(1, "k")], "project_id long, portable_key string")).collect()}
+    assert got == {1: (1, "path"), 2: (None, "conflict"), 3: (None, "conflict"), 4: (2, "approved-remote"), 5: (None, "new")}
+
+
+def test_bundle_keeps_to_its_limits(spark):
+    items = spark.createDataFrame([("p", "d", i, "word " * 60) for i in range(9)] + [("p", "h", 1, "short"), ("q", "h", 1, None), ("q", "z", 1, "unknown section")], "owner string, section string, n long, text string")
+    got = {r["owner"]: r for r in continuity.render_bundle(items, "owner", "section", ["n"], "text", {"d": ("[D]", 8), "h": ("[H]", 2)}).collect()}
+    assert len(got["p"]["bundle"]) <= continuity.HARD_CHARS and got["p"]["truncated"] and got["p"]["bundle"].endswith("[H]\n- short")
+    assert (got["q"]["bundle"], got["q"]["n_lines"], got["q"]["truncated"]) == ("[H]\n- ", 1, False)
