@@ -66,3 +66,10 @@ def render_bundle(items: DataFrame, owner: str, section: str, rank: list, text:
 
     folded = ranked.groupBy(owner).agg(lines.alias("lines")).select(owner, F.aggregate("lines", start, step).alias("b"))
     return folded.select(owner, F.col("b.out").alias("bundle"), F.col("b.n").cast("long").alias("n_lines"), F.col("b.cut").alias("truncated"))
+
+
+def context_epochs(events: DataFrame, session: str, order: list[str], reset: Column, marker: Column) -> DataFrame:
+    """``events`` with ``epoch``: how many resets the session has seen so far; a marker that was applied before counts once."""
+    again = F.row_number().over(Window.partitionBy(session, "_marker").orderBy(*order)) > 1
+    marked = events.withColumn("_marker", F.when(reset, marker)).withColumn("_new", (F.col("_marker").isNotNull() & ~again).cast("long"))
+    return marked.withColumn("epoch", F.sum("_new").over(Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).drop("_marker", "_new")

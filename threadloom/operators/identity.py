@@ -84,3 +84,57 @@ def revision_state(sessions: DataFrame, projects: DataFrame) -> DataFrame:
     """(session_id, project, seen, current, stale); a project nobody knows is at revision zero."""
     joined = sessions.join(projects, "project", "left").withColumn("current", F.coalesce("revision", F.lit(0)).cast("long"))
     return joined.select("session_id", "project", F.col("seen").cast("long").alias("seen"), "current", (F.col("current") > F.col("seen")).alias("stale"))
+
+
+def link_workspaces(workspaces: DataFrame, links: DataFrame) -> DataFrame:
+    """``workspaces`` (workspace_id, project_id, …) after ``links`` (workspace_id, target), with ``moved``.
+
+    A source project that keeps no workspace is emptied: its name lives on in ``emptied`` on the rows that left it.
+    """
+    target = links.groupBy("workspace_id").agg(F.max("target").alias("target"))
+    joined = workspaces.join(target, "workspace_id", "left")
+    moved = F.col("target").isNotNull() & (F.col("target") != F.col("project_id"))
+    left = joined.groupBy("project_id").agg(F.count_if(~moved).alias("stay"))
+    out = joined.join(left, "project_id").withColumns({"moved": moved, "emptied": F.when(moved & (F.col("stay") == 0), F.col("project_id"))})
+    return out.withColumn("project_id", F.coalesce("target", "project_id")).drop("target", "stay")
+
+
+def rebind_sessions(bindings: DataFrame, requests: DataFrame, streams: DataFrame) -> DataFrame:
+    """(session_id, stream, outcome): a session moves to an active stream of its own project, else it stays put."""
+    wish = requests.groupBy("session_id").agg(F.max("stream").alias("wish"))
+    goal = streams.select(F.col("stream_id").alias("wish"), F.col("project").alias("goal_project"), "active")
+    joined = bindings.join(wish, "session_id", "left").join(goal, "wish", "left")
+    outcome = (
+        F.when(F.col("wish").isNull() | F.col("wish").eqNullSafe(F.col("stream")), "unchanged").when(F.col("goal_project").isNull(), "unknown stream")
+        .when(F.col("goal_project") != F.col("project"), "other project").when(~F.col("active"), "inactive").otherwise("moved")
+    )
+    return joined.select("session_id", F.when(outcome == "moved", F.col("wish")).otherwise(F.col("stream")).alias("stream"), outcome.alias("outcome"))
+
+
+SLOT_NAME = "^[a-z][a-z0-9_.-]{2,160}$"
+
+
+def assign_slots(wanted: DataFrame, facts: DataFrame) -> DataFrame:
+    """(fact_id, outcome) for wishes (fact_id, project, subject, state, evidence, workspace, workstream).
+
+    States need their evidence and their scope; a slot (project, subject, state, workspace, workstream) holds one
+    active fact of ``facts`` (the same columns, active). Of wishes for one free slot the least fact id gets it. Keys
+    are compared with nulls equal.
+    """
+    slot = ["project", "subject", "state", "workspace", "workstream"]
+    state, evidence, wide = F.col("state"), F.col("evidence"), F.col("state").isin("decision", "project-current")
+    no_space, no_stream = F.col("workspace").isNull(), F.col("workstream").isNull()
+    wrong = (
+        F.when(~F.coalesce(F.col("subject").rlike(SLOT_NAME), F.lit(False)), "bad name")
+        .when((state == "decision") & (evidence != "explicit-decision") | (state == "project-current") & ~evidence.isin("merged", "validated", "no-branch-signal") | (state == "workstream") & (evidence != "experimental"), "bad evidence")
+        .when((state == "workspace") & no_space | (state == "workstream") & no_stream | wide & ~(no_space & no_stream) | (state == "workspace") & ~no_stream, "bad scope")
+    )
+    held = facts.where("active").groupBy(*(F.col(c).alias(f"_{c}") for c in slot)).agg(F.min("fact_id").alias("low"), F.max("fact_id").alias("high"))
+    same = F.lit(True)
+    for c in slot:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    judged = wanted.withColumn("wrong", wrong)
+    first = judged.where("wrong is null").groupBy(*(F.col(c).alias(f"_{c}") for c in slot)).agg(F.min("fact_id").alias("first"))
+    met = judged.join(held, same, "left").drop(*(f"_{c}" for c in slot)).join(first, same, "left")
+    taken = F.col("low").isNotNull() & ((F.col("low") != F.col("fact_id")) | (F.col("high") != F.col("fact_id")))
+    return met.select("fact_id", F.coalesce("wrong", F.when(taken, "slot taken").when(F.col("first") < F.col("fact_id"), "later wish"), F.lit("assigned")).alias("outcome"))

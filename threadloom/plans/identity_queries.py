@@ -169,3 +169,52 @@ b AS (SELECT DISTINCT project, CAST(0 AS BIGINT) AS i, '' AS bundle, CAST(0 AS B
 SELECT project, arg_max(bundle, i) AS bundle, max(n_lines) AS n_lines, bool_or(truncated) AS truncated FROM b GROUP BY 1""")
 def gat09_bundle(spark, sf_dir):
     return continuity.render_bundle(facts(spark, sf_dir), "project", "authority", [F.desc("confirmations"), "id"], "fact", SECTIONS)
+
+
+@query("""WITH w AS (SELECT s_suppkey AS workspace_id, s_nationkey AS project_id, CASE WHEN s_acctbal > 2000 THEN s_suppkey % 25 END AS target FROM supplier),
+m AS (SELECT *, target IS NOT NULL AND target <> project_id AS moved FROM w), e AS (SELECT *, count(*) FILTER (WHERE NOT moved) OVER (PARTITION BY project_id) AS stay FROM m)
+SELECT workspace_id, coalesce(target, project_id) AS project_id, moved, CASE WHEN moved AND stay = 0 THEN project_id END AS emptied FROM e""")
+def idn03_link_workspaces(spark, sf_dir):
+    supplier = table(spark, sf_dir, "supplier")
+    links = supplier.where("s_acctbal > 2000").select(F.col("s_suppkey").alias("workspace_id"), (F.col("s_suppkey") % 25).alias("target"))
+    return identity.link_workspaces(supplier.select(F.col("s_suppkey").alias("workspace_id"), F.col("s_nationkey").cast("long").alias("project_id")), links)
+
+
+@query("""WITH b AS (SELECT o_orderkey AS session_id, o_custkey % 25 AS project, o_custkey AS stream, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + o_orderkey % 4 * 25 END AS wish FROM orders),
+t AS (SELECT c_custkey AS sid, c_custkey % 25 + CASE WHEN c_nationkey = 3 THEN 1 ELSE 0 END AS goal_project, c_acctbal > 0 AS active FROM customer),
+d AS (SELECT *, CASE WHEN wish IS NULL OR wish = stream THEN 'unchanged' WHEN goal_project IS NULL THEN 'unknown stream' WHEN goal_project <> project THEN 'other project' WHEN NOT active THEN 'inactive' ELSE 'moved' END AS outcome FROM b LEFT JOIN t ON sid = wish)
+SELECT session_id, CASE WHEN outcome = 'moved' THEN wish ELSE stream END AS stream, outcome FROM d""")
+def idn04_rebind_sessions(spark, sf_dir):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    orders = table(spark, sf_dir, "orders")
+    bindings = orders.select(o.alias("session_id"), (c % 25).alias("project"), c.alias("stream"))
+    k = F.col("c_custkey")
+    streams = table(spark, sf_dir, "customer").select(k.alias("stream_id"), (k % 25 + (F.col("c_nationkey") == 3).cast("int")).alias("project"), (F.col("c_acctbal") > 0).alias("active"))
+    return identity.rebind_sessions(bindings, orders.where("o_orderkey % 3 = 0").select(o.alias("session_id"), (c + o % 4 * 25).alias("stream")), streams)
+
+
+@query("""WITH d AS (SELECT doc_id AS fact_id, source AS project, CASE WHEN doc_id % 13 = 0 THEN 'X ' ELSE 'slot.' END || (doc_id % 60) AS subject, (['decision', 'project-current', 'workspace', 'workstream'])[CAST(doc_id % 4 + 1 AS INTEGER)] AS state,
+    (['explicit-decision', 'merged', 'validated', 'experimental', 'no-branch-signal'])[CAST(doc_id % 4 + 1 + (CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) AS INTEGER)] AS evidence,
+    CASE WHEN doc_id % 4 = 2 AND doc_id % 9 <> 0 THEN lang END AS workspace, CASE WHEN doc_id % 4 = 3 AND doc_id % 9 <> 0 THEN lang END AS workstream, n_chars % 5 = 0 AS active FROM documents),
+j AS (SELECT *, CASE WHEN NOT regexp_matches(subject, '^[a-z][a-z0-9_.-]{2,160}$') THEN 'bad name'
+    WHEN (state = 'decision' AND evidence <> 'explicit-decision') OR (state = 'project-current' AND evidence NOT IN ('merged', 'validated', 'no-branch-signal')) OR (state = 'workstream' AND evidence <> 'experimental') THEN 'bad evidence'
+    WHEN (state = 'workspace' AND workspace IS NULL) OR (state = 'workstream' AND workstream IS NULL) OR (state IN ('decision', 'project-current') AND NOT (workspace IS NULL AND workstream IS NULL)) OR (state = 'workspace' AND workstream IS NOT NULL) THEN 'bad scope' END AS wrong FROM d)
+SELECT fact_id, CASE WHEN wrong IS NOT NULL THEN wrong
+    WHEN EXISTS (SELECT 1 FROM d f WHERE f.active AND f.fact_id <> j.fact_id AND f.project = j.project AND f.subject = j.subject AND f.state = j.state AND f.workspace IS NOT DISTINCT FROM j.workspace AND f.workstream IS NOT DISTINCT FROM j.workstream) THEN 'slot taken'
+    WHEN EXISTS (SELECT 1 FROM j o WHERE o.wrong IS NULL AND o.fact_id < j.fact_id AND o.project = j.project AND o.subject = j.subject AND o.state = j.state AND o.workspace IS NOT DISTINCT FROM j.workspace AND o.workstream IS NOT DISTINCT FROM j.workstream) THEN 'later wish' ELSE 'assigned' END AS outcome FROM j""")
+def idn06_assign_slots(spark, sf_dir):
+    d = F.col("doc_id")
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), at.cast("int"))
+    rows = table(spark, sf_dir, "documents").select(
+        d.alias("fact_id"), F.col("source").alias("project"), F.concat(F.when(d % 13 == 0, "X ").otherwise("slot."), (d % 60).cast("string")).alias("subject"),
+        pick(("decision", "project-current", "workspace", "workstream"), d % 4 + 1).alias("state"), pick(("explicit-decision", "merged", "validated", "experimental", "no-branch-signal"), d % 4 + 1 + (d % 7 == 0).cast("int")).alias("evidence"),
+        F.when((d % 4 == 2) & (d % 9 != 0), F.col("lang")).alias("workspace"), F.when((d % 4 == 3) & (d % 9 != 0), F.col("lang")).alias("workstream"), (F.col("n_chars") % 5 == 0).alias("active"),
+    )
+    return identity.assign_slots(rows.drop("active"), rows.drop("evidence"))
+
+
+@query("""WITH m AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'signup' THEN floor(value) END AS marker FROM events),
+k AS (SELECT *, marker IS NOT NULL AND row_number() OVER (PARTITION BY user_id, marker ORDER BY ts, event_id) = 1 AS new FROM m)
+SELECT event_id, user_id, CAST(sum(CAST(new AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch FROM k""")
+def str06_context_epochs(spark, sf_dir):
+    return continuity.context_epochs(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "signup", F.floor("value")).select("event_id", "user_id", "epoch")
