@@ -174,16 +174,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: in
     return prints.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", find=classes) -> DataFrame:
     """The rows of ``docs``, all columns, with the least id of their class; of rows with that same id one stays.
 
-    Classes without any id keep one row.
+    Classes without any id keep one row. ``find`` (docs, key, text) gives every row's class as ``classes`` does.
     """
     ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("d")).first()
     if ids["n"] == ids["d"]:
-        keepers = classes(docs, key, text, radius).where(F.col(key) == F.col("component_id")).select(key)
+        keepers = find(docs, key, text).where(F.col(key) == F.col("component_id")).select(key)
         return docs.join(keepers, key, "left_semi").select(*docs.columns)
     rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    table = classes(rows.select("_row", text), "_row", text, radius).select(F.col("_row").alias("_member"), "component_id")
+    table = find(rows.select("_row", text), "_row", text).select(F.col("_row").alias("_member"), "component_id")
     first = rows.select("_row", F.col(key).alias("_id")).join(table, F.col("_row") == F.col("_member")).groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("least"))
     return rows.join(first.select(F.col("least._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
