@@ -4,7 +4,7 @@ import collections
 
 import duckdb
 
-from threadloom.llm import shingle_dedup
+from threadloom.llm import shingle_dedup, url_rules
 
 DOCS = "doc_id long, text string"
 
@@ -46,3 +46,21 @@ def test_near_duplicates_with_odd_rows(spark):
     kept = shingle_dedup.keep_one(spark.createDataFrame(rows, DOCS))
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "5", "None"]
     assert shingle_dedup.keep_one(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_rules_of_the_common_label_and_of_many_tokens(spark):
+    """A sure rule for the label of most pages (lift under 1.5) decides; so does one that needs five tokens."""
+    urls, labels = [], []
+    for i in range(400):
+        urls.append(f"https://a.example.org/{'news/safe' if i % 4 else 'news'}/{'x' if i % 4 else 'y'}{i}")
+        labels.append(0 if i % 4 == 0 or i % 8 == 1 else 1)
+    for n in range(32):  # only all five words together are blocked
+        for k in range(40):
+            urls.append("https://b.example.org/" + "/".join(f"t{b}" for b in range(5) if n >> b & 1) + f"/u{n}v{k}")
+            labels.append(0 if n == 31 else 1)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    known = spark.createDataFrame([(i, q, 0) for i, q in enumerate(labels)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r for r in url_rules.judge_pages(pages, known).collect()}
+    assert got[2]["mined_rule"] and got[2]["verdict"] == "allow"
+    assert all(got[400 + 40 * 31 + k]["verdict"] == "block" and len(got[400 + 40 * 31 + k]["mined_rule"]) >= 5 for k in range(40))
+    assert all(got[400 + 40 * 15 + k]["verdict"] == "allow" for k in range(40))

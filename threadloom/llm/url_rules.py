@@ -1,7 +1,7 @@
 """URL filters: fixed prefix rules, and association rules mined by FP-growth.
 
 A URL's tokens (host labels, host, path words, query names) form a transaction with the page's label. Spark's FP-growth
-finds frequent combinations; rules that lead to a label are kept if support, confidence and lift reach their limits and
+finds frequent combinations; rules that lead to a label are kept if support and confidence reach their limits and
 no shorter rule with the same label is as sure. Pages match rules through an inverted index: a rule stands under the
 token of its that fewest pages hold, and what meets there is checked for the other tokens. The surest rule decides.
 
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 PREFIX_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
-MIN_LIFT = 1.5
-MAX_TOKENS = 3
 BROADCAST_RULES = 50_000
 LABEL = "label="
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,11 +51,11 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(tokens, lambda x: ~x.rlike(r"^\w+:$")))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(tokens, verdict, confidence, lift, support) from rows with ``url`` and ``verdict`` (block, allow or null)."""
     basket = labelled.where(F.col("verdict").isNotNull() & F.col("url").isNotNull()).select(F.concat(url_tokens(F.col("url")), F.array(F.concat(F.lit(LABEL), F.col("verdict")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(basket)
-    rules = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL) & ~F.exists("antecedent", lambda x: x.startswith(LABEL)) & (F.size("antecedent") <= MAX_TOKENS) & (F.col("lift") >= min_lift))
+    rules = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL) & ~F.exists("antecedent", lambda x: x.startswith(LABEL)))
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.regexp_replace(F.element_at("consequent", 1), f"^{LABEL}", "").alias("verdict"), "confidence", "lift", "support")
     short = rules.select(F.col("tokens").alias("part"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
     sub = (F.col("verdict") == F.col("v")) & (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0) & (F.col("c") >= F.col("confidence"))
