@@ -4,7 +4,7 @@ import collections
 
 import duckdb
 
-from threadloom.llm import shingle_dedup, url_rules
+from threadloom.llm import line_blocks, shingle_dedup, url_rules
 
 DOCS = "doc_id long, text string"
 
@@ -64,3 +64,16 @@ def test_rules_of_the_common_label_and_of_many_tokens(spark):
     assert got[2]["mined_rule"] and got[2]["verdict"] == "allow"
     assert all(got[400 + 40 * 31 + k]["verdict"] == "block" and len(got[400 + 40 * 31 + k]["mined_rule"]) >= 5 for k in range(40))
     assert all(got[400 + 40 * 15 + k]["verdict"] == "allow" for k in range(40))
+
+
+def test_main_text_after_unclosed_asides():
+    """What stands aside ends where its parent or its successor ends it, not only at a tag of its own name."""
+    story = "A long paragraph of plain text that carries the story of this page for a good while, line upon line."
+    for head in (
+        '<p class="ad">Buy now', '<ul><li class="nav-item">a<li class="nav-item">b</ul>', '<div><p class="ad">Buy now</div>', '<dl><dt class="menu">a<dd class="menu">b</dl>',
+        '<table><tr><td class="ad">x<tr><td class="ad">y</table>', '<div><span class="promo">z</div>', '<p class="ad">one<ul class="nav"><li>two<li>three</ul>',
+    ):
+        assert line_blocks.main_text(f"<body>{head}<article><p>{story}<p>{story}</article>") == f"{story}\n{story}", head
+    assert line_blocks.main_text(f'<article><p class="ad">Buy now<p>{story}</article>') == story
+    assert line_blocks.main_text(f'<article><div class="ad"><p>Buy<div>x</div><ul><li>now<li>here</ul></div><p>{story}</article>') == story
+    assert line_blocks.main_text(f'<article><div class="ad"><b>Buy</p></b></li>now</div><p>{story}</article>') == story

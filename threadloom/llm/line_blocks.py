@@ -28,6 +28,16 @@ ASIDE = frozenset("nav footer aside form button select menu dialog fieldset".spl
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 SPACED = frozenset("br td th option".split())
+# Optional end tags: an element -> (open elements that its start closes, elements that the search does not pass).
+_CELLS, _ITEMS = frozenset(("td", "th")), BLOCKS - frozenset("address div p".split())
+_CLOSES_P = (frozenset(("p",)), frozenset("button caption table td th".split()))
+_TABLE = frozenset(("table",))
+IMPLIED = {name: _CLOSES_P for name in BLOCKS - frozenset("body dd dt figcaption head html li summary tbody tfoot thead tr".split()) | {"hr"}} | {
+    "li": (frozenset(("li",)), _ITEMS - {"li"}), "dt": (frozenset(("dt", "dd")), _ITEMS - {"dt", "dd"}), "dd": (frozenset(("dt", "dd")), _ITEMS - {"dt", "dd"}),
+    "option": (frozenset(("option",)), frozenset(("select", "datalist"))), "optgroup": (frozenset(("option", "optgroup")), frozenset(("select",))),
+    "td": (_CELLS, _TABLE | {"tr"}), "th": (_CELLS, _TABLE | {"tr"}), "tr": (_CELLS | {"tr"}, _TABLE),
+} | dict.fromkeys(("tbody", "thead", "tfoot"), (_CELLS | {"tr", "tbody", "thead", "tfoot"}, _TABLE))
+_TABLE_PARTS = _CELLS | frozenset("table caption tbody tfoot thead tr".split())
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|comments?|replies|disqus|sidebar|side-?bar|widget|nav\w*|menu|breadcrumbs?|footer|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|related|recommend\w*|share|social|pagination|pager|masthead|topbar|navigation|contentinfo|complementary|search)(?:$|[\s_-])", re.I)
 _ATTRS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>""")
@@ -44,11 +54,39 @@ def _is_aside(name: str, attrs: str, in_article: bool) -> bool:
     return "hidden" in attrs.lower().split() or any(MARKS.search(a or b or c) for a, b, c in _ATTRS.findall(attrs))
 
 
+def _cut(stack: list[str], names: frozenset, walls: frozenset, every: bool = False) -> None:
+    """Close the innermost open element of ``names``, or the outermost one, and all inside it; do not look past ``walls``."""
+    found = None
+    for at in range(len(stack) - 1, -1, -1):
+        if stack[at] in names:
+            found = at
+            if not every:
+                break
+        elif stack[at] in walls:
+            break
+    if found is not None:
+        del stack[found:]
+
+
+def _follow(stack: list[str], name: str, closing: bool, opens: bool) -> None:
+    """Apply a tag to the names of the open elements, optional end tags included."""
+    if closing:
+        walls = _TABLE if name in _TABLE_PARTS else _CELLS | _TABLE if name in BLOCKS or name in SPACED else BLOCKS | _CELLS
+        _cut(stack, frozenset((name,)), walls)
+        return
+    if name in IMPLIED:
+        if name in ("li", "dt", "dd"):
+            _cut(stack, *_CLOSES_P)
+        _cut(stack, *IMPLIED[name], every=name in ("optgroup", "tr", "tbody", "thead", "tfoot"))
+    if opens:
+        stack.append(name)
+
+
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, length of link text, inside an article?) for each block; what stands aside is left out."""
     page = _RAW.sub(" ", _COMMENT.sub(" ", page))
     lines, text, linked = [], [], 0
-    skip, depth, article, anchor = "", 0, 0, 0
+    skip, stack, article, anchor = 0, [], 0, 0  # skip: how many elements are open while one that stands aside is
 
     def close():
         nonlocal text, linked
@@ -73,18 +111,20 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         closing, attrs = bool(m[1] or m[4]), m[3] or m[6] or ""
         opens = not closing and name not in VOID and not attrs.endswith("/")
+        aside = stack[skip - 1] if skip else ""
+        _follow(stack, name, closing, opens)
         if skip:
-            if name == skip:
-                depth += 1 if opens else -1 if closing else 0
-                if not depth:
-                    skip = ""
-            continue
+            if len(stack) >= skip and not (opens and len(stack) == skip):
+                continue
+            ended, skip = skip, 0
+            if closing and name == aside and len(stack) == ended - 1:
+                continue
         if name in BLOCKS:
             close()
         elif name in SPACED:
             add(" ")
         if opens and _is_aside(name, attrs, article > 0):
-            skip, depth = name, 1
+            skip = len(stack)
         elif name in ("article", "main"):
             article = max(0, article + (1 if opens else -1 if closing else 0))
         elif name == "a":
