@@ -3,8 +3,10 @@
 import collections
 
 import duckdb
+import numpy as np
 
-from threadloom.llm import line_blocks, shingle_dedup, url_rules
+from threadloom.llm import bpe, line_blocks, shingle_dedup, token_blocks, url_rules
+from threadloom.llm import queries as q
 
 DOCS = "doc_id long, text string"
 
@@ -77,3 +79,17 @@ def test_main_text_after_unclosed_asides():
     assert line_blocks.main_text(f'<article><p class="ad">Buy now<p>{story}</article>') == story
     assert line_blocks.main_text(f'<article><div class="ad"><p>Buy<div>x</div><ul><li>now<li>here</ul></div><p>{story}</article>') == story
     assert line_blocks.main_text(f'<article><div class="ad"><b>Buy</p></b></li>now</div><p>{story}</article>') == story
+
+
+def test_added_tokens_as_the_library_reads_them(spark):
+    from tokenizers import Tokenizer
+
+    path = q.public_path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), bpe.ByteBPE(open(path, encoding="utf-8").read(), q.public_pattern())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y \n", "<|endoftext|", "plain  text ", " <|endoftext|> 漢", ""]
+    for text in texts:
+        ids = np.frombuffer(own.encode(text), "<u4")
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        assert own.decode(ids).decode() == text
+    got = token_blocks.token_files(spark.createDataFrame(list(enumerate(texts)), DOCS), path, q.public_pattern()).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}

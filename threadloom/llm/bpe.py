@@ -2,7 +2,8 @@
 
 Text is cut before every space that a non-space follows. Every alternative of the splitting pattern starts a new
 match there, so pieces can be encoded apart and their ids joined. A bounded cache maps pieces to ids; what it lacks is
-split by the pattern, written in the byte alphabet and merged by the ``tokenizers`` model.
+split by the pattern, written in the byte alphabet and merged by the ``tokenizers`` model. Added tokens of the
+tokenizer file are cut out of the text first, as the library does, and stand for their own ids.
 
 Nulls count as the empty text, which has no ids. Repeated rows are encoded alike. Input columns other than the key and
 the text are not read, so clashing names do no harm.
@@ -92,11 +93,20 @@ class ByteBPE:
         self.pieces = _Pieces(lambda piece: self._encode_piece("", piece))
         self.spaced = _Pieces(lambda body: self._encode_piece(self.to_char[32], body))
         size, from_char = 0, {c: b for b, c in self.to_char.items()}
-        vocab = json.loads(tokenizer_json)["model"]["vocab"]
-        size = 1 + max(vocab.values(), default=-1)
+        parsed = json.loads(tokenizer_json)
+        vocab, added = parsed["model"]["vocab"], parsed.get("added_tokens") or []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that look at their surroundings are not supported")
+        self.added = {t["content"]: struct.pack("<I", t["id"]) for t in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut_added = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if added else None
+        size = 1 + max([*vocab.values(), *(t["id"] for t in added)], default=-1)
         self.token_bytes = [b""] * size
         for spelled, i in vocab.items():
-            self.token_bytes[i] = bytes(from_char[c] for c in spelled)
+            if spelled not in self.added:
+                self.token_bytes[i] = bytes(from_char[c] for c in spelled)
+        for t in added:
+            self.token_bytes[t["id"]] = t["content"].encode()
         self.token_len = np.array([len(t) for t in self.token_bytes], dtype=np.int64)
 
     def _word(self, word: str) -> str:
@@ -122,6 +132,12 @@ class ByteBPE:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if self.cut_added and len(parts := self.cut_added(text)) > 1:
+            return b"".join(self.added[part] if at % 2 else self._encode_plain(part) for at, part in enumerate(parts))
+        return self._encode_plain(text)
+
+    def _encode_plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         if _ODD_SPACE.search(text):
             return b"".join(map(self.pieces.__getitem__, self.split(text)))
         first, *rest = text.split(" ")
