@@ -35,6 +35,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(df: DataFrame) -> int:
+    """Partitions for a shuffle of whole rows of ``df``: as many as its input has, the session's number at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+
+
 def open_fs(uri: str):
     """(file system, path) for a URI, usable inside a task (file, hdfs, s3, gs)."""
     from pyarrow import fs

@@ -8,14 +8,13 @@ Layout (little-endian): magic ``PFR1``, counts of ids, documents, blocks, packed
 lengths u64; block minima u32, widths u8, word starts u32, exception starts u32; words u64; exception positions u8,
 differences u32.
 
-Null texts are empty and hold only the end id. A null key sorts first (the files hold the least 64-bit integer for
-it) and comes back null. Equal keys keep all their rows, in an order of their own. An empty table gives no files and
+Null texts are empty and hold only the end id. A null key sorts first (the file marks it by the top bit of its length)
+and comes back null. Equal keys keep all their rows, in an order of their own. An empty table gives no files and
 no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 import struct
 import uuid
@@ -25,13 +24,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.bpe import shared_bpe
-from threadloom.llm.common import materialize, read_bytes, shared_dir, slices, text_or_empty, write_bytes
+from threadloom.llm.bpe import byte_slices, shared_bpe
+from threadloom.llm.common import materialize, partitions_for, read_bytes, shared_dir, text_or_empty, write_bytes
 
 BLOCK = 128
 PERCENTILES = (0.90, 0.95, 0.99, 1.0)
 FILE_IDS = 4_000_000
-NULL_KEY = -(2**63)
+NULL_KEY = np.uint64(1 << 63)
 _HEAD = struct.Struct("<4s5Q")
 
 
@@ -144,13 +143,11 @@ def read_block(data: bytes, block: int) -> np.ndarray:
 def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, out_dir: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every text and write block files in ascending key order; returns the manifest, one row per file.
 
-    One range shuffle of the texts; each task encodes its sorted range and flushes a file whenever ``FILE_IDS`` ids
-    have gathered, so memory stays bounded. Only files that the manifest names count: what a lost attempt wrote is
+    One range shuffle of the texts; each task encodes its sorted range and flushes a file when ``FILE_IDS`` ids
+    or more have gathered, so memory stays bounded. Only files that the manifest names count: what a lost attempt wrote is
     never read. Files are in order by (part, seq).
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NULL_KEY)).alias("key"), text_or_empty(text)).repartitionByRange(parts, "key").sortWithinPartitions("key")
+    ranged = docs.select(docs[key].cast("long").alias("key"), text_or_empty(text)).repartitionByRange(partitions_for(docs), "key").sortWithinPartitions("key")
 
     def run(batches):
         import pyarrow as pa
@@ -160,32 +157,31 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, out_di
         with open(tokenizer_path) as src:
             bpe = shared_bpe(src.read(), pattern)
         part, seq = TaskContext.get().partitionId(), 0
-        end = struct.pack("<I", end_id)
-        keys, lengths, held, count = [], [], [], 0
+        held, count = [], 0
 
         def flush():
-            nonlocal seq, keys, lengths, held, count
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
-            data = encode_blocks(np.array(keys, dtype=np.int64), np.array(lengths, dtype=np.uint64), ids)
+            nonlocal seq, held, count
+            keys, lengths, ids = (np.concatenate(column) for column in zip(*held))
+            data = encode_blocks(keys, lengths, ids)
             uri = f"{out_dir}/part-{part:06d}-{seq:05d}-{uuid.uuid4().hex}.pfor"
             write_bytes(uri, data)
             row = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "uri": [uri], "n_docs": [len(keys)], "n_ids": [len(ids)], "n_bytes": [len(data)]})
-            keys, lengths, held, count, seq = [], [], [], 0, seq + 1
+            held, count, seq = [], 0, seq + 1
             return row
 
-        gc.disable()  # nothing here makes cycles, and the collector would walk the cache of pieces again and again
-        for piece in slices(batches):
-            for k, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                ids = bpe.encode(t) + end
-                keys.append(k)
-                lengths.append(len(ids) // 4)
-                held.append(ids)
-                count += len(ids) // 4
-                if count >= FILE_IDS:
-                    yield flush()
-        if keys:
+        for piece in byte_slices(batches, 1):
+            ids, counts = bpe.encode_batch(piece.column(1))
+            closed = np.full(len(ids) + len(counts), end_id, dtype="<u4")
+            own = np.ones(len(closed), dtype=bool)
+            own[np.cumsum(counts + 1) - 1] = False
+            closed[own] = ids
+            nulls = piece.column(0).is_null().to_numpy(zero_copy_only=False)
+            held.append((piece.column(0).fill_null(0).to_numpy(), (counts + 1).astype(np.uint64) | NULL_KEY * nulls, closed))
+            count += len(closed)
+            if count >= FILE_IDS:
+                yield flush()
+        if held:
             yield flush()
-        gc.enable()
 
     manifest = ranged.mapInArrow(run, "part bigint, seq bigint, uri string, n_docs bigint, n_ids bigint, n_bytes bigint")
     return materialize(manifest, "token-manifest")
@@ -202,13 +198,14 @@ def read_token_files(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             for uri, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys, lengths, ids = decode_blocks(read_bytes(uri))
-                ends = np.cumsum(lengths.astype(np.int64))
-                starts = ends - lengths.astype(np.int64)
+                nulls, lengths = lengths >= NULL_KEY, (lengths & ~NULL_KEY).astype(np.int64)
+                ends = np.cumsum(lengths)
+                starts = ends - lengths
                 raw = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B")
                 crcs = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "start": pa.array(base + starts), "n_tokens": pa.array(lengths.astype(np.int64)), "ids_crc32": pa.array(crcs, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, mask=nulls), "start": pa.array(base + starts), "n_tokens": pa.array(lengths), "ids_crc32": pa.array(crcs, pa.int64())})
 
-    return placed.select("uri", "base").repartition(max(1, min(files, 4096))).mapInArrow(run, "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint").select(F.nullif(F.col("key"), F.lit(NULL_KEY)).alias(key), "start", "n_tokens", "ids_crc32")
+    return placed.select("uri", "base").repartition(max(1, min(files, 4096))).mapInArrow(run, "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint").withColumnRenamed("key", key)
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
