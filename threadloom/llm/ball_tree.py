@@ -1,12 +1,17 @@
-"""Exact top-k inner products: a ball tree for each shard, searched best bound first.
+"""Exact top-k inner products: a ball tree for each shard, leaves in order of their bounds.
 
-Vectors are dealt into shards of bounded size by a hash of their id. A shard's task builds a ball tree. For a query q
-no vector in a ball with centre c and radius r scores over q·c + r‖q‖; nodes are visited by falling bound until the
-bound is under the current kth score. That score is shared: a pilot shard gives every query a first kth score,
-which all other shards start from. Queries come in blocks; every shard meets every block.
+Vectors are dealt into shards by a hash of their id, queries into blocks; every shard meets every block, in rounds of
+growing numbers of shards. A task builds its shard's ball tree. For a query q no vector in a ball with centre c and
+radius r scores over q.c + r|q|, nor over its greatest norm times |q|, nor over what the bounds of the balls around it
+allow. Each query visits its ``FIRST_LEAVES`` leaves of highest bound first; after that leaves come by falling bound,
+each with all queries whose bound there reaches their kth score. The kth scores that the shards of a round find are where the next round starts.
 
-Scores are whole numbers, so a bound is rounded down, and a node whose bound equals the kth score matters only if it
-holds a smaller id. Ties go to the smaller id.
+How much that saves depends on the vectors: clustered ones leave most leaves unvisited; vectors that point in random
+directions of many dimensions fill balls as wide as the whole set, so nearly every leaf must be visited and the search
+costs what a scan costs (README has figures). Results are exact either way.
+
+Scores are whole numbers (exact below 2**53), so a bound is rounded down; leaves whose bound equals the kth score are
+visited, for they may hold a smaller id. Ties go to the smaller id.
 
 Vectors that are null, empty or hold null or non-finite components take no part; nor do rows with a null id. Vectors
 of another length than the query's are no candidates for it. Rows of a repeated id are candidates each, but never for
@@ -15,81 +20,95 @@ a query of their own id; the id asks once, with its least vector. An empty table
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import materialize
 
-SHARD_ROWS = 16_384
-QUERY_ROWS = 2_048
-LEAF_ROWS = 128
+SHARD_ROWS = 32_768
+LEAST_SHARD_ROWS = 2_048
+QUERY_ROWS = 8_192
+LEAF_ROWS = 64
+FIRST_LEAVES = 2
+ROUND_GROWTH = 8
+NO_ID = np.iinfo(np.int64).max
 
 
 class BallTree:
-    """Balls in arrays; ``first``/``last`` bound a node's rows, ``left`` is its left child or -1."""
+    """Balls in arrays; leaf ``i`` holds rows ``first[i]`` to ``last[i]``, ``up`` is each node's parent (the root's: itself)."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF_ROWS):
         order = np.lexsort((ids,))
-        nodes, stack = [], [(0, len(order), -1, 0)]
+        nodes, leaves, stack = [], [], [(0, len(order), 0)]
         while stack:
-            a, b, parent, side = stack.pop()
+            a, b, parent = stack.pop()
             own = vectors[order[a:b]]
             centre = own.mean(axis=0)
             radius = float(np.sqrt(((own - centre) ** 2).sum(axis=1).max()))
             at = len(nodes)
-            nodes.append([a, b, centre, radius, -1, -1, int(ids[order[a:b]].min())])
-            if parent >= 0:
-                nodes[parent][4 + side] = at
-            if b - a > leaf:
-                far = own[int(((own - own[int(((own - centre) ** 2).sum(axis=1).argmax())]) ** 2).sum(axis=1).argmax())]
-                axis = far - centre
-                rank = np.argsort(own @ axis, kind="stable")
-                order[a:b] = order[a:b][rank]
+            nodes.append((centre, radius, float(np.sqrt((own**2).sum(axis=1).max())), parent))
+            if b - a <= leaf:
+                leaves.append((at, a, b))
+                continue
+            one = own[int(((own - centre) ** 2).sum(axis=1).argmax())]
+            two = own[int(((own - one) ** 2).sum(axis=1).argmax())]
+            along = own @ (two - one)
+            order[a:b] = order[a:b][np.argsort(along, kind="stable")]
+            mid = a + int((along < (one + two) @ (two - one) / 2).sum())  # each row goes to the nearer of two far ones
+            if min(mid - a, b - mid) * 16 < b - a:
                 mid = (a + b) // 2
-                stack += [(a, mid, at, 0), (mid, b, at, 1)]
+            stack += [(a, mid, at), (mid, b, at)]
         self.ids, self.vectors = ids[order], vectors[order]
-        self.first, self.last = (np.array([n[i] for n in nodes]) for i in (0, 1))
-        self.centres, self.radii = np.array([n[2] for n in nodes]), np.array([n[3] for n in nodes])
-        self.left, self.right, self.least = ([n[i] for n in nodes] for i in (4, 5, 6))
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
-        """For each query its best (score, -id) here and in ``floors``, ascending; ``floors`` are known candidates."""
-        norms = np.sqrt((queries**2).sum(axis=1))
-        bounds = np.floor(queries @ self.centres.T + norms[:, None] * self.radii[None, :] * (1 + 1e-12) + 1e-6)
-        out = []
-        for i, own in enumerate(query_ids.tolist()):
-            best = list(floors[i])
-            heapq.heapify(best)
-            bound, queue = bounds[i], [(-bounds[i][0], self.least[0], 0)]
-            while queue:
-                negative, least, node = heapq.heappop(queue)
-                if len(best) == k and (-negative, -least) <= best[0]:
-                    if -negative < best[0][0]:
-                        break
-                    continue
-                if self.left[node] >= 0:
-                    for child in (self.left[node], self.right[node]):
-                        heapq.heappush(queue, (-bound[child], self.least[child], child))
-                    continue
-                a, b = int(self.first[node]), int(self.last[node])
-                scores = self.vectors[a:b] @ queries[i]
-                ids = self.ids[a:b]
-                hope = np.flatnonzero(scores >= best[0][0]) if len(best) == k else np.arange(b - a)
-                for j in hope[np.lexsort((ids[hope], -scores[hope]))].tolist():
-                    entry = (int(scores[j]), -int(ids[j]))
-                    if ids[j] == own:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
-                    else:
-                        break
-            out.append(best)
-        return out
+        self.centres, self.radii, self.norms = np.array([n[0] for n in nodes]), np.array([n[1] for n in nodes]), np.array([n[2] for n in nodes])
+        self.up = [n[3] for n in nodes]
+        self.leaf, self.first, self.last = np.array(leaves).T
+        self.visited = self.asked = 0
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """(queries, leaves): no row of the leaf scores more."""
+        norms = np.sqrt((queries**2).sum(axis=1))[:, None] * (1 + 1e-12)
+        out = np.floor(np.minimum(queries @ self.centres.T + norms * self.radii, norms * self.norms) + 1e-6)
+        for node, parent in enumerate(self.up):  # parents come before their children
+            np.minimum(out[:, node], out[:, parent], out=out[:, node])
+        return out[:, self.leaf]
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray, chunk: int = 2_048) -> None:
+        """Better ``scores`` and ``ids`` (queries, k), best first, by this tree's rows; free places hold -inf and ``NO_ID``."""
+        for at in range(0, len(queries), chunk):
+            part = slice(at, at + chunk)
+            self._search(query_ids[part], queries[part], scores[part], ids[part])
+
+    def _search(self, query_ids, queries, scores, ids) -> None:
+        bounds = self.bounds(queries)
+        self.asked += bounds.size
+        everyone = np.arange(len(queries))
+        for _ in range(min(FIRST_LEAVES, bounds.shape[1])):
+            leaf = bounds.argmax(axis=1)
+            by_leaf = np.argsort(leaf, kind="stable")
+            for group in np.split(by_leaf, np.flatnonzero(np.diff(leaf[by_leaf])) + 1):
+                self._visit(int(leaf[group[0]]), group[bounds[group, leaf[group]] >= scores[group, -1]], query_ids, queries, scores, ids)
+            bounds[everyone, leaf] = -np.inf
+        for leaf in np.argsort(-bounds.max(axis=0), kind="stable").tolist():
+            hope = (bounds[:, leaf] >= scores[:, -1]) & (bounds[:, leaf] > -np.inf)
+            self._visit(leaf, np.flatnonzero(hope), query_ids, queries, scores, ids)
+
+    def _visit(self, leaf, asking, query_ids, queries, scores, ids) -> None:
+        if not len(asking):
+            return
+        a, b = int(self.first[leaf]), int(self.last[leaf])
+        own = self.ids[a:b]
+        self.visited += len(asking)
+        got = queries[asking] @ self.vectors[a:b].T
+        got[query_ids[asking][:, None] == own] = -np.inf
+        last = scores[asking, -1:]
+        better = ((got > last) | ((got == last) & (own < ids[asking, -1:]))).any(axis=1)
+        rows, k = asking[better], scores.shape[1]
+        all_scores = np.concatenate([scores[rows], got[better]], axis=1)
+        all_ids = np.concatenate([ids[rows], np.broadcast_to(own, (len(rows), b - a))], axis=1)
+        all_ids[np.isneginf(all_scores)] = NO_ID
+        best = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+        scores[rows], ids[rows] = np.take_along_axis(all_scores, best, axis=1), np.take_along_axis(all_ids, best, axis=1)
 
 
 def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -98,47 +117,49 @@ def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return vectors.where(sound).select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")).alias("v"), F.size("embedding").alias("d"))
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best candidates of each query row."""
+def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, shard_rows: int | None = None, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best candidates of each query row.
+
+    Shards hold ``SHARD_ROWS`` vectors, or fewer where that leaves the session's cores without work.
+    """
     spark = vectors.sparkSession
     base = materialize(quantized(vectors, scale), "vectors")
     counts = base.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
+    if shard_rows is None:
+        shard_rows = min(SHARD_ROWS, max(LEAST_SHARD_ROWS, -(-counts["n"] // (2 * spark.sparkContext.defaultParallelism))))
     shards, blocks = max(1, -(-counts["n"] // shard_rows)), max(1, -(-counts["q"] // query_rows))
     cand = base.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     asked = base.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("d", "v")).alias("x"))
     query = asked.select("query_id", F.col("x.v").alias("q"), F.col("x.d").alias("d"), F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(blocks)).cast("int").alias("block"))
     out_schema = "query_id bigint, vec_id bigint, score bigint"
 
-    def search(known_col: bool):
-        def run(key, candidates, queries):
-            import pyarrow as pa
-
-            ids, rows = candidates.column("vec_id").to_numpy(), candidates.num_rows
-            own = queries.column("query_id").to_numpy()
-            if not rows or not len(own):
-                return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-            matrix = lambda column, n: np.array(column.combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, -1)
-            floors = [[(s, -i) for i, s in zip(*pair)] for pair in zip(queries.column("known_ids").to_pylist(), queries.column("known_scores").to_pylist())] if known_col else [[] for _ in own]
-            tree = BallTree(ids, matrix(candidates.column("v"), rows))
-            best = tree.search(own, matrix(queries.column("q"), len(own)), k, floors)
-            mine = [(q, -i, s) for q, found, known in zip(own.tolist(), best, floors) for s, i in found if (s, i) not in set(known)]
-            cols = list(zip(*mine)) or [[], [], []]
-            return pa.table({n: pa.array(list(c), pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols)})
-
-        return run
-
-    pilot = 0
-    first = query.withColumn("shard", F.lit(pilot)).groupBy("shard", "block", "d")
-    seeds = materialize(cand.where(F.col("shard") == pilot).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("shard", "block", "d").cogroup(first).applyInArrow(search(False), out_schema), "top-k-seeds")
-    known = seeds.groupBy("query_id").agg(F.collect_list("vec_id").alias("known_ids"), F.collect_list("score").alias("known_scores"))
-    empty = F.array().cast("array<bigint>")
-    seeded = query.join(known, "query_id", "left").withColumns({"known_ids": F.coalesce("known_ids", empty), "known_scores": F.coalesce("known_scores", empty)})
-    found = seeds
-    if shards > 1:
-        each = seeded.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))
-        rest = cand.where(F.col("shard") != pilot).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        found = seeds.unionByName(rest.groupBy("shard", "block", "d").cogroup(each.groupBy("shard", "block", "d")).applyInArrow(search(True), out_schema))
-    # Each query has k rows of each shard at most; the best k of them are kept as one sorted array.
+    def run(key, candidates, queries):
+        import pyarrow as pa
+
+        if not candidates.num_rows or not queries.num_rows:
+            return pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
+        matrix = lambda table, name: np.array(table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(table.num_rows, -1)
+        own, known = queries.column("query_id").to_numpy(), queries.column("known").to_pylist()
+        scores, ids = np.full((len(own), k), -np.inf), np.full((len(own), k), NO_ID)
+        for i, pairs in enumerate(known):
+            for j, pair in enumerate(pairs):
+                scores[i, j], ids[i, j] = -pair["s"], pair["i"]
+        before = ids.copy()
+        BallTree(candidates.column("vec_id").to_numpy(), matrix(candidates, "v")).search(own, matrix(queries, "q"), scores, ids)
+        new = (ids != NO_ID) & ~(ids[:, :, None] == before[:, None, :]).any(axis=2)
+        return pa.table({"query_id": np.broadcast_to(own[:, None], ids.shape)[new], "vec_id": ids[new], "score": scores[new].astype(np.int64)})
+
     order = F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i"))
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.i").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    first_k = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found, low, high = spark.createDataFrame([], out_schema), 0, 1
+    while low < shards:
+        # Each query starts from the k best that earlier rounds found.
+        known = found.groupBy("query_id").agg(F.array_sort(F.collect_list(order)).alias("known"))
+        start = query.join(known, "query_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<struct<s:bigint,i:bigint>>")))
+        each = start.withColumn("shard", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+        rows = cand.where((F.col("shard") >= low) & (F.col("shard") < high)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        more = rows.groupBy("shard", "block", "d").cogroup(each.groupBy("shard", "block", "d")).applyInArrow(run, out_schema)
+        ranked = found.unionByName(more).withColumn("rank", F.row_number().over(first_k)).where(F.col("rank") <= k)
+        found = materialize(ranked.select("query_id", "vec_id", "score", "rank"), "top-k").drop("rank")
+        low, high = high, min(shards, high * ROUND_GROWTH)
+    return found.withColumn("rank", F.row_number().over(first_k)).select("query_id", "rank", "vec_id", "score")
