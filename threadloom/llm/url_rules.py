@@ -1,8 +1,9 @@
 """URL filters: fixed prefix rules, and association rules mined by FP-growth.
 
 A URL's tokens (host labels, host, path words, query names) form a transaction with the page's label. Spark's FP-growth
-finds frequent combinations; rules that lead to a label are kept if support and confidence reach their limits and
-no shorter rule with the same label is as sure. Pages match rules through an inverted index: a rule stands under the
+finds frequent combinations; rules that lead to a label are kept if support (a share of the labelled pages, and never
+fewer than ``MIN_ROWS`` of them, however small the table) and confidence reach their limits and no shorter rule with
+the same label is as sure. Pages match rules through an inverted index: a rule stands under the
 token of its that fewest pages hold, and what meets there is checked for the other tokens. The surest rule decides.
 
 Null URLs and URLs without ``://`` have empty host and path; no prefix rule fits them. Rows with null labels teach
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 # Fixed rules: (host, path, verdict).
 PREFIX_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 MIN_SUPPORT = 0.002
+MIN_ROWS = 50
 MIN_CONFIDENCE = 0.6
 BROADCAST_RULES = 50_000
 LABEL = "label="
@@ -51,10 +53,18 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(tokens, lambda x: ~x.rlike(r"^\w+:$")))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def document_of(url: Column) -> Column:
+    """The number of the document that a page shows: the last number of its path (null if there is none)."""
+    return F.regexp_extract(url_parts(url)[1], r"(\d+)\D*$", 1).try_cast("bigint")
+
+
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS) -> DataFrame:
     """(tokens, verdict, confidence, lift, support) from rows with ``url`` and ``verdict`` (block, allow or null)."""
     basket = labelled.where(F.col("verdict").isNotNull() & F.col("url").isNotNull()).select(F.concat(url_tokens(F.col("url")), F.array(F.concat(F.lit(LABEL), F.col("verdict")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(basket)
+    basket = basket.cache()
+    # Half a row less, so that rounding never asks for one row more.
+    share = max(min_support, (min_rows - 0.5) / max(1, basket.count()))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, share), minConfidence=min_confidence).fit(basket)
     rules = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL) & ~F.exists("antecedent", lambda x: x.startswith(LABEL)))
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.regexp_replace(F.element_at("consequent", 1), f"^{LABEL}", "").alias("verdict"), "confidence", "lift", "support")
     short = rules.select(F.col("tokens").alias("part"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
@@ -80,12 +90,12 @@ def match_rules(pages: DataFrame, rules: DataFrame, key: str = "page_id") -> Dat
 def judge_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict, mined_rule) per page.
 
-    A page's label is that of the document with its id: low quality or toxic means block.
+    A page's label is that of the document whose number its path holds: low quality or toxic means block.
     """
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
-    known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max(bad).alias("bad")).select(F.col("doc_id").alias("page_id"), F.when(F.col("bad"), "block").otherwise("allow").alias("verdict"))
+    known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max(bad).alias("bad")).select(F.col("doc_id").cast("long").alias("document"), F.when(F.col("bad"), "block").otherwise("allow").alias("verdict"))
     own = pages.select("page_id", F.col("url").cast("string").alias("url"))
-    rules = mine_rules(own.join(known, "page_id")).cache()
+    rules = mine_rules(own.withColumn("document", document_of(F.col("url"))).join(known, "document")).cache()
     host, path = url_parts(F.col("url"))
     rule, verdict = prefix_rule(F.col("host"), F.col("path"))
     parts = own.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "fixed": verdict})
