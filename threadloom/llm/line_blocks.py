@@ -1,11 +1,15 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element; menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments carry no length. Where a page marks its article, only lines inside carry length; else a
-line's length is what is not link text. Lengths are summed over windows of ``WINDOW`` lines; text is kept from a surge
-(a sum over the threshold) to the dive (lines without length).
-
-Null and empty pages give the empty text. Broken markup is read as far as it goes. Repeated pages give equal texts.
+scripts, styles and comments are left out. A line's length is what is not link text (all of it inside an article;
+nothing where links outweigh the rest). Lengths are summed over windows of ``WINDOW`` lines; text is kept from a surge
+(a sum over the threshold, or the page's greatest sum if none gets there) to the dive (a line without length).
+
+Null and empty pages give the empty text. Repeated pages give equal texts. An empty table gives no rows. Broken markup:
+optional end tags are implied; an element that would stand aside but that neither its own end tag nor its parent's
+closes is read like any other; a script
+or style without an end takes the rest of the page; once quotes leave a tag without an end, they no longer hide a ``>``;
+elements deeper than ``MAX_DEPTH`` do not nest. Pages are scanned once, forward, whatever they hold.
 """
 
 from __future__ import annotations
@@ -21,9 +25,11 @@ from threadloom.llm.common import slices
 WINDOW = 3
 SURGE_CHARS = 86
 MAX_LINK_SHARE = 0.5
+MAX_DEPTH = 200
 
 # Element names by their part in a page, and words in class, id or role that mark what is no article.
-RAW = "script|style|noscript|template|textarea|iframe|object|svg|canvas|title|head"
+RAW = frozenset("script style noscript template textarea iframe object svg canvas title head".split())
+CODE = frozenset(("script", "style"))
 ASIDE = frozenset("nav footer aside form button select menu dialog fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
@@ -37,12 +43,13 @@ IMPLIED = {name: _CLOSES_P for name in BLOCKS - frozenset("body dd dt figcaption
     "option": (frozenset(("option",)), frozenset(("select", "datalist"))), "optgroup": (frozenset(("option", "optgroup")), frozenset(("select",))),
     "td": (_CELLS, _TABLE | {"tr"}), "th": (_CELLS, _TABLE | {"tr"}), "tr": (_CELLS | {"tr"}, _TABLE),
 } | dict.fromkeys(("tbody", "thead", "tfoot"), (_CELLS | {"tr", "tbody", "thead", "tfoot"}, _TABLE))
+WHOLE = frozenset("html body main article".split())
+ENDS_ALONE = frozenset("p li dt dd td th tr tbody thead tfoot option optgroup".split())
 _TABLE_PARTS = _CELLS | frozenset("table caption tbody tfoot thead tr".split())
-MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|comments?|replies|disqus|sidebar|side-?bar|widget|nav\w*|menu|breadcrumbs?|footer|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|related|recommend\w*|share|social|pagination|pager|masthead|topbar|navigation|contentinfo|complementary|search)(?:$|[\s_-])", re.I)
+MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|comments?|replies|disqus|sidebar|side-?bar|widget|nav\w*|menu|breadcrumbs?|footer|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|related|recommend\w*|sharing|share(?=$|\s|[_-](?:bar|box|buttons?|icons?|links?|this|tools?|widget)s?\b)|social|pagination|pager|masthead|topbar|navigation|contentinfo|complementary|search)(?:$|[\s_-])", re.I)
 _ATTRS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>""")
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-_RAW = re.compile(rf"<({RAW})\b[^>]*>.*?</\1\s*>", re.S | re.I)
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+_TAG_STOP = re.compile(r"""["'>]""")
 _SPACE = re.compile(r"\s+")
 
 
@@ -82,11 +89,79 @@ def _follow(stack: list[str], name: str, closing: bool, opens: bool) -> None:
         stack.append(name)
 
 
+class _Scanner:
+    """Runs of text and tags of a page, in one pass forward."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.ends = page, True, {}
+
+    def closed_after(self, name: str, at: int) -> int:
+        """Where the next end tag of that name begins, -1 if there is none."""
+        known = self.ends.get(name, -2)
+        if known != -1 and known < at:
+            found = re.compile(rf"</{re.escape(name)}(?![a-zA-Z0-9:-])", re.I).search(self.page, at)
+            known = self.ends[name] = found.start() if found else -1
+        return known
+
+    def _tag_end(self, at: int) -> int:
+        """Position of the ``>`` that ends a tag whose name ends at ``at``, -1 if there is none."""
+        start = at
+        while self.quotes:
+            stop = _TAG_STOP.search(self.page, at)
+            if stop is None:
+                break
+            if stop[0] == ">":
+                return stop.start()
+            at = self.page.find(stop[0], stop.end()) + 1
+            if not at:
+                break
+        self.quotes = False
+        return self.page.find(">", start)
+
+    def parts(self):
+        """(text before, name, closing?, attributes, position after) of each tag; a last one without a name."""
+        page, at, done = self.page, 0, len(self.page)
+        begin = 0  # where the text that is not given out yet begins
+        while True:
+            at = page.find("<", at)
+            if at < 0:
+                yield page[begin:], "", False, "", done
+                return
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                yield page[begin:at], "", False, "", at
+                begin = at = done if end < 0 else end + 3
+                continue
+            name = _NAME.match(page, at + 1)
+            if name is None and page[at + 1 : at + 2] not in ("!", "?", "/"):
+                at += 1
+                continue
+            end = self._tag_end(name.end()) if name else page.find(">", at)
+            if end < 0:
+                yield page[begin:], "", False, "", done
+                return
+            before, begin = page[begin:at], end + 1
+            at = begin
+            if name is None:
+                yield before, "", False, "", at
+                continue
+            closing = name[0][0] == "/"
+            tag = name[0].lstrip("/").lower()
+            if tag in RAW and not closing and page[end - 1] != "/":
+                until = self.closed_after(tag, begin)
+                if until >= 0 or tag in CODE:
+                    yield before, "", False, "", at
+                    after = page.find(">", until) if until >= 0 else -1
+                    begin = at = done if after < 0 else after + 1
+                    continue
+            yield before, tag, closing, page[name.end() : end], at
+
+
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, length of link text, inside an article?) for each block; what stands aside is left out."""
-    page = _RAW.sub(" ", _COMMENT.sub(" ", page))
     lines, text, linked = [], [], 0
     skip, stack, article, anchor = 0, [], 0, 0  # skip: how many elements are open while one that stands aside is
+    scanner = _Scanner(page)
 
     def close():
         nonlocal text, linked
@@ -102,15 +177,11 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             if anchor:
                 linked += len(run.strip())
 
-    at = 0
-    for m in _TAG.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    for before, name, closing, attrs, at in scanner.parts():
+        add(before)
         if not name:
             continue
-        closing, attrs = bool(m[1] or m[4]), m[3] or m[6] or ""
-        opens = not closing and name not in VOID and not attrs.endswith("/")
+        opens = not closing and name not in VOID and not attrs.endswith("/") and len(stack) < MAX_DEPTH
         aside = stack[skip - 1] if skip else ""
         _follow(stack, name, closing, opens)
         if skip:
@@ -123,13 +194,12 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             close()
         elif name in SPACED:
             add(" ")
-        if opens and _is_aside(name, attrs, article > 0):
+        if opens and _is_aside(name, attrs, article > 0) and (name in ENDS_ALONE or any(n not in WHOLE and scanner.closed_after(n, at) >= 0 for n in stack[-1:-3:-1])):
             skip = len(stack)
         elif name in ("article", "main"):
             article = max(0, article + (1 if opens else -1 if closing else 0))
         elif name == "a":
             anchor = 1 if opens else 0
-    add(page[at:])
     close()
     return lines
 
@@ -137,13 +207,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None) -> str:
     """The lines between surge and dive, joined by line feeds."""
     lines = page_lines(page or "")
-    marked = any(inside for _, _, inside in lines)
-    lengths = []
-    for line, linked, inside in lines:
-        if marked:
-            lengths.append(len(line) if inside else 0)
-        else:
-            lengths.append(0 if linked > MAX_LINK_SHARE * len(line) else len(line) - linked)
+    lengths = [len(line) if inside else 0 if linked > MAX_LINK_SHARE * len(line) else len(line) - linked for line, linked, inside in lines]
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
     surge = min(SURGE_CHARS, max(sums, default=0))
     kept, at = [], 0
@@ -152,7 +216,7 @@ def main_text(page: str | None) -> str:
             at += 1
             continue
         dive = next((j for j in range(at, len(lines)) if not lengths[j]), len(lines))
-        if marked or any(sums[j] >= surge for j in range(at, dive)):
+        if any(sums[j] >= surge for j in range(at, dive)):
             kept += [line for line, _, _ in lines[at:dive]]
         at = dive
     return "\n".join(kept)
