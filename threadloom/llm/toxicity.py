@@ -3,9 +3,10 @@
 Text is folded first: lower case, look-alike letters of other scripts to Latin, digits and signs that stand for
 letters to those letters, invisible characters away. Entries are words and word beginnings; the heaviest entry that
 fits a word counts, unless an exception phrase covers it. The weights' sum, plain and per thousand characters, goes
-through a logistic curve.
+through a logistic curve. Exception phrases are a few fixed ones and, learned like the entries, each pair of
+neighbouring words around an entry that stands in ``MIN_DOCS`` clean texts or more and in no toxic one.
 
-Entries, weights and curve are learned from at most ``FIT_ROWS`` labelled rows (those with the least hash of their
+Entries, phrases, weights and curve are learned from at most ``FIT_ROWS`` labelled rows (those with the least hash of their
 id). Null or empty texts match nothing and get the score of a text without hits. Without usable labels the lexicon
 is empty and every score is the prior. Repeated rows score alike; rows with a null label are not learned from.
 Columns other than id and text are never read for a score.
@@ -40,6 +41,12 @@ _FOLD = str.maketrans(LOOKALIKES | STANDINS | {c: None for c in INVISIBLE} | {ch
 _WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*")
 
 
+class Lexicon(dict):
+    """(entry, whole word?) -> weight, and the exception phrases."""
+
+    exceptions: frozenset[str] = frozenset(EXCEPTIONS)
+
+
 def fold(text: str) -> str:
     return text.lower().translate(_FOLD)
 
@@ -74,7 +81,25 @@ def _entry_counts(texts: DataFrame, among: set | None = None) -> DataFrame:
     return texts.select("text").mapInArrow(run, "entry string, whole boolean, n bigint").groupBy("entry", "whole").agg(F.sum("n").alias("n"))
 
 
-def learn_lexicon(sample: DataFrame, min_docs: int = MIN_DOCS, min_odds: float = MIN_ODDS) -> dict[tuple[str, bool], float]:
+def learn_exceptions(texts: DataFrame, lexicon: Lexicon, min_docs: int = MIN_DOCS) -> frozenset[str]:
+    """Phrases of two words around an entry in ``min_docs`` clean texts (text, y) or more and in no toxic text."""
+    shared = texts.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches):
+        import pyarrow as pa
+
+        matcher = Matcher(shared.value, ())
+        for part in slices(batches):
+            counts: Counter = Counter()
+            for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                counts.update((phrase, y) for phrase in matcher.phrases(text))
+            yield pa.RecordBatch.from_pydict({"phrase": pa.array([p for p, _ in counts], pa.string()), "y": pa.array([y for _, y in counts], pa.int32()), "n": pa.array(list(counts.values()), pa.int64())})
+
+    found = texts.select("text", "y").mapInArrow(run, "phrase string, y int, n bigint").groupBy("phrase").agg(F.sum(F.when(F.col("y") == 0, F.col("n"))).alias("clean"), F.sum("y").alias("toxic"))
+    return frozenset(r["phrase"] for r in found.where((F.col("clean") >= min_docs) & (F.col("toxic") == 0)).collect())
+
+
+def learn_lexicon(sample: DataFrame, min_docs: int = MIN_DOCS, min_odds: float = MIN_ODDS) -> Lexicon:
     """Entries whose log-odds, less half a standard error, reach ``min_odds``.
 
     Equal texts count once. Entries of toxic texts are counted first; only those in ``min_docs`` of them are looked
@@ -84,7 +109,7 @@ def learn_lexicon(sample: DataFrame, min_docs: int = MIN_DOCS, min_odds: float =
     totals = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_clean, n_toxic = totals.get(0, 0), totals.get(1, 0)
     if not n_toxic or not n_clean:
-        return {}
+        return Lexicon()
     toxic = {(r["entry"], r["whole"]): r["n"] for r in _entry_counts(texts.where("y = 1")).where(F.col("n") >= min_docs).collect()}
     clean = {(r["entry"], r["whole"]): r["n"] for r in _entry_counts(texts.where("y = 0"), set(toxic)).collect()}
     found = {}
@@ -95,15 +120,19 @@ def learn_lexicon(sample: DataFrame, min_docs: int = MIN_DOCS, min_odds: float =
         if weight >= min_odds:
             found[entry] = weight
     # An entry says nothing more than a beginning of it that weighs as much.
-    return {k: w for k, w in found.items() if not any(found.get((k[0][:n], False), -1.0) >= w for n in PREFIXES if n < len(k[0]))}
+    lexicon = Lexicon({k: w for k, w in found.items() if not any(found.get((k[0][:n], False), -1.0) >= w for n in PREFIXES if n < len(k[0]))})
+    if lexicon:
+        lexicon.exceptions = frozenset(EXCEPTIONS) | learn_exceptions(texts, lexicon, min_docs)
+    return lexicon
 
 
 class Matcher:
     """Sum of the weights of the words that fit an entry and lie in no exception phrase."""
 
-    def __init__(self, lexicon: dict[tuple[str, bool], float], exceptions=EXCEPTIONS):
+    def __init__(self, lexicon: dict[tuple[str, bool], float], exceptions=None):
         import ahocorasick
 
+        exceptions = getattr(lexicon, "exceptions", EXCEPTIONS) if exceptions is None else exceptions
         self.automaton = ahocorasick.Automaton()
         entries: dict[str, list] = {}
         for (entry, whole), weight in lexicon.items():
@@ -120,8 +149,19 @@ class Matcher:
     def weigh(self, text: str) -> tuple[float, int]:
         """(sum of weights, number of characters) of the folded text."""
         folded = fold(text)
+        return sum(self.hits(folded).values()), len(folded)
+
+    def phrases(self, text: str) -> set[str]:
+        """The pairs of words, one space between them, of which one fits an entry."""
+        folded = fold(text)
+        hits = self.hits(folded)
+        words = list(_WORD.finditer(folded)) if hits else []
+        return {folded[a.start() : b.end()] for a, b in zip(words, words[1:]) if b.start() == a.end() + 1 and folded[a.end()] == " " and (a.start() in hits or b.start() in hits)}
+
+    def hits(self, folded: str) -> dict[int, float]:
+        """Where an entry fits a word -> its weight."""
         if self.empty:
-            return 0.0, len(folded)
+            return {}
         hits, covered, n = {}, [], len(folded)
         for end, (size, begins, whole, harmless) in self.automaton.iter(folded):
             start = end - size + 1
@@ -136,7 +176,7 @@ class Matcher:
         for start, end in covered:
             for at in [h for h in hits if start <= h <= end]:
                 del hits[at]
-        return sum(hits.values()), n
+        return hits
 
 
 def _inputs(total, chars) -> np.ndarray:
@@ -149,14 +189,17 @@ def fit_curve(total, chars, y, ridge: float = 0.1, steps: int = 50) -> np.ndarra
     """Logistic coefficients by Newton's method; the bias alone where a class is missing."""
     x, y = _inputs(total, chars), np.asarray(y, dtype=float)
     beta = np.zeros(3)
-    beta[0] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    beta[0] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 9.5))  # without labels: one in twenty
     if not 0 < y.sum() < len(y) or not np.any(total):
         return beta
     penalty = np.diag([1e-6, ridge, ridge])
+    loss = lambda b: np.logaddexp(0, x @ b).sum() - y @ (x @ b) + b @ penalty @ b / 2
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + penalty, x.T @ (y - p) - penalty @ beta)
-        beta += step
+        while loss(beta + step) > loss(beta) and np.abs(step).max() >= 1e-8:  # classes that a line parts make Newton's steps too long
+            step = step / 2
+        beta = beta + step
         if np.abs(step).max() < 1e-8:
             break
     return beta
