@@ -9,18 +9,21 @@ A window without any shingle of an item has similarity zero, so only windows aro
 
 Words are runs of letters and digits in lower case. Items with fewer than five words have one shingle, the whole
 item; items without words match nothing. Null and empty texts match nothing. Repeated documents are each reported,
-equal items too. Benchmarks beyond ``SLICE_ITEMS`` items are searched slice by slice.
+equal items too; an item without id is reported with a null id. Benchmarks beyond ``SLICE_ITEMS`` items or
+``SLICE_BYTES`` bytes are searched slice by slice; an item is never cut.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from threadloom.llm.common import slices, text_or_empty
 
@@ -29,6 +32,7 @@ SIMILARITY = 0.8
 RADIUS = 36
 BLOCKS = 8
 SLICE_ITEMS = 20_000
+SLICE_BYTES = 32 << 20
 WORD = re.compile(r"[^\W_]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
@@ -73,9 +77,10 @@ def _similarity(a: Counter, b: Counter) -> float:
 class Index:
     """Benchmark items by length: word numbers, shingles, fingerprints and block tables."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: tuple[tuple[object, str], ...]):
         self.vocab: dict[str, int] = {}
-        split = [(i, words_of(t or "")) for i, t in items]
+        self.item_ids = [i for i, _ in items]
+        split = [(at, words_of(t or "")) for at, (_, t) in enumerate(items)]
         for _, words in split:
             for w in words:
                 self.vocab.setdefault(w, len(self.vocab) + 1)
@@ -95,8 +100,8 @@ class Index:
                     tables[block, near ^ value] = True
             self.groups[n] = (own, prints, np.packbits(tables, axis=1, bitorder="little"), np.unique(np.concatenate([g for _, g in own])))
 
-    def search(self, ids: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-        """(item, first word, words, Hamming distance, similarity): the best window for each item that is found."""
+    def search(self, ids: np.ndarray) -> list[tuple[object, int, int, int, float]]:
+        """(item id, first word, words, Hamming distance, similarity): the best window for each item that is found."""
         found = []
         sizes = {s: _grams(ids, s) for s in self.grams}
         anchors = {s: np.flatnonzero(self._known_grams(g, s)) for s, g in sizes.items()}
@@ -117,7 +122,7 @@ class Index:
         for row in found:
             if row[0] not in best or (-row[4], row[1]) < (-best[row[0]][4], best[row[0]][1]):
                 best[row[0]] = row
-        return sorted(best.values())
+        return [(self.item_ids[at], *row[1:]) for at, row in sorted(best.items())]
 
     def _verify(self, starts, grams, n, m, own, prints, tables):
         low, high = int(starts[0]), int(starts[-1]) + m
@@ -171,30 +176,38 @@ class Index:
         return known
 
 
+@lru_cache(maxsize=2)
+def shared_index(items: tuple) -> Index:
+    """One index for all tasks that a worker process runs."""
+    return Index(items)
+
+
 def benchmark_slices(spark: SparkSession, benchmark: DataFrame) -> list:
-    """Broadcast item lists of at most about ``SLICE_ITEMS`` items each, with (id, text) in id order."""
-    n_slices = -(-benchmark.count() // SLICE_ITEMS)
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), text_or_empty("text"))
+    """Broadcast tuples of (id, text), of about ``SLICE_ITEMS`` items and ``SLICE_BYTES`` bytes at most."""
+    items = benchmark.select("item_id", text_or_empty("text"))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    n_slices = max(-(-size["n"] // SLICE_ITEMS), -(-size["b"] // SLICE_BYTES))
     parts = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_slices)) == k).collect() for k in range(n_slices))
-    return [spark.sparkContext.broadcast(sorted((r["item_id"], r["text"]) for r in part)) for part in parts]
+    return [spark.sparkContext.broadcast(tuple(sorted(((r["item_id"], r["text"]) for r in part), key=lambda r: (r[0] is None, str(r[0]), r[1])))) for part in parts]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, item_id, start_word, n_words, distance, similarity) for each document and item found in it."""
     spark = docs.sparkSession
-    schema = f"key {dict(docs.dtypes)[key]}, item_id bigint, start_word bigint, n_words bigint, distance int, similarity double"
+    schema = f"key {dict(docs.dtypes)[key]}, item_id {dict(benchmark.dtypes)['item_id']}, start_word bigint, n_words bigint, distance int, similarity double"
     out = spark.createDataFrame([], schema).withColumnRenamed("key", key)
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     for n, shared in enumerate(benchmark_slices(spark, benchmark)):
 
         def run(batches, shared=shared):
             import pyarrow as pa
 
-            index = Index(shared.value)
+            index = shared_index(shared.value)
             for part in slices(batches):
                 keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 rows = [(k, *hit) for k, t in zip(keys, texts) if t and (ids := index.numbers(t)) is not None for hit in index.search(ids)]
                 cols = list(zip(*rows)) or [[]] * 6
-                kinds = (part.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
+                kinds = (part.schema.field(0).type, item_type, pa.int64(), pa.int64(), pa.int32(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["key", "item_id", "start_word", "n_words", "distance", "similarity"])
 
         found = docs.select(docs[key].alias("key"), text_or_empty(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
@@ -210,7 +223,7 @@ def keep_free(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Data
         def run(batches, shared=shared):
             import pyarrow as pa
 
-            index = Index(shared.value)
+            index = shared_index(shared.value)
             for part in slices(batches):
                 texts = part.column(part.schema.get_field_index(text)).to_pylist()
                 yield part.filter(pa.array([not (t and (ids := index.numbers(t)) is not None and index.search(ids)) for t in texts], pa.bool_()))
