@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -9,23 +12,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 512
+_FOLDERS: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder that driver and executors share, below ``spark.checkpoint.dir``.
-
-    Where the setting is absent (local tests) a temporary folder becomes the checkpoint folder of this session.
-    """
+def _run_folder(spark: SparkSession) -> str:
+    """This process's folder below ``spark.checkpoint.dir``; it goes when the process ends."""
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="threadloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
+    if root not in _FOLDERS:
+        _FOLDERS[root] = f"{root.rstrip('/')}/threadloom-{uuid.uuid4().hex}"
+        atexit.register(_delete, _FOLDERS[root])
+    return _FOLDERS[root]
+
+
+def _delete(uri: str) -> None:
+    fs, path = open_fs(uri)
+    with contextlib.suppress(FileNotFoundError):
+        fs.delete_dir(path)
+
+
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder that driver and executors share.
+
+    Where ``spark.checkpoint.dir`` is unset a local session gets a temporary one; on a cluster that is an error.
+    """
+    return f"{_run_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
