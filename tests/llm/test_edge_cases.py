@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import html
+import time
 import zlib
 
 import numpy as np
@@ -93,12 +94,36 @@ def test_main_text():
     assert html.unescape("&lt;") in line_blocks.main_text(f"<article><p>{body} &lt;</p><p>never closed")
 
 
+def test_pages_of_every_kind(spark):
+    """Empty table, nulls, repeats, clashing columns, and broken pages of a megabyte in time that grows with their size."""
+    rows = [(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>" + "words " * 40, None), (3, "u", "", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = line_blocks.extract_pages(pages)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((str(r["page_id"]), len(r["text"]), r["n_chars"]) for r in got.collect()) == [("1", 0, 0), ("1", 0, 0), ("3", 0, 0), ("None", 239, 239)]
+    assert line_blocks.extract_pages(pages.limit(0)).collect() == []
+    for unit in ('<a "', '<a ">"', "<script>x ", "<!--", "<", "<nav>", '<p class="ad">x', "<a '\">", "&", "</a ", "<li>", "<b></i>"):
+        started = time.process_time()
+        line_blocks.main_text(unit * (1_000_000 // len(unit)))
+        assert time.process_time() - started < 15, unit
+
+
+def test_broken_markup_loses_no_text():
+    story = "Real text that goes on for a good while, so that it is long enough to count as the story of a page, truly."
+    for page, want in (
+        (f'<article><h1>T</h1><p class="ad">Buy<p>{story}<p>More', f"T\n{story}\nMore"), (f"<nav><a href=x>Home</a><article><p>{story}</article>", story),
+        (f'<article><p class="share-price">{story}</p></article>', story), (f"<main><p>{story}</main><p>{story} outside</p>", f"{story}\n{story} outside"),
+        (f"<p>{story}<script>var x = 1;", story), (f"<html><head><title>t</title><body><p>{story}", story), (f"<p>{story} 1 < 2 <3", f"{story} 1 < 2 <3"),
+    ):
+        assert line_blocks.main_text(page) == want
+
+
 def test_leaks(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
     bench = spark.createDataFrame([(1, item, 0), (2, None, 0), (3, "", 0), (4, "only four words here", 0), (None, item, 0)], "item_id long, text string, key int")
     edited = item.replace("twenty", "last")
     found = decontaminate.find_leaks(docs(spark, [*ROWS, (20, f"{LONG} {item.upper()}! {LONG}"), (21, f"so {edited} it"), (22, "Only four; words here"), (23, item.replace("ten", "x"))]), bench)
-    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(20, 1), (20, -1), (21, 1), (21, -1), (22, 4)}
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(20, 1), (20, None), (21, 1), (21, None), (22, 4)}
     assert decontaminate.find_leaks(docs(spark, []), bench).count() == 0
     assert decontaminate.find_leaks(docs(spark, ROWS), bench.limit(0)).count() == 0
     kept = decontaminate.keep_free(docs(spark, [*ROWS, (20, item)]), bench)
@@ -166,11 +191,21 @@ def test_archive(spark):
     assert warc_archive.archive_pages(pages.limit(0)).collect() == []
 
 
+def test_record_ids_and_addresses(spark, tmp_path):
+    """Repeated rows and null ids have ids of their own; an address keeps what it holds, a null one gives no line."""
+    pages = spark.createDataFrame([(1, "http://a/\r\nX: y", "p"), (1, "http://a/\r\nX: y", "p"), (None, None, "p"), (None, "", "p"), (-7, "u", "q")], "page_id long, url string, html string")
+    warc_archive.write_archive(pages, f"file://{tmp_path}/b")
+    heads = [bytes(r["header"]).decode() for r in warc_archive.read_archive(spark, f"file://{tmp_path}/b").collect()]
+    assert len({h.partition("WARC-Record-ID: ")[2].partition("\r\n")[0] for h in heads}) == 5
+    assert sum("WARC-Target-URI: http://a/%0D%0AX: y\r\n" in h for h in heads) == 2 and sum("WARC-Target-URI" not in h for h in heads) == 1
+    assert all(h.startswith("WARC/1.1\r\n") and h.endswith("\r\n\r\n") and "\n\n" not in h for h in heads)
+
+
 def test_records_are_exact(spark, tmp_path):
     warc_archive.write_archive(spark.createDataFrame([(1, "http://a/", "héllo"), (2, "http://b/", "héllo")], "page_id long, url string, html string"), f"file://{tmp_path}/a")
     raw = {r["page_id"]: bytes(r["record"]) for r in warc_archive.record_bytes(warc_archive.read_archive(spark, f"file://{tmp_path}/a")).collect()}
     assert raw[1].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and raw[1].endswith(b"Content-Length: 6\r\n\r\n" + "héllo".encode() + b"\r\n\r\n")
-    assert b"WARC-Refers-To: <urn:uuid:" in raw[2] and raw[2].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
+    assert b"WARC-Refers-To: <urn:threadloom:" in raw[2] and b":page:1:" in raw[2].partition(b"WARC-Refers-To")[2] and raw[2].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
 
 
 def test_mined_url_rules(spark):

@@ -57,15 +57,15 @@ def test_rules_of_the_common_label_and_of_many_tokens(spark):
         urls.append(f"https://a.example.org/{'news/safe' if i % 4 else 'news'}/{'x' if i % 4 else 'y'}{i}")
         labels.append(0 if i % 4 == 0 or i % 8 == 1 else 1)
     for n in range(32):  # only all five words together are blocked
-        for k in range(40):
-            urls.append("https://b.example.org/" + "/".join(f"t{b}" for b in range(5) if n >> b & 1) + f"/u{n}v{k}")
+        for _ in range(60):
+            urls.append("https://b.example.org/" + "/".join(f"t{b}" for b in range(5) if n >> b & 1) + f"/u{n}v{len(urls)}")
             labels.append(0 if n == 31 else 1)
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     known = spark.createDataFrame([(i, q, 0) for i, q in enumerate(labels)], "doc_id long, quality int, toxic int")
     got = {r["page_id"]: r for r in url_rules.judge_pages(pages, known).collect()}
     assert got[2]["mined_rule"] and got[2]["verdict"] == "allow"
-    assert all(got[400 + 40 * 31 + k]["verdict"] == "block" and len(got[400 + 40 * 31 + k]["mined_rule"]) >= 5 for k in range(40))
-    assert all(got[400 + 40 * 15 + k]["verdict"] == "allow" for k in range(40))
+    assert all(got[400 + 60 * 31 + k]["verdict"] == "block" and len(got[400 + 60 * 31 + k]["mined_rule"]) >= 5 for k in range(60))
+    assert all(got[400 + 60 * 15 + k]["verdict"] == "allow" for k in range(60))
 
 
 def test_main_text_after_unclosed_asides():
@@ -93,3 +93,33 @@ def test_added_tokens_as_the_library_reads_them(spark):
         assert own.decode(ids).decode() == text
     got = token_blocks.token_files(spark.createDataFrame(list(enumerate(texts)), DOCS), path, q.public_pattern()).collect()
     assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
+def test_mined_rules_against_brute_force(spark):
+    """Supports, confidences, pruning and verdicts recomputed over every subset of tokens."""
+    from itertools import combinations
+    from fractions import Fraction
+
+    rng = np.random.default_rng(11)
+    words, urls, bad = ("news", "shop", "deals", "blog", "x1"), [], []
+    for i in range(900):
+        own = [w for w in words if rng.random() < 0.45]
+        urls.append(f"http://{'ab'[i % 2]}.example.org/{'/'.join([*own, str(i)])}")
+        bad.append(int(rng.random() < (0.9 if {"shop", "deals"} <= set(own) else 0.5 if "blog" in own else 0.1)))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, b in enumerate(bad) if i % 3], "doc_id long, quality int, toxic int")
+    tokens = {r["page_id"]: frozenset(r["t"]) for r in pages.select("page_id", url_rules.url_tokens(pages["url"]).alias("t")).collect()}
+    count, with_label = collections.Counter(), collections.Counter()
+    for i in (i for i in tokens if i % 3):
+        for n in range(1, len(tokens[i]) + 1):
+            for part in combinations(sorted(tokens[i]), n):
+                count[part] += 1
+                with_label[part, "block" if bad[i] else "allow"] += 1
+    rules = {k: Fraction(n, count[k[0]]) for k, n in with_label.items() if n >= url_rules.MIN_ROWS and n / count[k[0]] >= url_rules.MIN_CONFIDENCE}
+    kept = {k: c for k, c in rules.items() if not any(v == k[1] and len(s) < len(k[0]) and set(s) < set(k[0]) and d >= c for (s, v), d in rules.items())}
+    got = {r["page_id"]: r for r in url_rules.judge_pages(pages, labels).collect()}
+    assert len(kept) > 5 and {v for _, v in kept} == {"allow", "block"}
+    for i, own in tokens.items():
+        fits = [(c, len(s), v, list(s)) for (s, v), c in kept.items() if set(s) <= own]
+        best = max(fits, default=None)
+        assert (got[i]["verdict"], got[i]["mined_rule"]) == ((best[2], best[3]) if best else ("allow", None))
