@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
-from threadloom.operators import continuity, extraction, gate, graph, history, identity, retrieval, scope
+from threadloom.operators import continuity, extraction, gate, graph, history, identity, lanes, ledger, retrieval, scope
 from threadloom.sources import transcripts
 from threadloom.streaming import windows
 
@@ -52,10 +52,104 @@ def test_signature_forgets_what_varies(spark):
     assert a == b and len(a) == 24
 
 
-@pytest.mark.parametrize(("text", "before", "want"), [("thanks!", "x", "skip"), ("do you remember the port?", "other words entirely here", "retrieve"), ("hello there", None, "retrieve"), ("fix it", "something else", "skip"), ("paint every wooden fence green", "compile kernel modules tonight please", "ambiguous"), ("paint every wooden fence green", "paint every wooden fence red", "skip")])
-def test_gate(spark, text, before, want):
-    df = spark.createDataFrame([(text, before)], "t string, b string")
-    assert df.select(gate.decide(F.col("t"), F.col("b"))).first()[0] == want
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("failed at 0x1f after 1.5s", "failed at <hex> after <n>s"), ("\x1b[31mBad\x1b[0m commit deadbee on 2024-01-02 03:04", "bad commit <hex> on <time>"), ("2024-01-02T03:04:05.6+09:00 /usr/lib/a_b.py:12", "<time> <path>:<n>"),
+        ("id 123e4567-e89b-12d3-a456-426614174000!", "id <uuid>!"), ("/one only, abcdef and abcdef1", "/one only, abcdef and <hex>"), ("a/b@c/d  \u00a0 e", "a/b@c/d e"), (None, ""),
+    ],
+)
+def test_signature_values(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(history.signature(F.col("t"))).first()[0] == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("The Client, the client-side (v1.2) and x", "client,client-side,v1.2"), ("클라이언트를 다시 -- 옵션도", "클라이언트,다시,옵션"), ("해줘 나를", "나를"), ("..edge.. --a-- _ok_", "edge,_ok_"),
+    ],
+)
+def test_prompt_tokens(spark, text, want):
+    assert one(spark, F.array_join(gate.prompt_tokens(F.col("t")), ","), t=text) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "flags"),
+    [
+        ("Thanks!", "a"), ("okay, go ahead", "a"), ("go", "c"), ("keep going..", "c"), ("계속해줘", "c"), ("why was it dropped", "mt"), ("drop it", "h"), ("adopted", ""), ("prehistory", "mt"), ("또 그거", "m"), ("please now", ""), ("", ""), ("sounds good really", "a"),
+    ],
+)
+def test_intents(spark, text, flags):
+    got = one(spark, gate.intents(F.col("t")), t=text)
+    assert "".join(k for k, name in zip("mthac", ("memory", "trace", "high_impact", "acknowledgement", "continuation")) if got[name]) == flags
+
+
+TOPIC = "compile kernel modules tonight with clang"
+
+
+@pytest.mark.parametrize(
+    ("text", "state", "want"),
+    [
+        ("  ", {"last_epoch": -1}, ("skip", "", "empty_prompt")),
+        ("thanks", {}, ("skip", "", "acknowledgement")),
+        ("thanks", {"last_epoch": -1}, ("retrieve", "first_substantive_in_epoch", None)),
+        ("continue", {"last_epoch": 1, "epoch": 2}, ("retrieve", "context_epoch_changed", None)),
+        ("continue", {"last_epoch": 1, "epoch": 2, "last_source": "compact"}, ("retrieve", "compact_first_prompt", None)),
+        ("continue", {"capsule": 2, "capsule_seen": 1, "revision": 1, "incident": True}, ("retrieve", "incident_signature_match,project_revision_stale,capsule_generation_changed", None)),
+        ("ok, remember the port again", {}, ("retrieve", "explicit_memory_intent", None)),
+        ("no, the other one", {}, ("skip", "", "minor_correction")),
+        ("no, drop it", {}, ("retrieve", "high_impact_intent", None)),
+        ("paint wooden fence green tomorrow", {"topic": TOPIC, "has_topic_embedding": True}, ("retrieve", "topic_drift", None)),
+        ("paint wooden fence green", {"topic": TOPIC, "has_topic_embedding": True}, ("ambiguous", "", None)),
+        ("paint wooden fence green", {"topic": TOPIC}, ("retrieve", "no_topic_embedding", None)),
+        ("kernel modules tonight clang", {"topic": TOPIC}, ("skip", "", "continuation")),
+        ("compile kernel modules tonight gcc", {"topic": TOPIC}, ("skip", "", "coherent_topic")),
+        ("compile kernel modules tonight gcc", {"topic": TOPIC, "informative": 6}, ("retrieve", "safety_refresh", None)),
+        ("one two three four five six seven eight", {"resident": "nine ten", "has_topic_embedding": True}, ("retrieve", "low_resident_coverage", None)),
+    ],
+)
+def test_gate(spark, text, state, want):
+    columns = {k: gate.prompt_tokens(F.lit(v)) if k in ("topic", "resident") else F.lit(v) for k, v in state.items()}
+    got = one(spark, gate.decide(F.col("t"), columns), t=text)
+    assert (got["action"], ",".join(got["triggers"]), got["skip_reason"]) == want
+
+
+def test_gate_overlay(spark):
+    assert one(spark, gate.decide(F.col("t"), {"has_topic_embedding": F.lit(True)}, disabled=("memory.en.why", "trace.en.why")), t="why")["action"] == "ambiguous"
+    assert one(spark, gate.decide(F.col("t"), {}, user_hits={"high_impact": F.lit(True)}), t="hello")["triggers"] == ["high_impact_intent"]
+    assert one(spark, gate.explain(F.col("t")), t="why is history so?") == ["memory.en.history-plain", "memory.en.history", "memory.en.why", "trace.en.history-plain", "trace.en.history", "trace.en.why"]
+    assert one(spark, gate.resolve_ambiguous(F.lit("ambiguous"), F.lit(0.5), F.lit(0.43)), t="x") == "retrieve"
+
+
+@pytest.mark.parametrize(
+    ("message", "want"),
+    [
+        ("API Error: 500 Internal", "transient"), ("http error 422", "deterministic"), ("retry after 400 ms", "unknown"), ("response 400 ms timeout", "transient"), ("status code 413", "deterministic"), ("Invalid API key", "transient"),
+        ("read ETIMEDOUT", "transient"), ("stream disconnected", "transient"), ("gateway timeout", "transient"), ("prompt is too long", "deterministic"), ("boom", "unknown"),
+    ],
+)
+def test_error_classes(spark, message, want):
+    assert one(spark, ledger.error_class(F.lit(""), F.lit(None).cast("int"), F.col("t")), t=message) == want
+
+
+def test_path_like_names_have_path_boundaries(spark):
+    texts = ["see src/a.ts.", "see src/a.ts.bak", "see lib/src/a.ts", "SRC/A.TS!", "src/a.ts-old", "x src/a.ts"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    assert sorted(r["i"] for r in df.where(lanes.holds_word(F.col("t"), "src/a.ts")).collect()) == [0, 3, 5]
+
+
+def test_stream_ids(spark):
+    import hashlib
+
+    want = [hashlib.sha256(s.encode()).hexdigest()[:32] for s in ("workstream-branch-v1\0p\0main\0", "workstream-project-default-v1\0p\0")]
+    got = [one(spark, identity.stream_id(F.col("p"), b), p="p") for b in (F.lit(" main "), F.lit("  "))]
+    assert got == [f"ws-{w}" for w in want]
+
+
+def test_relation_weights(spark):
+    edges = spark.createDataFrame([(1, 2, "RELATES", 1), (1, 3, "INFLUENCES", 1), (3, 4, "DEPENDS", 1)], "source_id long, target_id long, relation_type string, created_at long")
+    got = {r["id"]: round(r["relevance"], 3) for r in graph.expand(edges, spark.createDataFrame([(1,)], "id long"), 2).collect()}
+    assert got == {2: 0.7, 3: 1.0, 4: 0.42}
 
 
 def test_token_estimate_and_cuts(spark):

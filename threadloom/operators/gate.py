@@ -1,46 +1,118 @@
-"""The recall gate: whether a prompt needs memory, and how much of it fits."""
+"""The recall gate: whether a prompt needs memory, why, and how much of it fits."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from threadloom.operators.history import jaccard
-from threadloom.operators.retrieval import tokens
+from threadloom.operators import gate_tables as fixed
+from threadloom.operators.history import WHITE, WORD_EDGE, jaccard
 
-# Patterns that call for memory, for a trace, that need no memory, and words without meaning of their own.
-MEMORY = r"\b(?:remember|recall|last time|previously|earlier|before|again|we (?:decided|agreed|discussed))\b"
-TRACE = r"\b(?:why did|when did|who decided|history of|since when)\b"
-HIGH_IMPACT = r"\b(?:deploy|delete|migrate|release|drop|rollback|production)\b"
-ACKNOWLEDGE = r"^\s*(?:ok(?:ay)?|yes|no|thanks?|thank you|sure|great|done)[.!]*\s*$"
-STOPWORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "is", "it", "that", "this", "with", "for", "on", "at", "be", "by", "are", "was")
-BASELINE_MARGIN, NEAR_TOPIC, MIN_WORDS = 0.045, 0.35, 3
+BY_TERM = {"memory": fixed.MEMORY, "trace": fixed.TRACE, "high_impact": fixed.HIGH_IMPACT}
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+
+
+def fits(text: Column, pattern: str) -> Column:
+    """Does a pattern of the tables fit? Word edges are those of ASCII words in any engine."""
+    return text.rlike(pattern.replace("\\b", WORD_EDGE).replace("\\s", WHITE))
+
+
+def _among(words) -> Column:
+    return F.array(*map(F.lit, words))
+
+
+def _any(text: Column, patterns) -> Column:
+    found = F.lit(False)
+    for _, pattern in patterns:
+        found = found | fits(text, pattern)
+    return found
 
 
 def prompt_tokens(text: Column) -> Column:
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.array_distinct(F.filter(tokens(text), lambda t: ~F.array_contains(stop, t)))
-
-
-def triggers(text: Column, before: Column) -> Column:
-    """Names of what fires, in order."""
-    low = F.lower(text)
-    topic = jaccard(prompt_tokens(text), prompt_tokens(F.coalesce(before, F.lit(""))))
-    tests = (("memory", low.rlike(MEMORY)), ("trace", low.rlike(TRACE)), ("high-impact", low.rlike(HIGH_IMPACT)), ("session-start", before.isNull()), ("topic-shift", before.isNotNull() & (topic < NEAR_TOPIC)))
-    return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in tests)))
-
-
-def decide(text: Column, before: Column) -> Column:
-    """retrieve, skip or ambiguous: an acknowledgement never retrieves, a stated need always does."""
-    fired = triggers(text, before)
-    stated = F.exists(fired, lambda t: t.isin("memory", "trace", "high-impact"))
-    return (
-        F.when(F.lower(text).rlike(ACKNOWLEDGE), "skip")
-        .when(stated | F.array_contains(fired, "session-start"), "retrieve")
-        .when(F.size(prompt_tokens(text)) < MIN_WORDS, "skip")
-        .when(F.array_contains(fired, "topic-shift"), "ambiguous")
-        .otherwise("skip")
+    """Distinct tokens with a topic: runs of letters, digits and ``_.-``, two characters at least, Korean ones without
+    their ending."""
+    stop = _among(fixed.STOPWORDS)
+    keep = lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t)
+    bare = F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}_.-]+"), lambda t: F.regexp_replace(t, r"^[.-]+|[.-]+$", ""))
+    stem = lambda t: F.regexp_replace(t, fixed.KOREAN_ENDING, "")
+    stems = F.transform(F.filter(bare, keep), lambda t: F.when(t.rlike(fixed.KOREAN) & (F.length(stem(t)) >= 2), stem(t)).otherwise(t))
+    return F.array_distinct(F.filter(stems, keep))
+
+
+def intents(text: Column, disabled: tuple[str, ...] = (), user_hits: dict[str, Column] | None = None) -> Column:
+    """A struct of flags: memory, trace, high_impact, acknowledgement, continuation.
+
+    An overlay may disable patterns by id and add hits of its own: ``user_hits`` maps an intent to a flag.
+    """
+    hits = {k: F.coalesce(v, F.lit(False)) for k, v in (user_hits or {}).items()}
+    extra = lambda name: hits.get(name, F.lit(False))
+    active = lambda patterns: [(i, p) for i, p in patterns if i not in disabled]
+    own = trimmed(text)
+    words = F.filter(F.split(F.lower(own), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
+    empty = _among([*fixed.ACK_WORDS, *fixed.CONTINUE_WORDS, *fixed.FILLER_WORDS])
+    idle = (F.size(words) > 0) & F.forall(words, lambda t: F.array_contains(empty, t))
+    any_of = lambda lexicon: F.exists(words, lambda t: F.array_contains(_among(lexicon), t))
+    ack = _any(own, active(fixed.ACKNOWLEDGEMENT)) | extra("acknowledgement") | (idle & any_of(fixed.ACK_WORDS))
+    goes_on = _any(own, active(fixed.CONTINUATION)) | extra("continuation") | (idle & ~ack & any_of(fixed.CONTINUE_WORDS))
+    asked = {name: (fits(own, f"(?i)({'|'.join(p for _, p in active(patterns))})") if active(patterns) else F.lit(False)) | extra(name) for name, patterns in BY_TERM.items()}
+    return F.struct(*(flag.alias(name) for name, flag in asked.items()), ack.alias("acknowledgement"), goes_on.alias("continuation"))
+
+
+def explain(text: Column, disabled: tuple[str, ...] = ()) -> Column:
+    """Ids of the patterns that fire, table by table, the last of a table first."""
+    own = trimmed(text)
+    terms = [(i, f"(?i){p}") for patterns in BY_TERM.values() for i, p in reversed(patterns)] + [*reversed(fixed.ACKNOWLEDGEMENT), *reversed(fixed.CONTINUATION)]
+    return F.array_compact(F.array(*(F.when(fits(own, p), F.lit(i)) for i, p in terms if i not in disabled)))
+
+
+def decide(text: Column, state: dict[str, Column], disabled: tuple[str, ...] = (), user_hits: dict[str, Column] | None = None) -> Column:
+    """A struct: action (retrieve, skip, ambiguous), triggers, skip_reason, topic_overlap.
+
+    ``state`` may hold topic (tokens), resident (tokens), has_topic_embedding, informative, epoch, last_epoch,
+    last_source, capsule, capsule_seen, revision, revision_seen, incident, resident_stale and hot_evidence; what it
+    lacks counts as a session without news, topic or residents. What changed comes before what the prompt says; a
+    stated need for memory is never skipped.
+    """
+    get = lambda name, default: F.coalesce(state[name], F.lit(default)) if name in state else F.lit(default)
+    listed = lambda name: F.coalesce(state[name], F.array().cast("array<string>")) if name in state else F.array().cast("array<string>")
+    tokens, said, own = prompt_tokens(text), intents(text, disabled, user_hits), trimmed(text)
+    n, topic, resident = F.size(tokens), listed("topic"), listed("resident")
+    overlap = F.when(F.size(topic) > 0, jaccard(tokens, topic))
+    idle = said["acknowledgement"] | said["continuation"]
+    substantive = ~idle & ((n >= fixed.SUBSTANTIVE_MIN_TOKENS) | said["memory"] | said["high_impact"])
+    entered = F.when(F.coalesce(state["last_source"], F.lit("")) == "compact", "compact_first_prompt") if "last_source" in state else F.when(F.lit(False), "")
+    entered = entered.when(get("last_epoch", 0) < 0, "first_substantive_in_epoch").otherwise("context_epoch_changed")
+    names = lambda *tests: F.array_compact(F.array(*(F.when(c, F.lit(t) if isinstance(t, str) else t) for c, t in tests)))
+    news = names(
+        (said["memory"], "explicit_memory_intent"), (get("incident", False), "incident_signature_match"), (get("revision", 0) > get("revision_seen", 0), "project_revision_stale"),
+        (get("resident_stale", False), "resident_revision_stale"), (get("hot_evidence", False), "hot_evidence_pending"),
+        (get("capsule", 0) > get("capsule_seen", 0), "capsule_generation_changed"), (get("last_epoch", 0) != get("epoch", 0), entered),
+    )
+    signs = names(
+        (said["high_impact"], "high_impact_intent"), (get("informative", 0) >= fixed.SAFETY_REFRESH, "safety_refresh"),
+        (F.coalesce((n >= fixed.DRIFT_MIN_TOKENS) & (overlap < fixed.DRIFT_JACCARD), F.lit(False)), "topic_drift"),
+        ((n >= fixed.COVERAGE_MIN_TOKENS) & (F.size(resident) > 0) & (F.size(F.array_intersect(tokens, resident)) == 0), "low_resident_coverage"),
     )
+    trifle = (_any(own, [(i, p) for i, p in fixed.MINOR_CORRECTION if i not in disabled]) | F.coalesce((user_hits or {}).get("minor_correction", F.lit(False)), F.lit(False))) & (n <= fixed.ACK_MAX_TOKENS + 2)
+    skip = (
+        F.when(own == "", "empty_prompt").when(F.size(news) > 0, "")
+        .when(idle & (n <= fixed.ACK_MAX_TOKENS), F.when(said["acknowledgement"], "acknowledgement").otherwise("continuation"))
+        .when(~substantive & trifle, "minor_correction").when(F.size(signs) > 0, "")
+        .when(~substantive & (overlap >= fixed.SHORT_COHERENT_JACCARD), "continuation").when(overlap >= fixed.COHERENT_JACCARD, "coherent_topic").otherwise("")
+    )
+    none = F.array().cast("array<string>")
+    fired = F.when(skip != "", none).when(F.size(news) > 0, news).when(F.size(signs) > 0, signs).when(~get("has_topic_embedding", False), F.array(F.lit("no_topic_embedding"))).otherwise(none)
+    action = F.when(skip != "", "skip").when(F.size(fired) > 0, "retrieve").otherwise("ambiguous")
+    return F.struct(action.alias("action"), fired.alias("triggers"), F.when(skip != "", skip).alias("skip_reason"), overlap.alias("topic_overlap"))
+
+
+def resolve_ambiguous(decision: Column, similarity: Column, baseline: Column) -> Column:
+    """The action once the prompt's similarity to the topic is known (null: the topic has no vector)."""
+    coherent = F.coalesce(similarity - baseline >= fixed.COHERENT_MARGIN, F.lit(False))
+    return F.when(decision != "ambiguous", decision).when(coherent, "skip").otherwise("retrieve")
 
 
 def token_estimate(text: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DECAY, NEGATIVE, FLOOR = 0.6, 0.7, 0.2
+from threadloom.operators.storage import settled
+
+DECAY, FLOOR = 0.6, 0.2
+# Relation types that carry relevance whole, and the share that all others carry.
+AFFIRMATIVE, OTHER_WEIGHT = ("SUPPORTS", "INFLUENCES"), 0.7
 PRIORITY = {"CONTRADICTS": 0, "SUPERSEDES": 1, "SUPPORTS": 2}
 
 
@@ -25,21 +29,24 @@ def priority():
 def expand(edges: DataFrame, seeds: DataFrame, hops: int, visible: DataFrame | None = None) -> DataFrame:
     """(id, hop, relevance, relation_type, via) of what lies within ``hops`` of the seeds (column id).
 
-    Relevance is 0.6 to the zero-based hop, times 0.7 over contradicting or superseding edges; what falls under 0.2 is
-    left out. A neighbour is reached over one edge: contradictions first, then superseding, supporting, others, then
+    Relevance is 0.6 to the zero-based hop, times 0.7 over edges that neither support nor influence; what falls under
+    0.2 is left out. A neighbour is reached over one edge: contradictions first, then superseding, supporting, others, then
     the oldest, then the least node it comes from. Only ``visible`` nodes enter the frontier; a node keeps its first hop.
     """
     links = both_ways(edges)
     visited = seeds.select("id").distinct()
     frontier, found = visited, None
     for hop in range(hops):
-        factor = F.when(F.col("relation_type").isin("CONTRADICTS", "SUPERSEDES"), NEGATIVE).otherwise(1.0)
+        if DECAY**hop < FLOOR:
+            break
+        factor = F.when(F.col("relation_type").isin(*AFFIRMATIVE), 1.0).otherwise(OTHER_WEIGHT)
         near = links.join(frontier.withColumnRenamed("id", "from"), "from").withColumn("relevance", F.lit(DECAY**hop) * factor).where(F.col("relevance") >= FLOOR)
         near = near.join(visited.withColumnRenamed("id", "to"), "to", "left_anti")
         if visible is not None:
             near = near.join(visible.select(F.col("id").alias("to")), "to", "left_semi")
-        best = F.row_number().over(Window.partitionBy("to").orderBy(priority(), "created_at", "from"))
-        step = near.withColumn("_n", best).where("_n = 1").select(F.col("to").alias("id"), F.lit(hop + 1).alias("hop"), "relevance", "relation_type", F.col("from").alias("via"))
+        # The least edge of each neighbour, combined before the shuffle; kept, so that later hops do not walk it again.
+        edge = F.min(F.struct(priority().alias("p"), "created_at", "from", "relation_type", "relevance")).alias("e")
+        step = settled(near.groupBy(F.col("to").alias("id")).agg(edge).select("id", F.lit(hop + 1).alias("hop"), "e.relevance", "e.relation_type", F.col("e.from").alias("via")))
         found = step if found is None else found.unionByName(step)
         frontier = step.select("id")
         visited = visited.union(frontier)

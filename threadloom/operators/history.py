@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+WHITE = r"[\s\x{0b}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+WORD_EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 AUTHORITY = {"decision": 3, "human": 2, "tool": 2}
 
 
@@ -31,20 +33,26 @@ def latest(events: DataFrame, key: str, order: list[str], columns: list[str]) ->
     return events.groupBy(key).agg(F.max(F.struct(*order, *[c for c in columns if c not in order])).alias("e")).select(key, *(F.col(f"e.{c}").alias(c) for c in columns))
 
 
+# What a signature forgets, in this order, and what stands for it; ``\\b`` is the edge of an ASCII word.
+SIGNATURE = (
+    (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>"),
+    (r"[0-9]{4}-[0-9]{2}-[0-9]{2}[t ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(z|[+-][0-9]{2}:?[0-9]{2})?", "<time>"),
+    (r"(?:/[A-Za-z0-9_.-]+){2,}", "<path>"),
+    (r"0x[0-9a-f]+", "<hex>"),
+    (r"\b[0-9a-f]{7,}\b", "<hex>"),
+    (r"[0-9]+(\.[0-9]+)?", "<n>"),
+)
+ANSI = r"\x1b\[[0-9;]*m"
+SIGNATURE_CHARS = 240
+
+
 def signature(text: Column) -> Column:
-    """Text of an incident without what differs from run to run: colours, ids, clocks, paths, numbers."""
-    s = F.regexp_replace(text, "\\x1b\\[[0-9;]*[A-Za-z]", "")
-    s = F.lower(s)
-    for pattern, name in (
-        (r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<uuid>"),
-        (r"\d{4}-\d{2}-\d{2}[t ]\d{2}:\d{2}:\d{2}(?:\.\d+)?z?", "<time>"),
-        (r"(?:/[\w.@-]+){2,}", "<path>"),
-        (r"\b(?:0x)?[0-9a-f]{8,}\b", "<hex>"),
-        (r"\d+", "<n>"),
-        (r"\s+", " "),
-    ):
-        s = F.regexp_replace(s, pattern, name)
-    return F.substring(F.trim(s), 1, 240)
+    """Text of an incident without what differs from run to run: colours, ids, clocks, paths, addresses, numbers."""
+    s = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), ANSI, ""))
+    for pattern, name in SIGNATURE:
+        s = F.regexp_replace(s, pattern.replace("\\b", WORD_EDGE), name)
+    s = F.regexp_replace(s, f"{WHITE}+", " ")
+    return F.substring(F.trim(s), 1, SIGNATURE_CHARS)
 
 
 def signature_key(text: Column) -> Column:
@@ -84,6 +92,15 @@ def merge_tombstones(tombs: DataFrame) -> DataFrame:
     return tombs.groupBy("id").agg(F.max("deleted_at").alias("deleted_at"), F.when(F.bool_or(F.col("reason") == "privacy"), "privacy").otherwise(F.max(F.struct("deleted_at", "reason"))["reason"]).alias("reason"))
 
 
+def strict(rows: DataFrame, key: str, sound: Column) -> DataFrame:
+    """(key, n_rows) of the generations whose rows are all sound; a test without an answer refuses like a false one."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"), F.bool_and(F.coalesce(sound, F.lit(False))).alias("valid")).where("valid").drop("valid")
+
+
 def manifest(files: DataFrame, name: str, line: str) -> DataFrame:
-    """Row count and content hash of each file: the hash of its sorted lines' hashes."""
-    return files.groupBy(name).agg(F.count(F.lit(1)).alias("n_rows"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.md5(line))), ""), 256).alias("sha256"))
+    """Row count and content hash of each file: lines' hashes are sorted within 4,096 ranges of hashes (their first three
+    digits), each range is hashed, then the ranges' hashes; no task holds all lines of a file."""
+    hashed = files.select(F.col(name), F.md5(line).alias("h"))
+    ranges = hashed.groupBy(name, F.substring("h", 1, 3).alias("range")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("r"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "r"))), lambda x: x["r"]), "")
+    return ranges.groupBy(name).agg(F.sum("n").alias("n_rows"), F.sha2(whole, 256).alias("sha256"))

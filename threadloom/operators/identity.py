@@ -48,8 +48,12 @@ def resolve_projects(requests: DataFrame, workspaces: DataFrame, projects: DataF
 
 
 def stream_id(project: Column, branch: Column) -> Column:
-    """The id of a project's stream for a branch; a null branch names its default stream."""
-    return F.concat(F.lit("ws-"), F.substring(F.sha2(F.concat_ws("|", project.cast("string"), F.coalesce(branch, F.lit(""))), 256), 1, 32))
+    """The id of a project's stream for a branch; a null or blank branch names its default stream. the
+    names of both kinds; every part ends in a NUL."""
+    end, name = F.lit("\0"), F.nullif(F.trim(branch), F.lit(""))
+    own = F.concat(F.lit("workstream-branch-v1"), end, project.cast("string"), end, name, end)
+    default = F.concat(F.lit("workstream-project-default-v1"), end, project.cast("string"), end)
+    return F.concat(F.lit("ws-"), F.substring(F.sha2(F.coalesce(own, default), 256), 1, 32))
 
 
 def bind_sessions(sessions: DataFrame, bound: DataFrame, streams: DataFrame) -> DataFrame:

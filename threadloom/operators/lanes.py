@@ -32,9 +32,12 @@ def names_exactly(text: Column) -> Column:
 
 
 def holds_word(text: Column, word: str) -> Column:
-    """The word stands in the text, in any case, with no letter, digit, ``_`` or ``$`` on either side."""
+    """The word stands in the text, in any case, with no letter, digit, ``_`` or ``$`` on either side; a path-like word
+    (with ``/``, ``\\`` or ``.``) with no ``.``, ``/``, ``\\`` or ``-`` there either, but a stop that ends a sentence."""
     import re
 
+    if re.search(r"[/\\.]", word):
+        return text.rlike(rf"(?i)(?<![A-Za-z0-9_$.\\/-]){re.escape(word)}(?:(?![A-Za-z0-9_$.\\/-])|(?=\.(?![A-Za-z0-9_$])))")
     return text.rlike(rf"(?i)(?<![A-Za-z0-9_$]){re.escape(word)}(?![A-Za-z0-9_$])")
 
 
@@ -114,6 +117,7 @@ def uncovered_in_turns(turns: DataFrame, facts: DataFrame, words: list[str], lim
     known = F.array_compact(F.array(*(F.when(holds_word(F.col("fact"), w), F.lit(w)) for w in words)))
     covered = facts.where("is_active").select(F.explode(known).alias("word")).distinct()
     free = spark.createDataFrame([(w,) for w in words], "word string").join(covered, "word", "left_anti")
+    # The rank is filtered at once, so that Spark keeps the first rows of a word before it shuffles them.
     ranked = said.join(F.broadcast(free), "word").withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("timestamp"), "id")))
     return ranked.where(F.col("n") <= limit).select("word", "id", F.substring("user_message", 1, chars).alias("snippet"))
 

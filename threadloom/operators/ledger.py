@@ -9,8 +9,10 @@ FORCE_AFTER = 3
 BOUNDARIES, BYTES = 6, 8_192
 
 # What a provider's message tells about a failed call.
-DETERMINISTIC = r"too (?:large|long)|context length|maximum.*token|max_?tokens|content.*too|invalid[_ ]?request|bad request|unprocessable"
-TRANSIENT = r"unauthor|forbidden|timeout|econnreset|econnrefused|socket hang up|network|fetch failed|overloaded|temporarily|rate.?limit|too many requests|server error|service unavailable|bad gateway"
+DETERMINISTIC = r"too (large|long)|prompt is too long|context length|maximum.*token|max_?tokens|content.*too|invalid[_ ]?request|bad request|unprocessable"
+TRANSIENT = r"unauthor|forbidden|invalid.*(api.?key|access.?token|credential)|timeout|etimedout|econnreset|econnrefused|enotfound|epipe|socket hang up|network|fetch failed|stream (disconnect|closed|ended|aborted)|premature close|overloaded|temporarily|rate.?limit|too many requests|internal server error|server error|service unavailable|bad gateway|gateway timeout"
+NAMED_STATUS = r"status(?:\s*code)?\s*[:=]?\s*([0-9]{3})(?![A-Za-z0-9_])"
+PREFIXED_STATUS = r"(?<![A-Za-z0-9_])(?:api|http|request|response|server)\s+(?:error|failure|code)\s*[:=-]?\s*([0-9]{3})(?![A-Za-z0-9_])"
 
 
 def outbox(jobs: DataFrame, key: list[str], target: str) -> DataFrame:
@@ -84,10 +86,12 @@ def failed_ranges(ranges: DataFrame, owner: str) -> DataFrame:
 
 
 def error_class(code: Column, status: Column, message: Column) -> Column:
-    """config, deterministic, transient or unknown: codes, then a status, then one named in the message, then phrases."""
+    """config, deterministic, transient or unknown: codes, then a status, then one that the message labels as a status or
+    puts after an error word, then phrases; a bare number says nothing."""
     low = F.lower(F.coalesce(message, F.lit("")))
     by = lambda s: F.when(s.isin(401, 403, 404, 429) | (s >= 500), "transient").when(s.isin(400, 413, 422), "deterministic").otherwise("unknown")
-    named = F.nullif(F.regexp_extract(low, r"status(?:\s*code)?\s*[:=]?\s*(\d{3})\b", 1), F.lit("")).cast("int")
+    number = lambda pattern: F.nullif(F.regexp_extract(low, pattern, 1), F.lit("")).cast("int")
+    named = F.coalesce(number(NAMED_STATUS), number(PREFIXED_STATUS))
     return (
         F.when(code == "config", "config").when(code.isin("input-limit", "output-limit", "output-schema"), "deterministic")
         .when(status.isNotNull(), by(status)).when(named.isNotNull(), by(named))

@@ -53,7 +53,7 @@ j AS (SELECT s.*, t.project AS explicit_project, only_one, CASE WHEN s.branch <>
 d AS (SELECT *, CASE WHEN old_stream IS NOT NULL THEN 'resume-exact' WHEN explicit IS NOT NULL AND explicit_project = project THEN 'explicit' WHEN explicit IS NOT NULL THEN 'rejected' WHEN only_one IS NOT NULL THEN 'unique-workspace-branch'
     WHEN signal IS NOT NULL THEN 'workspace-branch' ELSE 'project-default' END AS reason FROM j)
 SELECT session_id, CASE reason WHEN 'resume-exact' THEN old_stream WHEN 'explicit' THEN explicit WHEN 'rejected' THEN NULL WHEN 'unique-workspace-branch' THEN only_one
-    ELSE 'ws-' || substr(sha256(project || '|' || coalesce(signal, '')), 1, 32) END AS stream, reason, CASE reason WHEN 'rejected' THEN NULL WHEN 'unique-workspace-branch' THEN CAST(0.9 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS confidence FROM d""")
+    ELSE 'ws-' || substr(sha256(CASE WHEN signal IS NULL THEN 'workstream-project-default-v1' || chr(0) || project || chr(0) ELSE 'workstream-branch-v1' || chr(0) || project || chr(0) || signal || chr(0) END), 1, 32) END AS stream, reason, CASE reason WHEN 'rejected' THEN NULL WHEN 'unique-workspace-branch' THEN CAST(0.9 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS confidence FROM d""")
 def idn02_bind_session(spark, sf_dir):
     o, cust = F.col("o_orderkey"), F.col("o_custkey")
     orders = table(spark, sf_dir, "orders")

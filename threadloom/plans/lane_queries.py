@@ -157,11 +157,15 @@ def ret13_repeats(spark, sf_dir):
     return lanes.repeats(hits, turn_rows(spark, sf_dir).where("line_start = 0"), "session_id", "p3", 30, -2.0).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""WITH {FACTS}, {EXCHANGES}, w AS (SELECT unnest({list(NAMED)}) AS word), said AS (SELECT w.word, x.id, timestamp, user_message FROM exchanges x, w WHERE regexp_matches(user_message, '(^|[^A-Za-z0-9_$])' || word || '([^A-Za-z0-9_$]|$)', 'i')),
-known AS (SELECT DISTINCT word FROM facts, w WHERE is_active AND regexp_matches(fact, '(^|[^A-Za-z0-9_$])' || word || '([^A-Za-z0-9_$]|$)', 'i') AND confirmations > 21 AND category = 'en')
+# Words of the given conversations; documents hold the last of them.
+SAID = ("ndessh", "thanines", "wasererornd", "ther")
+
+
+@query(f"""WITH {FACTS}, {EXCHANGES}, w AS (SELECT unnest({list(SAID)}) AS word), said AS (SELECT w.word, x.id, timestamp, user_message FROM exchanges x, w WHERE regexp_matches(user_message, '(^|[^A-Za-z0-9_$])' || word || '([^A-Za-z0-9_$]|$)', 'i')),
+known AS (SELECT DISTINCT word FROM facts, w WHERE is_active AND regexp_matches(fact, '(^|[^A-Za-z0-9_$])' || word || '([^A-Za-z0-9_$]|$)', 'i'))
 SELECT word, id, substr(user_message, 1, 160) AS snippet FROM said ANTI JOIN known USING (word) QUALIFY row_number() OVER (PARTITION BY word ORDER BY timestamp DESC, id) <= 2""")
 def ret12_uncovered_in_turns(spark, sf_dir):
-    return lanes.uncovered_in_turns(turn_rows(spark, sf_dir), facts(spark, sf_dir).where("confirmations > 21 and category = 'en'"), list(NAMED))
+    return lanes.uncovered_in_turns(turn_rows(spark, sf_dir), facts(spark, sf_dir), list(SAID))
 
 
 @query("""WITH t AS (SELECT conv_id * 1000 + turn AS row_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: length(x) >= 2)) AS token FROM conversations),

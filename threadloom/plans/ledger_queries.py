@@ -99,14 +99,16 @@ def str17_failed_ranges(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'config' WHEN event_id % 11 = 1 THEN 'input-limit' END AS code, CASE WHEN event_id % 7 = 0 THEN 400 + event_id % 120 END AS status,
-CASE event_id % 6 WHEN 0 THEN 'Status code: ' || (400 + user_id % 110) WHEN 1 THEN 'prompt Too Long' WHEN 2 THEN 'read TIMEOUT' WHEN 3 THEN event_type WHEN 4 THEN 'rate limit' END AS message FROM events),
-c AS (SELECT *, coalesce(status, try_cast(nullif(regexp_extract(lower(message), 'status code: ([0-9]{3})', 1), '') AS BIGINT)) AS s FROM m)
+CASE event_id % 6 WHEN 0 THEN 'Status code: ' || (400 + user_id % 110) WHEN 1 THEN 'prompt Too Long' WHEN 2 THEN 'read TIMEOUT' WHEN 3 THEN event_type WHEN 4 THEN 'rate limit' ELSE (['API Error: 503 x', 'http error 422', 'retry after 400 ms', 'stream closed', 'invalid api key', 'connect ENOTFOUND', 'response 400 ms timeout'])[CAST(user_id % 7 + 1 AS INTEGER)] END AS message FROM events),
+c AS (SELECT *, coalesce(status, try_cast(nullif(regexp_extract(lower(message), 'status code: ([0-9]{3})', 1), '') AS BIGINT), try_cast(nullif(regexp_extract(lower(message), '(?:api|http) error:? ([0-9]{3})', 1), '') AS BIGINT)) AS s FROM m)
 SELECT event_id, CASE WHEN code = 'config' THEN 'config' WHEN code IS NOT NULL THEN 'deterministic' WHEN s IN (401, 403, 404, 429) OR s >= 500 THEN 'transient' WHEN s IN (400, 413, 422) THEN 'deterministic' WHEN s IS NOT NULL THEN 'unknown'
-WHEN message = 'prompt Too Long' THEN 'deterministic' WHEN message IN ('read TIMEOUT', 'rate limit') THEN 'transient' ELSE 'unknown' END AS error_class FROM c""")
+WHEN message = 'prompt Too Long' THEN 'deterministic' WHEN message IN ('read TIMEOUT', 'rate limit', 'stream closed', 'invalid api key', 'connect ENOTFOUND', 'response 400 ms timeout') THEN 'transient' ELSE 'unknown' END AS error_class FROM c""")
 def ext09_error_class(spark, sf_dir):
     e, k = F.col("event_id"), F.col("event_id") % 6
     code = F.when(e % 11 == 0, "config").when(e % 11 == 1, "input-limit")
     message = F.when(k == 0, F.concat(F.lit("Status code: "), (F.col("user_id") % 110 + 400).cast("string"))).when(k == 1, "prompt Too Long").when(k == 2, "read TIMEOUT").when(k == 3, F.col("event_type")).when(k == 4, "rate limit")
+    said = F.array(*map(F.lit, ("API Error: 503 x", "http error 422", "retry after 400 ms", "stream closed", "invalid api key", "connect ENOTFOUND", "response 400 ms timeout")))
+    message = message.otherwise(F.element_at(said, (F.col("user_id") % 7 + 1).cast("int")))
     return table(spark, sf_dir, "events").select("event_id", ledger.error_class(F.coalesce(code, F.lit("")), F.when(e % 7 == 0, e % 120 + 400), message).alias("error_class"))
 
 
@@ -124,9 +126,9 @@ def join07_orphans(spark, sf_dir):
     return ledger.orphans(vectors, f, "key", "orphan-vector").unionByName(ledger.orphans(relations(spark, sf_dir).select(F.col("source_id").alias("key")), f, "key", "orphan-relation"))
 
 
-@query(f"WITH {FACTS}, s AS (SELECT id, unnest([id % 700, id * 3 % 1100]) AS src FROM facts WHERE confirmations > 5) SELECT id, count(*) AS n_sources, count(CASE WHEN vec_id IS NULL THEN 1 END) AS missing, count(CASE WHEN vec_id IS NULL THEN 1 END) = 0 AS repairable FROM s LEFT JOIN embeddings ON vec_id = src GROUP BY id")
+@query(f"WITH {FACTS}, s AS (SELECT id, unnest([id % 700, id * 3 % 1100]) AS src FROM facts) SELECT id, count(*) AS n_sources, count(CASE WHEN vec_id IS NULL THEN 1 END) AS missing, count(CASE WHEN vec_id IS NULL THEN 1 END) = 0 AS repairable FROM s LEFT JOIN embeddings ON vec_id = src GROUP BY id")
 def flt18_missing_evidence(spark, sf_dir):
-    rows = facts(spark, sf_dir).where("confirmations > 5").select("id", F.array(F.col("id") % 700, F.col("id") * 3 % 1100).alias("sources"))
+    rows = facts(spark, sf_dir).select("id", F.array(F.col("id") % 700, F.col("id") * 3 % 1100).alias("sources"))
     return ledger.all_sources_resolve(rows, "id", "sources", table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("src")), "src")
 
 
@@ -136,9 +138,9 @@ def inc04_remediation(spark, sf_dir):
     return ledger.remediate(e.where("event_type = 'error'").select("user_id", F.col("ts").alias("at")), e.where("event_type = 'signup'").select("user_id", F.col("ts").alias("fixed_at")), ["user_id"])
 
 
-@query("SELECT event_id, user_id, ts FROM events WHERE event_type = 'error' AND user_id % 3 = 0 AND value > 5 ORDER BY ts DESC, event_id DESC LIMIT 100")
+@query("SELECT event_id, user_id, ts FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 100")
 def inc06_occurrences(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_type = 'error' and user_id % 3 = 0 and value > 5").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "user_id", "ts")
+    return table(spark, sf_dir, "events").where("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "user_id", "ts")
 
 
 @query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) SELECT conv_id, count(CASE WHEN r <= 8 THEN 1 END) AS kept, count(CASE WHEN r > 8 THEN 1 END) AS dropped, count(CASE WHEN r <= 8 AND length(text) > 500 THEN 1 END) AS clamped,
@@ -221,9 +223,9 @@ def mrg02_conflict_key(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(fields).alias("conflict_key"))
 
 
-@query("SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS injected, count(DISTINCT event_type) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1")
+@query("SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS injected, count(DISTINCT event_type) AS n FROM events GROUP BY 1")
 def dat08_recall_ledger(spark, sf_dir):
-    seen = table(spark, sf_dir, "events").where("event_id % 3 = 0").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("s"))
+    seen = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("s"))
     return seen.select("user_id", F.array_join("s", ",").alias("injected"), F.size("s").cast("long").alias("n"))
 
 

@@ -9,38 +9,6 @@ from threadloom.functions import text
 from threadloom.operators import gate, graph, retrieval, revisions
 from threadloom.plans.base import FACTS, RELATIONS, facts, query, relations, table
 
-_STOP = list(gate.STOPWORDS)
-_SUFFIX = "['', ' do you remember', ' why did it fail', ' deploy now']"
-_PROMPTS = f"prompts AS (SELECT conv_id, turn, CASE WHEN turn % 10 = 8 THEN 'Thanks!' ELSE text || ({_SUFFIX})[CAST(turn // 2 % 4 + 1 AS INTEGER)] END AS prompt FROM conversations WHERE role = 'user')"
-_FLAGS = ", ".join(f"regexp_matches(lower(prompt), '{p}') AS {n}" for n, p in (("memory", gate.MEMORY), ("trace", gate.TRACE), ("high_impact", gate.HIGH_IMPACT), ("acknowledged", gate.ACKNOWLEDGE)))
-
-
-def prompts(spark, sf_dir):
-    more = F.element_at(F.array(*map(F.lit, ("", " do you remember", " why did it fail", " deploy now"))), (F.floor(F.col("turn") / 2) % 4 + 1).cast("int"))
-    c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return c.select("conv_id", "turn", F.when(F.col("turn") % 10 == 8, "Thanks!").otherwise(F.concat("text", more)).alias("prompt"))
-
-
-@query(f"WITH {_PROMPTS} SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(prompt), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '' AND NOT list_contains({_STOP}, t)))), ',') AS tokens FROM prompts")
-def gat01_prompt_tokens(spark, sf_dir):
-    return prompts(spark, sf_dir).select("conv_id", "turn", F.array_join(F.array_sort(gate.prompt_tokens(F.col("prompt"))), ",").alias("tokens"))
-
-
-@query(f"WITH {_PROMPTS} SELECT conv_id, turn, {_FLAGS} FROM prompts")
-def gat03_intents(spark, sf_dir):
-    low = F.lower("prompt")
-    return prompts(spark, sf_dir).select("conv_id", "turn", low.rlike(gate.MEMORY).alias("memory"), low.rlike(gate.TRACE).alias("trace"), low.rlike(gate.HIGH_IMPACT).alias("high_impact"), low.rlike(gate.ACKNOWLEDGE).alias("acknowledged"))
-
-
-@query(f"""WITH {_PROMPTS}, f AS (SELECT conv_id, turn, {_FLAGS}, lag(prompt) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL AS first FROM prompts)
-SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN memory THEN 'memory' END, CASE WHEN trace THEN 'trace' END, CASE WHEN high_impact THEN 'high-impact' END, CASE WHEN first THEN 'session-start' END], lambda x: x IS NOT NULL), ',') AS fired FROM f""")
-def gat04_explain_intents(spark, sf_dir):
-    before = F.lag("prompt").over(Window.partitionBy("conv_id").orderBy("turn"))
-    p = prompts(spark, sf_dir).withColumn("before", before)
-    fired = F.filter(gate.triggers(F.col("prompt"), F.col("before")), lambda t: t != "topic-shift")
-    return p.select("conv_id", "turn", F.array_join(fired, ",").alias("fired"))
-
-
 def _dot(a: str, b: str) -> str:
     return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 
@@ -50,8 +18,8 @@ FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1 AND b.label
 def gat06_ambiguity(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     topic = e.where("label % 5 <> 0").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("topic"))
-    same = retrieval.cosine(F.col("embedding"), F.col("topic")) - 0.05 >= 0.08
-    return e.join(topic, "vec_id", "left").select("vec_id", F.when(F.col("topic").isNotNull() & same, "skip").otherwise("retrieve").alias("action"))
+    similarity = retrieval.cosine(F.col("embedding"), F.col("topic"))
+    return e.join(topic, "vec_id", "left").select("vec_id", gate.resolve_ambiguous(F.lit("ambiguous"), similarity, F.lit(0.05)).alias("action"))
 
 
 @query("""WITH h AS (SELECT doc_id, text, substr(text, 1, 240) AS head FROM documents), c AS (SELECT *, regexp_extract(head, '(?s)^(.*[.!?])\\s', 1) AS s, regexp_extract(head, '(?s)^(.*\\S)\\s', 1) AS w FROM h)
@@ -90,14 +58,15 @@ def chr03_replicated_events(spark, sf_dir):
     return revisions.replicate(incoming, e, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("event_id")), "event_id", "event_type")
 
 
-@query("""WITH e AS (SELECT user_id, bool_or(event_type IN ('click', 'purchase') AND event_id % 7 = 0) AS decided, bool_or(event_type IN ('click', 'purchase') AND event_id % 7 < 2) AS said, bool_or(event_type = 'error') AS tool FROM events WHERE event_id % 50 < 3 GROUP BY user_id)
+@query("""WITH e AS (SELECT user_id, bool_or(event_type IN ('click', 'purchase') AND event_id % 70 = 0) AS decided, bool_or(event_type IN ('click', 'purchase') AND event_id % 70 < 2) AS said, bool_or(event_type = 'error') AS tool FROM events GROUP BY user_id)
 SELECT user_id, CASE WHEN decided THEN 'human-decision' WHEN said THEN 'human' WHEN tool THEN 'trusted-tool' ELSE 'unknown' END AS authority FROM e""")
 def chr06_authority(spark, sf_dir):
-    k, human = F.col("event_id"), F.col("event_type").isin("click", "purchase") & (F.col("event_id") % 7 < 2)
+    k = F.col("event_id")
+    human = F.col("event_type").isin("click", "purchase") & (k % 70 < 2)
     source = F.when(human, "human").when(F.col("event_type") == "error", "tool").otherwise("other")
-    kind = F.when(k % 14 == 0, "correction").when(k % 7 == 0, "decision").otherwise("note")
+    kind = F.when(k % 140 == 0, "correction").when(k % 70 == 0, "decision").otherwise("note")
     # Kinds of evidence are few, so a set of them is bounded.
-    per = table(spark, sf_dir, "events").where("event_id % 50 < 3").groupBy("user_id").agg(F.collect_set(F.struct(source.alias("source"), kind.alias("kind"))).alias("evidence"))
+    per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.struct(source.alias("source"), kind.alias("kind"))).alias("evidence"))
     return per.select("user_id", revisions.authority(F.col("evidence")).alias("authority"))
 
 
@@ -107,9 +76,9 @@ def chr07_effective_time(spark, sf_dir):
     return p.select("user_id", F.coalesce("applied", "source_at").alias("effective_at"), F.col("applied").isNull().alias("inferred"))
 
 
-@query(f"WITH {FACTS} SELECT category, confirmations % 5 AS slot, CASE WHEN count(DISTINCT age_days % 2) > 1 THEN 'blocked' WHEN count(DISTINCT project) > 1 THEN 'promote' ELSE 'stay' END AS move FROM facts WHERE is_active AND id % 50 < 3 GROUP BY 1, 2")
+@query(f"WITH {FACTS} SELECT category, id // 3 AS slot, CASE WHEN count(DISTINCT age_days % 2) > 1 THEN 'blocked' WHEN count(DISTINCT project) > 1 THEN 'promote' ELSE 'stay' END AS move FROM facts WHERE is_active GROUP BY 1, 2")
 def chr15_tier_moves(spark, sf_dir):
-    f = facts(spark, sf_dir).where("is_active and id % 50 < 3").select("category", (F.col("confirmations") % 5).alias("slot"), (F.col("age_days") % 2).alias("said"), "project")
+    f = facts(spark, sf_dir).where("is_active").select("category", F.floor(F.col("id") / 3).alias("slot"), (F.col("age_days") % 2).alias("said"), "project")
     return revisions.tier_moves(f, ["category", "slot"], "said", "project")
 
 

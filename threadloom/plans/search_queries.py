@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threadloom.operators import gate, graph, history, retrieval
+from threadloom.operators import gate, graph, retrieval
 from threadloom.plans.base import EXCHANGES, RELATIONS, exchanges, query, relations, table
 
 WORDS = ["that", "with", "from", "thing"]
@@ -91,36 +91,15 @@ def ret20_exchange_text(spark, sf_dir):
     return exchanges(spark, sf_dir).select("id", F.concat(F.lit("User: "), "user_message", F.lit("\nAssistant: "), "assistant_message").alias("text"))
 
 
-_STOP = "(" + ", ".join(f"'{w}'" for w in gate.STOPWORDS) + ")"
-_PROMPTS = f"""p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role = 'user'),
-k AS (SELECT *, list_distinct(list_filter({_TOKENS}, lambda t: t NOT IN {_STOP})) AS a, list_distinct(list_filter({_TOKENS.replace('text', "coalesce(before, '')")}, lambda t: t NOT IN {_STOP})) AS b FROM p),
-j AS (SELECT *, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS topic FROM k)"""
-
-
-@query(f"""WITH {_PROMPTS} SELECT conv_id, turn, len(a) AS n_tokens, round(topic, 6) AS topic FROM j""")
-def gat02_topic_overlap(spark, sf_dir):
-    p = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
-    a, b = gate.prompt_tokens(F.col("text")), gate.prompt_tokens(F.coalesce("before", F.lit("")))
-    return p.select("conv_id", "turn", F.size(a).cast("long").alias("n_tokens"), F.round(history.jaccard(a, b), 6).alias("topic"))
-
-
-@query(f"""WITH {_PROMPTS} SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '^\\s*(?:ok(?:ay)?|yes|no|thanks?|thank you|sure|great|done)[.!]*\\s*$') THEN 'skip'
-WHEN regexp_matches(lower(text), '\\b(?:remember|recall|last time|previously|earlier|before|again|we (?:decided|agreed|discussed))\\b') OR regexp_matches(lower(text), '\\b(?:why did|when did|who decided|history of|since when)\\b') OR regexp_matches(lower(text), '\\b(?:deploy|delete|migrate|release|drop|rollback|production)\\b') OR before IS NULL THEN 'retrieve'
-WHEN len(a) < 3 THEN 'skip' WHEN topic < 0.35 THEN 'ambiguous' ELSE 'skip' END AS decision FROM j""")
-def gat05_gate_decision(spark, sf_dir):
-    p = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
-    return p.select("conv_id", "turn", gate.decide(F.col("text"), F.col("before")).alias("decision"))
-
-
 @query("""SELECT conv_id, turn, CAST(ceil((length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) * 0.25 + (length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')))) * 1.25) AS BIGINT) AS tokens FROM conversations""")
 def gat11_token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", gate.token_estimate(F.col("text")).alias("tokens"))
 
 
-_SEEDS = "(SELECT p_partkey * 2 AS id FROM part WHERE p_size = 7 AND p_partkey % 50 = 0)"
+_SEEDS = "(SELECT p_partkey * 2 AS id FROM part WHERE p_size = 7 AND p_brand = 'Brand#11')"
 _WAYS = """ways AS (SELECT source_id AS f, target_id AS t, relation_type, created_at FROM relations UNION ALL SELECT target_id, source_id, relation_type, created_at FROM relations)"""
 _RANK = "CASE relation_type WHEN 'CONTRADICTS' THEN 0 WHEN 'SUPERSEDES' THEN 1 WHEN 'SUPPORTS' THEN 2 ELSE 3 END, created_at, f"
-_FACTOR = "CASE WHEN relation_type IN ('CONTRADICTS', 'SUPERSEDES') THEN 0.7 ELSE 1.0 END"
+_FACTOR = "CASE WHEN relation_type IN ('SUPPORTS', 'INFLUENCES') THEN 1.0 ELSE 0.7 END"
 
 
 @query(f"""WITH {RELATIONS}, {_WAYS}, s AS {_SEEDS},
@@ -128,7 +107,7 @@ h1 AS (SELECT t AS id, 1 AS hop, {_FACTOR} AS relevance, relation_type, f AS via
 h2 AS (SELECT t AS id, 2 AS hop, 0.6 * {_FACTOR} AS relevance, relation_type, f AS via FROM ways WHERE f IN (SELECT id FROM h1) AND t NOT IN (SELECT id FROM s UNION ALL SELECT id FROM h1) QUALIFY row_number() OVER (PARTITION BY t ORDER BY {_RANK}) = 1)
 SELECT id, CAST(hop AS INTEGER) AS hop, round(CAST(relevance AS DOUBLE), 6) AS relevance, relation_type, via FROM h1 UNION ALL SELECT id, CAST(hop AS INTEGER), round(CAST(relevance AS DOUBLE), 6), relation_type, via FROM h2""")
 def grf01_bounded_expansion(spark, sf_dir):
-    seeds = table(spark, sf_dir, "part").where("p_size = 7 and p_partkey % 50 = 0").select((F.col("p_partkey") * 2).alias("id"))
+    seeds = table(spark, sf_dir, "part").where("p_size = 7 and p_brand = 'Brand#11'").select((F.col("p_partkey") * 2).alias("id"))
     return graph.expand(relations(spark, sf_dir), seeds, 2).withColumn("relevance", F.round("relevance", 6))
 
 

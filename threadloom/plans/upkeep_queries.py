@@ -89,9 +89,9 @@ def dat05_apply_repairs(spark, sf_dir):
     return r.where("relation_type <> 'RELATES'").select("source_id", "target_id").unionByName(graph.inside(chosen, f).select("source_id", "target_id"))
 
 
-@query(f"WITH {FACTS}, s AS (SELECT id, unnest([id % 700, id * 3 % 1100]) AS src FROM facts WHERE confirmations > 5) SELECT id, sha256(fact) AS fact_hash FROM facts WHERE id IN (SELECT id FROM s LEFT JOIN embeddings ON vec_id = src GROUP BY id HAVING count(vec_id) = count(*))")
+@query(f"WITH {FACTS}, s AS (SELECT id, unnest([id % 700, id * 3 % 1100]) AS src FROM facts) SELECT id, sha256(fact) AS fact_hash FROM facts WHERE id IN (SELECT id FROM s LEFT JOIN embeddings ON vec_id = src GROUP BY id HAVING count(vec_id) = count(*))")
 def ext08_evidence_receipts(spark, sf_dir):
-    f = facts(spark, sf_dir).where("confirmations > 5")
+    f = facts(spark, sf_dir)
     rows = f.select("id", F.array(F.col("id") % 700, F.col("id") * 3 % 1100).alias("sources"))
     sound = ledger.all_sources_resolve(rows, "id", "sources", table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("src")), "src").where("repairable").select("id")
     return f.join(sound, "id", "left_semi").select("id", F.sha2("fact", 256).alias("fact_hash"))
@@ -126,16 +126,16 @@ def join02_top_k_then_content(spark, sf_dir):
     return x.join(F.broadcast(hits.select("id")), "id").select("id", "project", "timestamp", F.length("assistant_message").cast("long").alias("n"))
 
 
-@query(f"WITH {RELATIONS}, s AS (SELECT DISTINCT source_id AS id FROM relations WHERE source_id % 100 = 0), e AS (SELECT source_id AS a, target_id AS b FROM relations UNION ALL SELECT target_id, source_id FROM relations) SELECT b AS neighbour, count(*) AS n FROM e JOIN s ON id = a GROUP BY 1")
+@query(f"WITH {RELATIONS}, s AS (SELECT DISTINCT source_id AS id FROM relations WHERE relation_type = 'CONTRADICTS'), e AS (SELECT source_id AS a, target_id AS b FROM relations UNION ALL SELECT target_id, source_id FROM relations) SELECT b AS neighbour, count(*) AS n FROM e JOIN s ON id = a GROUP BY 1")
 def join12_both_directions(spark, sf_dir):
     r = relations(spark, sf_dir)
-    seeds = r.where("source_id % 100 = 0").select(F.col("source_id").alias("from")).distinct()
+    seeds = r.where("relation_type = 'CONTRADICTS'").select(F.col("source_id").alias("from")).distinct()
     return graph.both_ways(r).join(seeds, "from").groupBy(F.col("to").alias("neighbour")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {FACTS}, {RELATIONS}, a AS (SELECT id FROM facts WHERE is_active AND confirmations > 3) SELECT source_id, target_id, relation_type FROM relations WHERE source_id IN (SELECT id FROM a) AND target_id IN (SELECT id FROM a)")
+@query(f"WITH {FACTS}, {RELATIONS}, a AS (SELECT id FROM facts WHERE is_active) SELECT source_id, target_id, relation_type FROM relations WHERE source_id IN (SELECT id FROM a) AND target_id IN (SELECT id FROM a)")
 def join14_both_ends(spark, sf_dir):
-    return graph.inside(relations(spark, sf_dir), facts(spark, sf_dir).where("is_active and confirmations > 3")).select("source_id", "target_id", "relation_type")
+    return graph.inside(relations(spark, sf_dir), facts(spark, sf_dir).where("is_active")).select("source_id", "target_id", "relation_type")
 
 
 @query("SELECT o_orderkey, c_nationkey AS project FROM orders JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_nationkey = c_nationkey AND s_suppkey = o_orderkey % 100 WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
