@@ -1,5 +1,6 @@
 """Semantics that the given tables do not show: traps, permutations, streams, files."""
 
+import hashlib
 import itertools
 import json
 
@@ -194,7 +195,26 @@ def test_transcripts(spark, tmp_path):
     head = transcripts.headers(records).first()
     assert (head["session_id"], head["cwd"], head["is_subthread"]) == (sid, "/w", False)
     got = transcripts.exchanges(records).collect()
-    assert [(r["user_message"], r["assistant_message"], r["line_start"], r["n_tools"], r["n_interrupted"]) for r in got] == [("hi", "hello", 3, 2, 1)]
+    assert [(r["user_message"], r["assistant_message"], r["line_start"], r["line_end"], r["n_tools"], r["n_open"], r["closure_state"]) for r in got] == [("hi", "hello", 3, 8, 2, 1, "closed")]
+    assert got[0]["id"] == hashlib.md5(f"mx:{sid}:u3".encode()).hexdigest()
+
+
+def test_turns_of_tools_alone(spark):
+    say = lambda n, kind, **p: (n, json.dumps({"type": "response_item", "payload": {"type": kind, **p}}))
+    lines = [
+        say(1, "message", role="assistant", content="too early"), say(2, "message", role="user", content=""), say(3, "custom_tool_call", name="a", call_id="x", input="1"), say(4, "custom_tool_call_output", call_id="x", output="ok"),
+        say(5, "custom_tool_call_output", call_id="nobody", output="?"), say(6, "message", role="user", content="[not json"), say(7, "message", role="assistant", content=[{"type": "t", "text": "a"}]), say(8, "message", role="assistant", content="b"),
+        say(9, "message", role="user", content="last"), say(10, "function_call", name="b", call_id="y", arguments="{}"), say(11, "reasoning", content="hm"),
+    ]
+    records = transcripts.parse(spark.createDataFrame([("/t/none.jsonl", n, line) for n, line in lines], "path string, line_no long, line string"))
+    got = [(r["seq"], r["user_message"], r["assistant_message"], r["line_start"], r["line_end"], r["closure_state"], r["n_tools"], r["n_open"]) for r in transcripts.exchanges(records).orderBy("seq").collect()]
+    assert got == [(1, "(tool calls only)", "", 2, 4, "closed", 1, 0), (2, "[not json", "a\n\nb", 6, 8, "closed", 0, 0), (3, "last", "", 9, 10, "interrupted", 1, 1)]
+
+
+def test_cursors(spark):
+    good = one(spark, history.decode_cursor(history.encode_cursor(F.lit("2024-01-01T00:00:00Z"), F.lit("é?~"), F.col("n"))), n=7)
+    assert (good["recorded_at"], good["seq"]) == ("é?~", 7)
+    assert all(one(spark, history.decode_cursor(F.col("c")), c=c) is None for c in ("", "e30", "!!", "AAAA"))
 
 
 def test_generations_count_whole_or_not_at_all(spark, tmp_path):

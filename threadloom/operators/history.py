@@ -28,6 +28,20 @@ def verdict(has_prior: Column, newer: Column, older: Column, rank: Column, prior
     )
 
 
+def encode_cursor(effective_at: Column, recorded_at: Column, seq: Column) -> Column:
+    """A timeline cursor: base64url, without padding, of its JSON."""
+    plain = F.base64(F.encode(F.to_json(F.struct(effective_at.alias("effective_at"), recorded_at.alias("recorded_at"), seq.alias("seq"))), "UTF-8"))
+    return F.regexp_replace(F.translate(plain, "+/", "-_"), r"[=\r\n]+", "")
+
+
+def decode_cursor(cursor: Column) -> Column:
+    """(effective_at, recorded_at, seq) of a cursor; null if it is none."""
+    raw = F.translate(cursor, "-_", "+/")
+    padded = F.rpad(raw, F.length(raw) + F.pmod(-F.length(raw), F.lit(4)), F.lit("="))
+    got = F.from_json(F.decode(F.try_to_binary(padded, F.lit("base64")), "UTF-8"), "effective_at string, recorded_at string, seq bigint")
+    return F.when(got["effective_at"].isNotNull() & got["recorded_at"].isNotNull() & got["seq"].isNotNull(), got)
+
+
 def latest(events: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """The last event of each key by these clocks, as one aggregate (no window, so a hot key is combined early)."""
     return events.groupBy(key).agg(F.max(F.struct(*order, *[c for c in columns if c not in order])).alias("e")).select(key, *(F.col(f"e.{c}").alias(c) for c in columns))

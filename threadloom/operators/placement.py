@@ -130,7 +130,9 @@ def nearest_in_scope(facts: DataFrame, vectors: DataFrame, scope: list[str], thr
         np.fill_diagonal(s, -np.inf)
         if len(set(own)) > 1:
             s[own[:, None] == own[None, :]] = -np.inf
-        at = np.array([np.lexsort((ids, -np.round(row, 9)))[0] for row in s])
+        s = np.round(s, 9)
+        order = np.argsort(ids, kind="stable")  # of equally near facts the first by id
+        at = order[s[:, order].argmax(axis=1)]
         top = s[np.arange(len(ids)), at]
         return pd.DataFrame({"id": ids, "nearest": ids[at], "similarity": top})[top >= threshold]
 

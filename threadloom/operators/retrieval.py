@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.storage import settled
+
 K1, B = 1.2, 0.75
 
 
@@ -28,28 +30,34 @@ def query_tokens(query: str, cap: int = 10, most: int = 6) -> list[str]:
     return list(dict.fromkeys([*longest, *marked]))[:cap]
 
 
-def matches(docs: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
-    """(key, token, tf, doc_len) of the tokens asked for; other tokens are dropped where they are read."""
-    t = docs.select(key, tokens(F.col(text)).alias("t"))
-    wanted = F.array(*map(F.lit, words))
-    hit = t.select(key, F.size("t").alias("doc_len"), F.explode(F.filter("t", lambda x: F.array_contains(wanted, x))).alias("token"))
-    return hit.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+def occurrences(tokens_of: str, word: str) -> Column:
+    return F.size(F.filter(tokens_of, lambda x: x == word))
 
 
-def corpus_size(docs: DataFrame, text: str) -> DataFrame:
-    """One row: documents and their mean length in tokens."""
-    return docs.select(F.size(tokens(F.col(text))).alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len"))
+def matches(docs: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
+    """(key, token, tf, doc_len) of the tokens asked for; a document's tokens are counted where it is read."""
+    t = docs.select(key, tokens(F.col(text)).alias("t"))
+    counts = F.array(*(F.struct(F.lit(w).alias("token"), occurrences("t", w).cast("long").alias("tf")) for w in words))
+    return t.select(key, F.size("t").alias("doc_len"), F.inline(F.filter(counts, lambda c: c["tf"] > 0))).select(key, "token", "tf", "doc_len")
 
 
 def bm25(docs: DataFrame, key: str, text: str, words: list[str], all_words: bool = False) -> DataFrame:
-    """(key, n_tokens, score); with ``all_words`` only documents that hold every token."""
-    hit = matches(docs, key, text, words)
-    df = hit.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    size = corpus_size(docs, text)
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    scored = hit.join(F.broadcast(df), "token").join(F.broadcast(size), how="inner").groupBy(key).agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(idf * norm).alias("score"))
-    return scored.where(F.col("n_tokens") == len(words)) if all_words else scored
+    """(key, n_tokens, score); with ``all_words`` only documents that hold every token.
+
+    Every document is tokenized once, to a row of its length and its counts of the words asked for; what is known of the
+    whole corpus (documents, mean length, documents with each word) is one row of sums over these.
+    """
+    t = docs.select(key, tokens(F.col(text)).alias("t"))
+    names = [f"_tf{i}" for i in range(len(words))]
+    rows = settled(t.select(key, F.size("t").alias("doc_len"), *(occurrences("t", w).alias(n) for w, n in zip(words, names))))
+    size = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"), *(F.count_if(F.col(n) > 0).alias(f"{n}_df") for n in names))
+    score, held = F.lit(0.0), F.lit(0)
+    for n in names:
+        idf = F.log(1 + (F.col("n_docs") - F.col(f"{n}_df") + 0.5) / (F.col(f"{n}_df") + 0.5))
+        norm = F.col(n) * (K1 + 1) / (F.col(n) + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+        score, held = score + F.when(F.col(n) > 0, idf * norm).otherwise(0.0), held + F.when(F.col(n) > 0, 1).otherwise(0)
+    kept = rows.where(" or ".join(f"{n} > 0" for n in names)).join(F.broadcast(size), how="cross").select(key, held.cast("long").alias("n_tokens"), score.alias("score"))
+    return kept.where(F.col("n_tokens") == len(words)) if all_words else kept
 
 
 def ladder(docs: DataFrame, key: str, text: str, words: list[str], limit: int) -> DataFrame:
@@ -62,9 +70,14 @@ def ladder(docs: DataFrame, key: str, text: str, words: list[str], limit: int) -
     has = lambda n: F.size(F.array_intersect("held", F.array(*(F.lit(i) for i in range(1, n + 1))))) == n
     n = len(words)
     rung = F.coalesce(F.when(F.size("held") == n, 0), *(F.when(has(k), i + 1) for i, k in enumerate((4, 3, 2)) if k < n), F.lit(4))
-    ranked = held.select(key, rung.alias("rung")).withColumn("at", F.row_number().over(Window.partitionBy("rung").orderBy(key)))
-    quota = math.ceil(limit / 2)
-    return ranked.orderBy(F.col("at") > quota, "rung", "at").limit(limit).select(key, "rung")
+    return quota_fill(held.select(key, rung.alias("rung")), key, limit)
+
+
+def quota_fill(rungs: DataFrame, key: str, limit: int) -> DataFrame:
+    """(key, rung): each rung first gives its first keys up to half of the limit, then what is left is filled up in rung
+    order. Ranks over the limit are filtered at once, so that Spark keeps ``limit`` rows a rung before it shuffles."""
+    ranked = rungs.withColumn("at", F.row_number().over(Window.partitionBy("rung").orderBy(key))).where(F.col("at") <= limit)
+    return ranked.orderBy(F.col("at") > math.ceil(limit / 2), "rung", "at").limit(limit).select(key, "rung")
 
 
 def l2(v: Column, q: list[float]) -> Column:
@@ -104,6 +117,16 @@ def hybrid(vector_hits: DataFrame, text_hits: DataFrame, key: str, limit: int) -
     return first.select(key, "f.*").orderBy("lane", "at").limit(limit).select(key, "lane", conversation_similarity(F.col("distance")).alias("similarity"))
 
 
+def ordered_union(lanes: list[tuple[DataFrame, list]], key: str) -> DataFrame:
+    """(key, lane, pos): bounded hit lists one after the other, each in its own order; a key keeps its first place."""
+    out = None
+    for n, (hits, order) in enumerate(lanes):
+        part = hits.select(key, F.lit(n).alias("lane"), F.row_number().over(Window.orderBy(*order)).alias("at"))
+        out = part if out is None else out.unionByName(part)
+    first = out.groupBy(key).agg(F.min(F.struct("lane", "at")).alias("f"))
+    return first.select(key, "f.lane", F.row_number().over(Window.orderBy("f.lane", "f.at")).cast("long").alias("pos"))
+
+
 def snippet(text: Column, n: int = 200) -> Column:
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.when(F.length(flat) > n, F.concat(F.substring(flat, 1, n), F.lit("..."))).otherwise(flat)

@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the folder that ``spark.checkpoint.dir`` names; a local session without one gets a
-    temporary folder."""
-    spark = df.sparkSession
+def settled_folder(spark: SparkSession) -> None:
+    """Take the folder that ``spark.checkpoint.dir`` names; a local session without one gets a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="threadloom-"))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint, so that steps after it do not walk what led there again."""
+    settled_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path below the folder that ``settled`` uses."""
+    settled_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
