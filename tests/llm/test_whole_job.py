@@ -43,6 +43,34 @@ def test_near_duplicates_against_brute_force_jaccard(spark, sf_dir):
     assert kept == {find(d) for d in texts} and 10**6 + 1 not in kept
 
 
+def test_forest_of_a_bucket_against_all_pairs():
+    """Graded copies of one text, whose components all exact pairs decide."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 150).astype(np.uint64)
+    sets = []
+    for _ in range(120):
+        own = base.copy()
+        change = rng.choice(150, int(rng.integers(0, 60)), replace=False)
+        own[change] = rng.integers(0, 2**63, len(change)).astype(np.uint64)
+        sets.append(np.unique(own))
+    prints = np.array([shingle_dedup.fingerprint(s) for s in sets], dtype=np.int64).view(np.uint64)
+    refs = rng.integers(0, 2**64, (24, 2), dtype=np.uint64)
+    parent = list(range(120))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    near = {(i, j) for i in range(120) for j in range(i) if shingle_dedup.similarity(sets[i], sets[j]) >= 0.8}
+    forest = shingle_dedup.forest_apart(np.arange(120), prints, sets, refs)
+    assert {(max(e), min(e)) for e in forest} <= near
+    for i, j in near:
+        parent[max(find(i), find(j))] = min(find(i), find(j))
+    roots = [find(i) for i in range(120)]
+    assert 1 < len(set(roots)) < 100 and len(forest) == 120 - len(set(roots))
+
+
 def test_near_duplicates_with_odd_rows(spark):
     rows = [(3, None), (1, ""), (5, "same words here now"), (5, "same words here now"), (None, "same words here now"), (None, "alone"), (9, " \t\n ")]
     kept = shingle_dedup.keep_one(spark.createDataFrame(rows, DOCS))
