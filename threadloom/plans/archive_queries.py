@@ -49,20 +49,6 @@ def src17_exclusion_scan(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.bool_or((F.col("role") == "user") & F.contains("text", F.lit("###"))).alias("excluded"))
 
 
-@query("""WITH gone AS (SELECT user_id FROM events GROUP BY user_id HAVING bool_or(event_type = 'error' AND value > 40)),
-direct AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT user_id FROM gone))
-SELECT count(*) AS kept, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM direct)""")
-def src18_privacy_purge(spark, sf_dir):
-    gone = table(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_or((F.col("event_type") == "error") & (F.col("value") > 40)).alias("x")).where("x").select(F.col("user_id").alias("o_custkey"))
-    direct = table(spark, sf_dir, "orders").join(gone, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, sf_dir, "lineitem").join(direct, "l_orderkey", "left_anti").agg(F.count(F.lit(1)).alias("kept"), F.sum("l_quantity").cast("long").alias("quantity"))
-
-
-@query("""SELECT conv_id, turn, '**' || role || '** ' || text AS markdown FROM conversations WHERE turn BETWEEN 1 AND 3""")
-def src19_render_slice(spark, sf_dir):
-    return turns.lines_between(table(spark, sf_dir, "conversations"), "turn", 1, 3).select("conv_id", "turn", F.concat(F.lit("**"), "role", F.lit("** "), "text").alias("markdown"))
-
-
 @query(f"WITH {EXCHANGES} SELECT id, project, timestamp FROM exchanges WHERE project = 'p3' AND timestamp >= '2024-01-02' AND timestamp <= '2024-01-05'")
 def flt01_search_filters(spark, sf_dir):
     return exchanges(spark, sf_dir).where(scope.search_filters("p3", "2024-01-02", "2024-01-05")).select("id", "project", "timestamp")

@@ -126,23 +126,6 @@ def src22_change_gate(spark, sf_dir):
     return both[0].join(both[1], how="inner").select(F.sha2(F.concat_ws("|", "documents", "labels"), 256).alias("gate"))
 
 
-@query("""SELECT 'orphan-label' AS code, doc_id AS id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'missing-label', doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-UNION ALL SELECT 'missing-vector', doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT 'short-text', doc_id FROM documents WHERE n_chars < 40""")
-def chr17_integrity_audit(spark, sf_dir):
-    d, lab, v = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), table(spark, sf_dir, "embeddings")
-    # One full outer join finds what is missing on either side.
-    sides = d.select("doc_id", F.lit(1).alias("d"), "n_chars").join(lab.select("doc_id", F.lit(1).alias("l")), "doc_id", "full").join(v.select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("v")), "doc_id", "left")
-    codes = F.array_compact(F.array(F.when(F.col("d").isNull(), "orphan-label"), F.when(F.col("d").isNotNull() & F.col("l").isNull(), "missing-label"), F.when(F.col("d").isNotNull() & F.col("v").isNull(), "missing-vector"), F.when(F.col("n_chars") < 40, "short-text")))
-    return sides.select(F.explode(codes).alias("code"), F.col("doc_id").alias("id"))
-
-
-@query("""SELECT c_custkey, CASE WHEN o.n IS NULL THEN 'missing' WHEN o.last_at < TIMESTAMP '1997-01-01' THEN 'outdated' ELSE 'current' END AS state FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last_at FROM orders GROUP BY 1) o ON o_custkey = c_custkey""")
-def chr19_index_verification(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last_at"))
-    state = F.when(F.col("last_at").isNull(), "missing").when(F.col("last_at") < F.lit("1997-01-01").cast("timestamp"), "outdated").otherwise("current")
-    return table(spark, sf_dir, "customer").join(o, "c_custkey", "left").select("c_custkey", state.alias("state"))
-
-
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2""")
 def str_tumbling_window(spark, sf_dir):
     return windows.tumbling(table(spark, sf_dir, "events"), "1 hour")

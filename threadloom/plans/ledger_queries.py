@@ -43,12 +43,6 @@ def job10_coalesced(spark, sf_dir):
     return ledger.coalesced(c, "user_id", "event_id", F.col("size"), F.col("event_type") == "purchase")
 
 
-@query("SELECT o_orderpriority AS kind, o_orderstatus AS state, count(*) AS n, count(CASE WHEN o_totalprice > 300000 THEN 1 END) AS dismissed FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' GROUP BY 1, 2")
-def job12_job_list(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp"))
-    return o.groupBy(F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("state")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") > 300000).alias("dismissed"))
-
-
 @query("""WITH s AS (SELECT *, lag(event_type) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(CASE WHEN b = event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM s),
 t AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS total FROM r) SELECT event_id, total, (total - 1) % 3 + 1 AS consecutive, total % 3 = 0 AS forced FROM t""")
 def str18_starvation(spark, sf_dir):

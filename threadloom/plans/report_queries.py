@@ -62,25 +62,12 @@ def agg08_monthly_timeline(spark, sf_dir):
     return per.orderBy(F.desc("month")).limit(12).orderBy("month")
 
 
-@query("""SELECT source, count(*) AS files, count(l.doc_id) AS summarised FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source""")
-def agg09_summary_coverage(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("has")), "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.count("has").alias("summarised"))
-
-
 @query("""SELECT user_id % 5 AS project, event_type AS tool, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id % 5 ORDER BY count(*) DESC, event_type) <= 8""")
 def agg11_tool_frequency(spark, sf_dir):
     per = table(spark, sf_dir, "events").where("event_type <> 'view'").groupBy((F.col("user_id") % 5).alias("project"), F.col("event_type").alias("tool")).agg(F.count(F.lit(1)).alias("n"))
     return per.withColumn("r", F.row_number().over(Window.partitionBy("project").orderBy(F.desc("n"), "tool"))).where("r <= 8").drop("r")
 
 
-@query("""WITH p AS (SELECT event_type AS first_tool, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS then_tool FROM events)
-SELECT first_tool, then_tool, count(*) AS n FROM p WHERE then_tool IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY n DESC, first_tool, then_tool LIMIT 5""")
-def agg12_tool_bigrams(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    p = table(spark, sf_dir, "events").select(F.col("event_type").alias("first_tool"), F.lead("event_type").over(w).alias("then_tool")).where("then_tool is not null")
-    return p.groupBy("first_tool", "then_tool").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").orderBy(F.desc("n"), "first_tool", "then_tool").limit(5)
-
-
 @query("""SELECT a.l_returnflag AS first_flag, b.l_returnflag AS then_flag, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_shipdate < b.l_shipdate GROUP BY 1, 2""")
 def join04_theta_self_join(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
@@ -89,11 +76,6 @@ def join04_theta_self_join(spark, sf_dir):
     return a.join(b, (a["l_orderkey"] == b["l_orderkey"]) & (F.col("d1") < F.col("d2"))).groupBy("first_flag", "then_flag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT source AS project, count(*) AS n, count(DISTINCT lang) AS branches, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY source""")
-def agg13_project_profile(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("project")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("branches"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-
-
 @query(f"""WITH {EXCHANGES}, r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY timestamp DESC, id DESC) AS k FROM exchanges)
 SELECT project, session_id, timestamp, id FROM r WHERE k = 1""")
 def agg14_last_session(spark, sf_dir):
@@ -136,24 +118,6 @@ def agg20_job_counters(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("kind")).agg(*(F.count_if(F.col("o_orderstatus") == s).alias(s.lower()) for s in "FOP"))
 
 
-@query("""SELECT 'orders' AS metric, count(*) AS value FROM orders UNION ALL SELECT 'open', count(*) FROM orders WHERE o_orderstatus = 'O'
-UNION ALL SELECT 'customers_idle', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'busy', count(*) FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) >= 10)""")
-def agg21_pipeline_status(spark, sf_dir):
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    # The orders' counters come of one scan, unpivoted; each of the others needs its own grouping.
-    first = o.agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("o_orderstatus") == "O").alias("open")).unpivot([], ["orders", "open"], "metric", "value")
-    idle = c.join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").agg(F.lit("customers_idle").alias("metric"), F.count(F.lit(1)).alias("value"))
-    busy = o.groupBy("o_custkey").count().where("count >= 10").agg(F.lit("busy").alias("metric"), F.count(F.lit(1)).alias("value"))
-    return first.unionByName(idle).unionByName(busy)
-
-
-@query("""SELECT lang, round(count(CASE WHEN quality = 1 THEN 1 END) / nullif(count(quality), 0), 6) AS recall, round(count(CASE WHEN toxic = 0 AND quality = 1 THEN 1 END) / nullif(count(CASE WHEN quality = 1 THEN 1 END), 0), 6) AS precision FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""")
-def agg23_eval_metrics(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    good = F.count_if(F.col("quality") == 1)
-    return d.groupBy("lang").agg(F.round(F.try_divide(good, F.count("quality")), 6).alias("recall"), F.round(F.try_divide(F.count_if((F.col("toxic") == 0) & (F.col("quality") == 1)), good), 6).alias("precision"))
-
-
 @query("""SELECT o_custkey AS fact_id, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS evidence FROM orders GROUP BY o_custkey""")
 def agg24_evidence_union(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("fact_id")).agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("evidence"))
@@ -233,11 +197,6 @@ def job07_contiguous_ranges(spark, sf_dir):
     return o.withColumn("island", island).groupBy("user_id", "event_type", "island").agg(F.min("n").alias("first_n"), F.max("n").alias("last_n"), F.count(F.lit(1)).alias("k")).where("k >= 3").select("user_id", "event_type", "first_n", "last_n")
 
 
-@query("""SELECT lower(p_brand) AS name, min_by(p_partkey, (p_size, p_partkey)) AS keeper FROM part GROUP BY 1""")
-def dat07_resolve_category(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(F.lower("p_brand").alias("name")).agg(F.min(F.struct("p_size", "p_partkey"))["p_partkey"].alias("keeper"))
-
-
 @query("""SELECT user_id, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) WHEN count(event_type) = 0 THEN NULL ELSE 'mixed' END AS language FROM events GROUP BY user_id""")
 def dat12_language_summary(spark, sf_dir):
     s = F.collect_set("event_type")

@@ -95,13 +95,6 @@ def chr18_source_snapshot(spark, sf_dir):
     return d.join(tools, tools["vec_id"] == d["doc_id"] * 2, "left").select("doc_id", F.when(F.col("vec_id").isNotNull(), snapshot).alias("snapshot"))
 
 
-@query("""WITH p AS (SELECT page_id, url AS old, rtrim(regexp_replace(url, '^http://', 'https://'), '/') AS new FROM pages) SELECT page_id, substr(sha256(old), 1, 8) AS old_key, substr(sha256(new), 1, 8) AS new_key FROM p WHERE old <> new""")
-def chr20_migration_plan(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("old"), F.regexp_replace(F.regexp_replace("url", "^http://", "https://"), "/+$", "").alias("new"))
-    key = lambda c: F.substring(F.sha2(c, 256), 1, 8)
-    return p.where("old <> new").select("page_id", key("old").alias("old_key"), key("new").alias("new_key"))
-
-
 _MORE = "w AS (SELECT DISTINCT l_partkey * 2 AS source_id, l_suppkey * 2 + 1 AS target_id, CASE WHEN l_linenumber % 2 = 0 THEN 'SUPPORTS' ELSE 'RELATES' END AS relation_type FROM lineitem WHERE l_quantity > 40)"
 
 

@@ -97,15 +97,6 @@ def ext08_evidence_receipts(spark, sf_dir):
     return f.join(sound, "id", "left_semi").select("id", F.sha2("fact", 256).alias("fact_hash"))
 
 
-@query(f"""WITH {FACTS} SELECT 'embedding' AS stage, count(*) AS pending FROM facts WHERE is_active AND id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT 'consolidation', count(*) FROM facts WHERE is_active AND confirmations = 0
-UNION ALL SELECT 'review', count(*) FROM facts WHERE is_active AND flagged = 1""")
-def agg22_backlog(spark, sf_dir):
-    f = facts(spark, sf_dir).where("is_active")
-    pending = lambda df, stage: df.agg(F.count(F.lit(1)).alias("pending")).select(F.lit(stage).alias("stage"), "pending")
-    missing = f.select("id").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), "id", "left_anti")
-    return pending(missing, "embedding").unionByName(pending(f.where("confirmations = 0"), "consolidation")).unionByName(pending(f.where("flagged = 1"), "review"))
-
-
 @query(f"WITH {_PLACED} SELECT id, tier FROM placed WHERE (project_id = 'src3' AND tier IN ('workspace', 'decision')) OR scope_type = 'global'")
 def flt09_browse_facts(spark, sf_dir):
     own = (F.col("project_id") == "src3") & F.col("tier").isin("workspace", "decision")
