@@ -22,8 +22,8 @@ def dominant_script(text: Column) -> Column:
 
 
 def normalized_fact(text: Column) -> Column:
-    """Lower case, single spaces, no closing stops."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), r"[.!。]+$", "")
+    """Lower case, single spaces, no closing stops (stops that white space follows stay), then trimmed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[\s\x{0b}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+", " "), r"[.!。]+\z", ""))
 
 
 def storage_key(path: Column) -> Column:

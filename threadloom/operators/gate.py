@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from threadloom.operators import gate_tables as fixed
 from threadloom.operators.history import WHITE, WORD_EDGE, jaccard
 
+# The same characters as the end of a class that holds others too.
+IN_CLASS = r"\t\n\f\r " + WHITE[3:]
 BY_TERM = {"memory": fixed.MEMORY, "trace": fixed.TRACE, "high_impact": fixed.HIGH_IMPACT}
 
 
@@ -17,7 +19,7 @@ def trimmed(text: Column) -> Column:
 
 def fits(text: Column, pattern: str) -> Column:
     """Does a pattern of the tables fit? Word edges are those of ASCII words in any engine."""
-    return text.rlike(pattern.replace("\\b", WORD_EDGE).replace("\\s", WHITE))
+    return text.rlike(pattern.replace("\\b", WORD_EDGE).replace("\\s]", IN_CLASS).replace("\\s", WHITE))
 
 
 def _among(words) -> Column:

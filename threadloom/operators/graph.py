@@ -63,3 +63,17 @@ def crossing(edges: DataFrame, nodes: DataFrame, group: str) -> DataFrame:
     a = nodes.select(F.col("id").alias("source_id"), F.col(group).alias("source_group"))
     b = nodes.select(F.col("id").alias("target_id"), F.col(group).alias("target_group"))
     return edges.join(a, "source_id").join(b, "target_id").where("source_group <> target_group")
+
+
+def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, name, n): nodes (id, category, domain) by category and domain, edges between them by type."""
+    by = lambda df, kind, c: df.groupBy(F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
+    return by(nodes, "category", "category").unionByName(by(nodes, "domain", "domain")).unionByName(by(inside(edges, nodes), "relation", "relation_type"))
+
+
+def edge_per_neighbour(edges: DataFrame) -> DataFrame:
+    """(node, neighbour, relation_type): the one edge that is shown of all between two nodes, seen from either end:
+    contradictions first, then superseding, supporting, others, then the oldest. A minimum, so it combines early."""
+    links = both_ways(edges).withColumn("p", priority())
+    best = links.groupBy(F.col("from").alias("node"), F.col("to").alias("neighbour")).agg(F.min(F.struct("p", "created_at", "relation_type")).alias("b"))
+    return best.select("node", "neighbour", "b.relation_type")

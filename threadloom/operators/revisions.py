@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.operators.history import jaccard
-from threadloom.operators.retrieval import tokens
-
 
 def replicate(incoming: DataFrame, local: DataFrame, tombs: DataFrame, key: str, content: str) -> DataFrame:
     """(key, outcome) of replicated events: tombstoned, duplicate, conflict or insert."""
@@ -64,12 +61,21 @@ def tier_moves(facts: DataFrame, slot: list[str], text: str, stream: str) -> Dat
     return g.select(*slot, F.when(F.col("texts") > 1, "blocked").when(F.col("streams") > 1, "promote").otherwise("stay").alias("move"))
 
 
-def match_patterns(signatures: DataFrame, key: str, text: str, recent: Column, probe: str, least: float, limit: int, newest: int = 500) -> DataFrame:
-    """(key, score) of the newest signatures: one if the probe holds it (20 characters or more), else Jaccard of words."""
-    words = F.array_distinct(tokens(F.lit(probe)))
-    score = F.when((F.length(text) >= 20) & F.contains(F.lit(probe), F.col(text)), F.lit(1.0)).otherwise(jaccard(F.array_distinct(tokens(F.col(text))), words))
-    kept = signatures.orderBy(recent, key).limit(newest).select(key, score.alias("score")).where(F.col("score") >= least)
-    return kept.orderBy(F.desc("score"), key).limit(limit)
+def match_patterns(signatures: DataFrame, probes: DataFrame, least: float = 0.5, limit: int = 5, newest: int = 500) -> DataFrame:
+    """(probe_id, key, score, place) of the known signatures (key, text, episodes, last_at) that texts (probe_id, text)
+    bring to mind; both texts are normalised signatures.
+
+    The newest signatures are asked: one counts whole if the probe holds it (20 characters or more), else by the Jaccard
+    similarity of words of three characters or more. Best first, then those with more episodes, then by key.
+    """
+    words = lambda t: F.array_distinct(F.filter(F.split(t, "[^a-z0-9_]+"), lambda w: F.length(w) >= 3))
+    asked = signatures.orderBy(F.desc("last_at"), "key").limit(newest).select("key", F.col("text").alias("_s"), "episodes", words(F.col("text")).alias("_sw"))
+    met = probes.select("probe_id", F.col("text").alias("_p"), words(F.col("text")).alias("_pw")).join(F.broadcast(asked), how="cross")
+    union = F.size(F.array_union("_sw", "_pw"))
+    score = F.when((F.length("_s") >= 20) & F.contains("_p", F.col("_s")), F.lit(1.0)).when((F.size("_sw") > 0) & (union > 0), F.size(F.array_intersect("_sw", "_pw")) / union).otherwise(F.lit(0.0))
+    best = Window.partitionBy("probe_id").orderBy(F.desc("score"), F.desc("episodes"), "key")
+    found = met.select("probe_id", "key", "episodes", score.alias("score")).where(F.col("score") >= least)
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("probe_id", "key", "score", "place")
 
 
 def check_candidates(candidates: DataFrame, turns: DataFrame, key: list[str], span: str, text: str, bounds: tuple[int, int] = (5, 200)) -> DataFrame:

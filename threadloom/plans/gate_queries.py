@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threadloom.operators import gate, history
+from threadloom.operators import gate, history, injection
 from threadloom.operators import gate_tables as fixed
-from threadloom.plans.base import query, table
+from threadloom.operators.retrieval import dot
+from threadloom.plans.base import FACTS, RELATIONS, facts, query, relations, table
 
 SUFFIXES = ("", " do you remember", " why did it fail", " please migrate it now", " and keep the history", " 클라이언트를 다시 바꿔줘", " (related work)", " what was decided?")
 WHOLE = ("Thanks!", "okay, go ahead", "  ", "계속해줘", "no, the other one", "continue", "not that", "looks good so far, thanks", "이어서 하자", "go")
@@ -24,7 +25,8 @@ def _trim(x: str) -> str:
 
 
 def _fits(x: str, pattern: str) -> str:
-    return f"regexp_matches({x}, '{pattern.replace(chr(92) + 's', gate.WHITE)}')"
+    space = chr(92) + "s"
+    return f"regexp_matches({x}, '{pattern.replace(space + ']', gate.IN_CLASS).replace(space, gate.WHITE)}')"
 
 
 def _tokens(x: str) -> str:
@@ -137,3 +139,50 @@ def dat09_explain_decision(spark, sf_dir):
     p = F.col("prompt")
     fired = gate.explain(p)
     return prompts(spark, sf_dir).select("conv_id", "turn", gate.decide(p, {})["action"].alias("action"), F.size(fired).cast("long").alias("n_fired"), F.try_element_at(fired, F.lit(1)).alias("first_fired"))
+
+
+_ELIGIBLE = f"(u <> '' AND NOT (starts_with(u, '<command-name>') OR starts_with(u, 'Caveat:')) AND NOT regexp_matches(u, '{injection.SLASH_COMMAND}'))"
+
+
+@query(f"""WITH {PROMPTS}, w AS (SELECT conv_id, turn, n, before, CASE conv_id % 9 WHEN 0 THEN '/clear' WHEN 1 THEN '<command-name>' || own WHEN 2 THEN 'why?' WHEN 3 THEN 'go ahead' ELSE own END AS u FROM said)
+SELECT conv_id, turn, {_ELIGIBLE} AS eligible, {_ELIGIBLE} AND (turn % 5 = 0 OR CASE WHEN {_fits('u', injection.RATIFICATION)} THEN before IS NOT NULL ELSE NOT {_fits('u', injection.CONTEXT_ONLY)} END) AS anchor FROM w""")
+def flt20_context_anchors(spark, sf_dir):
+    k, u = F.col("conv_id") % 9, F.col("prompt")
+    said = F.when(k == 0, "/clear").when(k == 1, F.concat(F.lit("<command-name>"), gate.trimmed(u))).when(k == 2, "why?").when(k == 3, "go ahead").otherwise(u)
+    p = prompts(spark, sf_dir).withColumn("u", said)
+    return p.select("conv_id", "turn", injection.context_eligible(F.col("u")).alias("eligible"), injection.candidate_anchor(F.col("u"), F.col("turn") % 5 == 0, F.col("before").isNotNull()).alias("anchor"))
+
+
+def _sql_dot(a: str, b: str) -> str:
+    return f"round(list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 9)"
+
+
+# Held facts of a session: their current form or an old one.
+_HELD = "held AS (SELECT conv_id AS session, id, id % 3 <> 0 AS current FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN v ON v.id % 200 = conv_id % 200)"
+_BASE = [((i * 29) % 17 - 8) / 50.0 for i in range(64)]
+
+
+@query(f"""WITH {PROMPTS}, {_PAIRS}, {_decisions()}, {FACTS}, {RELATIONS}, v AS (SELECT id, project, scope_type, embedding FROM facts JOIN embeddings ON vec_id = id WHERE is_active), {_HELD},
+ask AS (SELECT d.conv_id * 1000 + d.turn AS request_id, d.conv_id AS session, 'src' || (d.conv_id % 20) AS project, contains(d.triggers, 'explicit_memory_intent') AS trace, e.embedding AS q FROM decided d JOIN embeddings e ON vec_id = d.conv_id WHERE action = 'retrieve'),
+hit AS (SELECT request_id, session, trace, v.id, {_sql_dot('v.embedding', 'q')} AS similarity, {_sql_dot('q', str(_BASE))} AS baseline, CASE WHEN (v.id + session) % 40 = 0 THEN 2 END AS lexical FROM ask JOIN v ON v.project = ask.project OR v.scope_type = 'global'),
+best AS (SELECT *, CASE WHEN lexical IS NULL THEN 'semantic' ELSE 'lexical' END AS lane FROM hit WHERE lexical IS NOT NULL OR similarity - baseline >= 0.045 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY lexical DESC NULLS LAST, similarity DESC, id) <= 5),
+ways AS (SELECT source_id AS f, target_id AS t, relation_type, created_at FROM relations UNION ALL SELECT target_id, source_id, relation_type, created_at FROM relations),
+near AS (SELECT request_id, session, t AS id, relation_type, CASE relation_type WHEN 'CONTRADICTS' THEN 0 WHEN 'SUPERSEDES' THEN 1 WHEN 'SUPPORTS' THEN 2 ELSE 3 END AS p FROM best JOIN ways ON f = id WHERE trace QUALIFY row_number() OVER (PARTITION BY request_id, t ORDER BY p, created_at, f) = 1),
+sees AS (SELECT DISTINCT session, v.id FROM ask JOIN v ON v.project = ask.project OR v.scope_type = 'global'),
+rel AS (SELECT request_id, session, id, CASE WHEN relation_type = 'SUPPORTS' THEN 1.0 ELSE 0.7 END AS relevance FROM near n WHERE (session, id) IN (SELECT (session, id) FROM sees) AND (request_id, id) NOT IN (SELECT (request_id, id) FROM best) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY relevance DESC, p, id) <= 3),
+found AS (SELECT request_id, session, id, lane, similarity AS relevance FROM best UNION ALL SELECT request_id, session, id, 'related', relevance FROM rel),
+given AS (SELECT request_id, id, lane, relevance FROM found WHERE (session, id) NOT IN (SELECT (session, id) FROM held) UNION ALL SELECT request_id, held.id, 'correction', 1.0 FROM ask JOIN held ON held.session = ask.session AND NOT current)
+SELECT request_id, id, lane, round(CAST(relevance AS DOUBLE), 6) AS relevance, CAST(row_number() OVER (PARTITION BY request_id ORDER BY CASE lane WHEN 'correction' THEN 0 WHEN 'lexical' THEN 1 WHEN 'semantic' THEN 2 ELSE 3 END, relevance DESC, id) AS INTEGER) AS place FROM given""")
+def gat13_injection(spark, sf_dir):
+    k, d = F.col("conv_id"), prompts(spark, sf_dir).withColumn("d", gate.decide(F.col("prompt"), gate_state())).where("d.action = 'retrieve'")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    v = facts(spark, sf_dir).where("is_active").select("id", "project", "scope_type").join(e.withColumnRenamed("vec_id", "id"), "id")
+    ask = d.select((k * 1000 + F.col("turn")).alias("request_id"), k.alias("session"), F.concat(F.lit("src"), (k % 20).cast("string")).alias("project"), F.array_contains("d.triggers", "explicit_memory_intent").alias("trace")).join(e.select(F.col("vec_id").alias("session"), F.col("embedding").alias("q")), "session")
+    # Each session meets the facts of its own project and, apart from these, the global ones that are left.
+    own = ask.join(v, "project")
+    shared = ask.join(v.where("scope_type = 'global'").withColumnRenamed("project", "_of"), F.col("project") != F.col("_of")).drop("_of")
+    met = own.unionByName(shared)
+    probe = F.array(*map(F.lit, _BASE))
+    hits = met.select("request_id", "id", F.round(dot(F.col("embedding"), F.col("q")), 9).alias("similarity"), F.round(dot(F.col("q"), probe), 9).alias("baseline"), F.when((F.col("id") + F.col("session")) % 40 == 0, 2).alias("lexical_score"))
+    held = table(spark, sf_dir, "conversations").select("conv_id").distinct().join(v.select("id", (F.col("id") % 200).alias("m")), k % 200 == F.col("m")).select(k.alias("session"), "id", (F.col("id") % 3 != 0).alias("current"))
+    return injection.inject(ask.select("request_id", "session", "trace"), hits, relations(spark, sf_dir), met.select("session", "id").distinct(), held)

@@ -183,12 +183,13 @@ def win10_even_spread(spark, sf_dir):
     return lanes.spread(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 7).select("user_id", "event_id")
 
 
-@query(f"WITH {RELATIONS}, e AS (SELECT source_id AS node, target_id AS neighbour, relation_type, created_at FROM relations UNION ALL SELECT target_id, source_id, relation_type, created_at FROM relations) SELECT node, neighbour, relation_type FROM e QUALIFY row_number() OVER (PARTITION BY node, neighbour % 64 ORDER BY CASE relation_type WHEN 'CONTRADICTS' THEN 0 WHEN 'SUPERSEDES' THEN 1 WHEN 'SUPPORTS' THEN 2 ELSE 3 END, created_at, neighbour) = 1")
+@query("""WITH l AS (SELECT l_partkey * 2 AS s, l_suppkey * 2 + 1 AS t, (['SUPPORTS', 'RELATES', 'CONTRADICTS', 'SUPERSEDES'])[CAST(l_linenumber % 4 + 1 AS INTEGER)] AS relation_type, l_shipdate AS created_at FROM lineitem), e AS (SELECT s AS node, t AS neighbour, relation_type, created_at FROM l UNION ALL SELECT t, s, relation_type, created_at FROM l)
+SELECT node, neighbour, relation_type FROM e QUALIFY row_number() OVER (PARTITION BY node, neighbour ORDER BY CASE relation_type WHEN 'CONTRADICTS' THEN 0 WHEN 'SUPERSEDES' THEN 1 WHEN 'SUPPORTS' THEN 2 ELSE 3 END, created_at, relation_type) = 1""")
 def win03_edge_priority(spark, sf_dir):
-    # One edge for each neighbour group; a minimum by (priority, age, id) combines early where a window would not.
-    links = graph.both_ways(relations(spark, sf_dir)).withColumn("p", graph.priority())
-    best = links.groupBy(F.col("from").alias("node"), (F.col("to") % 64).alias("g")).agg(F.min(F.struct("p", "created_at", F.col("to").alias("neighbour"), "relation_type")).alias("b"))
-    return best.select("node", "b.neighbour", "b.relation_type")
+    # Every line is an edge of its own, so a pair has several, of different types.
+    kinds = F.array(*map(F.lit, ("SUPPORTS", "RELATES", "CONTRADICTS", "SUPERSEDES")))
+    edges = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 2).alias("source_id"), (F.col("l_suppkey") * 2 + 1).alias("target_id"), F.element_at(kinds, (F.col("l_linenumber") % 4 + 1).cast("int")).alias("relation_type"), F.col("l_shipdate").alias("created_at"))
+    return graph.edge_per_neighbour(edges)
 
 
 @query("SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 40")

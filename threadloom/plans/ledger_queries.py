@@ -198,9 +198,11 @@ def join13_other_end(spark, sf_dir):
     return relations(spark, sf_dir).where(here).select(F.when(F.col("source_id") == 40, F.col("target_id")).otherwise(F.col("source_id")).alias("other"), "relation_type")
 
 
-@query(r"""WITH t AS (SELECT doc_id, regexp_replace(trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')), '[.!。]+$', '') AS t FROM documents) SELECT doc_id, md5(t) AS normal FROM t""")
+@query(r"""WITH t AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 1 THEN ' !. ' WHEN 2 THEN '...' WHEN 3 THEN '。 ' ELSE '' END AS text FROM documents) SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g'), '[.!。]+$', ''), ' ')) AS normal FROM t""")
 def ext04_normal_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalized_fact(F.col("text"))).alias("normal"))
+    k = F.col("doc_id") % 4
+    end = F.when(k == 1, " !. ").when(k == 2, "...").when(k == 3, "。 ").otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalized_fact(F.concat("text", end))).alias("normal"))
 
 
 @query("""WITH p AS (SELECT conv_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin, length(regexp_replace(text, '[^가-힣]', '', 'g')) AS hangul FROM conversations WHERE role = 'user') SELECT conv_id, CASE WHEN sum(hangul) * 2.5 > sum(latin) THEN 'ko' WHEN sum(latin) > sum(hangul) * 2.5 THEN 'en' END AS language, CAST(sum(latin) AS BIGINT) AS latin FROM p GROUP BY 1""")
@@ -242,10 +244,12 @@ def agg25_signature_recount(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("episodes"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
 
 
-@query(f"WITH {FACTS}, {RELATIONS}, n AS (SELECT id FROM facts WHERE is_active) SELECT 'category' AS kind, category AS name, count(*) AS n FROM facts WHERE is_active GROUP BY 2 UNION ALL SELECT 'relation', relation_type, count(*) FROM relations WHERE source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n) GROUP BY 2")
+_DOMAIN = "CASE WHEN category IN ('en', 'de') THEN 'germanic' WHEN category IN ('fr', 'es') THEN 'romance' END"
+
+
+@query(f"WITH {FACTS}, {RELATIONS}, n AS (SELECT id FROM facts WHERE is_active) SELECT 'category' AS kind, category AS name, count(*) AS n FROM facts WHERE is_active GROUP BY 2 UNION ALL SELECT 'domain', {_DOMAIN}, count(*) FROM facts WHERE is_active GROUP BY 2 UNION ALL SELECT 'relation', relation_type, count(*) FROM relations WHERE source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n) GROUP BY 2")
 def agg10_graph_stats(spark, sf_dir):
-    from threadloom.operators.graph import inside
+    from threadloom.operators.graph import stats
 
-    f = facts(spark, sf_dir).where("is_active").select("id", "category")
-    by = lambda df, kind, c: df.groupBy(F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
-    return by(f, "category", "category").unionByName(by(inside(relations(spark, sf_dir), f), "relation", "relation_type"))
+    f = facts(spark, sf_dir).where("is_active").select("id", "category", F.expr(_DOMAIN).alias("domain"))
+    return stats(f, relations(spark, sf_dir))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text
-from threadloom.operators import gate, graph, retrieval, revisions
+from threadloom.operators import gate, graph, history, retrieval, revisions
 from threadloom.plans.base import FACTS, RELATIONS, facts, query, relations, table
 
 def _dot(a: str, b: str) -> str:
@@ -150,15 +150,19 @@ def src23_validate_generations(spark, sf_dir):
     return revisions.validate_generations(files.where(~wrong(11, "part-3")), manifest)
 
 
-_PROBE = "is it that the of and with by for on are at"
+_SIGNATURE = "lower(coalesce(text, ''))"
+for _pattern, _name in history.SIGNATURE:
+    _SIGNATURE = f"regexp_replace({_SIGNATURE}, '{_pattern}', '{_name}', 'g')"
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(text, '[^a-z0-9_]+'), lambda w: length(w) >= 3))"
 
 
-@query(f"""WITH s AS (SELECT doc_id, substr(text, 1, 120) AS sig FROM documents ORDER BY doc_id DESC LIMIT 500), t AS (SELECT doc_id, sig, list_distinct(list_filter(regexp_split_to_array(lower(sig), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS a, string_split('{_PROBE}', ' ') AS b FROM s),
-j AS (SELECT doc_id, CASE WHEN length(sig) >= 20 AND contains('{_PROBE}', sig) THEN 1.0::DOUBLE WHEN len(a) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END AS score FROM t)
-SELECT doc_id, round(score, 6) AS score FROM j WHERE score >= 0.1 ORDER BY j.score DESC, doc_id LIMIT 20""")
+@query(f"""WITH d AS (SELECT doc_id, substr(trim(regexp_replace({_SIGNATURE}, '{history.WHITE}+', ' ', 'g'), ' '), 1, 240) AS text FROM documents), s AS (SELECT substr(sha256(text), 1, 24) AS key, text, count(*) AS episodes, max(doc_id) AS last_at FROM d GROUP BY text), n AS (SELECT *, {_WORDS} AS sw FROM s ORDER BY last_at DESC, key LIMIT 500),
+p AS (SELECT doc_id AS probe_id, text AS p, {_WORDS} AS pw FROM d), j AS (SELECT probe_id, key, episodes, CASE WHEN length(text) >= 20 AND contains(p, text) THEN 1.0 WHEN len(sw) > 0 THEN len(list_intersect(sw, pw)) / len(list_distinct(list_concat(sw, pw))) ELSE 0.0 END AS score FROM p, n)
+SELECT probe_id, key, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY probe_id ORDER BY j.score DESC, episodes DESC, key) AS INTEGER) AS place FROM j WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY j.score DESC, episodes DESC, key) <= 5""")
 def inc05_pattern_match(spark, sf_dir):
-    s = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 120).alias("sig"))
-    return revisions.match_patterns(s, "doc_id", "sig", F.desc("doc_id"), _PROBE, 0.1, 20).withColumn("score", F.round("score", 6))
+    d = table(spark, sf_dir, "documents").select("doc_id", history.signature(F.col("text")).alias("text"))
+    known = d.groupBy("text").agg(F.count(F.lit(1)).alias("episodes"), F.max("doc_id").alias("last_at")).select(F.substring(F.sha2("text", 256), 1, 24).alias("key"), "text", "episodes", "last_at")
+    return revisions.match_patterns(known, d.withColumnRenamed("doc_id", "probe_id")).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT c.event_id AS call_id, r.event_id AS result_id, r.event_id IS NULL AS interrupted FROM (SELECT event_id, user_id FROM events WHERE event_type = 'click') c LEFT JOIN (SELECT event_id, user_id FROM events WHERE event_type = 'purchase') r ON r.event_id = c.event_id + 1")
