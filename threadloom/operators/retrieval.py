@@ -30,6 +30,16 @@ def query_tokens(query: str, cap: int = 10, most: int = 6) -> list[str]:
     return list(dict.fromkeys([*longest, *marked]))[:cap]
 
 
+def capped_tokens(text: Column, most: int = 6, cap: int = 10) -> Column:
+    """``query_tokens`` as an expression: the words of a query, or of more than ``most`` the longest (earlier ones first),
+    then those with digits and short capitals, ``cap`` at most."""
+    raw = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    words = F.array_distinct(F.transform(raw, F.lower))
+    longest = F.slice(F.array_sort(F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))), 1, most)
+    marked = F.filter(raw, lambda t: t.rlike("[0-9]") | (F.length(t).between(2, 4) & t.rlike(r"^[\p{Lu}0-9]*\p{Lu}[\p{Lu}0-9]*$")))
+    return F.when(F.size(words) <= most, words).otherwise(F.slice(F.array_distinct(F.concat(F.transform(longest, lambda x: x["w"]), F.transform(marked, F.lower))), 1, cap))
+
+
 def occurrences(tokens_of: str, word: str) -> Column:
     return F.size(F.filter(tokens_of, lambda x: x == word))
 

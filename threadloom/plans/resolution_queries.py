@@ -193,3 +193,17 @@ def set04_ordered_union(spark, sf_dir):
 def top05_timeline_cursor(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", history.encode_cursor(F.date_format("ts", "yyyy-MM-dd"), F.col("event_type"), F.col("event_id")).alias("cursor"))
     return e.withColumn("c", history.decode_cursor(F.col("cursor"))).select("event_id", "cursor", "c.seq", "c.recorded_at")
+
+
+def _ordered(x: str) -> str:
+    """A list without what it has already had, in order."""
+    return f"list_transform(list_filter(list_zip({x}, range(1, len({x}) + 1)), lambda p: list_position({x}, p[1]) = p[2]), lambda p: p[1])"
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, 30) ELSE 'API v2 ' || text || ' HTTP 404' END, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS raw FROM conversations), l AS (SELECT *, list_transform(raw, lambda t: lower(t)) AS low FROM r), w AS (SELECT *, {_ordered('low')} AS words FROM l),
+k AS (SELECT *, list_transform(list_sort(list_transform(list_zip(words, range(1, len(words) + 1)), lambda p: {{'n': -length(p[1]), 'i': p[2], 'w': p[1]}}))[1:6], lambda x: x.w) AS longest, list_transform(list_filter(raw, lambda t: regexp_matches(t, '[0-9]') OR (length(t) BETWEEN 2 AND 4 AND regexp_matches(t, '^[\\p{{Lu}}0-9]*\\p{{Lu}}[\\p{{Lu}}0-9]*$'))), lambda t: lower(t)) AS marked FROM w), c AS (SELECT *, list_concat(longest, marked) AS both_ FROM k)
+SELECT conv_id, turn, array_to_string(CASE WHEN len(words) <= 6 THEN words ELSE ({_ordered('both_')})[1:10] END, ',') AS tokens FROM c""")
+def ret04_token_cap(spark, sf_dir):
+    t = F.col("turn") % 4
+    said = F.when(t == 0, F.col("text")).when(t == 1, F.substring("text", 1, 30)).otherwise(F.concat(F.lit("API v2 "), "text", F.lit(" HTTP 404")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(retrieval.capped_tokens(said), ",").alias("tokens"))

@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadloom.operators.storage import scratch
+from threadloom.operators.turns import lines_between
 from threadloom.plans.base import query, table
 from threadloom.sources import transcripts
 
-LINES = """said AS (SELECT conv_id, turn, role, text, role <> 'user' AND (conv_id + turn) % 4 = 1 AS is_call FROM conversations),
-lines AS (SELECT DISTINCT conv_id, -1 AS turn, 0 AS k, 'meta' AS kind, NULL AS text FROM conversations UNION ALL SELECT conv_id, turn, 0, CASE WHEN role = 'user' THEN 'user' WHEN is_call THEN 'call' ELSE 'reply' END, CASE WHEN NOT is_call THEN text END FROM said
+LINES = """said AS (SELECT conv_id, turn, role, text, role = 'assistant' AND (conv_id + turn) % 4 = 1 AS is_call FROM conversations),
+lines AS (SELECT DISTINCT conv_id, -1 AS turn, 0 AS k, 'meta' AS kind, NULL AS text FROM conversations UNION ALL SELECT conv_id, turn, 0, CASE WHEN role = 'user' THEN 'user' WHEN is_call THEN 'call' WHEN role = 'assistant' THEN 'reply' ELSE 'note' END, CASE WHEN NOT is_call THEN text END FROM said
     UNION ALL SELECT conv_id, turn, 1, 'output', NULL FROM said WHERE is_call AND (conv_id + turn) % 3 <> 0),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) AS line_no FROM lines)"""
 
@@ -19,7 +20,7 @@ def rollouts(spark, sf_dir):
     """Records of transcripts, one file a conversation: some replies are tool calls, some calls never get an output."""
     c, k = table(spark, sf_dir, "conversations"), F.col("conv_id") + F.col("turn")
     line = lambda payload, kind="response_item": F.to_json(F.struct(F.lit(kind).alias("type"), payload.alias("payload")))
-    call = (F.col("role") != "user") & (k % 4 == 1)
+    call = (F.col("role") == "assistant") & (k % 4 == 1)
     name = F.concat(F.lit("c"), F.col("turn").cast("string")).alias("call_id")
     own = F.when(call, line(F.struct(F.lit("function_call").alias("type"), F.lit("run").alias("name"), name, F.lit("{}").alias("arguments")))).otherwise(line(F.struct(F.lit("message").alias("type"), "role", F.col("text").alias("content"))))
     output = F.when(call & (k % 3 != 0), line(F.struct(F.lit("function_call_output").alias("type"), name, F.lit("ok").alias("output"))))
@@ -39,7 +40,7 @@ def src01_discovery(spark, sf_dir):
     return transcripts.headers(transcripts.parse(lines)).join(sizes, "path").select("session_id", "cwd", "is_subthread", "n_lines")
 
 
-@query(f"""WITH {LINES}, t AS (SELECT *, sum(CASE WHEN kind = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY line_no) AS t FROM numbered WHERE kind <> 'meta'),
+@query(f"""WITH {LINES}, t AS (SELECT *, sum(CASE WHEN kind = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY line_no) AS t FROM numbered WHERE kind NOT IN ('meta', 'note')),
 g AS (SELECT conv_id, t, min(line_no) AS line_start, max(line_no) AS line_end, max(CASE WHEN kind = 'user' THEN text END) AS u, coalesce(string_agg(CASE WHEN kind = 'reply' THEN text END, chr(10) || chr(10) ORDER BY line_no), '') AS a,
     count(CASE WHEN kind = 'reply' THEN 1 END) AS n_replies, count(CASE WHEN kind = 'call' THEN 1 END) AS n_tools, count(CASE WHEN kind = 'call' THEN 1 END) - count(CASE WHEN kind = 'output' THEN 1 END) AS n_open FROM t WHERE t > 0 GROUP BY 1, 2),
 k AS (SELECT *, max(t) OVER (PARTITION BY conv_id) AS last_t FROM g)
@@ -89,3 +90,13 @@ def src26_journal_capture(spark, sf_dir):
     looks = looks.withColumns({"file_id": F.floor(F.col("n") / 25), "size": F.col("n") * 100 - F.when(k % 13 == 0, 250).when(k % 7 == 0, 100).otherwise(0), "whole": F.md5(F.concat(u, F.lit(":"), F.when(k % 7 == 0, k).otherwise(F.col("n")).cast("string")))})
     looks = looks.withColumns({"complete": F.col("size") - F.col("size") % 64, "head": F.when(k % 29 == 0, "x").otherwise(F.lag("whole").over(w))})
     return transcripts.captured(looks, "user_id", "n")
+
+
+@query(f"WITH {LINES} SELECT 'conv-' || conv_id AS session_id, line_no, CASE kind WHEN 'user' THEN 'message:user' WHEN 'reply' THEN 'message:assistant' WHEN 'note' THEN 'message:system' WHEN 'call' THEN 'function_call' ELSE 'function_call_output' END AS kind, md5(text) AS text FROM numbered WHERE line_no BETWEEN 2 AND 9")
+def src09_read_slice(spark, sf_dir):
+    # An inclusive slice of lines of every transcript, streamed from the files.
+    lines = rollouts(spark, sf_dir)
+    heads = transcripts.headers(transcripts.parse(lines)).select("path", "session_id")
+    shown = transcripts.parse(lines_between(lines, "line_no", 2, 9))
+    kind = F.concat_ws(":", F.col("p.type"), F.col("p.role"))
+    return shown.join(heads, "path").select("session_id", "line_no", kind.alias("kind"), F.md5(transcripts.message_text(F.col("p.content"))).alias("text"))
