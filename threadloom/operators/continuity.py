@@ -41,6 +41,25 @@ def tail_baton(turns: DataFrame, session: str, order: str, text: str, last: int
     return tail.groupBy(session).agg(F.count(F.lit(1)).alias("n_turns"), F.array_join(lines, "\n").alias("baton"))
 
 
+def rehydration_items(carry: DataFrame, facts: DataFrame, turns: DataFrame, hot: DataFrame) -> DataFrame:
+    """(session_id, section, rank, text): what a session is told when its context starts anew, for ``render_bundle``.
+
+    ``carry`` (session_id, fact_id, generation) is what it held; ``facts`` (fact_id, generation, is_active, fact) what is
+    so now: a fact that changed or was retired comes as a correction, one that is as it was comes again, one that is
+    gone does not. ``turns`` (session_id, line_start, user_message) give the last turns, ``hot`` (session_id, ref, text)
+    evidence that nothing has distilled yet.
+    """
+    now = facts.select("fact_id", F.col("generation").alias("_now"), "is_active", "fact")
+    held = carry.join(now, "fact_id")
+    changed = F.col("_now") != F.col("generation")
+    section = F.when(~F.col("is_active") | changed, "correction").otherwise("fact")
+    told = F.when(~F.col("is_active"), F.concat(F.lit("No longer active: "), "fact")).when(changed, F.concat(F.lit("Updated (supersedes earlier context): "), "fact")).otherwise(F.col("fact"))
+    known = held.select("session_id", section.alias("section"), F.col("fact_id").cast("long").alias("rank"), told.alias("text"))
+    last = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("line_start")))
+    tail = turns.withColumn("_k", last).where(F.col("_k") <= TAIL_TURNS).select("session_id", F.lit("tail").alias("section"), F.col("line_start").cast("long").alias("rank"), clip_line(F.coalesce("user_message", F.lit(""))).alias("text"))
+    return known.unionByName(tail).unionByName(hot.select("session_id", F.lit("hot").alias("section"), F.col("ref").cast("long").alias("rank"), "text"))
+
+
 def render_bundle(items: DataFrame, owner: str, section: str, rank: list, text: str, sections: dict[str, tuple[str, int]]) -> DataFrame:
     """(owner, bundle, n_lines, truncated): sections in the order of ``sections`` (name: heading, most items).
 

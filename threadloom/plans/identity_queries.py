@@ -155,6 +155,18 @@ def str12_tail_baton(spark, sf_dir):
     return continuity.tail_baton(exchanges(spark, sf_dir), "session_id", "line_start", "user_message")
 
 
+@query(f"""WITH {EXCHANGES}, c AS (SELECT l_orderkey % 90 AS session_id, l_partkey AS fact_id, max(l_linenumber) AS generation FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2), f AS (SELECT p_partkey AS fact_id, p_size % 8 AS generation, p_size % 5 <> 0 AS is_active, p_name AS fact FROM part WHERE p_partkey % 50 <> 7),
+t AS (SELECT session_id, line_start, {clip_sql("coalesce(user_message, '')")} AS line, row_number() OVER (PARTITION BY session_id ORDER BY line_start DESC) AS k FROM exchanges)
+SELECT session_id, CASE WHEN NOT is_active OR f.generation <> c.generation THEN 'correction' ELSE 'fact' END AS section, fact_id AS rank, CASE WHEN NOT is_active THEN 'No longer active: ' WHEN f.generation <> c.generation THEN 'Updated (supersedes earlier context): ' ELSE '' END || fact AS text FROM c JOIN f USING (fact_id)
+UNION ALL SELECT session_id, 'tail', line_start, line FROM t WHERE k <= 8 UNION ALL SELECT user_id, 'hot', event_id, props FROM events WHERE event_type = 'error'""")
+def str13_rehydration(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    carry = li.groupBy((F.col("l_orderkey") % 90).alias("session_id"), F.col("l_partkey").alias("fact_id")).agg(F.max("l_linenumber").alias("generation"))
+    now = table(spark, sf_dir, "part").where("p_partkey % 50 <> 7").select(F.col("p_partkey").alias("fact_id"), (F.col("p_size") % 8).alias("generation"), (F.col("p_size") % 5 != 0).alias("is_active"), F.col("p_name").alias("fact"))
+    hot = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("ref"), F.col("props").alias("text"))
+    return continuity.rehydration_items(carry, now, exchanges(spark, sf_dir), hot)
+
+
 SECTIONS = {"decision": ("[Decisions]", 3), "human": ("[Stated]", 4), "tool": ("[Observed]", 2)}
 
 
