@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 512
+SPLITS = 4
 _FOLDERS: dict[str, str] = {}
 
 
@@ -57,8 +58,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def partitions_for(df: DataFrame) -> int:
-    """Partitions for a shuffle of whole rows of ``df``: as many as its input has, the session's number at least."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    """Partitions for a shuffle of whole rows of ``df``: one for ``SPLITS`` partitions of its input (half a gigabyte with
+    Spark's own split size), the session's number at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions() // SPLITS)
 
 
 def open_fs(uri: str):

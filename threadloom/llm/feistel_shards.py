@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import materialize
 
 SEED = 20240229
+RANGE_ROWS = 10_000_000
 ROUNDS = 6
 
 
@@ -55,10 +56,10 @@ def walked(once: Column, n: int, seed: int = SEED) -> Column:
 def numbered(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     """``rows`` with a gapless ``row_number`` from 0 in this order, and how many there are.
 
-    The rows are sorted into ranges and written once; the first number of a range is the count of rows in the ranges
+    The rows are sorted into ranges of ``RANGE_ROWS`` or fewer and written once; the first number of a range is the count of rows in the ranges
     before it, from one count per range.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // RANGE_ROWS)
     at = F.monotonically_increasing_id()
     kept = materialize(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"range": F.shiftright(at, 33), "place": at.bitwiseAND(F.lit((1 << 33) - 1))}), "row-numbers")
     sizes = kept.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
