@@ -56,24 +56,54 @@ def stream_id(project: Column, branch: Column) -> Column:
     return F.concat(F.lit("ws-"), F.substring(F.sha2(F.coalesce(own, default), 256), 1, 32))
 
 
-def bind_sessions(sessions: DataFrame, bound: DataFrame, streams: DataFrame) -> DataFrame:
+# What the best topic must reach, and by how much it must lead the next.
+TOPIC_SCORE, TOPIC_LEAD = 0.45, 0.15
+
+
+def topic_streams(sessions: DataFrame, capsules: DataFrame) -> DataFrame:
+    """(session_id, topic_stream, topic_score): the active stream of a session's project whose capsule (stream_id, project,
+    text) its first prompt resembles clearly best. Sessions have session_id, project, prompt.
+
+    Words are shared before streams are compared, so a session meets only streams of its project with a word in common.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_-]{2,}"), F.lit(0)))
+    ask = sessions.select("session_id", "project", words(F.col("prompt")).alias("w")).select("session_id", "project", F.size("w").alias("n"), F.explode("w").alias("word"))
+    have = capsules.select("stream_id", "project", words(F.col("text")).alias("w")).select("stream_id", "project", F.size("w").alias("m"), F.explode("w").alias("word"))
+    shared = ask.join(have, ["project", "word"]).groupBy("session_id", "stream_id", "n", "m").agg(F.count(F.lit(1)).alias("k"))
+    scored = shared.select("session_id", "stream_id", (F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("score"))
+    order = Window.partitionBy("session_id").orderBy(F.desc("score"), "stream_id")
+    best = scored.withColumn("place", F.row_number().over(order)).where("place <= 2").groupBy("session_id").agg(F.max(F.when(F.col("place") == 1, F.struct("score", "stream_id"))).alias("b"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("next"))
+    clear = (F.col("b.score") >= TOPIC_SCORE) & (F.col("b.score") - F.coalesce("next", F.lit(0.0)) >= TOPIC_LEAD)
+    return best.where(clear).select("session_id", F.col("b.stream_id").alias("topic_stream"), F.col("b.score").alias("topic_score"))
+
+
+def bind_sessions(sessions: DataFrame, bound: DataFrame, streams: DataFrame, topics: DataFrame | None = None) -> DataFrame:
     """(session_id, stream, reason, confidence) for sessions (session_id, project, workspace, explicit, branch, default_branch).
 
     A session that ``bound`` (session_id, old_stream) knows resumes; else an explicit stream of the same project, the
     only active stream of workspace and branch, and last the stream that project and branch name. An explicit stream
-    of another project is rejected.
+    of another project is rejected. ``topics`` (see ``topic_streams``) decides for sessions without a branch of their own
+    whose project has no default stream yet.
     """
     own = streams.select(F.col("stream_id").alias("explicit"), F.col("project").alias("explicit_project"))
     active = streams.where("active and branch is not null").groupBy("project", "workspace", "branch").agg(F.min("stream_id").alias("only"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    signal = F.when(~F.col("branch").eqNullSafe(F.col("default_branch")), F.nullif(F.trim("branch"), F.lit("")))
     all_ = sessions.join(bound, "session_id", "left").join(own, "explicit", "left").join(active, ["project", "workspace", "branch"], "left")
-    signal = F.when(~F.col("branch").eqNullSafe(F.col("default_branch")), F.col("branch"))
+    all_ = all_.withColumns({"_signal": signal, "_named": stream_id(F.col("project"), signal)})
+    if topics is None:
+        all_ = all_.withColumns({"topic_stream": F.lit(None).cast("string"), "topic_score": F.lit(None).cast("double")})
+    else:
+        known = streams.select(F.col("stream_id").alias("_named"), F.lit(True).alias("_known")).distinct()
+        all_ = all_.join(topics, "session_id", "left").join(known, "_named", "left")
+        all_ = all_.withColumn("topic_stream", F.when(F.col("_known").isNull() & F.col("_signal").isNull(), F.col("topic_stream")))
     same = F.col("explicit_project").eqNullSafe(F.col("project"))
     reason = (
         F.when(F.col("old_stream").isNotNull(), "resume-exact").when(F.col("explicit").isNotNull() & same, "explicit").when(F.col("explicit").isNotNull(), "rejected")
-        .when(F.col("only").isNotNull(), "unique-workspace-branch").when(signal.isNotNull(), "workspace-branch").otherwise("project-default")
+        .when(F.col("only").isNotNull(), "unique-workspace-branch").when(F.col("topic_stream").isNotNull(), "strong-topic-margin").when(F.col("_signal").isNotNull(), "workspace-branch").otherwise("project-default")
     )
-    stream = F.coalesce("old_stream", F.when(same, F.col("explicit")), F.when(F.col("explicit").isNull(), F.coalesce(F.col("only"), stream_id(F.col("project"), signal))))
-    return all_.select("session_id", stream.alias("stream"), reason.alias("reason"), F.when(reason == "unique-workspace-branch", BRANCH_CONFIDENCE).when(reason != "rejected", 1.0).alias("confidence"))
+    stream = F.coalesce("old_stream", F.when(same, F.col("explicit")), F.when(F.col("explicit").isNull(), F.coalesce("only", "topic_stream", "_named")))
+    confidence = F.when(reason == "unique-workspace-branch", BRANCH_CONFIDENCE).when(reason == "strong-topic-margin", F.col("topic_score")).when(reason != "rejected", 1.0)
+    return all_.select("session_id", stream.alias("stream"), reason.alias("reason"), confidence.alias("confidence"))
 
 
 def location_changes(seen: DataFrame, workspace: str, kind: str, order: list[str]) -> DataFrame:

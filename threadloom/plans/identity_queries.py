@@ -65,6 +65,29 @@ def idn02_bind_session(spark, sf_dir):
     return identity.bind_sessions(sessions, bound, streams)
 
 
+_TOPIC_WORDS = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_-]{2,}'))"
+
+
+@query(f"""WITH u AS (SELECT conv_id, conv_id % 7 AS project, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, {_TOPIC_WORDS} AS w FROM conversations WHERE role = 'user'),
+s AS (SELECT conv_id AS session_id, project, w, CASE WHEN conv_id % 5 = 0 THEN 'feature' END AS branch FROM u WHERE n = 1), c AS (SELECT 'k' || conv_id AS stream_id, project, w FROM u WHERE n = 1 AND conv_id % 2 = 0),
+j AS (SELECT session_id, stream_id, len(list_intersect(s.w, c.w)) / len(list_distinct(list_concat(s.w, c.w))) AS score FROM s JOIN c USING (project) WHERE len(list_intersect(s.w, c.w)) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, stream_id) AS p FROM j), b AS (SELECT session_id, max(CASE WHEN p = 1 THEN stream_id END) AS topic, max(CASE WHEN p = 1 THEN score END) AS score, coalesce(max(CASE WHEN p = 2 THEN score END), 0) AS runner FROM r WHERE p <= 2 GROUP BY 1),
+t AS (SELECT s.*, CASE WHEN branch IS NULL AND project <> 3 AND score >= 0.45 AND score - runner >= 0.15 THEN topic END AS topic, score FROM s LEFT JOIN b USING (session_id))
+SELECT session_id, coalesce(topic, 'ws-' || substr(sha256(CASE WHEN branch IS NULL THEN 'workstream-project-default-v1' || chr(0) || project || chr(0) ELSE 'workstream-branch-v1' || chr(0) || project || chr(0) || branch || chr(0) END), 1, 32)) AS stream,
+CASE WHEN topic IS NOT NULL THEN 'strong-topic-margin' WHEN branch IS NOT NULL THEN 'workspace-branch' ELSE 'project-default' END AS reason, CASE WHEN topic IS NOT NULL THEN round(score, 6) ELSE 1.0 END AS confidence FROM t""")
+def idn02_topic_binding(spark, sf_dir):
+    k = F.col("conv_id")
+    first = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
+    nothing = F.lit(None).cast("string")
+    sessions = first.select(k.alias("session_id"), (k % 7).alias("project"), nothing.alias("workspace"), nothing.alias("explicit"), F.when(k % 5 == 0, "feature").alias("branch"), nothing.alias("default_branch"), "prompt")
+    capsules = first.where("conv_id % 2 = 0").select(F.concat(F.lit("k"), k.cast("string")).alias("stream_id"), (k % 7).alias("project"), F.col("prompt").alias("text"))
+    # One project has its default stream already, so topics have no say there.
+    streams = capsules.select("stream_id", "project").unionByName(first.select(identity.stream_id(F.lit(3), nothing).alias("stream_id"), F.lit(3).cast("long").alias("project")).distinct())
+    streams = streams.select("stream_id", "project", nothing.alias("workspace"), nothing.alias("branch"), F.lit(True).alias("active"))
+    bound = sessions.select("session_id", nothing.alias("old_stream")).limit(0)
+    return identity.bind_sessions(sessions, bound, streams, identity.topic_streams(sessions, capsules)).withColumn("confidence", F.round("confidence", 6))
+
+
 @query("""WITH m AS (SELECT user_id AS workspace, ts, event_type AS to_kind, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_kind FROM events)
 SELECT workspace, from_kind, to_kind, min(ts) AS first_at, 'wsloc-' || substr(sha256(workspace || '|' || from_kind || '|' || to_kind), 1, 32) AS event_id FROM m WHERE from_kind <> to_kind GROUP BY 1, 2, 3""")
 def idn05_location_changes(spark, sf_dir):
