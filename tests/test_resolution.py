@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import audit, classification, injection, resolution, revisions
+from threadloom.operators import audit, classification, injection, requests, resolution, revisions
 
 ASKED = "request_id long, scope string, project string, project_id string, workspace_id string, workstream_id string, session_id string"
 
@@ -80,3 +80,17 @@ def test_pattern_matches_are_ordered(spark):
     probe = spark.createDataFrame([(1, "timeout in <path> while reading")], "probe_id long, text string")
     got = [(r["key"], r["score"]) for r in revisions.match_patterns(known, probe).orderBy("place").collect()]
     assert got[0] == ("k1", 1.0) and got[1][0] == "k2" and 0.5 <= got[1][1] < 1
+
+
+@pytest.mark.parametrize("wrong", [{"query": "a"}, {"query": " a "}, {"query": "x" * 10_001}, {"query": ("one",)}, {"query": ("ab",) * 6}, {"query": "ab", "limit": 0}, {"query": "ab", "limit": 51}, {"query": "ab", "mode": "all"}, {"query": "ab", "after": "2024-1-1"}, {"query": "ab", "ids": {"project_id": "short"}}, {"query": "ab", "limit": True}])
+def test_bounds_of_requests(wrong):
+    with pytest.raises(ValueError):
+        requests.Search(**wrong)
+
+
+def test_a_bounded_search(spark):
+    rows = spark.createDataFrame([(1, "p", "2024-01-02T00:00:00.000Z", "red fox jumps"), (2, "p", "2024-01-02T00:00:00.000Z", "red red car"), (3, "q", "2024-01-02T00:00:00.000Z", "red fox"), (4, "p", "2024-01-09T00:00:00.000Z", "fox")], "id long, project string, timestamp string, user_message string")
+    got = requests.search_text(rows, requests.Search("red fox", project="p", before="2024-01-05", ids={"session_id": "abcd"}))
+    assert [r["id"] for r in got.collect()] == [1, 2]
+    with pytest.raises(ValueError):
+        requests.explore(rows, rows, hops=4)
