@@ -116,9 +116,14 @@ def test_gate(spark, text, state, want):
 
 
 def test_gate_overlay(spark):
-    assert one(spark, gate.decide(F.col("t"), {"has_topic_embedding": F.lit(True)}, disabled=("memory.en.why", "trace.en.why")), t="why")["action"] == "ambiguous"
+    assert one(spark, gate.decide(F.col("t"), {"has_topic_embedding": F.lit(True)}, gate.Overlay(disabled=("memory.en.why", "trace.en.why"))), t="why")["action"] == "ambiguous"
     assert one(spark, gate.decide(F.col("t"), {}, user_hits={"high_impact": F.lit(True)}), t="hello")["triggers"] == ["high_impact_intent"]
     assert one(spark, gate.explain(F.col("t")), t="why is history so?") == ["memory.en.history-plain", "memory.en.history", "memory.en.why", "trace.en.history-plain", "trace.en.history", "trace.en.why"]
+    assert one(spark, gate.decide(F.col("t"), {}, gate.Overlay(add_words={"ack": ("merci",)})), t="merci")["skip_reason"] == "acknowledgement"
+    assert one(spark, gate.decide(F.col("t"), {"informative": F.lit(2)}, gate.Overlay(limits={"safety_refresh": 2})), t="one two three")["triggers"] == ["safety_refresh"]
+    for wrong in ({"disabled": ("nothing",)}, {"add_words": {"nope": ()}}, {"limits": {"safety_refresh": 0}}, {"limits": {"drift_min_tokens": 2.5}}, {"limits": {"other": 1}}):
+        with pytest.raises(ValueError):
+            gate.Overlay(**wrong)
     assert one(spark, gate.resolve_ambiguous(F.lit("ambiguous"), F.lit(0.5), F.lit(0.43)), t="x") == "retrieve"
 
 

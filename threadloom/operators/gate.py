@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,43 @@ IN_CLASS = r"\t\n\f\r " + WHITE[3:]
 BY_TERM = {"memory": fixed.MEMORY, "trace": fixed.TRACE, "high_impact": fixed.HIGH_IMPACT}
 
 
+LEXICONS = {"ack": fixed.ACK_WORDS, "continue": fixed.CONTINUE_WORDS, "filler": fixed.FILLER_WORDS}
+PATTERN_IDS = frozenset(i for terms in (*BY_TERM.values(), fixed.ACKNOWLEDGEMENT, fixed.CONTINUATION, fixed.MINOR_CORRECTION) for i, _ in terms)
+
+
+@dataclass(frozen=True)
+class Overlay:
+    """What a user changes: patterns switched off by id, words added to or taken from a lexicon (ack, continue, filler),
+    limits. Unknown names and limits out of bounds are errors."""
+
+    disabled: tuple[str, ...] = ()
+    add_words: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    drop_words: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    limits: dict[str, float] = field(default_factory=dict)
+
+    def __post_init__(self):
+        unknown = [*(set(self.disabled) - PATTERN_IDS), *(set(self.add_words) - set(LEXICONS)), *(set(self.drop_words) - set(LEXICONS)), *(set(self.limits) - set(fixed.LIMITS))]
+        if unknown:
+            raise ValueError(f"unknown in an overlay: {sorted(unknown)}")
+        for name, value in self.limits.items():
+            default, least, greatest = fixed.LIMITS[name]
+            if isinstance(value, bool) or not least <= value <= greatest or isinstance(default, int) and not isinstance(value, int):
+                raise ValueError(f"{name} must be from {least} to {greatest}: {value!r}")
+
+    def words(self, lexicon: str) -> list[str]:
+        gone = set(self.drop_words.get(lexicon, ()))
+        return list(dict.fromkeys([*(w for w in LEXICONS[lexicon] if w not in gone), *self.add_words.get(lexicon, ())]))
+
+    def limit(self, name: str):
+        return self.limits.get(name, fixed.LIMITS[name][0])
+
+    def active(self, patterns):
+        return [(i, p) for i, p in patterns if i not in self.disabled]
+
+
+BUILT_IN = Overlay()
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
 
@@ -44,33 +83,34 @@ def prompt_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(stems, keep))
 
 
-def intents(text: Column, disabled: tuple[str, ...] = (), user_hits: dict[str, Column] | None = None) -> Column:
+def intents(text: Column, overlay: Overlay = BUILT_IN, user_hits: dict[str, Column] | None = None) -> Column:
     """A struct of flags: memory, trace, high_impact, acknowledgement, continuation.
 
-    An overlay may disable patterns by id and add hits of its own: ``user_hits`` maps an intent to a flag.
+    ``user_hits`` maps an intent to a flag of the user's own patterns.
     """
     hits = {k: F.coalesce(v, F.lit(False)) for k, v in (user_hits or {}).items()}
     extra = lambda name: hits.get(name, F.lit(False))
-    active = lambda patterns: [(i, p) for i, p in patterns if i not in disabled]
     own = trimmed(text)
     words = F.filter(F.split(F.lower(own), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
-    empty = _among([*fixed.ACK_WORDS, *fixed.CONTINUE_WORDS, *fixed.FILLER_WORDS])
+    lexicons = {name: overlay.words(name) for name in LEXICONS}
+    empty = _among([w for lexicon in lexicons.values() for w in lexicon])
     idle = (F.size(words) > 0) & F.forall(words, lambda t: F.array_contains(empty, t))
     any_of = lambda lexicon: F.exists(words, lambda t: F.array_contains(_among(lexicon), t))
-    ack = _any(own, active(fixed.ACKNOWLEDGEMENT)) | extra("acknowledgement") | (idle & any_of(fixed.ACK_WORDS))
-    goes_on = _any(own, active(fixed.CONTINUATION)) | extra("continuation") | (idle & ~ack & any_of(fixed.CONTINUE_WORDS))
-    asked = {name: (fits(own, f"(?i)({'|'.join(p for _, p in active(patterns))})") if active(patterns) else F.lit(False)) | extra(name) for name, patterns in BY_TERM.items()}
+    ack = _any(own, overlay.active(fixed.ACKNOWLEDGEMENT)) | extra("acknowledgement") | (idle & any_of(lexicons["ack"]))
+    goes_on = _any(own, overlay.active(fixed.CONTINUATION)) | extra("continuation") | (idle & ~ack & any_of(lexicons["continue"]))
+    fires = lambda terms: fits(own, f"(?i)({'|'.join(p for _, p in terms)})") if terms else F.lit(False)
+    asked = {name: fires(overlay.active(patterns)) | extra(name) for name, patterns in BY_TERM.items()}
     return F.struct(*(flag.alias(name) for name, flag in asked.items()), ack.alias("acknowledgement"), goes_on.alias("continuation"))
 
 
-def explain(text: Column, disabled: tuple[str, ...] = ()) -> Column:
+def explain(text: Column, overlay: Overlay = BUILT_IN) -> Column:
     """Ids of the patterns that fire, table by table, the last of a table first."""
     own = trimmed(text)
     terms = [(i, f"(?i){p}") for patterns in BY_TERM.values() for i, p in reversed(patterns)] + [*reversed(fixed.ACKNOWLEDGEMENT), *reversed(fixed.CONTINUATION)]
-    return F.array_compact(F.array(*(F.when(fits(own, p), F.lit(i)) for i, p in terms if i not in disabled)))
+    return F.array_compact(F.array(*(F.when(fits(own, p), F.lit(i)) for i, p in overlay.active(terms))))
 
 
-def decide(text: Column, state: dict[str, Column], disabled: tuple[str, ...] = (), user_hits: dict[str, Column] | None = None) -> Column:
+def decide(text: Column, state: dict[str, Column], overlay: Overlay = BUILT_IN, user_hits: dict[str, Column] | None = None) -> Column:
     """A struct: action (retrieve, skip, ambiguous), triggers, skip_reason, topic_overlap.
 
     ``state`` may hold topic (tokens), resident (tokens), has_topic_embedding, informative, epoch, last_epoch,
@@ -80,11 +120,11 @@ def decide(text: Column, state: dict[str, Column], disabled: tuple[str, ...] = (
     """
     get = lambda name, default: F.coalesce(state[name], F.lit(default)) if name in state else F.lit(default)
     listed = lambda name: F.coalesce(state[name], F.array().cast("array<string>")) if name in state else F.array().cast("array<string>")
-    tokens, said, own = prompt_tokens(text), intents(text, disabled, user_hits), trimmed(text)
+    tokens, said, own = prompt_tokens(text), intents(text, overlay, user_hits), trimmed(text)
     n, topic, resident = F.size(tokens), listed("topic"), listed("resident")
     overlap = F.when(F.size(topic) > 0, jaccard(tokens, topic))
     idle = said["acknowledgement"] | said["continuation"]
-    substantive = ~idle & ((n >= fixed.SUBSTANTIVE_MIN_TOKENS) | said["memory"] | said["high_impact"])
+    substantive = ~idle & ((n >= overlay.limit("substantive_min_tokens")) | said["memory"] | said["high_impact"])
     entered = F.when(F.coalesce(state["last_source"], F.lit("")) == "compact", "compact_first_prompt") if "last_source" in state else F.when(F.lit(False), "")
     entered = entered.when(get("last_epoch", 0) < 0, "first_substantive_in_epoch").otherwise("context_epoch_changed")
     names = lambda *tests: F.array_compact(F.array(*(F.when(c, F.lit(t) if isinstance(t, str) else t) for c, t in tests)))
@@ -94,16 +134,16 @@ def decide(text: Column, state: dict[str, Column], disabled: tuple[str, ...] = (
         (get("capsule", 0) > get("capsule_seen", 0), "capsule_generation_changed"), (get("last_epoch", 0) != get("epoch", 0), entered),
     )
     signs = names(
-        (said["high_impact"], "high_impact_intent"), (get("informative", 0) >= fixed.SAFETY_REFRESH, "safety_refresh"),
-        (F.coalesce((n >= fixed.DRIFT_MIN_TOKENS) & (overlap < fixed.DRIFT_JACCARD), F.lit(False)), "topic_drift"),
-        ((n >= fixed.COVERAGE_MIN_TOKENS) & (F.size(resident) > 0) & (F.size(F.array_intersect(tokens, resident)) == 0), "low_resident_coverage"),
+        (said["high_impact"], "high_impact_intent"), (get("informative", 0) >= overlay.limit("safety_refresh"), "safety_refresh"),
+        (F.coalesce((n >= overlay.limit("drift_min_tokens")) & (overlap < overlay.limit("drift_jaccard")), F.lit(False)), "topic_drift"),
+        ((n >= overlay.limit("coverage_min_tokens")) & (F.size(resident) > 0) & (F.size(F.array_intersect(tokens, resident)) == 0), "low_resident_coverage"),
     )
-    trifle = (_any(own, [(i, p) for i, p in fixed.MINOR_CORRECTION if i not in disabled]) | F.coalesce((user_hits or {}).get("minor_correction", F.lit(False)), F.lit(False))) & (n <= fixed.ACK_MAX_TOKENS + 2)
+    trifle = (_any(own, overlay.active(fixed.MINOR_CORRECTION)) | F.coalesce((user_hits or {}).get("minor_correction", F.lit(False)), F.lit(False))) & (n <= overlay.limit("ack_max_tokens") + fixed.CORRECTION_TOKENS)
     skip = (
         F.when(own == "", "empty_prompt").when(F.size(news) > 0, "")
-        .when(idle & (n <= fixed.ACK_MAX_TOKENS), F.when(said["acknowledgement"], "acknowledgement").otherwise("continuation"))
+        .when(idle & (n <= overlay.limit("ack_max_tokens")), F.when(said["acknowledgement"], "acknowledgement").otherwise("continuation"))
         .when(~substantive & trifle, "minor_correction").when(F.size(signs) > 0, "")
-        .when(~substantive & (overlap >= fixed.SHORT_COHERENT_JACCARD), "continuation").when(overlap >= fixed.COHERENT_JACCARD, "coherent_topic").otherwise("")
+        .when(~substantive & (overlap >= fixed.SHORT_COHERENT_JACCARD), "continuation").when(overlap >= overlay.limit("coherent_jaccard"), "coherent_topic").otherwise("")
     )
     none = F.array().cast("array<string>")
     fired = F.when(skip != "", none).when(F.size(news) > 0, news).when(F.size(signs) > 0, signs).when(~get("has_topic_embedding", False), F.array(F.lit("no_topic_embedding"))).otherwise(none)
@@ -111,9 +151,9 @@ def decide(text: Column, state: dict[str, Column], disabled: tuple[str, ...] = (
     return F.struct(action.alias("action"), fired.alias("triggers"), F.when(skip != "", skip).alias("skip_reason"), overlap.alias("topic_overlap"))
 
 
-def resolve_ambiguous(decision: Column, similarity: Column, baseline: Column) -> Column:
+def resolve_ambiguous(decision: Column, similarity: Column, baseline: Column, overlay: Overlay = BUILT_IN) -> Column:
     """The action once the prompt's similarity to the topic is known (null: the topic has no vector)."""
-    coherent = F.coalesce(similarity - baseline >= fixed.COHERENT_MARGIN, F.lit(False))
+    coherent = F.coalesce(similarity - baseline >= overlay.limit("coherent_margin"), F.lit(False))
     return F.when(decision != "ambiguous", decision).when(coherent, "skip").otherwise("retrieve")
 
 

@@ -64,7 +64,9 @@ STOPWORDS = (
 KOREAN_ENDING = "(해주세요|해줘요|합니다|하세요|했어요|해요|해줘|해봐|하자|할까|했어|했다|한다|해서|에서|에게|한테|으로|까지|부터|처럼|이랑|은|는|이|가|을|를|의|에|로|와|과|도|만|랑)$"
 KOREAN = r"[\x{3131}-\x{D79D}]"
 
-# Limits of the decision.
-ACK_MAX_TOKENS, SAFETY_REFRESH = 4, 6
-DRIFT_JACCARD, DRIFT_MIN_TOKENS, COVERAGE_MIN_TOKENS = 0.12, 5, 8
-COHERENT_MARGIN, SUBSTANTIVE_MIN_TOKENS, COHERENT_JACCARD, SHORT_COHERENT_JACCARD = 0.08, 5, 0.35, 0.3
+# Limits of the decision, name -> (default, least, greatest); and two that nobody sets.
+LIMITS = {
+    "ack_max_tokens": (4, 0, 32), "safety_refresh": (6, 1, 100), "drift_jaccard": (0.12, 0.0, 1.0), "drift_min_tokens": (5, 1, 100),
+    "coverage_min_tokens": (8, 1, 100), "coherent_margin": (0.08, 0.0, 1.0), "substantive_min_tokens": (5, 1, 100), "coherent_jaccard": (0.35, 0.0, 1.0),
+}
+SHORT_COHERENT_JACCARD, CORRECTION_TOKENS = 0.3, 2

@@ -12,7 +12,7 @@ from threadloom.plans.base import FACTS, RELATIONS, facts, query, relations, tab
 
 SUFFIXES = ("", " do you remember", " why did it fail", " please migrate it now", " and keep the history", " 클라이언트를 다시 바꿔줘", " (related work)", " what was decided?")
 WHOLE = ("Thanks!", "okay, go ahead", "  ", "계속해줘", "no, the other one", "continue", "not that", "looks good so far, thanks", "이어서 하자", "go")
-# An overlay: patterns switched off by id, and a pattern of its own for high impact.
+# An overlay: patterns switched off by id, words added and dropped, other limits, and a pattern of its own for high impact.
 OFF, OWN_PATTERN = ("memory.en.why", "trace.en.history-plain", "ack.en.1"), "related"
 
 
@@ -36,12 +36,12 @@ def _tokens(x: str) -> str:
     return f"list_distinct(list_filter(list_transform(list_filter({bare}, lambda t: {keep}), lambda t: CASE WHEN regexp_matches(t, '{fixed.KOREAN}') AND length({stem}) >= 2 THEN {stem} ELSE t END), lambda t: {keep}))"
 
 
-def _intents(own: str, off=()) -> dict[str, str]:
+def _intents(own: str, off=(), ack_words=fixed.ACK_WORDS, on_words=fixed.CONTINUE_WORDS) -> dict[str, str]:
     words = f"list_filter(regexp_split_to_array(lower({own}), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> '')"
-    idle = f"(len({words}) > 0 AND len(list_filter({words}, lambda t: NOT list_contains({_list([*fixed.ACK_WORDS, *fixed.CONTINUE_WORDS, *fixed.FILLER_WORDS])}, t))) = 0)"
+    idle = f"(len({words}) > 0 AND len(list_filter({words}, lambda t: NOT list_contains({_list([*ack_words, *on_words, *fixed.FILLER_WORDS])}, t))) = 0)"
     some = lambda lexicon: f"len(list_filter({words}, lambda t: list_contains({_list(lexicon)}, t))) > 0"
-    ack = "(" + " OR ".join([*(_fits(own, p) for i, p in fixed.ACKNOWLEDGEMENT if i not in off), f"{idle} AND {some(fixed.ACK_WORDS)}"]) + ")"
-    on = "(" + " OR ".join([*(_fits(own, p) for i, p in fixed.CONTINUATION if i not in off), f"{idle} AND NOT {ack} AND {some(fixed.CONTINUE_WORDS)}"]) + ")"
+    ack = "(" + " OR ".join([*(_fits(own, p) for i, p in fixed.ACKNOWLEDGEMENT if i not in off), f"{idle} AND {some(ack_words)}"]) + ")"
+    on = "(" + " OR ".join([*(_fits(own, p) for i, p in fixed.CONTINUATION if i not in off), f"{idle} AND NOT {ack} AND {some(on_words)}"]) + ")"
     return {n: _fits(own, f"(?i)({'|'.join(p for i, p in terms if i not in off)})") for n, terms in gate.BY_TERM.items()} | {"acknowledgement": ack, "continuation": on}
 
 
@@ -87,9 +87,9 @@ def gat04_explain_intents(spark, sf_dir):
     return prompts(spark, sf_dir).select("conv_id", "turn", F.array_join(gate.explain(F.col("prompt")), ",").alias("fired"))
 
 
-def _decisions(off=(), own_pattern: str | None = None) -> str:
+def _decisions(off=(), own_pattern: str | None = None, ack_words=fixed.ACK_WORDS, on_words=fixed.CONTINUE_WORDS, ack_most=4, drift=0.12) -> str:
     """The gate's decision in SQL, over ``pairs`` with the state that ``gate_state`` derives."""
-    flags = _intents("own", off)
+    flags = _intents("own", off, ack_words, on_words)
     if own_pattern:
         flags["high_impact"] = f"({flags['high_impact']} OR contains(lower(prompt), '{own_pattern}'))"
     minor = "(" + " OR ".join(_fits("own", p) for i, p in fixed.MINOR_CORRECTION if i not in off) + ")"
@@ -98,8 +98,8 @@ g AS (SELECT *, acknowledgement OR continuation AS idle, NOT (acknowledgement OR
     list_filter([CASE WHEN memory THEN 'explicit_memory_intent' END, CASE WHEN conv_id % 17 = 3 AND n % 6 = 5 THEN 'incident_signature_match' END, CASE WHEN conv_id % 5 = 0 AND n % 4 = 0 THEN 'project_revision_stale' END, CASE WHEN conv_id % 13 = 1 AND n % 5 = 3 THEN 'resident_revision_stale' END,
         CASE WHEN conv_id % 11 = 2 AND n % 5 = 2 THEN 'hot_evidence_pending' END, CASE WHEN conv_id % 7 = 1 AND n % 3 = 0 THEN 'capsule_generation_changed' END,
         CASE WHEN n = 1 THEN CASE WHEN conv_id % 4 = 0 THEN 'compact_first_prompt' ELSE 'first_substantive_in_epoch' END END], lambda x: x IS NOT NULL) AS news,
-    list_filter([CASE WHEN high_impact THEN 'high_impact_intent' END, CASE WHEN n % 9 >= 6 THEN 'safety_refresh' END, CASE WHEN len(a) >= 5 AND overlap < 0.12 THEN 'topic_drift' END, CASE WHEN len(a) >= 8 AND len(r) > 0 AND len(list_intersect(a, r)) = 0 THEN 'low_resident_coverage' END], lambda x: x IS NOT NULL) AS signs FROM f),
-h AS (SELECT *, CASE WHEN own = '' THEN 'empty_prompt' WHEN len(news) > 0 THEN NULL WHEN idle AND len(a) <= 4 THEN CASE WHEN acknowledgement THEN 'acknowledgement' ELSE 'continuation' END WHEN NOT substantive AND minor AND len(a) <= 6 THEN 'minor_correction' WHEN len(signs) > 0 THEN NULL
+    list_filter([CASE WHEN high_impact THEN 'high_impact_intent' END, CASE WHEN n % 9 >= 6 THEN 'safety_refresh' END, CASE WHEN len(a) >= 5 AND overlap < {drift} THEN 'topic_drift' END, CASE WHEN len(a) >= 8 AND len(r) > 0 AND len(list_intersect(a, r)) = 0 THEN 'low_resident_coverage' END], lambda x: x IS NOT NULL) AS signs FROM f),
+h AS (SELECT *, CASE WHEN own = '' THEN 'empty_prompt' WHEN len(news) > 0 THEN NULL WHEN idle AND len(a) <= {ack_most} THEN CASE WHEN acknowledgement THEN 'acknowledgement' ELSE 'continuation' END WHEN NOT substantive AND minor AND len(a) <= {ack_most} + 2 THEN 'minor_correction' WHEN len(signs) > 0 THEN NULL
     WHEN NOT substantive AND overlap >= 0.3 THEN 'continuation' WHEN overlap >= 0.35 THEN 'coherent_topic' END AS skip_reason FROM g),
 d AS (SELECT *, CASE WHEN skip_reason IS NOT NULL THEN [] WHEN len(news) > 0 THEN news WHEN len(signs) > 0 THEN signs WHEN n % 3 = 0 THEN ['no_topic_embedding'] ELSE [] END AS triggers FROM h),
 decided AS (SELECT conv_id, turn, CASE WHEN skip_reason IS NOT NULL THEN 'skip' WHEN len(triggers) > 0 THEN 'retrieve' ELSE 'ambiguous' END AS action, array_to_string(triggers, ',') AS triggers, skip_reason FROM d)"""
@@ -126,10 +126,10 @@ def gat05_gate_decision(spark, sf_dir):
     return _decided(spark, sf_dir)
 
 
-@query(f"WITH {PROMPTS}, {_PAIRS}, {_decisions(OFF, OWN_PATTERN)} SELECT * FROM decided")
+@query(f"WITH {PROMPTS}, {_PAIRS}, {_decisions(OFF, OWN_PATTERN, [*fixed.ACK_WORDS, 'looks'], [w for w in fixed.CONTINUE_WORDS if w != 'go'], 3, 0.2)} SELECT * FROM decided")
 def gat07_overlay_decision(spark, sf_dir):
     own = F.contains(F.lower("prompt"), F.lit(OWN_PATTERN))
-    return _decided(spark, sf_dir, disabled=OFF, user_hits={"high_impact": own})
+    return _decided(spark, sf_dir, overlay=gate.Overlay(disabled=OFF, add_words={"ack": ("looks",)}, drop_words={"continue": ("go",)}, limits={"ack_max_tokens": 3, "drift_jaccard": 0.2}), user_hits={"high_impact": own})
 
 
 @query(f"""WITH {PROMPTS}, f AS (SELECT conv_id, turn, own, {', '.join(f'{sql} AS {n}' for n, sql in _intents('own').items())}, len({_tokens('prompt')}) AS n_tokens, {_fits('own', fixed.MINOR_CORRECTION[0][1])} OR {_fits('own', fixed.MINOR_CORRECTION[1][1])} AS minor, {_FIRED} AS fired FROM said)
