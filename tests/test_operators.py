@@ -173,7 +173,8 @@ def test_query_tokens_keep_the_telling_ones():
 
 
 def test_text_functions(spark):
-    assert one(spark, tx.normalized_fact(F.col("t")), t="  We  USE tabs!. ") == "we use tabs"
+    assert one(spark, tx.normalized_fact(F.col("t")), t="  We  USE tabs!. ") == "we use tabs!."
+    assert one(spark, tx.normalized_fact(F.col("t")), t=" We use  TABS!.。") == "we use tabs"
     assert one(spark, tx.dominant_script(F.col("t")), t="한국어 text ```long english code block here```") == "ko"
     assert one(spark, tx.first_json(F.col("t")), t='so: ```json\n{"a": 1}\n```') == '{"a": 1}'
     assert one(spark, tx.storage_key(F.col("t")), t="/a/b c/").startswith("b-c--")
