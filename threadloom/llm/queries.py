@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import ball_tree, bpe, decontaminate, feistel_shards, line_blocks, simhash_dedup, token_blocks, toxicity, url_rules, warc_archive
+from threadloom.llm import ball_tree, bpe, decontaminate, feistel_shards, line_blocks, phrase_automata, simhash_dedup, token_blocks, toxicity, url_rules, warc_archive
 from threadloom.llm.common import table
 
 SHARDS = 24
@@ -75,13 +75,17 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_automata.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_toxicity, op3_main_text, op4_decontamination, op5_byte_bpe, op6_simhash_classes, op7_warc_archive, op8_url_rules, op9_exact_top_k, op10_feistel_shards, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_toxicity, op3_main_text, op4_decontamination, op5_byte_bpe, op6_simhash_classes, op7_warc_archive, op8_url_rules, op9_exact_top_k, op10_feistel_shards, op12_phrase_automata, pipeline)}
 
 ORACLE_SQL = {
     "op7_warc_archive": """
@@ -102,4 +106,23 @@ ORACLE_SQL = {
               FROM f q JOIN f c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_phrase_automata": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+        g AS (SELECT lang, k, list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(list_slice(ws, i, i + k - 1), ' ')) AS phrases
+              FROM w CROSS JOIN (SELECT CAST(unnest([1, 2, 3, 4]) AS BIGINT) AS k) WHERE len(ws) >= k),
+        f AS (SELECT lang, phrase, k AS size, count(*) AS f FROM (SELECT lang, k, unnest(phrases) AS phrase FROM g) GROUP BY ALL HAVING count(*) >= 30),
+        n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+        x AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1),
+        c AS (SELECT lang, phrase, a, ws, unnest(range(1, size)) AS k FROM x),
+        s AS (SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, (CAST(2000000 AS HUGEINT) * c.a) // (l.f + r.f) AS score
+              FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.ws, 1, c.k), ' ')
+              JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.ws, c.k + 1, len(c.ws)), ' ')),
+        b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM s) WHERE cut = 1),
+        i AS (SELECT lang, size, a, ws, unnest(range(2, size)) AS m FROM x WHERE size > 2),
+        o AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest(list_transform(range(1, size - m + 2), lambda j: array_to_string(list_slice(ws, j, j + m - 1), ' '))) AS phrase FROM i) GROUP BY lang, phrase),
+        t AS (SELECT b.*, CAST(row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS INTEGER) AS rank
+              FROM b LEFT JOIN o USING (lang, phrase) WHERE o.longer IS NULL OR 100 * o.longer < 80 * b.a)
+        SELECT t.lang, t.rank, t.phrase, t.a, t.l, t.r, n.n, CAST(t.score AS BIGINT) AS score FROM t JOIN n USING (lang) WHERE t.rank <= 2000""",
 }
