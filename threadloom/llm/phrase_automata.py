@@ -77,7 +77,7 @@ def _heads(paths: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _fold(starts: np.ndarray, labels: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(states that stay, for each state its place among them): states with the same arcs are one."""
+    """(which states stay, for each state its place among those): states with the same arcs are one."""
     sizes = np.diff(np.append(starts, len(labels)))
     mixed = labels.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (values.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
     mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -86,8 +86,8 @@ def _fold(starts: np.ndarray, labels: np.ndarray, values: np.ndarray) -> tuple[n
     near = np.minimum(np.repeat(starts[like] - starts, sizes) + np.arange(len(labels)), len(labels) - 1)  # equal sums are no proof: compare arc by arc
     same = (sizes == sizes[like]) & np.logical_and.reduceat((labels[near] == labels) & (values[near] == values), starts)
     like = np.where(same, like, np.arange(len(starts)))
-    stay = np.unique(like)
-    return stay, np.searchsorted(stay, like)
+    stay = like == np.arange(len(starts))  # a state that others are like is like itself
+    return stay, (np.cumsum(stay) - 1)[like]
 
 
 class Transducer:
@@ -99,17 +99,17 @@ class Transducer:
     @classmethod
     def build(cls, words: list[bytes], paths: np.ndarray, weights: np.ndarray) -> Transducer:
         """From sorted distinct rows. Only words that stand in them are kept."""
-        used = np.unique(paths)
-        used = used[used > 0]
-        paths = np.where(paths > 0, np.searchsorted(used, paths) + 1, 0)
-        kept = [words[i - 1] for i in used.tolist()]
+        used = np.bincount(paths.ravel(), minlength=len(words) + 1) > 0
+        used[0] = False
+        paths = np.where(paths > 0, np.cumsum(used)[paths], 0).astype(np.int32)
+        kept = [words[i - 1] for i in np.flatnonzero(used).tolist()]
         sizes, labels, values = [], [], []
         for depth in range(MOST - 1, -1, -1):
             starts = _heads(paths, depth)
             arcs = paths[:, depth]
             stay, state = _fold(starts, arcs, weights)
             n = np.diff(np.append(starts, len(arcs)))
-            own = np.repeat(np.isin(np.arange(len(starts)), stay), n)
+            own = np.repeat(stay, n)
             sizes.insert(0, n[stay])
             labels.insert(0, arcs[own])
             values.insert(0, weights[own])
