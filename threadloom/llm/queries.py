@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import ball_tree, bpe, decontaminate, feistel_shards, line_blocks, phrase_automata, simhash_dedup, token_blocks, toxicity, url_rules, warc_archive
+from threadloom.llm import ball_tree, bpe, decontaminate, feistel_shards, line_blocks, phrase_automata, secret_scan, simhash_dedup, term_audit, token_blocks, toxicity, url_rules, warc_archive
 from threadloom.llm.common import table
 
 SHARDS = 24
@@ -75,17 +75,25 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op12_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_automata.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_term_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_audit.audit_sources(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_toxicity, op3_main_text, op4_decontamination, op5_byte_bpe, op6_simhash_classes, op7_warc_archive, op8_url_rules, op9_exact_top_k, op10_feistel_shards, op12_phrase_automata, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_toxicity, op3_main_text, op4_decontamination, op5_byte_bpe, op6_simhash_classes, op7_warc_archive, op8_url_rules, op9_exact_top_k, op10_feistel_shards, op11_secret_scan, op12_phrase_automata, op13_term_audit, pipeline)}
 
 ORACLE_SQL = {
     "op7_warc_archive": """
@@ -125,4 +133,26 @@ ORACLE_SQL = {
         t AS (SELECT b.*, CAST(row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS INTEGER) AS rank
               FROM b LEFT JOIN o USING (lang, phrase) WHERE o.longer IS NULL OR 100 * o.longer < 80 * b.a)
         SELECT t.lang, t.rank, t.phrase, t.a, t.l, t.r, n.n, CAST(t.score AS BIGINT) AS score FROM t JOIN n USING (lang) WHERE t.rank <= 2000""",
+    "op13_term_audit": r"""
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        w AS (SELECT doc, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        k AS (SELECT lang, term FROM (SELECT DISTINCT doc, lang, term FROM w) GROUP BY lang, term HAVING count(*) >= 30),
+        v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT w.lang, w.source, w.term, count(*) AS c FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL),
+        n AS (SELECT lang, source, CAST(sum(c) AS HUGEINT) AS n FROM c GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 5)) // (coalesce(n.n, 0) + 5 * v.v) AS p
+              FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source
+              LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        m AS (SELECT lang, CAST(sum(c) AS HUGEINT) AS n FROM c GROUP BY lang),
+        q AS (SELECT k.lang, k.term, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(t.c, 0) + 5)) // (coalesce(m.n, 0) + 5 * v.v) AS q
+              FROM k JOIN v ON v.lang = k.lang LEFT JOIN m ON m.lang = k.lang LEFT JOIN (SELECT lang, term, CAST(sum(c) AS HUGEINT) AS c FROM c GROUP BY ALL) t ON t.lang = k.lang AND t.term = k.term),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+              UNION ALL
+              SELECT p.lang, p.source, 'term', p.term, CAST(p.p - q.q AS BIGINT) FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.c > 0 AND p.p > q.q),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o)
+        SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50""",
 }
