@@ -35,11 +35,12 @@ TOP = 2000
 SHARD_WORDS = 1 << 20
 SHARD_VOCABULARY = 58_000
 TASK_WORDS = 4 << 20
-UNION_PATHS = 1 << 21
+UNION_PATHS = 1 << 19
 SLICE_BYTES = 1 << 18
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 6 << 20
+MAX_RANGES = 1 << 18
 SAMPLED = 1024
-STRIDE = 16
+STRIDE = 64
 HIGH = b"\xff"
 
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b".......... ")
@@ -334,9 +335,12 @@ def shard_transducers(docs: DataFrame, bounds: list[tuple]) -> DataFrame:
 
 
 def range_bounds(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> list[tuple]:
-    """Windows (lang, words) that part the corpus into ranges of about equal weight, from a sample of texts."""
+    """Windows (lang, words) that part the corpus into ranges of about equal weight, from a sample of texts.
+
+    There are ``MAX_RANGES`` at most, which bounds what is broadcast; past 1.5 TB of text ranges grow instead.
+    """
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(bytes_ // range_bytes, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(min(bytes_ // range_bytes, MAX_RANGES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     share = min(1.0, ranges * SAMPLED * STRIDE * 6 / max(1, bytes_))
 
     def run(batches):
