@@ -424,8 +424,8 @@ def audit_sources(docs: DataFrame, floor: int = FLOOR, shard_terms: int = SHARD_
     of_lang = groups.groupBy("lang").agg(F.sum("total").alias("total"))
     whole = whole.drop("source").join(of_lang, "lang").join(per_lang, "lang").join(hashes.select("lang", "shard", "terms", "blob"), ["lang", "shard"])
     tiles = langs.select("lang", "tiles")
-    mine = counts.join(groups, ["lang", "source"]).join(tiles, "lang").withColumn("tile", F.pmod(F.xxhash64("source"), F.col("tiles")).cast("int"))
-    whole = whole.join(tiles, "lang").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    mine = counts.join(groups, ["lang", "source"]).join(tiles, "lang").select("lang", "source", "shard", "slots", "counts", "total", F.pmod(F.xxhash64("source"), F.col("tiles")).cast("int").alias("tile"))
+    whole = whole.join(tiles, "lang").select("lang", "shard", "slots", "counts", "total", "v", "terms", "blob", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
     told = mine.groupBy("lang", "shard", "tile").cogroup(whole.groupBy("lang", "shard", "tile")).applyInArrow(_telling, _FOUND)
 
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
