@@ -73,7 +73,11 @@ def bm25(docs: DataFrame, key: str, text: str, words: list[str], all_words: bool
 def ladder(docs: DataFrame, key: str, text: str, words: list[str], limit: int) -> DataFrame:
     """(key, rung): all tokens first, then the 4, 3, 2 rarest together, then single ones; each rung gives at most half
     of the limit before the rest is filled up in rung order."""
-    hit = matches(docs, key, text, words)
+    return ladder_of(matches(docs, key, text, words), key, words, limit)
+
+
+def ladder_of(hit: DataFrame, key: str, words: list[str], limit: int) -> DataFrame:
+    """``ladder`` over hits (key, token) that are known already."""
     df = hit.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     rank = F.row_number().over(Window.orderBy("df", "token"))
     held = hit.join(F.broadcast(df.withColumn("rarity", rank)), "token").groupBy(key).agg(F.collect_set("rarity").alias("held"))

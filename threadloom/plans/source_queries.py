@@ -9,6 +9,7 @@ from threadloom.operators.storage import scratch
 from threadloom.operators.turns import lines_between
 from threadloom.plans.base import query, table
 from threadloom.sources import transcripts
+from threadloom.sources.transcript_source import TranscriptSource
 
 LINES = """said AS (SELECT conv_id, turn, role, text, role = 'assistant' AND (conv_id + turn) % 4 = 1 AS is_call FROM conversations),
 lines AS (SELECT DISTINCT conv_id, -1 AS turn, 0 AS k, 'meta' AS kind, NULL AS text FROM conversations UNION ALL SELECT conv_id, turn, 0, CASE WHEN role = 'user' THEN 'user' WHEN is_call THEN 'call' WHEN role = 'assistant' THEN 'reply' ELSE 'note' END, CASE WHEN NOT is_call THEN text END FROM said
@@ -17,7 +18,8 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k)
 
 
 def rollouts(spark, sf_dir):
-    """Records of transcripts, one file a conversation: some replies are tool calls, some calls never get an output."""
+    """Lines of transcripts, many sessions a file, read through the source: some replies are tool calls, some calls never
+    get an output."""
     c, k = table(spark, sf_dir, "conversations"), F.col("conv_id") + F.col("turn")
     line = lambda payload, kind="response_item": F.to_json(F.struct(F.lit(kind).alias("type"), payload.alias("payload")))
     call = (F.col("role") == "assistant") & (k % 4 == 1)
@@ -28,9 +30,10 @@ def rollouts(spark, sf_dir):
     head = c.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit(0).alias("at"), line(F.struct(session, F.concat(F.lit("/p"), (F.col("conv_id") % 7).cast("string")).alias("cwd"), F.when(F.col("conv_id") % 11 == 0, "subagent").alias("source")), "session_meta").alias("value"))
     body = c.select("conv_id", "turn", F.posexplode(F.array_compact(F.array(own, output))).alias("at", "value"))
     path = scratch(spark, "rollouts")
-    # A conversation is one session's file, written in order by one task.
-    head.unionByName(body).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "at").select("conv_id", "value").write.partitionBy("conv_id").text(path)
-    return transcripts.read_lines(spark, path, "part-*")
+    # A session's lines stand together in one file, its header first; a file holds the sessions of one task.
+    head.unionByName(body).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "at").select("value").write.text(path)
+    spark.dataSource.register(TranscriptSource)
+    return transcripts.sections(spark.read.format("transcripts").option("path", path).option("pattern", "part-*").load())
 
 
 @query(f"WITH {LINES} SELECT 'conv-' || conv_id AS session_id, '/p' || (conv_id % 7) AS cwd, conv_id % 11 = 0 AS is_subthread, count(*) AS n_lines FROM numbered GROUP BY ALL")

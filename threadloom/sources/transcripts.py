@@ -21,6 +21,17 @@ def read_lines(spark: SparkSession, root: str, pattern: str = "rollout-*.jsonl")
     return own.select("path", n.cast("long").alias("line_no"), "line")
 
 
+def sections(lines: DataFrame) -> DataFrame:
+    """(path, line_no, line) of lines (path, epoch, at, line) as the source ``transcripts`` gives them: a header begins a
+    section of its file, which stands for a transcript of its own (``file#n``). A file's last epoch counts."""
+    last = F.col("epoch") == F.max("epoch").over(Window.partitionBy("path"))
+    own = lines.withColumn("_last", last).where("_last") if "epoch" in lines.columns else lines
+    head = (F.get_json_object("line", "$.type") == "session_meta").cast("int")
+    cut = own.withColumn("section", F.sum(F.coalesce(head, F.lit(0))).over(Window.partitionBy("path").orderBy("at")))
+    n = F.row_number().over(Window.partitionBy("path", "section").orderBy("at"))
+    return cut.select(F.concat_ws("#", "path", F.col("section").cast("string")).alias("path"), n.cast("long").alias("line_no"), "line")
+
+
 def session_of_path(path) -> Column:
     """The last UUID in the base name."""
     return F.element_at(F.regexp_extract_all(F.lower(F.element_at(F.split(path, "/"), -1)), F.lit(f"({_UUID})"), F.lit(1)), -1)
