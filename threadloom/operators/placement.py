@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.vector_cells import nearest_within
+
 # The first part of a subject key that each category of facts calls for, and the default branches.
 SUBJECT_PREFIX = {"decision": "decision", "constraint": "constraint", "preference": "preference", "pattern": "pattern", "knowledge": "state"}
 DEFAULT_BRANCHES = ("main", "master")
@@ -107,34 +111,12 @@ def rank_score(confirmations: Column, age_days: Column, scope_type: Column) -> C
     return counted + fresh + F.when(scope_type == "project", 2).otherwise(0)
 
 
-def nearest_in_scope(facts: DataFrame, vectors: DataFrame, scope: list[str], threshold: float, most_per_scope: int = 2_000) -> DataFrame:
-    """(id, nearest, similarity): each fact's closest other fact of its scope at or over the threshold.
+def nearest_in_scope(facts: DataFrame, vectors: DataFrame, scope: list[str], threshold: float) -> DataFrame:
+    """(id, nearest, similarity, asked): each fact's closest other fact of its scope at or over the threshold.
 
-    Facts meet only within a scope; a scope over ``most_per_scope`` facts is dealt into tiles, and every pair of tiles
-    meets in a group of its own, so no task holds more than two tiles.
+    The threshold is a radius, so facts meet only in cells and rings that it reaches; ``asked`` counts the facts that one
+    was compared with.
     """
     rows = facts.join(vectors, "id").select("id", *scope, "v")
-    sizes = rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
-    tiles = F.ceil(F.col("n") / most_per_scope).cast("int")
-    rows = rows.join(sizes, scope).withColumn("own", F.pmod(F.xxhash64("id"), tiles).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("a"), F.greatest(t, F.col("own")).alias("b")))
-    split = rows.select("id", "own", *scope, "v", F.explode(others).alias("t"))
-    kind = dict(facts.dtypes)["id"]
-
-    def best(pdf):
-        import numpy as np
-        import pandas as pd
-
-        ids, v, own = pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy()).astype(float), pdf["own"].to_numpy()
-        s = 1 - np.maximum((v**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * v @ v.T, 0) / 2
-        np.fill_diagonal(s, -np.inf)
-        if len(set(own)) > 1:
-            s[own[:, None] == own[None, :]] = -np.inf
-        s = np.round(s, 9)
-        order = np.argsort(ids, kind="stable")  # of equally near facts the first by id
-        at = order[s[:, order].argmax(axis=1)]
-        top = s[np.arange(len(ids)), at]
-        return pd.DataFrame({"id": ids, "nearest": ids[at], "similarity": top})[top >= threshold]
-
-    found = split.groupBy(*scope, "t").applyInPandas(best, f"id {kind}, nearest {kind}, similarity double")
-    return found.groupBy("id").agg(F.min(F.struct((-F.round("similarity", 9)).alias("d"), "nearest", "similarity")).alias("b")).select("id", "b.nearest", "b.similarity")
+    found = nearest_within(rows, scope, math.sqrt(max(0.0, 2 - 2 * threshold)))
+    return found.select("id", "nearest", (1 - F.col("distance_sq") / 2).alias("similarity"), "asked").where(F.col("similarity") >= threshold - 1e-9)

@@ -110,7 +110,7 @@ SELECT id, nearest, round(similarity, 6) AS similarity FROM n WHERE similarity >
 def chr12_nearest_in_scope(spark, sf_dir):
     f = placed(spark, sf_dir).where("is_active").select("id", F.coalesce("project_id", F.lit("-")).alias("project"))
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return placement.nearest_in_scope(f, v, ["project"], 0.1).withColumn("similarity", F.round("similarity", 6))
+    return placement.nearest_in_scope(f, v, ["project"], 0.1).drop("asked").withColumn("similarity", F.round("similarity", 6))
 
 
 _VERDICTS = "verdicts AS (SELECT id AS survivor, id + 1 AS other, ['DUPLICATE', 'CONTRADICTION', 'EVOLUTION', 'INDEPENDENT'][CAST(id // 2 % 4 + 1 AS INTEGER)] AS relation FROM facts WHERE id % 2 = 0)"
