@@ -34,10 +34,10 @@ SHARE = 80
 TOP = 2000
 SHARD_WORDS = 1 << 20
 SHARD_VOCABULARY = 58_000
-TASK_WORDS = 4 << 20
-UNION_PATHS = 1 << 19
+TASK_WORDS = 2 << 20
+UNION_PATHS = 1 << 18
 SLICE_BYTES = 1 << 18
-RANGE_BYTES = 6 << 20
+RANGE_BYTES = 4 << 20
 MAX_RANGES = 1 << 18
 SAMPLED = 1024
 STRIDE = 64
