@@ -64,7 +64,7 @@ def test_injection_tells_what_is_new(spark):
     edges = spark.createDataFrame([(10, 20, "SUPPORTS", 1), (10, 21, "CONTRADICTS", 1), (10, 22, "SUPPORTS", 1), (12, 10, "SUPPORTS", 1)], "source_id long, target_id long, relation_type string, created_at long")
     visible = spark.createDataFrame([("s", i) for i in (10, 11, 12, 13, 20, 21)], "session string, id long")
     residents = spark.createDataFrame([("s", 13, True), ("s", 30, False)], "session string, id long, current boolean")
-    got = injection.inject(asked, hits, edges, visible, residents).orderBy("place")
+    got = injection.inject(asked, hits, edges, lambda rows: rows.join(visible, ["session", "id"], "left_semi"), residents).orderBy("place")
     assert [(r["id"], r["lane"], r["relevance"]) for r in got.collect()] == [(30, "correction", 1.0), (12, "lexical", 0.1), (10, "semantic", 0.9), (20, "related", 1.0), (21, "related", 0.7)]
     assert injection.receipts(got).first()["n"] == 5
 

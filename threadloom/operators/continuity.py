@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.gate import MOST_TOKENS, token_estimate, wrapped
+
 TTL_DAYS = 14
 TAIL_TURNS = 8
 LINE_CHARS, TARGET_CHARS, HARD_CHARS = 160, 700, 1_000
@@ -60,11 +62,12 @@ def rehydration_items(carry: DataFrame, facts: DataFrame, turns: DataFrame, hot:
     return known.unionByName(tail).unionByName(hot.select("session_id", F.lit("hot").alias("section"), F.col("ref").cast("long").alias("rank"), "text"))
 
 
-def render_bundle(items: DataFrame, owner: str, section: str, rank: list, text: str, sections: dict[str, tuple[str, int]]) -> DataFrame:
+def render_bundle(items: DataFrame, owner: str, section: str, rank: list, text: str, sections: dict[str, tuple[str, int]], wrap: bool = False) -> DataFrame:
     """(owner, bundle, n_lines, truncated): sections in the order of ``sections`` (name: heading, most items).
 
     An item that would pass the hard limit ends its section; past the target only short lines go on a section. Items
-    over a section's limit fall away before rows are gathered, so a bundle is folded from a bounded list.
+    over a section's limit fall away before rows are gathered, so a bundle is folded from a bounded list. With ``wrap``
+    the hard limit and ``MOST_TOKENS`` hold for the bundle in its envelope (``gate.wrapped``), which it then is in.
     """
     names = list(sections)
     place = F.coalesce(*(F.when(F.col(section) == n, F.lit(i)) for i, n in enumerate(names)))
@@ -78,13 +81,16 @@ def render_bundle(items: DataFrame, owner: str, section: str, rank: list, text:
     def step(acc, x):
         first = acc["open"] != x["_s"]
         grown = F.concat(acc["out"], F.when(first, F.concat(F.when(acc["out"] == "", "").otherwise("\n\n"), F.element_at(heads, x["_s"] + 1), F.lit("\n"))).otherwise(F.lit("\n")), x["line"])
-        over = (x["_r"] > x["most"]) | (F.length(grown) > HARD_CHARS) | (~first & (F.length(grown) > TARGET_CHARS) & (F.length(x["line"]) > LINE_CHARS // 2))
+        whole = wrapped(grown) if wrap else grown
+        large = (F.length(whole) > HARD_CHARS) | (token_estimate(whole) > MOST_TOKENS) if wrap else F.length(whole) > HARD_CHARS
+        over = (x["_r"] > x["most"]) | large | (~first & (F.length(grown) > TARGET_CHARS) & (F.length(x["line"]) > LINE_CHARS // 2))
         shut = F.struct(acc["out"].alias("out"), acc["n"].alias("n"), acc["open"].alias("open"), x["_s"].alias("closed"), F.lit(True).alias("cut"))
         on = F.struct(grown.alias("out"), (acc["n"] + 1).alias("n"), x["_s"].alias("open"), acc["closed"].alias("closed"), acc["cut"].alias("cut"))
         return F.when(acc["closed"] == x["_s"], acc).when(over, shut).otherwise(on)
 
     folded = ranked.groupBy(owner).agg(lines.alias("lines")).select(owner, F.aggregate("lines", start, step).alias("b"))
-    return folded.select(owner, F.col("b.out").alias("bundle"), F.col("b.n").cast("long").alias("n_lines"), F.col("b.cut").alias("truncated"))
+    out = F.when(F.col("b.out") == "", "").otherwise(wrapped(F.col("b.out"))) if wrap else F.col("b.out")
+    return folded.select(owner, out.alias("bundle"), F.col("b.n").cast("long").alias("n_lines"), F.col("b.cut").alias("truncated"))
 
 
 def context_epochs(events: DataFrame, session: str, order: list[str], reset: Column, marker: Column) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.continuity import render_bundle
 from threadloom.operators.gate import fits, trimmed
 from threadloom.operators.graph import AFFIRMATIVE, OTHER_WEIGHT, both_ways, priority
 from threadloom.operators.lanes import clears_margin
@@ -31,12 +34,12 @@ def candidate_anchor(user: Column, has_evidence: Column, has_antecedent: Column)
     return context_eligible(user) & (has_evidence | F.when(fits(own, RATIFICATION), has_antecedent).otherwise(~fits(own, CONTEXT_ONLY)))
 
 
-def inject(asked: DataFrame, hits: DataFrame, relations: DataFrame, visible: DataFrame, residents: DataFrame, k: int = 5, related: int = 3) -> DataFrame:
+def inject(asked: DataFrame, hits: DataFrame, relations: DataFrame, visible: Callable[[DataFrame], DataFrame], residents: DataFrame, k: int = 5, related: int = 3) -> DataFrame:
     """(request_id, id, lane, relevance, place) of the facts that each prompt gets.
 
     ``asked``: request_id, session, trace (does the prompt ask for relations?), of prompts that the gate lets retrieve;
-    ``hits``: request_id, id, similarity, baseline, lexical_score, of active facts that the session may see; ``visible``:
-    the facts that a session may see (session, id); ``residents``: what it holds already (session, id, current).
+    ``hits``: request_id, id, similarity, baseline, lexical_score, of active facts that the session may see; ``visible``
+    keeps of rows (session, id, …) those whose session may see the fact; ``residents``: what it holds already (session, id, current).
 
     Hits that words named or that clear the margin compete, words first; the best k stay. A trace adds up to
     ``related`` neighbours over one edge. What the session holds in its current form is left out; what it holds in an
@@ -50,7 +53,7 @@ def inject(asked: DataFrame, hits: DataFrame, relations: DataFrame, visible: Dat
     near = both_ways(relations).select(F.col("from").alias("id"), "to", "relation_type", "created_at", priority().alias("p"))
     hop = chosen.where("trace").select("request_id", "session", "id").join(near, "id").groupBy("request_id", "session", "to").agg(F.min(F.struct("p", "created_at", "id", "relation_type")).alias("e"))
     hop = hop.select("request_id", "session", F.col("to").alias("id"), F.col("e.relation_type").alias("relation_type"), F.col("e.p").alias("p"))
-    hop = hop.join(visible, ["session", "id"], "left_semi").join(chosen.select("request_id", "id"), ["request_id", "id"], "left_anti").withColumn("relevance", weight)
+    hop = visible(hop).join(chosen.select("request_id", "id"), ["request_id", "id"], "left_anti").withColumn("relevance", weight)
     first = Window.partitionBy("request_id").orderBy(F.desc("relevance"), "p", "id")
     hop = hop.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= related).select("request_id", "session", "id", F.lit("related").alias("lane"), "relevance")
     found = chosen.select("request_id", "session", "id", "lane", "relevance").unionByName(hop)
@@ -61,6 +64,19 @@ def inject(asked: DataFrame, hits: DataFrame, relations: DataFrame, visible: Dat
     return new.unionByName(stale).select("request_id", "id", "lane", F.round("relevance", 6).alias("relevance"), place.alias("place"))
 
 
+#: What a bundle shows of each lane: heading and most items, in this order.
+SECTIONS = {"correction": ("[Corrections]", 3), "lexical": ("[Named]", 5), "semantic": ("[Relevant]", 5), "related": ("[Related]", 3)}
+
+
+def bundles(injected: DataFrame, facts: DataFrame, wrap: bool = False) -> DataFrame:
+    """(request_id, bundle, n_lines, truncated): the text that a prompt is given, within the limits of a context block.
+
+    ``facts`` has id and fact. With ``wrap`` the limits hold for the text in its envelope.
+    """
+    items = injected.join(facts.select("id", "fact"), "id")
+    return render_bundle(items, "request_id", "lane", ["place"], "fact", SECTIONS, wrap=wrap)
+
+
 def receipts(injected: DataFrame) -> DataFrame:
     """(request_id, receipt, n): a prepared receipt of what a prompt was given, the same for the same facts in order.
     A prompt gets few facts, so its list is bounded."""

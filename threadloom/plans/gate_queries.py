@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threadloom.operators import gate, history, injection
+from threadloom.operators import continuity, gate, history, injection, lanes
 from threadloom.operators import gate_tables as fixed
 from threadloom.operators.retrieval import dot
+from threadloom.operators.storage import settled
 from threadloom.plans.base import FACTS, RELATIONS, facts, query, relations, table
+from threadloom.plans.identity_queries import clip_sql
 
 SUFFIXES = ("", " do you remember", " why did it fail", " please migrate it now", " and keep the history", " 클라이언트를 다시 바꿔줘", " (related work)", " what was decided?")
 WHOLE = ("Thanks!", "okay, go ahead", "  ", "계속해줘", "no, the other one", "continue", "not that", "looks good so far, thanks", "이어서 하자", "go")
@@ -45,15 +47,19 @@ def _intents(own: str, off=(), ack_words=fixed.ACK_WORDS, on_words=fixed.CONTINU
     return {n: _fits(own, f"(?i)({'|'.join(p for i, p in terms if i not in off)})") for n, terms in gate.BY_TERM.items()} | {"acknowledgement": ack, "continuation": on}
 
 
-PROMPTS = f"""prompts AS (SELECT conv_id, turn, CASE WHEN turn % 10 = 8 THEN ({_list(WHOLE)})[CAST(conv_id % {len(WHOLE)} + 1 AS INTEGER)] ELSE text || ({_list(SUFFIXES)})[CAST((conv_id + turn // 2) % {len(SUFFIXES)} + 1 AS INTEGER)] END AS prompt FROM conversations WHERE role = 'user'),
+PROMPTS = f"""prompts AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 10 = 8 THEN ({_list(WHOLE)})[CAST(conv_id % {len(WHOLE)} + 1 AS INTEGER)]
+    ELSE CASE conv_id % 3 WHEN 1 THEN opening WHEN 2 THEN substr(opening, 1, 200) || ' ' || substr(text, 1, 200) ELSE text END || ({_list(SUFFIXES)})[CAST((conv_id + turn // 2) % {len(SUFFIXES)} + 1 AS INTEGER)] END AS prompt FROM (SELECT *, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS opening FROM conversations WHERE role = 'user')),
 said AS (SELECT *, {_trim('prompt')} AS own, lag(prompt, 1) OVER w AS before, lag(prompt, 2) OVER w AS earlier, row_number() OVER w AS n FROM prompts WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
 
 
 def prompts(spark, sf_dir):
-    """(conv_id, turn, prompt, before, earlier, n): what a user says, with words added so that every table has a say."""
+    """(conv_id, turn, prompt, before, earlier, n): what a user says, with words added so that every table has a say;
+    a third of the sessions keep to their opening, a third mix it with what is new."""
     c, k = table(spark, sf_dir, "conversations").where("role = 'user'"), F.col("conv_id")
     pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), (at % len(words) + 1).cast("int"))
-    p = c.select("conv_id", "turn", F.when(F.col("turn") % 10 == 8, pick(WHOLE, k)).otherwise(F.concat("text", pick(SUFFIXES, k + F.floor(F.col("turn") / 2)))).alias("prompt"))
+    c = c.withColumn("opening", F.first("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    said = F.when(k % 3 == 1, F.col("opening")).when(k % 3 == 2, F.concat(F.substring("opening", 1, 200), F.lit(" "), F.substring("text", 1, 200))).otherwise(F.col("text"))
+    p = c.select("conv_id", "turn", F.when((k + F.col("turn")) % 10 == 8, pick(WHOLE, k)).otherwise(F.concat(said, pick(SUFFIXES, k + F.floor(F.col("turn") / 2)))).alias("prompt"))
     w = Window.partitionBy("conv_id").orderBy("turn")
     return p.withColumns({"before": F.lag("prompt", 1).over(w), "earlier": F.lag("prompt", 2).over(w), "n": F.row_number().over(w)})
 
@@ -75,7 +81,7 @@ def gat02_topic_overlap(spark, sf_dir):
 
 @query(f"WITH {PROMPTS} SELECT conv_id, turn, {', '.join(f'{sql} AS {n}' for n, sql in _intents('own').items())} FROM said")
 def gat03_intents(spark, sf_dir):
-    return prompts(spark, sf_dir).withColumn("i", gate.intents(F.col("prompt"))).select("conv_id", "turn", "i.*")
+    return gate.read_prompts(prompts(spark, sf_dir), "prompt").withColumn("i", gate.intents(gate.ReadPrompt("_p"))).select("conv_id", "turn", "i.*")
 
 
 _TERMS = [(i, f"(?i){p}") for terms in gate.BY_TERM.values() for i, p in reversed(terms)] + [*reversed(fixed.ACKNOWLEDGEMENT), *reversed(fixed.CONTINUATION)]
@@ -84,7 +90,7 @@ _FIRED = "list_filter([" + ", ".join(f"CASE WHEN {_fits('own', p)} THEN '{i}' EN
 
 @query(f"WITH {PROMPTS} SELECT conv_id, turn, array_to_string({_FIRED}, ',') AS fired FROM said")
 def gat04_explain_intents(spark, sf_dir):
-    return prompts(spark, sf_dir).select("conv_id", "turn", F.array_join(gate.explain(F.col("prompt")), ",").alias("fired"))
+    return gate.read_prompts(prompts(spark, sf_dir), "prompt").select("conv_id", "turn", F.array_join(gate.explain(gate.ReadPrompt("_p")), ",").alias("fired"))
 
 
 def _decisions(off=(), own_pattern: str | None = None, ack_words=fixed.ACK_WORDS, on_words=fixed.CONTINUE_WORDS, ack_most=4, drift=0.12) -> str:
@@ -105,20 +111,28 @@ d AS (SELECT *, CASE WHEN skip_reason IS NOT NULL THEN [] WHEN len(news) > 0 THE
 decided AS (SELECT conv_id, turn, CASE WHEN skip_reason IS NOT NULL THEN 'skip' WHEN len(triggers) > 0 THEN 'retrieve' ELSE 'ambiguous' END AS action, array_to_string(triggers, ',') AS triggers, skip_reason FROM d)"""
 
 
+def read(spark, sf_dir):
+    """``prompts`` as the matcher has read them, with the tokens of the two prompts before; written once."""
+    c = gate.read_prompts(prompts(spark, sf_dir), "prompt")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    none = F.array().cast("array<string>")
+    return settled(c.withColumns({"_topic": F.coalesce(F.lag("_p_tokens", 1).over(w), none), "_resident": F.coalesce(F.lag("_p_tokens", 2).over(w), none)}))
+
+
 def gate_state() -> dict:
     """State of a session, made up from conversation and position so that every trigger fires somewhere."""
     k, n = F.col("conv_id"), F.col("n")
     flag = lambda c: F.when(c, 1).otherwise(0)
     return {
-        "topic": gate.prompt_tokens(F.coalesce("before", F.lit(""))), "resident": gate.prompt_tokens(F.coalesce("earlier", F.lit(""))), "has_topic_embedding": n % 3 != 0, "informative": n % 9,
+        "topic": F.col("_topic"), "resident": F.col("_resident"), "has_topic_embedding": n % 3 != 0, "informative": n % 9,
         "last_epoch": F.when(n == 1, -1).otherwise(0), "last_source": F.when(k % 4 == 0, "compact"), "capsule": flag((k % 7 == 1) & (n % 3 == 0)), "revision": flag((k % 5 == 0) & (n % 4 == 0)),
         "incident": (k % 17 == 3) & (n % 6 == 5), "resident_stale": (k % 13 == 1) & (n % 5 == 3), "hot_evidence": (k % 11 == 2) & (n % 5 == 2),
     }
 
 
 def _decided(spark, sf_dir, **overlay):
-    d = prompts(spark, sf_dir).withColumn("d", gate.decide(F.col("prompt"), gate_state(), **overlay))
-    return d.select("conv_id", "turn", "d.action", F.array_join("d.triggers", ",").alias("triggers"), "d.skip_reason")
+    d = gate.decisions(read(spark, sf_dir), gate_state(), **overlay)
+    return d.select("conv_id", "turn", "decision.action", F.array_join("decision.triggers", ",").alias("triggers"), "decision.skip_reason")
 
 
 @query(f"WITH {PROMPTS}, {_PAIRS}, {_decisions()} SELECT * FROM decided")
@@ -136,9 +150,8 @@ def gat07_overlay_decision(spark, sf_dir):
 SELECT conv_id, turn, CASE WHEN own = '' THEN 'skip' WHEN memory THEN 'retrieve' WHEN (acknowledgement OR continuation) AND n_tokens <= 4 THEN 'skip' WHEN minor AND n_tokens <= 6 AND ((acknowledgement OR continuation) OR (n_tokens < 5 AND NOT high_impact)) THEN 'skip' ELSE 'retrieve' END AS action, len(fired) AS n_fired, fired[1] AS first_fired FROM f""")
 def dat09_explain_decision(spark, sf_dir):
     # A dry run: no session, so no topic, no residents and no news; what is left hangs on the prompt alone.
-    p = F.col("prompt")
-    fired = gate.explain(p)
-    return prompts(spark, sf_dir).select("conv_id", "turn", gate.decide(p, {})["action"].alias("action"), F.size(fired).cast("long").alias("n_fired"), F.try_element_at(fired, F.lit(1)).alias("first_fired"))
+    fired = gate.explain(gate.ReadPrompt("_p"))
+    return gate.decisions(settled(gate.read_prompts(prompts(spark, sf_dir), "prompt")), {}).select("conv_id", "turn", F.col("decision.action").alias("action"), F.size(fired).cast("long").alias("n_fired"), F.try_element_at(fired, F.lit(1)).alias("first_fired"))
 
 
 _ELIGIBLE = f"(u <> '' AND NOT (starts_with(u, '<command-name>') OR starts_with(u, 'Caveat:')) AND NOT regexp_matches(u, '{injection.SLASH_COMMAND}'))"
@@ -157,32 +170,93 @@ def _sql_dot(a: str, b: str) -> str:
     return f"round(list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 9)"
 
 
-# Held facts of a session: their current form or an old one.
-_HELD = "held AS (SELECT conv_id AS session, id, id % 3 <> 0 AS current FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN v ON v.id % 200 = conv_id % 200)"
 _BASE = [((i * 29) % 17 - 8) / 50.0 for i in range(64)]
-
-
-@query(f"""WITH {PROMPTS}, {_PAIRS}, {_decisions()}, {FACTS}, {RELATIONS}, v AS (SELECT id, project, scope_type, embedding FROM facts JOIN embeddings ON vec_id = id WHERE is_active), {_HELD},
-ask AS (SELECT d.conv_id * 1000 + d.turn AS request_id, d.conv_id AS session, 'src' || (d.conv_id % 20) AS project, contains(d.triggers, 'explicit_memory_intent') AS trace, e.embedding AS q FROM decided d JOIN embeddings e ON vec_id = d.conv_id WHERE action = 'retrieve'),
-hit AS (SELECT request_id, session, trace, v.id, {_sql_dot('v.embedding', 'q')} AS similarity, {_sql_dot('q', str(_BASE))} AS baseline, CASE WHEN (v.id + session) % 40 = 0 THEN 2 END AS lexical FROM ask JOIN v ON v.project = ask.project OR v.scope_type = 'global'),
+# What a session holds (in its current form or an old one), and what its prompts name.
+_NAMED = "list_contains([session + 5, session + 105, session + 205], v.id)"
+_GIVEN = f"""{PROMPTS}, {_PAIRS}, {_decisions()}, {FACTS}, {RELATIONS}, v AS (SELECT id, project, scope_type, embedding, fact FROM facts JOIN embeddings ON vec_id = id WHERE is_active),
+held AS (SELECT conv_id AS session, v.id, v.id % 3 <> 0 AS current FROM (SELECT conv_id, unnest([conv_id, conv_id + 40, conv_id + 80]) AS id FROM (SELECT DISTINCT conv_id FROM conversations)) c JOIN v ON v.id = c.id),
+sure AS (SELECT d.conv_id * 1000 + d.turn AS request_id, d.conv_id AS session, 'src' || (d.conv_id % 20) AS project, contains(d.triggers, 'explicit_memory_intent') AS trace, e.embedding AS q,
+    CASE WHEN action <> 'ambiguous' THEN action WHEN coalesce({_sql_dot('e.embedding', 't.embedding')} - {_sql_dot('e.embedding', str(_BASE))} >= 0.08, false) THEN 'skip' ELSE 'retrieve' END AS action
+    FROM decided d JOIN embeddings e ON e.vec_id = d.conv_id LEFT JOIN embeddings t ON t.vec_id = d.conv_id + d.turn),
+ask AS (SELECT * FROM sure WHERE action = 'retrieve'),
+hit AS (SELECT request_id, session, trace, v.id, {_sql_dot('v.embedding', 'q')} AS similarity, {_sql_dot('q', str(_BASE))} AS baseline, CASE WHEN {_NAMED} THEN 2 END AS lexical FROM ask JOIN v ON v.project = ask.project OR v.scope_type = 'global'),
 best AS (SELECT *, CASE WHEN lexical IS NULL THEN 'semantic' ELSE 'lexical' END AS lane FROM hit WHERE lexical IS NOT NULL OR similarity - baseline >= 0.045 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY lexical DESC NULLS LAST, similarity DESC, id) <= 5),
 ways AS (SELECT source_id AS f, target_id AS t, relation_type, created_at FROM relations UNION ALL SELECT target_id, source_id, relation_type, created_at FROM relations),
 near AS (SELECT request_id, session, t AS id, relation_type, CASE relation_type WHEN 'CONTRADICTS' THEN 0 WHEN 'SUPERSEDES' THEN 1 WHEN 'SUPPORTS' THEN 2 ELSE 3 END AS p FROM best JOIN ways ON f = id WHERE trace QUALIFY row_number() OVER (PARTITION BY request_id, t ORDER BY p, created_at, f) = 1),
 sees AS (SELECT DISTINCT session, v.id FROM ask JOIN v ON v.project = ask.project OR v.scope_type = 'global'),
 rel AS (SELECT request_id, session, id, CASE WHEN relation_type = 'SUPPORTS' THEN 1.0 ELSE 0.7 END AS relevance FROM near n WHERE (session, id) IN (SELECT (session, id) FROM sees) AND (request_id, id) NOT IN (SELECT (request_id, id) FROM best) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY relevance DESC, p, id) <= 3),
 found AS (SELECT request_id, session, id, lane, similarity AS relevance FROM best UNION ALL SELECT request_id, session, id, 'related', relevance FROM rel),
-given AS (SELECT request_id, id, lane, relevance FROM found WHERE (session, id) NOT IN (SELECT (session, id) FROM held) UNION ALL SELECT request_id, held.id, 'correction', 1.0 FROM ask JOIN held ON held.session = ask.session AND NOT current)
-SELECT request_id, id, lane, round(CAST(relevance AS DOUBLE), 6) AS relevance, CAST(row_number() OVER (PARTITION BY request_id ORDER BY CASE lane WHEN 'correction' THEN 0 WHEN 'lexical' THEN 1 WHEN 'semantic' THEN 2 ELSE 3 END, relevance DESC, id) AS INTEGER) AS place FROM given""")
-def gat13_injection(spark, sf_dir):
-    k, d = F.col("conv_id"), prompts(spark, sf_dir).withColumn("d", gate.decide(F.col("prompt"), gate_state())).where("d.action = 'retrieve'")
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    v = facts(spark, sf_dir).where("is_active").select("id", "project", "scope_type").join(e.withColumnRenamed("vec_id", "id"), "id")
-    ask = d.select((k * 1000 + F.col("turn")).alias("request_id"), k.alias("session"), F.concat(F.lit("src"), (k % 20).cast("string")).alias("project"), F.array_contains("d.triggers", "explicit_memory_intent").alias("trace")).join(e.select(F.col("vec_id").alias("session"), F.col("embedding").alias("q")), "session")
-    # Each session meets the facts of its own project and, apart from these, the global ones that are left.
-    own = ask.join(v, "project")
-    shared = ask.join(v.where("scope_type = 'global'").withColumnRenamed("project", "_of"), F.col("project") != F.col("_of")).drop("_of")
-    met = own.unionByName(shared)
+given AS (SELECT request_id, id, lane, relevance FROM found WHERE (session, id) NOT IN (SELECT (session, id) FROM held) UNION ALL SELECT request_id, held.id, 'correction', 1.0 FROM ask JOIN held ON held.session = ask.session AND NOT current),
+placed AS (SELECT request_id, id, lane, round(CAST(relevance AS DOUBLE), 6) AS relevance, CAST(row_number() OVER (PARTITION BY request_id ORDER BY CASE lane WHEN 'correction' THEN 0 WHEN 'lexical' THEN 1 WHEN 'semantic' THEN 2 ELSE 3 END, relevance DESC, id) AS INTEGER) AS place FROM given)"""
+
+
+def asked(spark, sf_dir):
+    """Prompts that get memory: those the gate lets through, and of the ambiguous ones those that leave their topic.
+    Decided once and written."""
+    k, e = F.col("conv_id"), table(spark, sf_dir, "embeddings")
     probe = F.array(*map(F.lit, _BASE))
-    hits = met.select("request_id", "id", F.round(dot(F.col("embedding"), F.col("q")), 9).alias("similarity"), F.round(dot(F.col("q"), probe), 9).alias("baseline"), F.when((F.col("id") + F.col("session")) % 40 == 0, 2).alias("lexical_score"))
-    held = table(spark, sf_dir, "conversations").select("conv_id").distinct().join(v.select("id", (F.col("id") % 200).alias("m")), k % 200 == F.col("m")).select(k.alias("session"), "id", (F.col("id") % 3 != 0).alias("current"))
-    return injection.inject(ask.select("request_id", "session", "trace"), hits, relations(spark, sf_dir), met.select("session", "id").distinct(), held)
+    d = gate.decisions(read(spark, sf_dir), gate_state()).where("decision.action <> 'skip'")
+    d = d.join(e.select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("q")), "conv_id").join(e.select(F.col("vec_id").alias("_at"), F.col("embedding").alias("_t")), F.col("_at") == k + F.col("turn"), "left")
+    near = F.round(dot(F.col("_t"), F.col("q")), 9)
+    base = F.round(dot(F.col("q"), probe), 9)
+    kept = d.where(gate.resolve_ambiguous(F.col("decision.action"), near, base) == "retrieve")
+    return settled(kept.select((k * 1000 + F.col("turn")).alias("request_id"), k.alias("session"), F.concat(F.lit("src"), (k % 20).cast("string")).alias("project"), F.array_contains("decision.triggers", "explicit_memory_intent").alias("trace"), "q", base.alias("baseline")))
+
+
+def injected(spark, sf_dir):
+    ask = asked(spark, sf_dir)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    v = facts(spark, sf_dir).where("is_active").select("id", "project", "scope_type").join(e, "id")
+    everywhere = F.col("scope_type") == "global"
+    # A session sees the global facts and its own project's; it meets each set block by block for its best few.
+    sessions = ask.select("session", "project", "q").dropDuplicates(["session"])
+    wants = sessions.select(F.col("session").alias("qid"), F.explode(F.array(F.lit("*"), "project")).alias("scope"), "q")
+    near = lanes.top_in_scope(wants, v.select("id", F.when(everywhere, "*").otherwise(F.col("project")).alias("scope"), "v"), 5).withColumnRenamed("qid", "session")
+    s = F.col("session")
+    named = sessions.select("session", F.col("project").alias("_of"), "q", F.explode(F.array(s + 5, s + 105, s + 205)).alias("id")).join(v, "id").where(everywhere | (F.col("project") == F.col("_of"))).select("session", "id", F.round(dot(F.col("v"), F.col("q")), 9).alias("similarity"))
+    word = F.when(F.col("id").isin(s + 5, s + 105, s + 205), 2)
+    hits = ask.select("request_id", "session", "baseline").join(near.unionByName(named).dropDuplicates(["session", "id"]), "session").select("request_id", "id", "similarity", "baseline", word.alias("lexical_score"))
+    home = sessions.select("session", F.col("project").alias("_home"))
+    visible = lambda rows: rows.join(v.select("id", F.col("project").alias("_of"), "scope_type"), "id").join(home, "session").where(everywhere | (F.col("_of") == F.col("_home"))).drop("_of", "scope_type", "_home")
+    c = F.col("conv_id")
+    held = table(spark, sf_dir, "conversations").select(c).distinct().select(c.alias("session"), F.explode(F.array(c, c + 40, c + 80)).alias("id")).join(v.select("id"), "id").select("session", "id", (F.col("id") % 3 != 0).alias("current"))
+    return injection.inject(ask.select("request_id", "session", "trace"), hits, relations(spark, sf_dir), visible, held)
+
+
+@query(f"WITH {_GIVEN} SELECT * FROM placed")
+def gat13_injection(spark, sf_dir):
+    return injected(spark, sf_dir)
+
+
+@query(f"""WITH {_GIVEN} SELECT request_id, md5(request_id || ':' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY place)) AS receipt, count(*) AS n FROM placed GROUP BY 1""")
+def gat13_receipts(spark, sf_dir):
+    return injection.receipts(injected(spark, sf_dir))
+
+
+def _bundle_sql(wrap: bool) -> str:
+    """Lines are taken one by one, as ``render_bundle`` folds them."""
+    heads, most = ([x[i] for x in injection.SECTIONS.values()] for i in (0, 1))
+    quoted = "replace(replace(replace(CAST(to_json(@) AS VARCHAR), '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e')"
+    whole = f"'{gate.INSTRUCTION}' || chr(10) || '{gate.OPEN}' || chr(10) || {quoted} || chr(10) || '{gate.CLOSE}'" if wrap else "@"
+    grown, shown = whole.replace("@", "grown"), whole.replace("@", "arg_max(bundle, i)")
+    ascii_ = f"length(regexp_replace({grown}, '[^\\x00-\\x7F]', '', 'g'))"
+    large = f"length({grown}) > {continuity.HARD_CHARS}" + (f" OR ceil(({ascii_} * 0.25 + length({grown}) - {ascii_}) * 1.25) > {gate.MOST_TOKENS}" if wrap else "")
+    lane = "CASE lane " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(injection.SECTIONS)) + " END"
+    return f"""WITH RECURSIVE {_GIVEN}, k AS (SELECT request_id, {lane} AS s, '- ' || {clip_sql("fact")} AS line, row_number() OVER (PARTITION BY request_id, lane ORDER BY place) AS r FROM placed JOIN v USING (id)),
+o AS (SELECT *, ({most})[s + 1] AS most, ({_list(heads)})[s + 1] AS head, row_number() OVER (PARTITION BY request_id ORDER BY s, r) AS i FROM k WHERE r <= {max(most) + 1}),
+b AS (SELECT DISTINCT request_id, CAST(0 AS BIGINT) AS i, '' AS bundle, CAST(0 AS BIGINT) AS n_lines, -1 AS open, -1 AS closed, false AS truncated FROM o
+    UNION ALL SELECT request_id, i, CASE WHEN skip OR over THEN bundle ELSE grown END, CASE WHEN skip OR over THEN n_lines ELSE n_lines + 1 END, CASE WHEN skip OR over THEN open ELSE s END, CASE WHEN NOT skip AND over THEN s ELSE closed END, truncated OR (NOT skip AND over)
+    FROM (SELECT *, closed = s AS skip, r > most OR {large} OR (open = s AND length(grown) > {continuity.TARGET_CHARS} AND length(line) > {continuity.LINE_CHARS // 2}) AS over
+        FROM (SELECT b.request_id, o.i, b.bundle, b.n_lines, b.open, b.closed, b.truncated, o.s, o.r, o.most, o.line,
+            b.bundle || CASE WHEN b.open <> o.s THEN CASE WHEN b.bundle = '' THEN '' ELSE chr(10) || chr(10) END || o.head || chr(10) ELSE chr(10) END || o.line AS grown FROM b JOIN o ON o.request_id = b.request_id AND o.i = b.i + 1)))
+SELECT request_id, CASE WHEN arg_max(bundle, i) = '' THEN '' ELSE {shown} END AS bundle, max(n_lines) AS n_lines, bool_or(truncated) AS truncated FROM b GROUP BY 1"""
+
+
+@query(_bundle_sql(False))
+def gat13_bundles(spark, sf_dir):
+    return injection.bundles(injected(spark, sf_dir), facts(spark, sf_dir))
+
+
+@query(_bundle_sql(True))
+def gat09_wrapped_bundles(spark, sf_dir):
+    return injection.bundles(injected(spark, sf_dir), facts(spark, sf_dir), wrap=True)
