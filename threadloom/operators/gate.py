@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import string
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -63,7 +65,11 @@ def fits(text: Column, pattern: str) -> Column:
 
 
 def _among(words) -> Column:
-    return F.array(*map(F.lit, words))
+    """A fixed list, parsed at once: a call for each of its words costs more than the plan."""
+    if not words:
+        return F.array().cast("array<string>")
+    said = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+    return F.expr(f"array({said})")
 
 
 _ANY_CASE = [(i, f"(?i){p}") for terms in BY_TERM.values() for i, p in terms]
@@ -101,11 +107,28 @@ class ReadPrompt(Prompt):
 def read_prompts(rows: DataFrame, text: str, name: str = "_p") -> DataFrame:
     """``rows`` with what ``ReadPrompt(name)`` reads: every pattern is tried once on a prompt, the set of those that fit
     is a bitmap. Write the rows (``settled``) before many steps read them."""
-    own = F.col(f"{name}_own")
-    hits = [F.when(fits(own, p), F.lit(1 << n % WORD_BITS)).otherwise(F.lit(0)).cast("long") for p, n in BIT.items()]
+    own, low, plain = (F.col(f"{name}_{part}") for part in ("own", "low", "plain"))
+
+    def fit(pattern: str) -> Column:
+        """A word is looked up among the prompt's, a literal is looked for, the rest are expressions; case is gone."""
+        bare = pattern.removeprefix("(?i)")
+        if bare == pattern:
+            return fits(own, pattern)
+        if (word := re.fullmatch(r"\\b(\w+)\\b", bare)) and word[1].isascii():
+            return F.array_contains(plain, word[1])
+        return F.contains(low, F.lit(bare)) if bare == re.escape(bare) else fits(low, bare)
+
+    single = [w[1] for p in BIT if (w := re.fullmatch(r"\(\?i\)\\b(\w+)\\b", p))]
+    hits = [F.when(fit(p), F.lit(1 << n % WORD_BITS)).otherwise(F.lit(0)).cast("long") for p, n in BIT.items()]
     groups = [hits[at : at + WORD_BITS] for at in range(0, len(hits), WORD_BITS)]
     bits = F.array(*(reduce(lambda a, b: a.bitwiseOR(b), group) for group in groups))
-    return rows.withColumn(f"{name}_own", trimmed(F.col(text))).withColumns({f"{name}_tokens": prompt_tokens(F.col(text)), f"{name}_words": _words(own), f"{name}_bits": bits})
+    # Expressions cost far more than moving a prompt, and a small table comes in one piece: spread it over the cores.
+    spark = rows.sparkSession
+    spread = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    one = spread.withColumn(f"{name}_own", trimmed(F.col(text))).withColumn(f"{name}_low", F.translate(own, upper, lower))
+    two = one.withColumn(f"{name}_plain", F.array_intersect(F.split(low, "[^a-z0-9_]+"), _among(single)))
+    return two.withColumns({f"{name}_tokens": prompt_tokens(F.col(text)), f"{name}_words": _words(own), f"{name}_bits": bits}).drop(f"{name}_low", f"{name}_plain")
 
 
 def _words(own: Column) -> Column:

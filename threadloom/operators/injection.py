@@ -11,6 +11,7 @@ from threadloom.operators.continuity import render_bundle
 from threadloom.operators.gate import fits, trimmed
 from threadloom.operators.graph import AFFIRMATIVE, OTHER_WEIGHT, both_ways, priority
 from threadloom.operators.lanes import clears_margin
+from threadloom.operators.storage import settled
 
 # Turns of the machinery, replies that only bridge context, replies that agree if there is something to agree to.
 MACHINERY = ("<local-command-stdout>", "<local-command-caveat>", "<command-name>", "Caveat:")
@@ -48,7 +49,7 @@ def inject(asked: DataFrame, hits: DataFrame, relations: DataFrame, visible: Cal
     strong = hits.where(clears_margin(F.col("similarity"), F.col("baseline"), F.col("lexical_score")))
     best = Window.partitionBy("request_id").orderBy(F.desc_nulls_last("lexical_score"), F.desc_nulls_last("similarity"), "id")
     chosen = strong.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).select("request_id", "id", F.when(F.col("lexical_score").isNotNull(), "lexical").otherwise("semantic").alias("lane"), F.coalesce("similarity", F.lit(1.0)).alias("relevance"))
-    chosen = chosen.join(asked.select("request_id", "session", "trace"), "request_id")
+    chosen = settled(chosen.join(asked.select("request_id", "session", "trace"), "request_id"))
     weight = F.when(F.col("relation_type").isin(*AFFIRMATIVE), 1.0).otherwise(OTHER_WEIGHT)
     near = both_ways(relations).select(F.col("from").alias("id"), "to", "relation_type", "created_at", priority().alias("p"))
     hop = chosen.where("trace").select("request_id", "session", "id").join(near, "id").groupBy("request_id", "session", "to").agg(F.min(F.struct("p", "created_at", "id", "relation_type")).alias("e"))
