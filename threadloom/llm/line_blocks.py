@@ -1,21 +1,27 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element; menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments are left out. A line's length is what is not link text (all of it inside an article;
-nothing where links outweigh the rest). Lengths are summed over windows of ``WINDOW`` lines; text is kept from a surge
-(a sum over the threshold, or the page's greatest sum if none gets there) to the dive (a line without length).
+Markup is stripped into lines, one for each block element. A line's length is what is not link text (nothing where links
+outweigh the rest); lines of menus, headers, footers, sidebars, notices, adverts and forms have no length at all, which
+their element tells (nav, footer, form …) or a class, id or role that names such a part and nothing else. Lengths are
+summed over windows of ``WINDOW`` lines. Text is kept from a surge (the first window over the threshold, or over the
+page's greatest sum if none gets there) to the dive (the last such window before a line without length); a run that
+never surges goes. Within a window at a run's edge, lines too short for a share of the threshold go too. Lines inside an
+article are certain: they all count, and what has no length among them only falls out itself. If a page has no article
+and nothing surges but what classes mark, those marks are taken back.
 
 Null and empty pages give the empty text. Repeated pages give equal texts. An empty table gives no rows. Broken markup:
 optional end tags are implied; an element that would stand aside but that neither its own end tag nor its parent's
-closes is read like any other; a script
-or style without an end takes the rest of the page; once quotes leave a tag without an end, they no longer hide a ``>``;
-elements deeper than ``MAX_DEPTH`` do not nest. Pages are scanned once, forward, whatever they hold.
+closes is read like any other; a script or style without an end takes the rest of the page; once quotes leave a tag
+without an end, they no longer hide a ``>``. References are decoded run by run. Pages of any length and depth are
+scanned once, forward; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +31,6 @@ from threadloom.llm.common import slices
 WINDOW = 3
 SURGE_CHARS = 86
 MAX_LINK_SHARE = 0.5
-MAX_DEPTH = 200
 
 # Element names by their part in a page, and words in class, id or role that mark what is no article.
 RAW = frozenset("script style noscript template textarea iframe object svg canvas title head".split())
@@ -46,7 +51,15 @@ IMPLIED = {name: _CLOSES_P for name in BLOCKS - frozenset("body dd dt figcaption
 WHOLE = frozenset("html body main article".split())
 ENDS_ALONE = frozenset("p li dt dd td th tr tbody thead tfoot option optgroup".split())
 _TABLE_PARTS = _CELLS | frozenset("table caption tbody tfoot thead tr".split())
-MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|comments?|replies|disqus|sidebar|side-?bar|widget|nav\w*|menu|breadcrumbs?|footer|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|related|recommend\w*|sharing|share(?=$|\s|[_-](?:bar|box|buttons?|icons?|links?|this|tools?|widget)s?\b)|social|pagination|pager|masthead|topbar|navigation|contentinfo|complementary|search)(?:$|[\s_-])", re.I)
+MARKED = frozenset(
+    "ad ads adbox adsense advert adverts advertisement advertisements advertising banner sponsor sponsored sponsors promo promos promotion comment comments replies disqus sidebar widget widgets nav navbar navigation navi "
+    "menu breadcrumb breadcrumbs footer cookie cookies consent gdpr notice alert popup modal newsletter subscribe signup login related recommend recommended recommendations sharing share social pagination pager masthead topbar contentinfo complementary search".split()
+)
+#: Parts of a name that say nothing by themselves: with one of ``MARKED`` they name such a part of a page.
+NEUTRAL = frozenset(
+    "area bar block body bottom box btn button buttons col column container content danger desktop error field first fixed foot global group head header holder icon icons info inner input item items js label last left link links list "
+    "main message mobile module more outer page panel post posts primary region right row secondary section side site slot small space sticky success text thread title toggle tool tools top ui unit warning wrap wrapper zone".split()
+)
 _ATTRS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
 _TAG_STOP = re.compile(r"""["'>]""")
@@ -58,35 +71,53 @@ def _is_aside(name: str, attrs: str, in_article: bool) -> bool:
         return True
     if name in ("body", "html", "article", "main") or not attrs:
         return False
-    return "hidden" in attrs.lower().split() or any(MARKS.search(a or b or c) for a, b, c in _ATTRS.findall(attrs))
-
-
-def _cut(stack: list[str], names: frozenset, walls: frozenset, every: bool = False) -> None:
-    """Close the innermost open element of ``names``, or the outermost one, and all inside it; do not look past ``walls``."""
-    found = None
-    for at in range(len(stack) - 1, -1, -1):
-        if stack[at] in names:
-            found = at
-            if not every:
-                break
-        elif stack[at] in walls:
-            break
-    if found is not None:
-        del stack[found:]
-
-
-def _follow(stack: list[str], name: str, closing: bool, opens: bool) -> None:
-    """Apply a tag to the names of the open elements, optional end tags included."""
-    if closing:
-        walls = _TABLE if name in _TABLE_PARTS else _CELLS | _TABLE if name in BLOCKS or name in SPACED else BLOCKS | _CELLS
-        _cut(stack, frozenset((name,)), walls)
-        return
-    if name in IMPLIED:
-        if name in ("li", "dt", "dd"):
-            _cut(stack, *_CLOSES_P)
-        _cut(stack, *IMPLIED[name], every=name in ("optgroup", "tr", "tbody", "thead", "tfoot"))
-    if opens:
-        stack.append(name)
+    return "hidden" in attrs.lower().split() or any(_names_part(token) for a, b, c in _ATTRS.findall(attrs) for token in (a or b or c).lower().split())
+
+
+def _names_part(token: str) -> bool:
+    """``nav-item`` and ``ad_box2`` name a part of a page that is no article, ``notice-of-motion`` does not."""
+    parts = [p for p in (re.sub(r"\d+$", "", x) for x in re.split(r"[-_]+", token)) if p]
+    return any(p in MARKED for p in parts) and all(p in MARKED or p in NEUTRAL for p in parts)
+
+
+class _Open:
+    """The open elements: their names in order, and for each name where it stands."""
+
+    def __init__(self):
+        self.stack: list[str] = []
+        self.at: dict[str, list[int]] = {}
+
+    def has(self, name: str) -> bool:
+        return bool(self.at.get(name))
+
+    def push(self, name: str) -> None:
+        self.at.setdefault(name, []).append(len(self.stack))
+        self.stack.append(name)
+
+    def cut(self, names: frozenset, walls: frozenset, every: bool = False) -> None:
+        """Close the innermost open element of ``names``, or the outermost one, and all inside it; not past ``walls``."""
+        places = [self.at[n] for n in names if self.at.get(n)]
+        if not places:
+            return
+        wall = max((self.at[w][-1] for w in walls if self.at.get(w)), default=-1)
+        above = [p[bisect_right(p, wall)] if every else p[-1] for p in places if p[-1] > wall]
+        if above:
+            first = min(above) if every else max(above)
+            while len(self.stack) > first:
+                self.at[self.stack.pop()].pop()
+
+    def follow(self, name: str, closing: bool, opens: bool) -> None:
+        """Apply a tag, optional end tags included."""
+        if closing:
+            walls = _TABLE if name in _TABLE_PARTS else _CELLS | _TABLE if name in BLOCKS or name in SPACED else BLOCKS | _CELLS
+            self.cut(frozenset((name,)), walls - {name})
+            return
+        if name in IMPLIED:
+            if name in ("li", "dt", "dd"):
+                self.cut(*_CLOSES_P)
+            self.cut(*IMPLIED[name], every=name in ("optgroup", "tr", "tbody", "thead", "tfoot"))
+        if opens:
+            self.push(name)
 
 
 class _Scanner:
@@ -157,36 +188,67 @@ class _Scanner:
             yield before, tag, closing, page[name.end() : end], at
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length of link text, inside an article?) for each block; what stands aside is left out."""
-    lines, text, linked = [], [], 0
-    skip, stack, article, anchor = 0, [], 0, 0  # skip: how many elements are open while one that stands aside is
-    scanner = _Scanner(page)
+@dataclass(frozen=True)
+class Line:
+    """A block's text. ``linked``: length of its link text; ``inside``: in an article; ``aside``: its element tells that it is
+    no article (``SURE``) or a class does (``TOLD``), else 0."""
+
+    text: str
+    linked: int
+    inside: bool
+    aside: int
+
+
+TOLD, SURE = 1, 2
+
+
+def page_lines(page: str) -> list[Line]:
+    """The lines of a page in order; what stands aside inside a paragraph is a line before it."""
+    lines: list[Line] = []
+    text, linked, inside = [], 0, False
+    side: list[str] = []
+    skip, kind, anchor = 0, 0, 0  # skip: how many elements are open while one that stands aside is
+    open_, scanner = _Open(), _Scanner(page)
+    stack = open_.stack
 
     def close():
-        nonlocal text, linked
-        line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
-        if line:
-            lines.append((line, linked, article > 0))
-        text, linked = [], 0
+        nonlocal text, linked, inside
+        if line := _SPACE.sub(" ", "".join(text)).strip():
+            lines.append(Line(line, linked, inside, 0))
+        text, linked, inside = [], 0, False
+
+    def close_side():
+        nonlocal side
+        if line := _SPACE.sub(" ", "".join(side)).strip():
+            lines.append(Line(line, 0, False, kind))
+        side = []
 
     def add(run: str):
-        nonlocal linked
-        if run and not skip:
-            text.append(run)
-            if anchor:
-                linked += len(run.strip())
+        nonlocal linked, inside
+        if not run:
+            return
+        run = html.unescape(run) if "&" in run else run
+        if skip:
+            side.append(run)
+            return
+        text.append(run)
+        if bare := len(run.strip()):
+            inside = inside or open_.has("article") or open_.has("main")
+            linked += bare if anchor else 0
 
     for before, name, closing, attrs, at in scanner.parts():
         add(before)
         if not name:
             continue
-        opens = not closing and name not in VOID and not attrs.endswith("/") and len(stack) < MAX_DEPTH
+        opens = not closing and name not in VOID and not attrs.endswith("/")
         aside = stack[skip - 1] if skip else ""
-        _follow(stack, name, closing, opens)
+        open_.follow(name, closing, opens)
         if skip:
+            if name in BLOCKS:
+                close_side()
             if len(stack) >= skip and not (opens and len(stack) == skip):
                 continue
+            close_side()
             ended, skip = skip, 0
             if closing and name == aside and len(stack) == ended - 1:
                 continue
@@ -194,32 +256,66 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             close()
         elif name in SPACED:
             add(" ")
-        if opens and _is_aside(name, attrs, article > 0) and (name in ENDS_ALONE or any(n not in WHOLE and scanner.closed_after(n, at) >= 0 for n in stack[-1:-3:-1])):
-            skip = len(stack)
-        elif name in ("article", "main"):
-            article = max(0, article + (1 if opens else -1 if closing else 0))
+        article = open_.has("article") or open_.has("main")
+        if opens and _is_aside(name, attrs, article) and (name in ENDS_ALONE or any(n not in WHOLE and scanner.closed_after(n, at) >= 0 for n in stack[-1:-3:-1])):
+            skip, kind = len(stack), SURE if name in ASIDE or name == "header" else TOLD
         elif name == "a":
             anchor = 1 if opens else 0
+    close_side()
     close()
     return lines
 
 
-def main_text(page: str | None) -> str:
-    """The lines between surge and dive, joined by line feeds."""
-    lines = page_lines(page or "")
-    lengths = [len(line) if inside else 0 if linked > MAX_LINK_SHARE * len(line) else len(line) - linked for line, linked, inside in lines]
+def _lengths(lines: list[Line], told: bool) -> list[int]:
+    """What each line counts; ``told``: whether lines that only a class marks count too."""
+    out = []
+    for x in lines:
+        free = len(x.text) - x.linked
+        if x.aside == SURE or x.aside == TOLD and not told:
+            out.append(0)
+        else:
+            out.append(len(x.text) if x.inside else 0 if x.linked > MAX_LINK_SHARE * len(x.text) else free)
+    return out
+
+
+def surges(lengths: list[int]) -> tuple[list[int], int]:
+    """(sums of the windows that begin at each line, threshold of this page)."""
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    surge = min(SURGE_CHARS, max(sums, default=0))
+    return sums, min(SURGE_CHARS, max(sums, default=0))
+
+
+def kept_lines(lines: list[Line]) -> list[int]:
+    """Which lines lie between surge and dive."""
+    lengths = _lengths(lines, False)
+    if not any(x.inside and n for x, n in zip(lines, lengths)) and surges(lengths)[1] < SURGE_CHARS <= surges(told := _lengths(lines, True))[1]:
+        lengths = told
+    sums, surge = surges(lengths)
+    least = surge / WINDOW
     kept, at = [], 0
     while at < len(lines):
         if not lengths[at]:
             at += 1
             continue
-        dive = next((j for j in range(at, len(lines)) if not lengths[j]), len(lines))
-        if any(sums[j] >= surge for j in range(at, dive)):
-            kept += [line for line, _, _ in lines[at:dive]]
-        at = dive
-    return "\n".join(kept)
+        # A run goes on to the dive; inside an article lines without length do not end it.
+        end, article = at, lines[at].inside
+        while end < len(lines) and (lengths[end] or article and any(x.inside for x in lines[end + 1 : end + 2])):
+            article = lines[end].inside or article and not lengths[end]
+            end += 1
+        run = [i for i in range(at, end) if lengths[i]]
+        high = [i for i in run if sums[i] >= surge]
+        sure = [i for i in run if lines[i].inside]
+        if high or sure:
+            first = next((i for i in run if high and i >= high[0] and lengths[i] >= least), len(lines))
+            last = next((i for i in reversed(run) if high and i < high[-1] + WINDOW and lengths[i] >= least), -1)
+            kept += [i for i in run if min([first, *sure[:1]]) <= i <= max([last, *sure[-1:]])]
+        at = end
+    return kept
+
+
+def main_text(page: str | None) -> str:
+    """The lines between surge and dive, joined by line feeds."""
+    lines = page_lines(page or "")
+    return "\n".join(lines[i].text for i in kept_lines(lines))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
