@@ -31,6 +31,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 36
 BLOCKS = 8
+SPAN = 4096
 SLICE_ITEMS = 20_000
 SLICE_BYTES = 32 << 20
 WORD = re.compile(r"[^\W_]+")
@@ -116,8 +117,9 @@ class Index:
             np.add.at(edges, np.maximum(at - m + 1, 0), 1)
             np.add.at(edges, np.minimum(at + 1, len(edges) - 1), -1)
             starts = np.flatnonzero(np.cumsum(edges[:-1]))
-            for k in range(0, len(starts), 4096):
-                found += self._verify(starts[k : k + 4096], grams, n, m, own, prints, tables)
+            # Spans of SPAN words at most, wherever the starts lie: a task holds the votes of one span.
+            for part in np.split(starts, np.flatnonzero(np.diff(starts // SPAN)) + 1):
+                found += self._verify(part, grams, n, m, own, prints, tables)
         best: dict[int, tuple] = {}
         for row in found:
             if row[0] not in best or (-row[4], row[1]) < (-best[row[0]][4], best[row[0]][1]):
