@@ -1,10 +1,12 @@
-"""Exact top-k inner products: a ball tree for each shard, leaves in order of their bounds.
+"""Exact top-k inner products: a ball tree for each shard, descended by bounds.
 
 Vectors are dealt into shards by a hash of their id, queries into blocks; every shard meets every block, in rounds of
 growing numbers of shards. A task builds its shard's ball tree. For a query q no vector in a ball with centre c and
 radius r scores over q.c + r|q|, nor over its greatest norm times |q|, nor over what the bounds of the balls around it
-allow. Each query visits its ``FIRST_LEAVES`` leaves of highest bound first; after that leaves come by falling bound,
-each with all queries whose bound there reaches their kth score. The kth scores that the shards of a round find are where the next round starts.
+allow. Each query first goes down to the leaf that the higher bounds lead to. Then the queries of a block descend from
+the root together: at a node those whose bound is under their kth score drop out, the child with the higher bounds comes
+first, and a sub-tree that no query is left for is never entered. The kth scores that the shards of a round find are
+where the next round starts.
 
 How much that saves depends on the vectors: clustered ones leave most leaves unvisited; vectors that point in random
 directions of many dimensions fill balls as wide as the whole set, so nearly every leaf must be visited and the search
@@ -30,26 +32,29 @@ SHARD_ROWS = 32_768
 LEAST_SHARD_ROWS = 2_048
 QUERY_ROWS = 8_192
 LEAF_ROWS = 64
-FIRST_LEAVES = 2
 ROUND_GROWTH = 8
 NO_ID = np.iinfo(np.int64).max
 
 
 class BallTree:
-    """Balls in arrays; leaf ``i`` holds rows ``first[i]`` to ``last[i]``, ``up`` is each node's parent (the root's: itself)."""
+    """Balls in arrays; ``rows`` gives the rows (from, to) of each leaf's node, ``down`` the two children of the others.
+    ``visited`` counts the leaves that queries were compared with, ``bounded`` the nodes that a bound was taken of."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF_ROWS):
         order = np.lexsort((ids,))
-        nodes, leaves, stack = [], [], [(0, len(order), 0)]
+        nodes, stack = [], [(0, len(order), -1)]
+        self.rows, self.down = {}, {}
         while stack:
             a, b, parent = stack.pop()
             own = vectors[order[a:b]]
             centre = own.mean(axis=0)
             radius = float(np.sqrt(((own - centre) ** 2).sum(axis=1).max()))
             at = len(nodes)
-            nodes.append((centre, radius, float(np.sqrt((own**2).sum(axis=1).max())), parent))
+            nodes.append((centre, radius, float(np.sqrt((own**2).sum(axis=1).max()))))
+            if parent >= 0:
+                self.down.setdefault(parent, []).append(at)
             if b - a <= leaf:
-                leaves.append((at, a, b))
+                self.rows[at] = (a, b)
                 continue
             one = own[int(((own - centre) ** 2).sum(axis=1).argmax())]
             two = own[int(((own - one) ** 2).sum(axis=1).argmax())]
@@ -61,17 +66,12 @@ class BallTree:
             stack += [(a, mid, at), (mid, b, at)]
         self.ids, self.vectors = ids[order], vectors[order]
         self.centres, self.radii, self.norms = np.array([n[0] for n in nodes]), np.array([n[1] for n in nodes]), np.array([n[2] for n in nodes])
-        self.up = [n[3] for n in nodes]
-        self.leaf, self.first, self.last = np.array(leaves).T
-        self.visited = self.asked = 0
-
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """(queries, leaves): no row of the leaf scores more."""
-        norms = np.sqrt((queries**2).sum(axis=1))[:, None] * (1 + 1e-12)
-        out = np.floor(np.minimum(queries @ self.centres.T + norms * self.radii, norms * self.norms) + 1e-6)
-        for node, parent in enumerate(self.up):  # parents come before their children
-            np.minimum(out[:, node], out[:, parent], out=out[:, node])
-        return out[:, self.leaf]
+        self.visited = self.bounded = 0
+
+    def bounds(self, node: int, queries: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """For each query: no row of the node scores more."""
+        self.bounded += len(queries)
+        return np.floor(np.minimum(queries @ self.centres[node] + norms * self.radii[node], norms * self.norms[node]) + 1e-6)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray, chunk: int = 2_048) -> None:
         """Better ``scores`` and ``ids`` (queries, k), best first, by this tree's rows; free places hold -inf and ``NO_ID``."""
@@ -80,23 +80,38 @@ class BallTree:
             self._search(query_ids[part], queries[part], scores[part], ids[part])
 
     def _search(self, query_ids, queries, scores, ids) -> None:
-        bounds = self.bounds(queries)
-        self.asked += bounds.size
+        norms = np.sqrt((queries**2).sum(axis=1)) * (1 + 1e-12)
         everyone = np.arange(len(queries))
-        for _ in range(min(FIRST_LEAVES, bounds.shape[1])):
-            leaf = bounds.argmax(axis=1)
-            by_leaf = np.argsort(leaf, kind="stable")
-            for group in np.split(by_leaf, np.flatnonzero(np.diff(leaf[by_leaf])) + 1):
-                self._visit(int(leaf[group[0]]), group[bounds[group, leaf[group]] >= scores[group, -1]], query_ids, queries, scores, ids)
-            bounds[everyone, leaf] = -np.inf
-        for leaf in np.argsort(-bounds.max(axis=0), kind="stable").tolist():
-            hope = (bounds[:, leaf] >= scores[:, -1]) & (bounds[:, leaf] > -np.inf)
-            self._visit(leaf, np.flatnonzero(hope), query_ids, queries, scores, ids)
+        seen: dict[int, np.ndarray] = {}
+        stack = [(0, everyone)]
+        while stack:  # each query's way down, by the higher bound
+            node, asking = stack.pop()
+            if node in self.rows:
+                seen[node] = asking
+                self._visit(node, asking, query_ids, queries, scores, ids)
+                continue
+            one, two = self.down[node]
+            left = self.bounds(one, queries[asking], norms[asking]) >= self.bounds(two, queries[asking], norms[asking])
+            stack += [(child, part) for child, part in ((one, asking[left]), (two, asking[~left])) if len(part)]
+        stack = [(0, everyone, self.bounds(0, queries, norms))]
+        while stack:
+            node, asking, bound = stack.pop()
+            hope = bound >= scores[asking, -1]
+            asking, bound = asking[hope], bound[hope]
+            if not len(asking):
+                continue
+            if node in self.rows:
+                new = np.setdiff1d(asking, seen[node], assume_unique=True) if node in seen else asking
+                self._visit(node, new, query_ids, queries, scores, ids)
+                continue
+            below = [(child, np.minimum(bound, self.bounds(child, queries[asking], norms[asking]))) for child in self.down[node]]
+            below.sort(key=lambda x: x[1].sum())  # the child of higher bounds is taken from the stack first
+            stack += [(child, asking, own) for child, own in below]
 
     def _visit(self, leaf, asking, query_ids, queries, scores, ids) -> None:
         if not len(asking):
             return
-        a, b = int(self.first[leaf]), int(self.last[leaf])
+        a, b = self.rows[leaf]
         own = self.ids[a:b]
         self.visited += len(asking)
         got = queries[asking] @ self.vectors[a:b].T
