@@ -183,7 +183,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", find=clas
     if ids["n"] == ids["d"]:
         keepers = find(docs, key, text).where(F.col(key) == F.col("component_id")).select(key)
         return docs.join(keepers, key, "left_semi").select(*docs.columns)
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    table = find(rows.select("_row", text), "_row", text).select(F.col("_row").alias("_member"), "component_id")
-    first = rows.select("_row", F.col(key).alias("_id")).join(table, F.col("_row") == F.col("_member")).groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("least"))
-    return rows.join(first.select(F.col("least._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    table = find(rows.select(row, text), row, text).select(F.col(row).alias("_member"), "component_id")
+    own = rows.select(F.col(row).alias("_number"), F.col(key).alias("_id"))
+    first = own.join(table, F.col("_number") == F.col("_member")).groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_number")).alias("least"))
+    return rows.join(first.select(F.col("least._number").alias(row)), row, "left_semi").select(*docs.columns)
