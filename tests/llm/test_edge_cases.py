@@ -247,3 +247,37 @@ def test_shards(spark):
         assert own == list(range(len(own)))
     assert sorted((r["size"], r["text_crc32"]) for r in got) == sorted((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for _, t in ROWS)
     assert feistel_shards.shard_documents(docs(spark, [])).collect() == []
+
+
+STORY = "A long paragraph that carries on for a good while so that it is surely over the threshold of the windows, is it not?"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f'<p class="notice-of-motion">{STORY}</p>', STORY),
+    (f'<div class="search-results alert"><p>{STORY}</p></div>', STORY),
+    (f'<div class="ad">{STORY}</div><article><p>short</p></article>', "short"),
+    (f"<div><article><p>{STORY}</div><div><a>Link one</a> <a>Link two</a></div>", STORY),
+    (f"<article><p>&am<b>p;</b> {STORY}</p></article>", f"&amp; {STORY}"),
+    ("<div>" * 250 + f"<nav>menu one</nav><p>{STORY}</p>", STORY),
+    (f"<div>Home</div><div>About</div><div>Press</div><p>{STORY}</p><p>yes</p><p>{STORY}</p><div>Imprint</div><div>2020</div>", f"{STORY}\nyes\n{STORY}"),
+    (f'<article><h1>Hi</h1><div class="ad">x</div><div class="ad">y</div><div class="ad">z</div><p>{STORY}</p><p>end</p></article>', f"Hi\n{STORY}\nend"),
+    (f"<p>{STORY} <span class=ad>buy</span> on</p>", f"{STORY} on"),
+])
+def test_main_text_between_surge_and_dive(page, want):
+    assert line_blocks.main_text(page) == want
+
+
+def test_windows_decide_on_every_given_page(spark, sf_dir):
+    """What surge and dive leave out of the lines that markup gives: some on each page."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    lines = [line_blocks.page_lines(p) for p in pages]
+    decided = sum(len(line_blocks.kept_lines(x)) < len(x) for x in lines)
+    print("pages on which windows decided:", decided, "of", len(pages))
+    assert decided == len(pages)
+
+
+def test_deep_pages_take_time_in_proportion():
+    for unit in ("<div>", "<li><b><i>", "<table><tr><td>"):
+        began = time.time()
+        line_blocks.main_text(unit * 60_000 + "x" + "</div>" * 60_000)
+        assert time.time() - began < 20
