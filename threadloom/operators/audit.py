@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.set_join import ordered_pairs
+
 PROMOTED = ("decision", "project-current")
 
 
@@ -112,11 +114,8 @@ def counters(tables: dict[str, DataFrame], metrics: dict[str, dict[str, str]]) -
 
 def tool_pairs(calls: DataFrame, turn: list[str], tool: str, at: str, least: int = 3, top: int = 5) -> DataFrame:
     """(first_tool, then_tool, n): tools of which one was called later than the other in the same turn, most frequent
-    first. A turn's calls are counted by tool and clock before they meet."""
-    counted = calls.groupBy(*turn, tool, at).agg(F.count(F.lit(1)).alias("k"))
-    a = counted.select(*turn, F.col(tool).alias("first_tool"), F.col(at).alias("_a"), F.col("k").alias("_ka"))
-    b = counted.select(*turn, F.col(tool).alias("then_tool"), F.col(at).alias("_b"), F.col("k").alias("_kb"))
-    pairs = a.join(b, turn).where("_a < _b").groupBy("first_tool", "then_tool").agg(F.sum(F.col("_ka") * F.col("_kb")).alias("n"))
+    first. Pairs are counted, not made."""
+    pairs = ordered_pairs(calls, turn, tool, at).withColumnsRenamed({"first": "first_tool", "then": "then_tool"})
     return pairs.where(F.col("n") >= least).orderBy(F.desc("n"), "first_tool", "then_tool").limit(top)
 
 

@@ -32,25 +32,57 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int, visible: DataFrame | N
     Relevance is 0.6 to the zero-based hop, times 0.7 over edges that neither support nor influence; what falls under
     0.2 is left out. A neighbour is reached over one edge: contradictions first, then superseding, supporting, others, then
     the oldest, then the least node it comes from. Only ``visible`` nodes enter the frontier; a node keeps its first hop.
+    ``edges`` may be an ``adjacency``; edges are shuffled once, when it is built, and hops only move the frontier.
     """
-    links = both_ways(edges)
-    visited = seeds.select("id").distinct()
-    frontier, found = visited, None
+    links = edges if "_part" in edges.columns else adjacency(edges)
+    parts = max(1, links.sparkSession.sparkContext.defaultParallelism, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    start = seeds.select("id").distinct()
+    visited = start
+    frontier, found = start.join(hubs(links), "id", "left").select("id", F.coalesce("_parts", F.lit(1)).alias("_parts")), None
     for hop in range(hops):
         if DECAY**hop < FLOOR:
             break
         factor = F.when(F.col("relation_type").isin(*AFFIRMATIVE), 1.0).otherwise(OTHER_WEIGHT)
-        near = links.join(frontier.withColumnRenamed("id", "from"), "from").withColumn("relevance", F.lit(DECAY**hop) * factor).where(F.col("relevance") >= FLOOR)
+        # A frontier node is sent to every part of its edges; they lie where the build has put them.
+        sent = frontier.select(F.col("id").alias("from"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")).repartition(parts, "from", "_part")
+        near = links.join(sent, ["from", "_part"]).withColumn("relevance", F.lit(DECAY**hop) * factor).where(F.col("relevance") >= FLOOR)
         near = near.join(visited.withColumnRenamed("id", "to"), "to", "left_anti")
         if visible is not None:
             near = near.join(visible.select(F.col("id").alias("to")), "to", "left_semi")
         # The least edge of each neighbour, combined before the shuffle; kept, so that later hops do not walk it again.
         edge = F.min(F.struct(priority().alias("p"), "created_at", "from", "relation_type", "relevance")).alias("e")
-        step = settled(near.groupBy(F.col("to").alias("id")).agg(edge).select("id", F.lit(hop + 1).alias("hop"), "e.relevance", "e.relation_type", F.col("e.from").alias("via")))
+        step = settled(near.groupBy(F.col("to").alias("id")).agg(edge, F.max("_to_parts").alias("_parts")).select("id", F.lit(hop + 1).alias("hop"), "e.relevance", "e.relation_type", F.col("e.from").alias("via"), "_parts"))
         found = step if found is None else found.unionByName(step)
-        frontier = step.select("id")
-        visited = visited.union(frontier)
-    return found
+        frontier = step.select("id", "_parts")
+        visited = visited.union(step.select("id"))
+    return found.drop("_parts") if found is not None else None
+
+
+HUB_EDGES = 10_000
+
+
+def adjacency(edges: DataFrame, hub_edges: int = HUB_EDGES) -> DataFrame:
+    """``both_ways`` of the edges, laid out by node once and kept: hash-partitioned by (from, _part), a node with over
+    ``hub_edges`` edges in several parts. ``_parts`` and ``_to_parts`` tell how many parts either end has."""
+    spark = edges.sparkSession
+    links = both_ways(edges)
+    size = links.groupBy(F.col("from").alias("id")).agg(F.ceil(F.count(F.lit(1)) / hub_edges).cast("int").alias("_n")).where("_n > 1")
+    own, other = size.withColumnsRenamed({"id": "from", "_n": "_parts"}), size.withColumnsRenamed({"id": "to", "_n": "_to_parts"})
+    laid = links.join(own, "from", "left").join(other, "to", "left").withColumns({"_parts": F.coalesce("_parts", F.lit(1)), "_to_parts": F.coalesce("_to_parts", F.lit(1))})
+    parts = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = settled(laid.withColumn("_part", F.pmod(F.xxhash64("to"), F.col("_parts")).cast("int")))
+    # A checkpoint of an adaptive plan forgets how its rows are partitioned, and joins would shuffle them again.
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return settled(rows.repartition(parts, "from", "_part"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def hubs(links: DataFrame) -> DataFrame:
+    """(id, _parts) of the nodes whose edges lie in several parts."""
+    return links.where("_parts > 1").select(F.col("from").alias("id"), "_parts").distinct()
 
 
 def inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.set_join import similar_sets
+
 BRANCH_CONFIDENCE = 0.9
 
 
@@ -64,13 +66,13 @@ def topic_streams(sessions: DataFrame, capsules: DataFrame) -> DataFrame:
     """(session_id, topic_stream, topic_score): the active stream of a session's project whose capsule (stream_id, project,
     text) its first prompt resembles clearly best. Sessions have session_id, project, prompt.
 
-    Words are shared before streams are compared, so a session meets only streams of its project with a word in common.
+    Sessions meet streams by a set-similarity join at the least score that can matter: a runner-up further behind than
+    ``TOPIC_LEAD`` changes nothing.
     """
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_-]{2,}"), F.lit(0)))
-    ask = sessions.select("session_id", "project", words(F.col("prompt")).alias("w")).select("session_id", "project", F.size("w").alias("n"), F.explode("w").alias("word"))
-    have = capsules.select("stream_id", "project", words(F.col("text")).alias("w")).select("stream_id", "project", F.size("w").alias("m"), F.explode("w").alias("word"))
-    shared = ask.join(have, ["project", "word"]).groupBy("session_id", "stream_id", "n", "m").agg(F.count(F.lit(1)).alias("k"))
-    scored = shared.select("session_id", "stream_id", (F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("score"))
+    ask = sessions.select(F.col("session_id").alias("id"), "project", words(F.col("prompt")).alias("words"))
+    have = capsules.select(F.col("stream_id").alias("id"), "project", words(F.col("text")).alias("words"))
+    scored = similar_sets(ask, have, TOPIC_SCORE - TOPIC_LEAD, ["project"]).withColumnsRenamed({"left_id": "session_id", "right_id": "stream_id"})
     order = Window.partitionBy("session_id").orderBy(F.desc("score"), "stream_id")
     best = scored.withColumn("place", F.row_number().over(order)).where("place <= 2").groupBy("session_id").agg(F.max(F.when(F.col("place") == 1, F.struct("score", "stream_id"))).alias("b"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("next"))
     clear = (F.col("b.score") >= TOPIC_SCORE) & (F.col("b.score") - F.coalesce("next", F.lit(0.0)) >= TOPIC_LEAD)

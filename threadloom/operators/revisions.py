@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.set_join import similar_sets
+from threadloom.operators.storage import settled
+
 
 def replicate(incoming: DataFrame, local: DataFrame, tombs: DataFrame, key: str, content: str) -> DataFrame:
     """(key, outcome) of replicated events: tombstoned, duplicate, conflict or insert."""
@@ -67,15 +70,42 @@ def match_patterns(signatures: DataFrame, probes: DataFrame, least: float = 0.5,
 
     The newest signatures are asked: one counts whole if the probe holds it (20 characters or more), else by the Jaccard
     similarity of words of three characters or more. Best first, then those with more episodes, then by key.
+
+    Whole signatures are looked for with one automaton of all that are asked (``newest`` of them, which bounds it); words
+    meet by a set-similarity join.
     """
     words = lambda t: F.array_distinct(F.filter(F.split(t, "[^a-z0-9_]+"), lambda w: F.length(w) >= 3))
     asked = signatures.orderBy(F.desc("last_at"), "key").limit(newest).select("key", F.col("text").alias("_s"), "episodes", words(F.col("text")).alias("_sw"))
-    met = probes.select("probe_id", F.col("text").alias("_p"), words(F.col("text")).alias("_pw")).join(F.broadcast(asked), how="cross")
-    union = F.size(F.array_union("_sw", "_pw"))
-    score = F.when((F.length("_s") >= 20) & F.contains("_p", F.col("_s")), F.lit(1.0)).when((F.size("_sw") > 0) & (union > 0), F.size(F.array_intersect("_sw", "_pw")) / union).otherwise(F.lit(0.0))
+    asked = settled(asked)
+    whole = asked.where(F.length("_s") >= 20).select("key", "_s").collect()
+    inside = holding(probes, [(r["_s"], r["key"]) for r in whole])
+    alike = similar_sets(probes.select(F.col("probe_id").alias("id"), words(F.col("text")).alias("words")), asked.select(F.col("key").alias("id"), F.col("_sw").alias("words")), least)
+    met = inside.withColumn("score", F.lit(1.0)).unionByName(alike.withColumnsRenamed({"left_id": "probe_id", "right_id": "key"}))
+    met = met.groupBy("probe_id", "key").agg(F.max("score").alias("score")).join(asked.select("key", "episodes"), "key")
     best = Window.partitionBy("probe_id").orderBy(F.desc("score"), F.desc("episodes"), "key")
-    found = met.select("probe_id", "key", "episodes", score.alias("score")).where(F.col("score") >= least)
-    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("probe_id", "key", "score", "place")
+    return met.where(F.col("score") >= least).withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("probe_id", "key", "score", "place")
+
+
+def holding(texts: DataFrame, wanted: list[tuple[str, str]]) -> DataFrame:
+    """(probe_id, key) of the texts (probe_id, text) that hold a wanted (string, key): each text is read once."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+    kind = dict(texts.dtypes)["probe_id"]
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for string, key in shared.value:
+            automaton.add_word(string, [*automaton.get(string, []), key])
+        if shared.value:
+            automaton.make_automaton()
+        for part in batches:
+            ids, keys = part.column(0), part.column(1).to_pylist()
+            found = [(i, k) for i, t in enumerate(keys) if t and shared.value for k in sorted({k for _, ks in automaton.iter(t) for k in ks})]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array([i for i, _ in found], pa.int64())), pa.array([k for _, k in found], pa.string())], ["probe_id", "key"])
+
+    return texts.select("probe_id", "text").mapInArrow(run, f"probe_id {kind}, key string")
 
 
 def check_candidates(candidates: DataFrame, turns: DataFrame, key: list[str], span: str, text: str, bounds: tuple[int, int] = (5, 200)) -> DataFrame:

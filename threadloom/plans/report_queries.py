@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.set_join import ordered_pairs
 from threadloom.plans.base import EXCHANGES, FACTS, exchanges, facts, query, table
 
 
@@ -48,11 +49,11 @@ def agg06_domain_ranking(spark, sf_dir):
 
 
 @query(f"""WITH {EXCHANGES}, {FACTS}, e AS (SELECT project, count(DISTINCT session_id) AS sessions, count(*) AS n, min(timestamp) AS first_at, max(timestamp) AS last_at FROM exchanges GROUP BY project),
-f AS (SELECT 'p' || (id % 7) AS project, count(*) AS facts FROM facts WHERE is_active AND id % 3 <> 0 AND id % 7 <> 6 GROUP BY 1)
+f AS (SELECT 'p' || (id % 7) AS project, count(*) AS facts FROM facts WHERE is_active GROUP BY 1)
 SELECT e.project, sessions, n, first_at, last_at, coalesce(facts, 0) AS facts FROM e LEFT JOIN f USING (project) ORDER BY n DESC, project LIMIT 10""")
 def agg07_project_rollup(spark, sf_dir):
     e = exchanges(spark, sf_dir).groupBy("project").agg(F.count_distinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
-    f = facts(spark, sf_dir).where("is_active and id % 3 <> 0 and id % 7 <> 6").groupBy(F.concat(F.lit("p"), (F.col("id") % 7).cast("string")).alias("project")).agg(F.count(F.lit(1)).alias("facts"))
+    f = facts(spark, sf_dir).where("is_active").groupBy(F.concat(F.lit("p"), (F.col("id") % 7).cast("string")).alias("project")).agg(F.count(F.lit(1)).alias("facts"))
     return e.join(f, "project", "left").withColumn("facts", F.coalesce("facts", F.lit(0))).orderBy(F.desc("n"), "project").limit(10)
 
 
@@ -70,10 +71,7 @@ def agg11_tool_frequency(spark, sf_dir):
 
 @query("""SELECT a.l_returnflag AS first_flag, b.l_returnflag AS then_flag, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_shipdate < b.l_shipdate GROUP BY 1, 2""")
 def join04_theta_self_join(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    a = li.select("l_orderkey", F.col("l_returnflag").alias("first_flag"), F.col("l_shipdate").alias("d1"))
-    b = li.select("l_orderkey", F.col("l_returnflag").alias("then_flag"), F.col("l_shipdate").alias("d2"))
-    return a.join(b, (a["l_orderkey"] == b["l_orderkey"]) & (F.col("d1") < F.col("d2"))).groupBy("first_flag", "then_flag").agg(F.count(F.lit(1)).alias("n"))
+    return ordered_pairs(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_returnflag", "l_shipdate").withColumnsRenamed({"first": "first_flag", "then": "then_flag"})
 
 
 @query(f"""WITH {EXCHANGES}, r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY timestamp DESC, id DESC) AS k FROM exchanges)
