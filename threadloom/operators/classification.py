@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators.retrieval import dot
+from threadloom.operators.storage import numbered
 
 # Limits of a batch and of what is asked about a fact; the similarity that makes two facts candidates.
 BATCH, CANDIDATES, ATTEMPTS, RELATED, TOP_RELATED = 50, 8, 3, 0.89, 2
+MAX_CATEGORIES = 10_000
 
 
 def relation_candidates(new: DataFrame, facts: DataFrame, scope: list[str], threshold: float = RELATED, k: int = TOP_RELATED) -> DataFrame:
@@ -27,11 +29,12 @@ def classification_batches(pending: DataFrame, categories: DataFrame, outcome: C
     Facts go to the model in batches of ``BATCH`` by id, each with its k nearest categories. ``outcome`` is what the
     model said: ok, failed or transient. A failure counts; after ``ATTEMPTS`` the fact is parked. Outages do not count.
     """
-    # Taxonomies are small: a category is one short vector.
+    # Every fact meets every category: a taxonomy is a table of short vectors that callers bound, and so is its size here.
+    if categories.count() > MAX_CATEGORIES:
+        raise ValueError(f"a taxonomy has {MAX_CATEGORIES} categories at most")
     near = pending.join(F.broadcast(categories.select("category", F.col("v").alias("_c"))), how="cross").select("id", "category", F.round(dot(F.col("v"), F.col("_c")), 9).alias("s"))
     top = near.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "category"))).where(F.col("_n") <= k).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_n", "category"))).alias("c"))
-    number = F.row_number().over(Window.orderBy("id")) - 1
-    batches = pending.select("id").withColumn("batch", F.floor(number / BATCH))
+    batches = numbered(pending.select("id"), ["id"], "_number").select("id", F.floor(F.col("_number") / BATCH).alias("batch"))
     after = F.col("attempts") + F.when(outcome == "failed", 1).otherwise(0)
     result = F.when(outcome == "ok", "classified").when(outcome == "transient", "held").when(after >= ATTEMPTS, "parked").otherwise("retry")
     judged = pending.select("id", result.alias("result"), after.alias("attempts"))

@@ -11,6 +11,8 @@ from threadloom.operators.history import authority_rank, verdict
 OWNED = {"workspace-id": "workspace_id", "workstream-id": "workstream_id", "session-id": "session_id"}
 NEEDS_PROJECT = ("project-id", "other-project-id", *OWNED)
 
+MAX_PATHS = 1_000
+
 
 def check_scopes(scopes: DataFrame, owners: DataFrame) -> DataFrame:
     """(request_id, problem) for scopes (request_id, type, project_id, workspace_id, workstream_id, session_id).
@@ -75,10 +77,12 @@ def legacy_facts(facts: DataFrame, paths: DataFrame, fact_path: Column, kind: st
 
     ``project``: the path's own and global ones; ``exact-project``: its own; ``other-projects``: those of other paths.
     """
+    if kind != "exact-project" and paths.count() > MAX_PATHS:
+        raise ValueError(f"{MAX_PATHS} paths at most can be asked for at once: they are broadcast")
     own = facts.select("id", "scope_type", fact_path.alias("_path"))
     mine = own.where("scope_type = 'project' and _path is not null")
     if kind == "other-projects":
-        # The requests are stated scopes, so they are few; facts are read once.
+        # The requests are stated scopes, ``MAX_PATHS`` at most; facts are read once.
         return mine.join(F.broadcast(paths), F.col("_path") != F.col("path")).select("request_id", "id")
     same = mine.join(paths, F.col("_path") == F.col("path")).select("request_id", "id")
     if kind == "exact-project":

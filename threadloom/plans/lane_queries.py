@@ -92,7 +92,7 @@ def top07_two_lane_order(spark, sf_dir):
 @query(f"""WITH {FACTS}, {_TWO}, {_SEMANTIC}, {_LEXICAL}, {_COMBINED}, {RELATIONS}, e AS (SELECT source_id AS id, target_id AS other, relation_type FROM relations UNION ALL SELECT target_id, source_id, relation_type FROM relations)
 SELECT c.id, c.lane, f.category, count(e.other) AS n_relations, count(CASE WHEN e.relation_type = 'CONTRADICTS' THEN 1 END) AS n_against FROM comb c JOIN facts f USING (id) LEFT JOIN e USING (id) GROUP BY ALL""")
 def ret14_knowledge_context(spark, sf_dir):
-    hits = F.broadcast(found(spark, sf_dir).select("id", "lane"))  # 15 rows
+    hits = found(spark, sf_dir).select("id", "lane")
     near = graph.both_ways(relations(spark, sf_dir)).select(F.col("from").alias("id"), "relation_type").join(hits.select("id"), "id", "left_semi")
     counts = near.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("relation_type") == "CONTRADICTS").alias("against"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
