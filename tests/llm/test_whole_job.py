@@ -151,3 +151,73 @@ def test_mined_rules_against_brute_force(spark):
         fits = [(c, len(s), v, list(s)) for (s, v), c in kept.items() if set(s) <= own]
         best = max(fits, default=None)
         assert (got[i]["verdict"], got[i]["mined_rule"]) == ((best[2], best[3]) if best else ("allow", None))
+
+
+def test_leaks_in_a_text_of_many_words_take_bounded_memory():
+    """A text of 1.5 million words with an item's shingle at each end, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+from threadloom.llm import decontaminate
+item = " ".join(f"w{i}" for i in range(40))
+index = decontaminate.Index(((1, item),))
+text = item + " " + "filler words here " * 500_000 + item
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+ids = index.numbers(text)
+got = index.search(ids)
+assert got and got[0][:3] == (1, 0, 40) and got[0][4] == 1.0, got
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    print("MB over the text itself:", out.stdout)
+    assert int(out.stdout) < 300
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (2, "other words that stand alone here", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    got = sorted(tuple(r) for r in shingle_dedup.keep_one(docs).collect())
+    assert [r[0] for r in got] == [1, 2] and got[0][2] in "xy" and got[1][2] == "z"
+
+
+def test_small_sets_are_decided_by_similarity_alone(spark):
+    """Sets of four and five shingles differ in more than ``RADIUS`` bits now and then; none may be lost for that."""
+    rng = np.random.default_rng(11)
+    far = []
+    while len(far) < 6:
+        words = [f"{x:x}" for x in rng.integers(0, 1 << 40, 9)]
+        a, b = " ".join(words), " ".join(words[:8])
+        bits = [shingle_dedup.fingerprint(shingle_dedup.shingle_set(t)) for t in (a, b)]
+        if sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(*bits)) > shingle_dedup.RADIUS:
+            far.append((a, b))
+    docs = spark.createDataFrame([(2 * i + k, t) for i, pair in enumerate(far) for k, t in enumerate(pair)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in shingle_dedup.classes(docs).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(len(far)))
+
+
+def test_tiles_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(shingle_dedup, "TILE_BYTES", 4096)
+    story = " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(i, f"{story} end{i}") for i in range(30)] + [(99, "nothing like the others at all")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in shingle_dedup.classes(docs).collect()}
+    assert {got[i] for i in range(30)} == {0} and got[99] == 99
+
+
+def test_descent_enters_few_leaves_where_vectors_cluster():
+    from threadloom.llm import ball_tree
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(100, 16)) * 300
+    rows = np.floor(centres[rng.integers(0, 100, 8000)] + rng.normal(size=(8000, 16)) * 20)
+    queries, ids = rows[:80], np.arange(80)
+    tree = ball_tree.BallTree(np.arange(8000), rows)
+    scores, found = np.full((80, 5), -np.inf), np.full((80, 5), ball_tree.NO_ID)
+    tree.search(ids, queries, scores, found)
+    want = queries @ rows.T
+    want[ids, ids] = -np.inf
+    order = np.lexsort((np.broadcast_to(np.arange(8000), want.shape), -want), axis=1)[:, :5]
+    assert (found == order).all() and (scores == np.take_along_axis(want, order, 1)).all()
+    print("leaves entered", tree.visited / (80 * len(tree.rows)), "nodes bounded", tree.bounded / (80 * (len(tree.rows) + len(tree.down))))
+    assert tree.visited < 0.5 * 80 * len(tree.rows) and tree.bounded < 0.9 * 80 * (len(tree.rows) + len(tree.down))
