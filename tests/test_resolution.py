@@ -94,3 +94,19 @@ def test_a_bounded_search(spark):
     assert [r["id"] for r in got.collect()] == [1, 2]
     with pytest.raises(ValueError):
         requests.explore(rows, rows, hops=4)
+
+
+def test_read_tools_check_what_they_are_asked_for(spark):
+    edges = spark.createDataFrame([(1, 2, "SUPPORTS", 1), (2, 3, "RELATES", 2), (3, 4, "SUPPORTS", 3)], "source_id long, target_id long, relation_type string, created_at long")
+    assert [(r["id"], r["hop"]) for r in requests.trace_fact(edges, 1).collect()] == [(2, 1), (3, 2)]
+    placed = spark.createDataFrame([("d", "c", f"f{i}") for i in range(4)] + [("d", "x", "g")], "domain string, category string, fact string")
+    assert [(r["fact"], r["n_facts"]) for r in requests.search_ontology(placed, category="c", limit=2).orderBy("fact").collect()] == [("f0", 4), ("f1", 4)]
+    said = spark.createDataFrame([("s", 1, 3), ("s", 4, 9), ("t", 1, 2)], "session_id string, line_start long, line_end long")
+    assert [r["line_start"] for r in requests.read_exchanges(said, "s", 2, 4).collect()] == [1, 4]
+    facts = spark.createDataFrame([(1, "use tabs", True), (2, "use spaces", True), (3, "old tabs", False)], "id long, fact string, is_active boolean")
+    far = spark.createDataFrame([(1, 0.5), (2, 0.1), (3, 0.0)], "id long, distance double")
+    assert [(r["id"], r["lane"]) for r in requests.search_facts(facts, far, F.lit(True), "tabs").collect()] == [(1, "both"), (2, "semantic")]
+    assert [r["line_start"] for r in requests.timeline(said, ["session_id", "line_start"], ["s", 1], 1).collect()] == [4, 1]
+    for bad in (lambda: requests.trace_fact(edges, 1, hops=4), lambda: requests.search_ontology(placed, limit=0), lambda: requests.read_exchanges(said, "s", 5, 4), lambda: requests.search_facts(facts, far, F.lit(True), "x"), lambda: requests.timeline(said, ["line_start"], limit=51)):
+        with pytest.raises(ValueError):
+            bad()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.operators.gate import MOST_TOKENS, token_estimate, wrapped
+from threadloom.operators.gate import MOST_TOKENS, sentence_cut, token_estimate, wrapped
 
 TTL_DAYS = 14
 TAIL_TURNS = 8
@@ -43,6 +43,36 @@ def tail_baton(turns: DataFrame, session: str, order: str, text: str, last: int
     return tail.groupBy(session).agg(F.count(F.lit(1)).alias("n_turns"), F.array_join(lines, "\n").alias("baton"))
 
 
+# The lines of a baton, its length, how many tools and paths it looks at.
+BATON_HEAD, BATON_CHARS, TAIL_TOOLS, TOUCHED = "[WORK NOW — DETERMINISTIC TAIL BATON]\nStatus: context-only", 1_200, 12, 5
+PATHS = r"(?:^|\s)([A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+)"
+
+
+def work_baton(turns: DataFrame, tools: DataFrame) -> DataFrame:
+    """(session_id, baton): what a session worked on last, without a model.
+
+    ``turns``: session_id, line_start, user_message; ``tools``: session_id, at, result, is_error, is_test, of trusted calls.
+    Of the last ``TAIL_TOOLS`` calls the paths that their results name (latest first, each once), the latest test that
+    passed and the latest error. Sessions without a request have no baton.
+    """
+    flat = lambda c: F.trim(F.regexp_replace(c, SPACE, " "))
+    own = F.trim(F.coalesce("user_message", F.lit("")))
+    asked = turns.where(own != "").groupBy("session_id").agg(F.max_by(own, "line_start").alias("_ask"))
+    last = tools.withColumn("_n", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("at")))).where(F.col("_n") <= TAIL_TOOLS)
+    paths = last.select("session_id", "_n", F.posexplode(F.regexp_extract_all(F.coalesce("result", F.lit("")), F.lit(PATHS), F.lit(1))).alias("_i", "_path"))
+    first = paths.groupBy("session_id", "_path").agg(F.min(F.struct("_n", "_i")).alias("_at"))
+    first = first.withColumn("_k", F.row_number().over(Window.partitionBy("session_id").orderBy("_at"))).where(F.col("_k") <= TOUCHED)
+    touched = first.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_path"))), lambda x: x["_path"]), ", ").alias("_touched"))
+    latest = lambda test, name: F.min_by(F.when(test, F.col("result")), F.when(test, F.col("_n"))).alias(name)
+    seen = last.groupBy("session_id").agg(latest(F.col("is_test") & ~F.col("is_error"), "_test"), latest(F.col("is_error"), "_error"))
+    said = lambda name, c: F.concat(F.lit(name), c)
+    lines = F.concat_ws(
+        "\n", F.lit(BATON_HEAD), said("Request: ", sentence_cut(flat(F.col("_ask")), 500)), said("Touched: ", F.col("_touched")),
+        said("Observed test evidence (verify): ", F.substring(flat(F.col("_test")), 1, 300)), said("Observed error (verification pending): ", F.substring(flat(F.col("_error")), 1, 300)),
+    )
+    return asked.join(touched, "session_id", "left").join(seen, "session_id", "left").select("session_id", F.substring(lines, 1, BATON_CHARS).alias("baton"))
+
+
 def rehydration_items(carry: DataFrame, facts: DataFrame, turns: DataFrame, hot: DataFrame) -> DataFrame:
     """(session_id, section, rank, text): what a session is told when its context starts anew, for ``render_bundle``.
 

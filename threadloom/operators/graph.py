@@ -109,3 +109,10 @@ def edge_per_neighbour(edges: DataFrame) -> DataFrame:
     links = both_ways(edges).withColumn("p", priority())
     best = links.groupBy(F.col("from").alias("node"), F.col("to").alias("neighbour")).agg(F.min(F.struct("p", "created_at", "relation_type")).alias("b"))
     return best.select("node", "neighbour", "b.relation_type")
+
+
+def taxonomy(placed: DataFrame) -> DataFrame:
+    """(domain, category, n_facts, fact): a row for each fact (domain, category, fact) under its branch. Counts are joined
+    on, so no category is gathered anywhere."""
+    counts = placed.groupBy("domain", "category").agg(F.count(F.lit(1)).alias("n_facts"))
+    return placed.join(counts, ["domain", "category"]).select("domain", "category", "n_facts", "fact")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators import graph, lanes, retrieval, scope
@@ -72,3 +72,50 @@ def search_concepts(vectors: DataFrame, request: Search, probes: list[list[float
 def explore(edges: DataFrame, seeds: DataFrame, hops: int = 1, visible: DataFrame | None = None) -> DataFrame:
     """A bounded walk over one to three hops."""
     return graph.expand(edges, seeds, within("hops", hops, HOPS), visible)
+
+
+DEFAULT_LIMIT, DEFAULT_HOPS = 10, 2
+
+
+def search_facts(facts: DataFrame, distances: DataFrame, visible, query: str = "", words: list[str] | None = None, threshold: float = 0.0, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """(id, lane, lexical_score, similarity): facts in scope by words, by vectors, or both (``distances``: id, distance)."""
+    within("limit", limit, LIMIT)
+    if query:
+        within("query length", len(query.strip()), QUERY_CHARS)
+    named = lanes.lexical(facts, "fact", query, words or [], visible, limit) if query or words else facts.limit(0).select("id", F.lit(0).alias("lexical_score"))
+    return lanes.combined(named, lanes.scoped_knn(facts, distances, visible, threshold, limit).select("id", "distance"), limit)
+
+
+def search_ontology(placed: DataFrame, domain: str | None = None, category: str | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """The taxonomy (see ``graph.taxonomy``), whole branches by name; ``limit`` facts of each, first by name."""
+    within("limit", limit, LIMIT)
+    kept = placed.where(F.lit(True) if domain is None else F.col("domain") == domain).where(F.lit(True) if category is None else F.col("category") == category)
+    first = F.row_number().over(Window.partitionBy("domain", "category").orderBy("fact"))
+    return graph.taxonomy(kept).withColumn("_n", first).where(F.col("_n") <= limit).drop("_n")
+
+
+def read_exchanges(exchanges: DataFrame, session: str, first: int = 1, last: int | None = None) -> DataFrame:
+    """A session's exchanges whose lines lie between two line numbers, in order."""
+    if first < 1 or last is not None and last < first:
+        raise ValueError(f"lines run from 1 on, forward: {first} to {last}")
+    kept = exchanges.where((F.col("session_id").cast("string") == str(session)) & (F.col("line_end") >= first))
+    return (kept if last is None else kept.where(F.col("line_start") <= last)).orderBy("line_start")
+
+
+def trace_fact(edges: DataFrame, fact, hops: int = DEFAULT_HOPS, limit: int = LIMIT[1], visible: DataFrame | None = None) -> DataFrame:
+    """What a fact hangs together with, nearest and most relevant first."""
+    within("limit", limit, LIMIT)
+    seed = edges.where((F.col("source_id") == fact) | (F.col("target_id") == fact)).select(F.lit(fact).cast(dict(edges.dtypes)["source_id"]).alias("id")).limit(1)
+    return explore(edges, seed, hops, visible).orderBy("hop", F.desc("relevance"), "id").limit(limit)
+
+
+def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Counts by category, domain and relation type."""
+    return graph.stats(nodes, edges)
+
+
+def timeline(events: DataFrame, order: list[str], after: list | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """A page of ``limit`` rows behind the row that ``after`` names, and one more that tells whether there is a next."""
+    within("limit", limit, LIMIT)
+    kept = events if after is None else events.where(scope.keyset_after(order, after))
+    return kept.orderBy(*order).limit(limit + 1)

@@ -178,6 +178,27 @@ def str12_tail_baton(spark, sf_dir):
     return continuity.tail_baton(exchanges(spark, sf_dir), "session_id", "line_start", "user_message")
 
 
+_FLAT = "trim(regexp_replace(@, '[ \\t\\n\\f\\r]+', ' ', 'g'))"
+_ASK = _FLAT.replace("@", "ask")
+
+
+@query(f"""WITH {EXCHANGES}, u AS (SELECT session_id, arg_max(trim(user_message), line_start) AS ask FROM exchanges WHERE trim(user_message) <> '' GROUP BY 1),
+c AS (SELECT session_id, CASE WHEN length({_ASK}) <= 500 THEN {_ASK} WHEN regexp_extract(substr({_ASK}, 1, 500), '(?s)^(.*[.!?])\\s', 1) <> '' THEN regexp_extract(substr({_ASK}, 1, 500), '(?s)^(.*[.!?])\\s', 1)
+    WHEN regexp_extract(substr({_ASK}, 1, 500), '(?s)^(.*\\S)\\s', 1) <> '' THEN regexp_extract(substr({_ASK}, 1, 500), '(?s)^(.*\\S)\\s', 1) ELSE substr({_ASK}, 1, 500) END AS ask FROM u),
+l AS (SELECT conv_id AS session_id, 'ran tests/t' || (turn % 5) || '.py on src/m' || (conv_id % 9) || '/a' || (turn % 7) || '.py' || chr(10) || text AS result, (conv_id + turn) % 3 = 0 AS is_error, turn % 4 < 3 AS is_test, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n
+    FROM conversations WHERE role = 'assistant' QUALIFY n <= 12),
+p AS (SELECT session_id, n, unnest(x) AS path, generate_subscripts(x, 1) AS i FROM (SELECT session_id, n, regexp_extract_all(result, '(?:^|\\s)([A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+)', 1) AS x FROM l)),
+f AS (SELECT session_id, path, min(n * 1000000 + i) AS first FROM p GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first) AS k FROM f), t AS (SELECT session_id, string_agg(path, ', ' ORDER BY k) AS touched FROM k WHERE k <= 5 GROUP BY 1),
+e AS (SELECT session_id, arg_min(result, n) FILTER (WHERE is_test AND NOT is_error) AS test, arg_min(result, n) FILTER (WHERE is_error) AS error FROM l GROUP BY 1)
+SELECT session_id, substr(concat_ws(chr(10), '[WORK NOW — DETERMINISTIC TAIL BATON]', 'Status: context-only', 'Request: ' || ask, 'Touched: ' || touched, 'Observed test evidence (verify): ' || substr({_FLAT.replace("@", "test")}, 1, 300), 'Observed error (verification pending): ' || substr({_FLAT.replace("@", "error")}, 1, 300)), 1, 1200) AS baton
+FROM c LEFT JOIN t USING (session_id) LEFT JOIN e USING (session_id)""")
+def str12_work_baton(spark, sf_dir):
+    k, t, text = F.col("conv_id"), F.col("turn"), lambda c: c.cast("string")
+    result = F.concat(F.lit("ran tests/t"), text(t % 5), F.lit(".py on src/m"), text(k % 9), F.lit("/a"), text(t % 7), F.lit(".py\n"), "text")
+    tools = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(k.alias("session_id"), t.alias("at"), result.alias("result"), ((k + t) % 3 == 0).alias("is_error"), (t % 4 < 3).alias("is_test"))
+    return continuity.work_baton(exchanges(spark, sf_dir), tools)
+
+
 @query(f"""WITH {EXCHANGES}, c AS (SELECT l_orderkey % 90 AS session_id, l_partkey AS fact_id, max(l_linenumber) AS generation FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2), f AS (SELECT p_partkey AS fact_id, p_size % 8 AS generation, p_size % 5 <> 0 AS is_active, p_name AS fact FROM part WHERE p_partkey % 50 <> 7),
 t AS (SELECT session_id, line_start, {clip_sql("coalesce(user_message, '')")} AS line, row_number() OVER (PARTITION BY session_id ORDER BY line_start DESC) AS k FROM exchanges)
 SELECT session_id, CASE WHEN NOT is_active OR f.generation <> c.generation THEN 'correction' ELSE 'fact' END AS section, fact_id AS rank, CASE WHEN NOT is_active THEN 'No longer active: ' WHEN f.generation <> c.generation THEN 'Updated (supersedes earlier context): ' ELSE '' END || fact AS text FROM c JOIN f USING (fact_id)

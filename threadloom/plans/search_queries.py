@@ -115,10 +115,10 @@ def grf05_relations_of(spark, sf_dir):
     return relations(spark, sf_dir).where("source_id = 20 or target_id = 21").orderBy(F.desc("created_at"), "source_id", "target_id").limit(50).select("source_id", "target_id", "relation_type")
 
 
-@query("""SELECT r_name AS domain, n_name AS category, array_to_string(list_sort(list(s_name)), ',') AS facts FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2""")
+@query("""SELECT r_name AS domain, n_name AS category, count(*) OVER (PARTITION BY r_name, n_name) AS n_facts, s_name AS fact FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey""")
 def grf06_taxonomy_tree(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return s.groupBy(F.col("r_name").alias("domain"), F.col("n_name").alias("category")).agg(F.array_join(F.array_sort(F.collect_list("s_name")), ",").alias("facts"))
+    return graph.taxonomy(s.select(F.col("r_name").alias("domain"), F.col("n_name").alias("category"), F.col("s_name").alias("fact")))
 
 
 @query(f"""WITH {RELATIONS}, n AS (SELECT p_partkey * 2 AS id FROM part WHERE p_size < 10 UNION ALL SELECT s_suppkey * 2 + 1 FROM supplier WHERE s_acctbal > 0) SELECT source_id, target_id, relation_type FROM relations WHERE source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n)""")
