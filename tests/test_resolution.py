@@ -110,3 +110,8 @@ def test_read_tools_check_what_they_are_asked_for(spark):
     for bad in (lambda: requests.trace_fact(edges, 1, hops=4), lambda: requests.search_ontology(placed, limit=0), lambda: requests.read_exchanges(said, "s", 5, 4), lambda: requests.search_facts(facts, far, F.lit(True), "x"), lambda: requests.timeline(said, ["line_start"], limit=51)):
         with pytest.raises(ValueError):
             bad()
+
+
+@pytest.mark.parametrize(("text", "want"), [("use that", True), ("그 방식으로 하자", True), ("from now on run the linter over every file that was changed since the last release of it", True), ("why?", False), ("go ahead", True), ("I like tabs", False), ("tabs please", True), ("/clear", False), ("  ", False), (None, False), ("우리 탭", False), ("이걸 봐", True)])
+def test_turns_that_need_older_context(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(injection.needs_referent(F.col("t"))).first()[0] == want

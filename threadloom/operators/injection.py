@@ -20,6 +20,33 @@ RATIFICATION = r"(?i)^(go|go ahead|proceed|continue|진행해?줘?|그대로 진
 SLASH_COMMAND = r"^/[A-Za-z0-9_:-]+$"
 
 
+# What refers to something said before, what asks to be kept, what only bridges, what stands by itself; and
+# words that say nothing about a topic.
+STRONG_REFERENCE = r"(?i)(?:\b(?:the first|first option|initial recommendation|original recommendation|original option|earlier|this way|that way|this style|current style|same approach|this sequence|same sequence)\b|그거|그걸로|그대로|그 방식|이 방식|그 방향|그 스타일|그\s*제안|그\s*선택|아까|처음|첫\s*번째|지금처럼|지금\s*방식|이대로|이렇게|이\s*순서|그\s*순서|같은\s*순서|원안|전자|후자)"
+DEICTIC_ADOPTION = r"(?i)\b(?:(?:do|use|choose|pick|adopt|keep)\s+(?:that|it|this)|(?:go|proceed)\s+with\s+(?:that|it|this)|continue(?:\s+with)?\s+(?:that|it|this)|do\s+it\s+that\s+way)\b"
+KOREAN_DEIXIS = "(?:그(?:걸|것|대로|렇게|방향|방식|순서|스타일|제안|선택|안)|이(?:걸|것|대로|렇게|방향|방식|순서|스타일|제안|선택|안))"
+KOREAN_ADOPTION = "(?:하자|해줘|진행|가자|사용|쓰자|선택|고르|택하|유지|계속)"
+PERSISTENCE = r"(?i)(?:\b(?:going forward|from now on|always|next time)\b|앞으로(?:도|는)?|항상|다음부터|다른\s*프로젝트에서도)"
+GENERIC_CONTEXT = r"(?i)(?:\b(?:yes|ok|okay|that|it|keep doing)\b|응|좋아|계속)"
+PURE_BRIDGE = r"(?i)^(thanks?|thank you|done|why|how|고마워요?|감사(합니다|해요)?|왜|어떻게)[?.!~\s]*$"
+STANDALONE = r"(?i)^(?:i\b|we\b|my\b|our\b|the user\b|this project\b|(?:난|나는|전|저는|제가|우리)(?:\s|[,.:!?]|$)|이 프로젝트)"
+REFERENT_STOPWORDS = (
+    "a an and are as at be by for from has have in is it of on or project projects the this to use used uses using user users we will with current currently decide decided decision prefer "
+    "prefers preference response responses system 이 그 저 프로젝트 사용 사용한다 사용하기로 결정 결정했다 현재 사용자"
+).split()
+SHORT_TOKENS, SHORT_CHARS = 6, 80
+
+
+def needs_referent(user: Column) -> Column:
+    """May a turn need context from further back? What refers, asks to be kept or ratifies does; so does a short turn of a
+    few words that names no subject of its own. Bridges and turns that are no context do not."""
+    own = trimmed(F.coalesce(user, F.lit("")))
+    refers = fits(own, STRONG_REFERENCE) | fits(own, DEICTIC_ADOPTION) | (fits(own, KOREAN_DEIXIS) & fits(own, KOREAN_ADOPTION))
+    tokens = F.filter(F.regexp_extract_all(F.lower(own), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda t: (F.length(t) >= 2) & ~t.isin(*REFERENT_STOPWORDS))
+    short = F.size(tokens).between(1, SHORT_TOKENS) & (F.length(own) <= SHORT_CHARS) & ~fits(own, STANDALONE)
+    return context_eligible(user) & ~fits(own, PURE_BRIDGE) & (refers | fits(own, PERSISTENCE) | fits(own, GENERIC_CONTEXT) | fits(own, RATIFICATION) | short)
+
+
 def context_eligible(user: Column) -> Column:
     """May a turn stand as context? Empty turns, those of the machinery and bare slash commands may not."""
     own = trimmed(F.coalesce(user, F.lit("")))

@@ -166,6 +166,19 @@ def flt20_context_anchors(spark, sf_dir):
     return p.select("conv_id", "turn", injection.context_eligible(F.col("u")).alias("eligible"), injection.candidate_anchor(F.col("u"), F.col("turn") % 5 == 0, F.col("before").isNotNull()).alias("anchor"))
 
 
+_TURNS = ("use that", "그 방식으로 하자", "from now on run the tests", "why?", "go ahead", "we moved to tabs", "tabs please", "/clear", "I always write long and winding sentences about nothing in particular, as everyone who has ever met me knows", "keep it that way please")
+_REFERS = f"({_fits('u', injection.STRONG_REFERENCE)} OR {_fits('u', injection.DEICTIC_ADOPTION)} OR ({_fits('u', injection.KOREAN_DEIXIS)} AND {_fits('u', injection.KOREAN_ADOPTION)}) OR {_fits('u', injection.PERSISTENCE)} OR {_fits('u', injection.GENERIC_CONTEXT)} OR {_fits('u', injection.RATIFICATION)})"
+_FEW = f"len(list_filter(regexp_extract_all(lower(u), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) >= 2 AND NOT list_contains({_list(injection.REFERENT_STOPWORDS)}, t)))"
+
+
+@query(f"""WITH {PROMPTS}, w AS (SELECT conv_id, turn, {_trim(f"CASE WHEN turn % 3 = 0 THEN ({_list(_TURNS)})[CAST(conv_id % {len(_TURNS)} + 1 AS INTEGER)] WHEN turn % 3 = 1 THEN substr(prompt, 1, 40) ELSE prompt END")} AS u FROM said)
+SELECT conv_id, turn, {_ELIGIBLE} AND NOT {_fits('u', injection.PURE_BRIDGE)} AND ({_REFERS} OR ({_FEW} BETWEEN 1 AND 6 AND length(u) <= 80 AND NOT {_fits('u', injection.STANDALONE)})) AS needed FROM w""")
+def flt20_referent_need(spark, sf_dir):
+    t = F.col("turn") % 3
+    said = F.when(t == 0, F.element_at(F.array(*map(F.lit, _TURNS)), (F.col("conv_id") % len(_TURNS) + 1).cast("int"))).when(t == 1, F.substring("prompt", 1, 40)).otherwise(F.col("prompt"))
+    return prompts(spark, sf_dir).withColumn("u", said).select("conv_id", "turn", injection.needs_referent(F.col("u")).alias("needed"))
+
+
 def _sql_dot(a: str, b: str) -> str:
     return f"round(list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 9)"
 
