@@ -147,15 +147,18 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, out_di
     or more have gathered, so memory stays bounded. Only files that the manifest names count: what a lost attempt wrote is
     never read. Files are in order by (part, seq).
     """
-    ranged = docs.select(docs[key].cast("long").alias("key"), text_or_empty(text)).repartitionByRange(partitions_for(docs), "key").sortWithinPartitions("key")
+    # Rows of one key, null ones too, are told apart by a hash of their text, so that many of them fill many ranges.
+    rows = docs.select(docs[key].cast("long").alias("key"), text_or_empty(text)).withColumn("tie", F.xxhash64("text"))
+    ranged = rows.repartitionByRange(partitions_for(docs), "key", "tie").sortWithinPartitions("key", "tie")
+    with open(tokenizer_path) as src:
+        tokenizer = docs.sparkSession.sparkContext.broadcast(src.read())
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        with open(tokenizer_path) as src:
-            bpe = shared_bpe(src.read(), pattern)
+        bpe = shared_bpe(tokenizer.value, pattern)
         part, seq = TaskContext.get().partitionId(), 0
         held, count = [], 0
 
