@@ -269,3 +269,33 @@ def test_numbers_without_gaps(spark):
 
 def test_patterns_without_case():
     assert all(re.fullmatch(r"[^A-Z]*", p.replace("\\b", "").replace("\\s", "")) for terms in gate.BY_TERM.values() for _, p in terms)
+
+
+def test_walks_take_nodes_in_the_order_of_a_queue(spark):
+    """Against a queue: outgoing before incoming, contradictions first, older first; the first way that clears the floor."""
+    rng = random.Random(21)
+    kinds = ["SUPPORTS", "CONTRADICTS", "SUPERSEDES", "INFLUENCES", "RELATES"]
+    edges = sorted({(rng.randrange(40), rng.randrange(40), rng.choice(kinds), rng.randrange(5)) for _ in range(160)} - {(i, i, k, t) for i in range(40) for k in kinds for t in range(5)})
+    rank = lambda k: graph.PRIORITY.get(k, 3)
+    seeds = [3, 8]
+    visited, front, want = set(seeds), sorted(seeds), {}
+    for hop in range(3):
+        nxt = []
+        for node in front:
+            for side in (0, 1):
+                rows = sorted((rank(k), t, k, *((b,) if side == 0 else (a,))) for a, b, k, t in edges if (a, b)[side] == node)
+                groups = {}
+                for p, t, k, other in rows:
+                    if other not in visited:
+                        groups.setdefault(other, []).append((p, t, k))
+                order = sorted(groups, key=lambda o: (groups[o][0][0], groups[o][0][1], o))
+                for other in order:
+                    relevance = [(0.6**hop * (1.0 if k in graph.AFFIRMATIVE else 0.7), k) for _, _, k in groups[other]]
+                    if chosen := next(((r, k) for r, k in relevance if r >= 0.2), None):
+                        visited.add(other)
+                        nxt.append(other)
+                        want[other] = (hop + 1, round(chosen[0], 9), chosen[1], node)
+        front = nxt
+    rows = spark.createDataFrame(edges, "source_id long, target_id long, relation_type string, created_at long")
+    got = {r["id"]: (r["hop"], round(r["relevance"], 9), r["relation_type"], r["via"]) for r in graph.expand(rows, spark.createDataFrame([(s,) for s in seeds], "id long"), 3).collect()}
+    assert got == want

@@ -30,32 +30,42 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int, visible: DataFrame | N
     """(id, hop, relevance, relation_type, via) of what lies within ``hops`` of the seeds (column id).
 
     Relevance is 0.6 to the zero-based hop, times 0.7 over edges that neither support nor influence; what falls under
-    0.2 is left out. A neighbour is reached over one edge: contradictions first, then superseding, supporting, others, then
-    the oldest, then the least node it comes from. Only ``visible`` nodes enter the frontier; a node keeps its first hop.
+    0.2 is left out. A hop takes its nodes one after the other, the seeds by id; each node's outgoing edges come before
+    its incoming ones, contradictions before superseding, supporting and other edges, older before newer. The first node
+    that reaches a neighbour keeps it, over the first edge that clears the floor; in that order neighbours are next. Only
+    ``visible`` nodes are entered. An order is the path that leads to a node, so no hop is numbered in one task.
     ``edges`` may be an ``adjacency``; edges are shuffled once, when it is built, and hops only move the frontier.
     """
     links = edges if "_part" in edges.columns else adjacency(edges)
     parts = max(1, links.sparkSession.sparkContext.defaultParallelism, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     start = seeds.select("id").distinct()
     visited = start
-    frontier, found = start.join(hubs(links), "id", "left").select("id", F.coalesce("_parts", F.lit(1)).alias("_parts")), None
+    kinds = dict(links.dtypes)
+    step_of = lambda side, p, at, node: F.struct(side.cast("int").alias("side"), p.cast("int").alias("p"), at.cast(kinds["created_at"]).alias("at"), node.cast(kinds["from"]).alias("node"))
+    zero = F.lit(0)
+    frontier, found = start.join(hubs(links), "id", "left").select("id", F.coalesce("_parts", F.lit(1)).alias("_parts"), F.array(step_of(zero, zero, F.lit(None), F.col("id"))).alias("_path")), None
     for hop in range(hops):
         if DECAY**hop < FLOOR:
             break
         factor = F.when(F.col("relation_type").isin(*AFFIRMATIVE), 1.0).otherwise(OTHER_WEIGHT)
         # A frontier node is sent to every part of its edges; they lie where the build has put them.
-        sent = frontier.select(F.col("id").alias("from"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")).repartition(parts, "from", "_part")
-        near = links.join(sent, ["from", "_part"]).withColumn("relevance", F.lit(DECAY**hop) * factor).where(F.col("relevance") >= FLOOR)
+        sent = frontier.select(F.col("id").alias("from"), "_path", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")).repartition(parts, "from", "_part")
+        near = links.join(sent, ["from", "_part"]).withColumn("relevance", F.lit(DECAY**hop) * factor)
         near = near.join(visited.withColumnRenamed("id", "to"), "to", "left_anti")
         if visible is not None:
             near = near.join(visible.select(F.col("id").alias("to")), "to", "left_semi")
-        # The least edge of each neighbour, combined before the shuffle; kept, so that later hops do not walk it again.
-        edge = F.min(F.struct(priority().alias("p"), "created_at", "from", "relation_type", "relevance")).alias("e")
-        step = settled(near.groupBy(F.col("to").alias("id")).agg(edge, F.max("_to_parts").alias("_parts")).select("id", F.lit(hop + 1).alias("hop"), "e.relevance", "e.relation_type", F.col("e.from").alias("via"), "_parts"))
+        # The edges of one side between two nodes lie in one part: the first of them ranks the neighbour, the first over
+        # the floor is shown. Then each neighbour keeps the earliest way; combined before the shuffle and kept.
+        row = F.struct(priority().alias("p"), F.col("created_at").alias("at"), "relation_type", "relevance")
+        side = F.when(F.col("outward"), 0).otherwise(1)
+        between = near.groupBy("from", "_part", side.alias("side"), "to").agg(F.first("_path").alias("_path"), F.first("_to_parts").alias("_parts"), F.min(row).alias("first"), F.min(F.when(F.col("relevance") >= FLOOR, row)).alias("e")).where("e is not null")
+        way = F.struct("_path", step_of(F.col("side"), F.col("first.p"), F.col("first.at"), F.col("to")).alias("last"), "e", "from", "_parts")
+        best = between.groupBy(F.col("to").alias("id")).agg(F.min(way).alias("w"))
+        step = settled(best.select("id", F.lit(hop + 1).alias("hop"), "w.e.relevance", "w.e.relation_type", F.col("w.from").alias("via"), "w._parts", F.concat("w._path", F.array("w.last")).alias("_path")))
         found = step if found is None else found.unionByName(step)
-        frontier = step.select("id", "_parts")
+        frontier = step.select("id", "_parts", "_path")
         visited = visited.union(step.select("id"))
-    return found.drop("_parts") if found is not None else None
+    return found.drop("_parts", "_path") if found is not None else None
 
 
 HUB_EDGES = 10_000

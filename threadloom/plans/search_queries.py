@@ -96,15 +96,19 @@ def gat11_token_estimate(spark, sf_dir):
 
 
 _SEEDS = "(SELECT p_partkey * 2 AS id FROM part WHERE p_size = 7 AND p_brand = 'Brand#11')"
-_WAYS = """ways AS (SELECT source_id AS f, target_id AS t, relation_type, created_at FROM relations UNION ALL SELECT target_id, source_id, relation_type, created_at FROM relations)"""
-_RANK = "CASE relation_type WHEN 'CONTRADICTS' THEN 0 WHEN 'SUPERSEDES' THEN 1 WHEN 'SUPPORTS' THEN 2 ELSE 3 END, created_at, f"
 _FACTOR = "CASE WHEN relation_type IN ('SUPPORTS', 'INFLUENCES') THEN 1.0 ELSE 0.7 END"
 
 
-@query(f"""WITH {RELATIONS}, {_WAYS}, s AS {_SEEDS},
-h1 AS (SELECT t AS id, 1 AS hop, {_FACTOR} AS relevance, relation_type, f AS via FROM ways WHERE f IN (SELECT id FROM s) AND t NOT IN (SELECT id FROM s) QUALIFY row_number() OVER (PARTITION BY t ORDER BY {_RANK}) = 1),
-h2 AS (SELECT t AS id, 2 AS hop, 0.6 * {_FACTOR} AS relevance, relation_type, f AS via FROM ways WHERE f IN (SELECT id FROM h1) AND t NOT IN (SELECT id FROM s UNION ALL SELECT id FROM h1) QUALIFY row_number() OVER (PARTITION BY t ORDER BY {_RANK}) = 1)
-SELECT id, CAST(hop AS INTEGER) AS hop, round(CAST(relevance AS DOUBLE), 6) AS relevance, relation_type, via FROM h1 UNION ALL SELECT id, CAST(hop AS INTEGER), round(CAST(relevance AS DOUBLE), 6), relation_type, via FROM h2""")
+_P = "CASE relation_type WHEN 'CONTRADICTS' THEN 0 WHEN 'SUPERSEDES' THEN 1 WHEN 'SUPPORTS' THEN 2 ELSE 3 END"
+_SHOWN = "round(CAST(@ AS DOUBLE), 6) AS relevance, relation_type, f AS via"
+
+
+# A hop takes its nodes in the order of the queue: seeds by id, then as they were found.
+@query(f"""WITH {RELATIONS}, s AS {_SEEDS}, ways AS (SELECT source_id AS f, target_id AS t, 0 AS side, {_P} AS p, relation_type, created_at FROM relations UNION ALL SELECT target_id, source_id, 1, {_P}, relation_type, created_at FROM relations),
+h1 AS (SELECT * FROM ways WHERE f IN (SELECT id FROM s) AND t NOT IN (SELECT id FROM s) QUALIFY row_number() OVER (PARTITION BY t ORDER BY f, side, p, created_at) = 1),
+q AS (SELECT t AS node, row_number() OVER (ORDER BY f, side, p, created_at, t) AS place FROM h1),
+h2 AS (SELECT ways.* FROM ways JOIN q ON node = f WHERE t NOT IN (SELECT id FROM s UNION ALL SELECT t FROM h1) QUALIFY row_number() OVER (PARTITION BY t ORDER BY place, side, p, created_at) = 1)
+SELECT t AS id, CAST(1 AS INTEGER) AS hop, {_SHOWN.replace("@", _FACTOR)} FROM h1 UNION ALL SELECT t, CAST(2 AS INTEGER), {_SHOWN.replace("@", f"0.6 * {_FACTOR}")} FROM h2""")
 def grf01_bounded_expansion(spark, sf_dir):
     seeds = table(spark, sf_dir, "part").where("p_size = 7 and p_brand = 'Brand#11'").select((F.col("p_partkey") * 2).alias("id"))
     return graph.expand(relations(spark, sf_dir), seeds, 2).withColumn("relevance", F.round("relevance", 6))
