@@ -337,7 +337,7 @@ def shard_transducers(docs: DataFrame, bounds: list[tuple]) -> DataFrame:
 def range_bounds(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> list[tuple]:
     """Windows (lang, words) that part the corpus into ranges of about equal weight, from a sample of texts.
 
-    There are ``MAX_RANGES`` at most, which bounds what is broadcast; past 1.5 TB of text ranges grow instead.
+    There are ``MAX_RANGES`` at most, which bounds what is broadcast; past 1 TB of text ranges grow instead.
     """
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(min(bytes_ // range_bytes, MAX_RANGES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
