@@ -489,5 +489,5 @@ def collocations(docs: DataFrame, floor: int = FLOOR, share: int = SHARE, top: i
     longer = inner.select("lang", F.expr("array_join(slice(w, at, n), ' ')").alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     kept = weakest.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer").cast("decimal(20,0)") * 100 < F.col("s.a").cast("decimal(20,0)") * share))
     order = Window.partitionBy("lang").orderBy(F.desc("s.score"), F.desc("s.a"), "phrase")
-    best = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("long"))
     return best.join(words, "lang").select("lang", "rank", "phrase", F.col("s.a").alias("a"), F.col("s.l").alias("l"), F.col("s.r").alias("r"), "n", F.col("s.score").alias("score"))

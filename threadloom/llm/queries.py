@@ -130,7 +130,7 @@ ORACLE_SQL = {
         b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM s) WHERE cut = 1),
         i AS (SELECT lang, size, a, ws, unnest(range(2, size)) AS m FROM x WHERE size > 2),
         o AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest(list_transform(range(1, size - m + 2), lambda j: array_to_string(list_slice(ws, j, j + m - 1), ' '))) AS phrase FROM i) GROUP BY lang, phrase),
-        t AS (SELECT b.*, CAST(row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS INTEGER) AS rank
+        t AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
               FROM b LEFT JOIN o USING (lang, phrase) WHERE o.longer IS NULL OR 100 * o.longer < 80 * b.a)
         SELECT t.lang, t.rank, t.phrase, t.a, t.l, t.r, n.n, CAST(t.score AS BIGINT) AS score FROM t JOIN n USING (lang) WHERE t.rank <= 2000""",
     "op13_term_audit": r"""
