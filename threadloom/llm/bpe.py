@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from threadloom.llm.common import text_or_empty
 
-CACHE_WORDS = 1_000_000
-CACHE_IDS = 16_000_000
+CACHE_WORDS = 500_000
+CACHE_IDS = 8_000_000
 BATCH_BYTES = 8 << 20
 _SIGNS = "".join(chr(c) for c in range(33, 127) if chr(c) != "'" and not chr(c).isalnum())
 # Letters of Latin-1, a space before them, other signs of ASCII than the apostrophe after them: one or two matches.
