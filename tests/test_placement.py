@@ -1,10 +1,11 @@
 """Facts in scopes, identifiers and replay-safe ledgers, on small tables."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from threadloom.operators import lanes, ledger, placement, revisions
+from threadloom.operators import lanes, ledger, placement, revisions, vector_cells
 
 
 def test_tiles_lose_no_neighbour(spark):
@@ -19,9 +20,10 @@ def test_tiles_lose_no_neighbour(spark):
         return max(others, default=None)
 
     want = {(r[0], -b[1]) for r in rows if (b := brute(*r)) and b[0] >= 0.2}
-    for most in (2_000, 7):
-        got = placement.nearest_in_scope(facts, vectors, ["project"], 0.2, most).collect()
-        assert {(r["id"], r["nearest"]) for r in got} == want
+    got = placement.nearest_in_scope(facts, vectors, ["project"], 0.2).collect()
+    assert {(r["id"], r["nearest"]) for r in got} == want
+    tiled = vector_cells.nearest_within(facts.join(vectors, "id"), ["project"], math.sqrt(1.6), tile=7).collect()
+    assert {(r["id"], r["nearest"]) for r in tiled} == want
 
 
 def test_identifier_shapes(spark):
