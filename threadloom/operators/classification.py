@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.blocks import best_in_scope
 from threadloom.operators.retrieval import dot
 from threadloom.operators.storage import numbered
 
@@ -15,12 +16,9 @@ MAX_CATEGORIES = 10_000
 
 def relation_candidates(new: DataFrame, facts: DataFrame, scope: list[str], threshold: float = RELATED, k: int = TOP_RELATED) -> DataFrame:
     """(id, other, similarity): for each new fact (id, scope, v) the k nearest other active facts of its scope at or
-    over the threshold. New facts are a batch; the others stream past them, and Spark keeps k a fact before it shuffles."""
-    ask = new.select("id", *scope, F.col("v").alias("_q"))
-    have = facts.where("is_active").select(F.col("id").alias("other"), *scope, "v")
-    close = have.join(ask, scope).where(F.col("id") != F.col("other")).withColumn("similarity", F.round(dot(F.col("v"), F.col("_q")), 9)).where(F.col("similarity") >= threshold)
-    best = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
-    return close.select("id", "other", "similarity").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+    over the threshold. New facts and others meet block by block."""
+    found = best_in_scope(new.select(F.col("id").alias("qid"), *scope, F.col("v").alias("q")), facts.where("is_active").select("id", *scope, "v"), scope, k, least=threshold, others=True)
+    return found.select(F.col("qid").alias("id"), F.col("id").alias("other"), "similarity")
 
 
 def classification_batches(pending: DataFrame, categories: DataFrame, outcome: Column, k: int = CANDIDATES) -> DataFrame:

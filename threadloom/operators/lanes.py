@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.blocks import BLOCK, best_in_scope
 from threadloom.operators.retrieval import dot, fact_similarity, knn
 
 # The shapes of identifiers (path, dotted name, call, upper and lower snake case, mixed case).
@@ -151,33 +152,11 @@ def spread(rows: DataFrame, group: str, order: list[str], most: int) -> DataFram
     return placed.where((F.col("_n") <= most) | F.array_contains(wanted, F.col("_at"))).drop("_at", "_n")
 
 
-def top_in_scope(asked: DataFrame, facts: DataFrame, k: int, block: int = 512, tile: int = 4096) -> DataFrame:
+def top_in_scope(asked: DataFrame, facts: DataFrame, k: int, block: int = BLOCK, tile: int = BLOCK) -> DataFrame:
     """(qid, id, similarity): for each query (qid, scope, q) the ``k`` facts (id, scope, v) of its scope with the highest
     dot product, ties to lesser ids.
 
     A scope's queries are dealt into blocks and its facts into tiles; a task meets one block with one tile and hands on
     ``k`` rows a query.
     """
-    size = lambda df, n, name: df.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / n).cast("int").alias(name))
-    both = size(asked, block, "blocks").join(size(facts, tile, "tiles"), "scope")
-    left = asked.join(both, "scope").select("qid", "scope", "q", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("b"))
-    right = facts.join(both.select("scope", F.col("blocks").alias("_blocks"), F.col("tiles").alias("_tiles")), "scope").select("id", "scope", "v", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("a"), F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int").alias("b"))
-    kinds = dict(left.dtypes)["qid"], dict(right.dtypes)["id"]
-
-    def best(queries, there):
-        import numpy as np
-        import pyarrow as pa
-
-        names = ["qid", "id", "similarity"]
-        if not queries.num_rows or not there.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
-        there = there.sort_by("id")
-        score = np.round(np.array(queries["q"].to_pylist(), dtype=float) @ np.array(there["v"].to_pylist(), dtype=float).T, 9)
-        order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # stable: of equal scores the first by id
-        row = np.repeat(np.arange(len(score)), order.shape[1])
-        return pa.table([queries["qid"].take(pa.array(row)), there["id"].take(pa.array(order.ravel())), pa.array(np.take_along_axis(score, order, 1).ravel())], names)
-
-    keys = ["scope", "a", "b"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"qid {kinds[0]}, id {kinds[1]}, similarity double")
-    first = Window.partitionBy("qid").orderBy(F.desc("similarity"), "id")
-    return met.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
+    return best_in_scope(asked, facts, ["scope"], k, block=block, tile=tile)
