@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import blocks, classification
+from threadloom.operators import blocks, classification, placement, vector_cells
 
 
 def vectors(spark, x, scope):
@@ -40,3 +40,23 @@ def test_blocks_take_what_no_product_can(spark):
     asked = spark.createDataFrame([(9, "a", [2.0, 0.0])], "qid long, s string, q array<double>")
     assert [(r["id"], str(r["similarity"])) for r in blocks.best_in_scope(asked, rows, ["s"], 5).orderBy("id").collect()] == [(1, "2.0"), (5, "nan")]
     assert blocks.best_in_scope(asked.limit(0), rows, ["s"], 5).count() == 0
+
+
+def test_similarity_is_rounded_once(spark):
+    """0.4999995 less a little: nine digits first would round the sixth up."""
+    x = np.array([1.0, 0.0])
+    s = 0.4999994998
+    rows = spark.createDataFrame([(1, "p", x.tolist()), (2, "p", [s, float(np.sqrt(1 - s * s))])], "id long, project string, v array<double>")
+    got = placement.nearest_in_scope(rows.select("id", "project"), rows.select("id", "v"), ["project"], 0.1)
+    assert [r["s"] for r in got.select(F.round("similarity", 6).alias("s")).collect()] == [0.499999, 0.499999]
+
+
+def test_rows_are_copied_once_a_block(spark):
+    """Vectors in random directions reach every cell; what is shuffled hangs on the blocks, not on cells and rings."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 16))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    rows = spark.createDataFrame([(i, "p", v.tolist()) for i, v in enumerate(x)], "id long, s string, v array<double>")
+    found = vector_cells.nearest_within(rows, ["s"], 1.3)
+    assert "band" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() > 1900 and found.agg(F.sum("asked")).first()[0] <= 2000 * 1999

@@ -114,9 +114,9 @@ def rank_score(confirmations: Column, age_days: Column, scope_type: Column) -> C
 def nearest_in_scope(facts: DataFrame, vectors: DataFrame, scope: list[str], threshold: float) -> DataFrame:
     """(id, nearest, similarity, asked): each fact's closest other fact of its scope at or over the threshold.
 
-    The threshold is a radius, so facts meet only in cells and rings that it reaches; ``asked`` counts the facts that one
+    The threshold is a radius, so facts meet only in blocks and cells that it reaches; ``asked`` counts the facts that one
     was compared with.
     """
     rows = facts.join(vectors, "id").select("id", *scope, "v")
-    found = nearest_within(rows, scope, math.sqrt(max(0.0, 2 - 2 * threshold)))
-    return found.select("id", "nearest", (1 - F.col("distance_sq") / 2).alias("similarity"), "asked").where(F.col("similarity") >= threshold - 1e-9)
+    found = nearest_within(rows, scope, math.sqrt(max(0.0, 2 - 2 * threshold)), least=threshold)
+    return found.select("id", "nearest", (1 - F.pow(F.sqrt("distance_sq"), 2) / 2).alias("similarity"), "asked")

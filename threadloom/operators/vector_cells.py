@@ -13,9 +13,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.blocks import BLOCK, DIGITS, ERROR, ROWS, candidates, few, matrix, squares
 from threadloom.operators.retrieval import l2
 from threadloom.operators.storage import settled
 
@@ -23,7 +24,7 @@ SAMPLE = 10_000
 MAX_CELLS = 1024
 STEPS = 4
 FIRST_CELLS = 4
-TILE = 2_000
+TILE = BLOCK
 SLACK = 1e-6  # distances to centres come from squares and products, which lose digits near zero
 
 
@@ -50,10 +51,6 @@ def _distances(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (at**2).sum(1)[None, :] - 2 * x @ at.T, 0))
 
 
-def _matrix(column) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=float)
-
-
 def assigned(vectors: DataFrame, v: str, at: np.ndarray) -> DataFrame:
     """``vectors`` with ``cell`` and ``dist``, the distance to its centre."""
     shared = vectors.sparkSession.sparkContext.broadcast(at)
@@ -65,7 +62,7 @@ def assigned(vectors: DataFrame, v: str, at: np.ndarray) -> DataFrame:
 
         for part in batches:
             if part.num_rows:
-                d = _distances(_matrix(part.column(place)), shared.value)
+                d = _distances(matrix(part.column(place)), shared.value)
                 cell = d.argmin(1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], [*part.schema.names, "cell", "dist"])
 
@@ -132,71 +129,97 @@ class CellIndex:
         return kept.orderBy("distance", self.key).limit(k).drop("cell", "dist"), {"rows": int(self.size.sum()), "computed": asked}
 
 
-def nearest_within(rows: DataFrame, scope: list[str], reach: float, cells: int | None = None, tile: int = TILE) -> DataFrame:
-    """(id, nearest, distance_sq, asked) of rows (id, scope, v): each row's nearest other row of its scope within ``reach``.
+def nearest_within(rows: DataFrame, scope: list[str], reach: float, cells: int | None = None, tile: int = TILE, least: float | None = None) -> DataFrame:
+    """(id, nearest, distance_sq, asked) of rows (id, scope, v): each row's nearest other row of its scope within ``reach``,
+    ties of the similarity (to ``DIGITS``) to lesser ids; with ``least`` only rows of that similarity count.
 
-    A row asks the cells that can hold something within reach, there only the bands of distances that can; bands are as
-    wide as the reach, so it asks three at most in a cell. A band with many rows is dealt into tiles; a task compares
-    one tile of askers with one tile of rows. ``asked`` counts the pairs whose distance was computed, summed over a row.
+    A scope's rows are laid out by cell and cut into blocks of about ``tile`` rows, so a block holds few cells. Two blocks
+    meet in a task if some cell of one can hold something within reach of some cell of the other; there a row is compared
+    with the cells that it can reach. So a row is copied once for each block it meets, however many cells and rings there
+    are, and a task holds two blocks. ``asked`` counts the pairs whose distance was computed, summed over a row.
     """
     spark = rows.sparkSession
+    rows = settled(rows.select("id", *scope, "v").where(F.col("v").isNotNull()))
     at = centres(rows, "id", "v", cells)
-    placed = settled(assigned(rows.select("id", *scope, "v"), "v", at))
+    placed = settled(assigned(rows, "v", at))
     edges = {r["cell"]: (r["near"], r["far"]) for r in placed.groupBy("cell").agg(F.min("dist").alias("near"), F.max("dist").alias("far")).collect()}
-    shared = spark.sparkContext.broadcast((at, edges))
-    width = max(reach, 1e-12)
-    own = [*scope, "cell", "band"]
-    kept = placed.withColumn("band", F.floor(F.col("dist") / width).cast("long"))
-    sizes = kept.groupBy(*own).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-
-    def ask(batches):
+    near, far = (np.array([edges.get(c, (np.inf, -np.inf))[side] for c in range(len(at))]) for side in (0, 1))
+    apart = _distances(at, at)
+    shared = spark.sparkContext.broadcast((at, near, far, apart - far[:, None] - far[None, :] <= reach + SLACK))
+    # A row's place in its scope is that of its cell and a hash in it: nothing is sorted, and a cell may span blocks.
+    counts = placed.groupBy(*scope, "cell").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.withColumn("_start", F.sum("_n").over(Window.partitionBy(*scope).orderBy("cell")) - F.col("_n"))
+    kept = settled(placed.join(starts, [*scope, "cell"]).withColumn("block", F.floor((F.col("_start") + F.pmod(F.xxhash64("id"), F.col("_n"))) / tile)).select("id", *scope, "cell", "block", "v"))
+    held = settled(kept.groupBy(*scope, "block").agg(F.sort_array(F.collect_set("cell")).alias("cells")))
+    renamed = held.select(*(F.col(c).alias(c) for c in scope), F.col("block").alias("b"), F.col("cells").alias("_others"))
+    both = held.select(*scope, F.col("block").alias("a"), "cells").join(renamed, scope)
+
+    def meeting(batches):
         import pyarrow as pa
 
-        centre, known = shared.value
-        numbers = np.array(sorted(known))
-        near, far = np.array([known[c][0] for c in numbers]), np.array([known[c][1] for c in numbers])
+        can = shared.value[3]
         for part in batches:
-            if not part.num_rows:
-                continue
-            d = _distances(_matrix(part.column(part.schema.get_field_index("v"))), centre[numbers])
-            row, cell = np.nonzero((d - far <= reach + SLACK) & (near - d <= reach + SLACK))
-            # Bands between the ring's ends that the cell has.
-            low = np.floor(np.maximum(d[row, cell] - reach - SLACK, near[cell]) / width).astype(np.int64)
-            high = np.floor(np.minimum(d[row, cell] + reach + SLACK, far[cell]) / width).astype(np.int64)
-            times = np.maximum(high - low + 1, 0)
-            each = np.repeat(np.arange(len(row)), times)
-            band = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
-            taken = part.select(["id", *scope, "v"]).take(pa.array(row[each]))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(numbers[cell[each]].astype(np.int32)), pa.array(band), pa.array(d[row, cell][each])], [*taken.schema.names, "cell", "band", "d"])
-
-    types = dict(placed.dtypes)
-    asking = placed.select("id", *scope, "v").mapInArrow(ask, ", ".join(f"`{c}` {types[c]}" for c in ("id", *scope, "v")) + ", cell int, band bigint, d double")
-    # Askers are dealt by their own hash into as many tiles as they fill; each meets every tile of the band's rows.
-    crowd = asking.groupBy(*own).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("crowds"))
-    both = sizes.join(crowd, own)
-    left = asking.join(both, own).withColumns({"a": F.pmod(F.xxhash64("id", F.lit(1)), F.col("crowds")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))})
-    right = kept.join(both.withColumnRenamed("tiles", "_tiles").withColumnRenamed("crowds", "_crowds"), own)
-    right = right.withColumns({"b": F.pmod(F.xxhash64("id", F.lit(2)), F.col("_tiles")).cast("int"), "a": F.explode(F.sequence(F.lit(0), F.col("_crowds") - 1))})
+            left, right = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("cells", "_others"))
+            yield part.select([*scope, "a", "b"]).filter(pa.array([bool(can[np.ix_(x, y)].any()) for x, y in zip(left, right)], pa.bool_()))
+
+    types = dict(kept.dtypes)
+    pairs = settled(both.select(*scope, "a", "b", "cells", "_others").mapInArrow(meeting, ", ".join(f"`{c}` {types[c]}" for c in scope) + ", a bigint, b bigint"))
+    fresh = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))  # noqa: E731  (both sides come from the same rows)
+    left = kept.withColumnRenamed("block", "a").join(pairs, [*scope, "a"]).select("id", "v", *scope, "a", "b")
+    right = fresh(kept).withColumnRenamed("block", "b").join(fresh(pairs), [*scope, "b"]).select("id", "cell", "v", *scope, "a", "b")
     kind = types["id"]
 
     def best(asker, there):
         import pyarrow as pa
 
-        schema = pa.schema([("id", asker.schema.field("id").type if asker.num_rows else pa.int64()), ("nearest", there.schema.field("id").type if there.num_rows else pa.int64()), ("distance_sq", pa.float64()), ("asked", pa.int64())])
-        if not asker.num_rows or not there.num_rows:
-            return schema.empty_table()
-        there = there.sort_by("id")
-        x, y = _matrix(asker["v"].combine_chunks()), _matrix(there["v"].combine_chunks())
-        ids, others = np.array(asker["id"].to_pylist()), np.array(there["id"].to_pylist())
-        ring = np.abs(asker["d"].to_numpy()[:, None] - there["dist"].to_numpy()[None, :]) <= reach + SLACK
-        ring &= ids[:, None] != others[None, :]
-        sq = np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0)
-        sq = np.where(ring, np.round(sq / 2, 9) * 2, np.inf)
-        pick = sq.argmin(1)  # of equally near rows the first by id
-        found = sq[np.arange(len(x)), pick]
-        near = np.isfinite(found)
-        return pa.table([pa.array(ids[near].tolist(), schema.field("id").type), pa.array(others[pick[near]].tolist(), schema.field("nearest").type), pa.array(found[near]), pa.array(ring.sum(1)[near])], schema=schema)
-
-    keys = [*own, "a", "b"]
-    met = left.select("id", "v", "d", *keys).groupBy(*keys).cogroup(right.select("id", "v", "dist", *keys).groupBy(*keys)).applyInArrow(best, f"id {kind}, nearest {kind}, distance_sq double, asked bigint")
-    return met.groupBy("id").agg(F.min(F.struct("distance_sq", "nearest")).alias("m"), F.sum("asked").alias("asked")).where(F.col("m.distance_sq") <= reach * reach + 1e-9).select("id", "m.nearest", "m.distance_sq", "asked")
+        row, col, exact, count = [], [], [], np.zeros(asker.num_rows, dtype=np.int64)
+        if asker.num_rows and there.num_rows:
+            centre, near, far, _ = shared.value
+            there = there.sort_by([("cell", "ascending"), ("id", "ascending")])
+            x, y, cell = matrix(asker["v"]), matrix(there["v"]), there["cell"].to_numpy()
+            asks, ids = asker["id"].to_numpy(), there["id"].to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            size, known = np.diff(np.append(first, len(cell))), cell[first]
+            d = _distances(x, centre[known])
+            reached = (d - far[known] <= reach + SLACK) & (near[known] - d <= reach + SLACK)
+            half_x, half_y = (x**2).sum(1) / 2, (y**2).sum(1) / 2
+            error, least = ERROR * (half_x + half_y.max()), -reach * reach / 2 - SLACK
+            for low in range(0, len(x), ROWS):
+                here = reached[low : low + ROWS]
+                mine = np.arange(low, low + len(here))
+                for some in (here.all(axis=1), ~here.all(axis=1)):  # those that reach every cell ask them at once
+                    if not some.any():
+                        continue
+                    own = mine[some]
+                    score = np.full((len(own), len(y)), -np.inf)
+                    if here[some].all():
+                        score = x[own] @ y.T - half_x[own, None] - half_y[None, :]
+                        count[own] += len(y)
+                    else:
+                        for c in np.flatnonzero(here[some].any(axis=0)):
+                            who, to = np.flatnonzero(here[some][:, c]), slice(first[c], first[c] + size[c])
+                            score[who, to] = x[own[who]] @ y[to].T - half_x[own[who], None] - half_y[None, to]
+                            count[own[who]] += size[c]
+                    self_ = asks[own, None] == ids[None, :]
+                    count[own] -= (self_ & np.isfinite(score)).sum(1)
+                    score[self_] = -np.inf
+                    i, j = candidates(score, 1, least, error[own])
+                    s = squares(x[own[i]], y[j])
+                    keep = few(i, ids[j], s, 1)  # the first of copies; near ties are left to the rounding
+                    row.append(own[i[keep]])
+                    col.append(j[keep])
+                    exact.append(s[keep])
+        put = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        row, met = put(row, np.int64), np.flatnonzero(count)
+        names, near_ids = ["id", "nearest", "distance_sq", "asked"], there["id"].take(pa.array(put(col, np.int64)))
+        # Found rows first, then how many pairs each asker was in.
+        found = pa.table([asker["id"].take(pa.array(row)), near_ids, pa.array(put(exact, float)), pa.array(np.zeros(len(row), np.int64))], names)
+        spent = pa.table([asker["id"].take(pa.array(met)), pa.nulls(len(met), near_ids.type), pa.array(np.full(len(met), np.inf)), pa.array(count[met])], names)
+        return pa.concat_tables([found, spent])
+
+    keys = [*scope, "a", "b"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"id {kind}, nearest {kind}, distance_sq double, asked bigint")
+    similarity = 1 - F.pow(F.sqrt("distance_sq"), 2) / 2
+    met = met.where(F.col("nearest").isNull() | ((F.col("distance_sq") <= reach * reach + 1e-9) & (F.lit(True) if least is None else similarity >= least)))
+    best_of = F.min(F.struct((-F.round(similarity, DIGITS)).alias("key"), "nearest", "distance_sq")).alias("m")
+    return met.groupBy("id").agg(best_of, F.sum("asked").alias("asked")).where(F.col("m.nearest").isNotNull()).select("id", "m.nearest", "m.distance_sq", "asked")
