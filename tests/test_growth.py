@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import blocks, classification, placement, vector_cells
+from threadloom.operators import blocks, classification, placement, text_index, vector_cells
 
 
 def vectors(spark, x, scope):
@@ -60,3 +60,11 @@ def test_rows_are_copied_once_a_block(spark):
     found = vector_cells.nearest_within(rows, ["s"], 1.3)
     assert "band" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.count() > 1900 and found.agg(F.sum("asked")).first()[0] <= 2000 * 1999
+
+
+def test_trigram_postings_are_bits(spark, tmp_path):
+    """A posting costs a bit of its range's words, not a key; ranges of more than one word find their texts."""
+    docs = spark.createDataFrame([(i, f"{'Abc' if i % 50 == 0 else 'xyz'} number {i}") for i in range(200)] + [(999, None)], "doc_id long, text string")
+    index = text_index.TrigramIndex.build(docs, "doc_id", "text", str(tmp_path), range_docs=1000, buckets=4)
+    assert dict(index.rows(["abc"]).dtypes)["bits"] == "bigint" and "keys" not in index.rows(["abc"]).columns
+    assert sorted(r["doc_id"] for r in index.like(text_index.containing("aBC n"), "doc_id").collect()) == [0, 50, 100, 150]

@@ -18,7 +18,8 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators.retrieval import B, K1, tokens
@@ -30,7 +31,8 @@ SPREAD = 4
 FIRST = 8
 DIGITS = 6
 _POSTINGS = "entry string, range bigint, n int, max_tf int, min_len int, postings array<struct<key: {key}, tf: int, len: int>>"
-_GRAMS = "entry string, range bigint, n int, keys array<{key}>"
+WORD = 64
+_GRAMS = "entry string, range bigint, word int, bits bigint"
 
 
 def bucket_of(entry: str, buckets: int) -> int:
@@ -54,6 +56,12 @@ def _by_range(batches, columns):
     return itertools.groupby(rows, key=lambda r: r[0])
 
 
+def _by_word(batches):
+    """((range, word), rows) for rows (range, place, text) that come in order."""
+    rows = (r for part in batches for r in zip(*(part.column(i).to_pylist() for i in range(3))))
+    return itertools.groupby(rows, key=lambda r: (r[0], r[1] // WORD))
+
+
 class _Index:
     """What both indexes share: their folders and how rows of some entries are read."""
 
@@ -86,13 +94,20 @@ class WordIndex(_Index):
 
             own = pa.list_(pa.struct([("key", key_type), ("tf", pa.int32()), ("len", pa.int32())]))
             for number, rows in _by_range(batches, 3):
-                found: defaultdict[str, list] = defaultdict(list)
-                for _, k, t in rows:
+                found: defaultdict[str, list] = defaultdict(list)  # of each word the numbers of its texts and its counts
+                keys, lengths = [], []
+                for at, (_, k, t) in enumerate(rows):
+                    keys.append(k)
+                    lengths.append(len(t))
                     for word, tf in Counter(t).items():
-                        found[word].append({"key": k, "tf": tf, "len": len(t)})
-                lists = list(found.values())
+                        found[word] += (at, tf)
+                flat = np.fromiter(itertools.chain.from_iterable(found.values()), dtype=np.int32).reshape(-1, 2)
+                starts = np.cumsum([0, *(len(x) // 2 for x in found.values())], dtype=np.int32)
+                at, tf, length = flat[:, 0], np.ascontiguousarray(flat[:, 1]), np.array(lengths, dtype=np.int32)[flat[:, 0]]
+                most, least = (np.maximum.reduceat(tf, starts[:-1]), np.minimum.reduceat(length, starts[:-1])) if found else (tf, length)
+                lists = pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays([pa.array(keys, key_type).take(pa.array(at)), pa.array(tf), pa.array(length)], fields=list(own.value_type)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(found), pa.string()), pa.array([number] * len(lists), pa.int64()), pa.array(list(map(len, lists)), pa.int32()), pa.array([max(p["tf"] for p in x) for x in lists], pa.int32()), pa.array([min(p["len"] for p in x) for x in lists], pa.int32()), pa.array(lists, own)],
+                    [pa.array(list(found), pa.string()), pa.array(np.full(len(found), number, np.int64)), pa.array(np.diff(starts)), pa.array(most), pa.array(least), lists.cast(own)],
                     ["entry", "range", "n", "max_tf", "min_len", "postings"],
                 )
 
@@ -184,31 +199,33 @@ def trigrams(text: str) -> set[str]:
 
 
 class TrigramIndex(_Index):
-    """Of lower-cased texts, which it keeps by range for the exact test."""
+    """Of lower-cased texts, which it keeps by range for the exact test.
+
+    A text has a number in its range; postings are bits of 64 numbers, a row for each trigram, range and ``word`` of 64. So
+    a posting costs a bit, and searches intersect with ``bit_and``.
+    """
 
     @classmethod
     def build(cls, docs: DataFrame, key: str, text: str, address: str, range_docs: int = RANGE_DOCS, buckets: int = 4 * BUCKETS) -> TrigramIndex:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kind = dict(docs.dtypes)[key]
         texts, n = _ranged(docs.select(F.col(key).alias("key"), F.lower(text).alias("text")).where("text is not null"), "key", range_docs)
-        texts.repartition("range").sortWithinPartitions("range").select("range", "key", "text").write.parquet(f"{address}/texts")
+        place = F.row_number().over(Window.partitionBy("range").orderBy("key")) - 1
+        texts.withColumn("place", place).select("range", "place", "key", "text").write.parquet(f"{address}/texts")
         kept = docs.sparkSession.read.parquet(f"{address}/texts")
-        key_type = to_arrow_type(kept.schema["key"].dataType)
 
         def run(batches):
             import pyarrow as pa
 
-            for number, rows in _by_range(batches, 3):
-                found: defaultdict[str, list] = defaultdict(list)
-                for _, k, t in rows:
+            # Texts of a range lie together as they were written; a file that is read in parts gives a word's row in parts.
+            for (number, word), rows in _by_word(batches):
+                found: defaultdict[str, int] = defaultdict(int)
+                for _, place, t in rows:
+                    bit = 1 << (place % WORD)
                     for gram in trigrams(t):
-                        found[gram].append(k)
-                lists = list(found.values())
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([number] * len(lists), pa.int64()), pa.array(list(map(len, lists)), pa.int32()), pa.array(lists, pa.list_(key_type))], ["entry", "range", "n", "keys"])
+                        found[gram] |= bit
+                bits = np.array(list(found.values()), dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(np.full(len(bits), number, np.int64)), pa.array(np.full(len(bits), word, np.int32)), pa.array(bits)], ["entry", "range", "word", "bits"])
 
-        rows = kept.repartition("range").sortWithinPartitions("range").mapInArrow(run, _GRAMS.format(key=kind))
-        _written(rows, f"{address}/entries", buckets)
+        _written(kept.select("range", "place", "text").mapInArrow(run, _GRAMS), f"{address}/entries", buckets)
         kept.agg(F.count(F.lit(1)).alias("n_docs")).withColumns({"ranges": F.lit(n), "buckets": F.lit(buckets)}).coalesce(1).write.parquet(f"{address}/meta")
         return cls(docs.sparkSession, address)
 
@@ -220,18 +237,19 @@ class TrigramIndex(_Index):
         return out
 
     def candidates(self, pattern: str) -> DataFrame | None:
-        """(build, range, key) of texts that hold all trigrams of the pattern; None if it has no three letters in a row."""
+        """(build, range, place) of texts that hold all trigrams of the pattern; None if it has no three letters in a row."""
         grams = sorted(set().union(*map(trigrams, literal_pieces(pattern))))
         if not grams:
             return None
-        met = self.rows(grams).groupBy("build", "range").agg(F.count(F.lit(1)).alias("n"), F.collect_list("keys").alias("lists")).where(F.col("n") == len(grams))
-        both = F.aggregate(F.slice("lists", 2, len(grams)), F.element_at("lists", 1), lambda a, b: F.array_intersect(a, b))
-        return met.select("build", "range", F.explode(both).alias("key"))
+        held = self.rows(grams).groupBy("build", "range", "word", "entry").agg(F.bit_or("bits").alias("bits"))
+        met = held.groupBy("build", "range", "word").agg(F.count(F.lit(1)).alias("n"), F.bit_and("bits").alias("bits")).where((F.col("n") == len(grams)) & (F.col("bits") != 0))
+        own = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit("bits", i) == 1)
+        return met.select("build", "range", F.explode(F.transform(own, lambda i: i + F.col("word") * WORD)).alias("place"))
 
     def like(self, pattern: str, key: str = "key") -> DataFrame:
         """(key) of texts that are like ``pattern``, upper and lower case alike. Patterns too short for trigrams scan all."""
         low = self.spark.range(1).select(F.lower(F.lit(pattern))).first()[0]
         found, texts = self.candidates(low), self.texts()
         if found is not None:
-            texts = texts.join(found, ["build", "range", "key"], "left_semi")
+            texts = texts.join(found, ["build", "range", "place"], "left_semi")
         return texts.where(F.col("text").like(low)).select(F.col("key").alias(key))
