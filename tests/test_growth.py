@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import blocks, classification, placement, text_index, vector_cells
+from threadloom.operators import blocks, classification, placement, set_join, text_index, vector_cells
 
 
 def vectors(spark, x, scope):
@@ -68,3 +68,33 @@ def test_trigram_postings_are_bits(spark, tmp_path):
     index = text_index.TrigramIndex.build(docs, "doc_id", "text", str(tmp_path), range_docs=1000, buckets=4)
     assert dict(index.rows(["abc"]).dtypes)["bits"] == "bigint" and "keys" not in index.rows(["abc"]).columns
     assert sorted(r["doc_id"] for r in index.like(text_index.containing("aBC n"), "doc_id").collect()) == [0, 50, 100, 150]
+
+
+def test_sets_meet_in_blocks(spark):
+    """A word that every set holds makes no pairs: only similar ones leave a task, whatever the sizes of blocks and tiles."""
+    rng = np.random.default_rng(6)
+    sets = [["the", *(f"w{x}" for x in rng.choice(40, rng.integers(1, 8), replace=False))] for _ in range(240)]
+    left = spark.createDataFrame([(i, "ab"[i % 2], s) for i, s in enumerate(sets)], "id long, s string, words array<string>")
+    right = spark.createDataFrame([(1000 + i, "ab"[i % 2], sets[i % 80]) for i in range(200)], "id long, s string, words array<string>")
+    want = {}
+    for i, s in enumerate(sets):
+        for j in range(200):
+            both = len({*s} & {*sets[j % 80]})
+            if i % 2 == j % 2 and both / len({*s} | {*sets[j % 80]}) >= 0.5:
+                want[i, 1000 + j] = both / len({*s} | {*sets[j % 80]})
+    met = set_join.candidates(set_join._named(left, ["s"], "l"), set_join._named(right, ["s"], "r"), 0.5, ["s"])
+    assert "CoGroup" in met._jdf.queryExecution().optimizedPlan().toString()
+    assert met.count() < len(want) and met.where("score < 0.5 - 1e-9").count() == 0
+    for block, tile in ((7, 11), (1000, 1000)):
+        got = {(r["left_id"], r["right_id"]): r["score"] for r in set_join.similar_sets(left, right, 0.5, ["s"], block=block, tile=tile).collect()}
+        assert got == want
+        few = {(r["left_id"], r["right_id"]) for r in set_join.similar_sets(left, right, 0.5, ["s"], k=2, block=block, tile=tile).collect()}
+        best = {i: sorted((p for p in want if p[0] == i), key=lambda p: (-want[p], p[1]))[:2] for i in range(240)}
+        assert few == {p for ps in best.values() for p in ps}
+
+
+def test_copies_do_not_meet_copies(spark):
+    """A thousand rows of one set on either side give the best two of each, not a million pairs."""
+    rows = spark.range(1000).select("id", F.array(F.lit("x"), F.lit("y")).alias("words"))
+    got = set_join.similar_sets(rows, rows, 0.3, k=2)
+    assert got.count() == 2000 and {r["right_id"] for r in got.select("right_id").distinct().collect()} == {0, 1}

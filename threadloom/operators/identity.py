@@ -67,12 +67,12 @@ def topic_streams(sessions: DataFrame, capsules: DataFrame) -> DataFrame:
     text) its first prompt resembles clearly best. Sessions have session_id, project, prompt.
 
     Sessions meet streams by a set-similarity join at the least score that can matter: a runner-up further behind than
-    ``TOPIC_LEAD`` changes nothing.
+    ``TOPIC_LEAD`` changes nothing, and neither does a third.
     """
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_-]{2,}"), F.lit(0)))
     ask = sessions.select(F.col("session_id").alias("id"), "project", words(F.col("prompt")).alias("words"))
     have = capsules.select(F.col("stream_id").alias("id"), "project", words(F.col("text")).alias("words"))
-    scored = similar_sets(ask, have, TOPIC_SCORE - TOPIC_LEAD, ["project"]).withColumnsRenamed({"left_id": "session_id", "right_id": "stream_id"})
+    scored = similar_sets(ask, have, TOPIC_SCORE - TOPIC_LEAD, ["project"], k=2).withColumnsRenamed({"left_id": "session_id", "right_id": "stream_id"})
     order = Window.partitionBy("session_id").orderBy(F.desc("score"), "stream_id")
     best = scored.withColumn("place", F.row_number().over(order)).where("place <= 2").groupBy("session_id").agg(F.max(F.when(F.col("place") == 1, F.struct("score", "stream_id"))).alias("b"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("next"))
     clear = (F.col("b.score") >= TOPIC_SCORE) & (F.col("b.score") - F.coalesce("next", F.lit(0.0)) >= TOPIC_LEAD)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.operators import continuity, extraction, identity
+from threadloom.operators.storage import settled
 from threadloom.plans.base import EXCHANGES, FACTS, exchanges, facts, query, table
 
 SEGMENTS = ("MACHINERY", "BUILDING", "AUTOMOBILE", "HOUSEHOLD", "FURNITURE")
@@ -77,7 +78,7 @@ SELECT session_id, coalesce(topic, 'ws-' || substr(sha256(CASE WHEN branch IS NU
 CASE WHEN topic IS NOT NULL THEN 'strong-topic-margin' WHEN branch IS NOT NULL THEN 'workspace-branch' ELSE 'project-default' END AS reason, CASE WHEN topic IS NOT NULL THEN round(score, 6) ELSE 1.0 END AS confidence FROM t""")
 def idn02_topic_binding(spark, sf_dir):
     k = F.col("conv_id")
-    first = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
+    first = settled(table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt")))
     nothing = F.lit(None).cast("string")
     sessions = first.select(k.alias("session_id"), (k % 7).alias("project"), nothing.alias("workspace"), nothing.alias("explicit"), F.when(k % 5 == 0, "feature").alias("branch"), nothing.alias("default_branch"), "prompt")
     capsules = first.where("conv_id % 2 = 0").select(F.concat(F.lit("k"), k.cast("string")).alias("stream_id"), (k % 7).alias("project"), F.col("prompt").alias("text"))
