@@ -1,10 +1,12 @@
 """What keeps work in proportion: rows that meet block by block, and figures that SQL rounds once."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import blocks, classification, placement, set_join, text_index, vector_cells
+from threadloom.operators import blocks, classification, continuity, graph, injection, placement, set_join, text_index, vector_cells
 
 
 def vectors(spark, x, scope):
@@ -98,3 +100,24 @@ def test_copies_do_not_meet_copies(spark):
     rows = spark.range(1000).select("id", F.array(F.lit("x"), F.lit("y")).alias("words"))
     got = set_join.similar_sets(rows, rows, 0.3, k=2)
     assert got.count() == 2000 and {r["right_id"] for r in got.select("right_id").distinct().collect()} == {0, 1}
+
+
+def test_lines_are_cut_before_facts_move(spark):
+    """A bundle shows one line of a fact, so its text is not shuffled for each prompt."""
+    given = spark.range(3).selectExpr("id as request_id", "id as id", "'semantic' as lane", "1.0 as relevance", "1 as place")
+    plan = injection.bundles(given, spark.range(3).selectExpr("id", "repeat('word ', cast(id as int)) as fact"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("regexp_replace") > plan.index("Join")
+
+
+def test_lines_of_any_white_space(spark):
+    texts = [None, "", "a  b", "x" * 400, " " * 3000 + "late \n words", "one " + "\t" * 1500 + "two " * 80, "word " * 500, "y" * 159 + " z", "y" * 160, "a " + "b" * 300, "é " * 79 + "end" * 9]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+
+    def line(t):
+        flat = re.sub(continuity.SPACE, " ", t).strip(" ")
+        head = flat[:159]
+        whole = head[: head.rindex(" ")] if " " in head else ""
+        return flat if len(flat) <= 160 else (whole if len(whole) >= 80 else head) + "…"
+
+    got = {r["id"]: (r["x"], r["y"]) for r in rows.select("id", continuity.clip_line(F.col("t")).alias("x"), continuity.clip_line(continuity.clip_line(F.col("t"))).alias("y")).collect()}
+    assert got == {i: (None, None) if t is None else (line(t), line(t)) for i, t in enumerate(texts)}

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import let
 from threadloom.operators.gate import MOST_TOKENS, sentence_cut, token_estimate, wrapped
 
 TTL_DAYS = 14
 TAIL_TURNS = 8
 LINE_CHARS, TARGET_CHARS, HARD_CHARS = 160, 700, 1_000
 SPACE = "[ \\t\\n\\f\\r]+"
+HEAD_CHARS = 1_000  # of a text, which a line is made of; over any ``chars``
 
 
 def resident_corrections(resident: DataFrame, facts: DataFrame) -> DataFrame:
@@ -29,10 +31,16 @@ def live_evidence(evidence: DataFrame, keys: list[str], at: str, asof: Column, t
 
 def clip_line(text: Column, chars: int = LINE_CHARS) -> Column:
     """One line of at most ``chars``; cut at the last space unless that throws half of it away."""
-    flat = F.trim(F.regexp_replace(text, SPACE, " "))
-    head = F.substring(flat, 1, chars - 1)
-    whole = F.regexp_extract(head, "(?s)^(.*) ", 1)
-    return F.when(F.length(flat) <= chars, flat).otherwise(F.concat(F.when(F.length(whole) >= -(-(chars - 1) // 2), whole).otherwise(head), F.lit("…")))
+    one_line = lambda t: F.trim(F.regexp_replace(t, SPACE, " "))
+    # The beginning of a text tells the line, unless it is mostly white space.
+    near = F.substring(text, 1, HEAD_CHARS)
+
+    def clip(flat):
+        head = F.substring(flat, 1, chars - 1)
+        cut = let(F.regexp_extract(head, "(?s)^(.*) ", 1), lambda whole: F.when(F.length(whole) >= -(-(chars - 1) // 2), whole).otherwise(head))
+        return F.when(F.length(flat) <= chars, flat).otherwise(F.concat(cut, F.lit("…")))
+
+    return let(let(one_line(near), lambda flat: F.when((F.length(flat) > chars) | (F.length(text) <= HEAD_CHARS), flat).otherwise(one_line(text))), clip)
 
 
 def tail_baton(turns: DataFrame, session: str, order: str, text: str, last: int = TAIL_TURNS) -> DataFrame:
@@ -111,12 +119,16 @@ def render_bundle(items: DataFrame, owner: str, section: str, rank: list, text:
     def step(acc, x):
         first = acc["open"] != x["_s"]
         grown = F.concat(acc["out"], F.when(first, F.concat(F.when(acc["out"] == "", "").otherwise("\n\n"), F.element_at(heads, x["_s"] + 1), F.lit("\n"))).otherwise(F.lit("\n")), x["line"])
-        whole = wrapped(grown) if wrap else grown
-        large = (F.length(whole) > HARD_CHARS) | (token_estimate(whole) > MOST_TOKENS) if wrap else F.length(whole) > HARD_CHARS
-        over = (x["_r"] > x["most"]) | large | (~first & (F.length(grown) > TARGET_CHARS) & (F.length(x["line"]) > LINE_CHARS // 2))
-        shut = F.struct(acc["out"].alias("out"), acc["n"].alias("n"), acc["open"].alias("open"), x["_s"].alias("closed"), F.lit(True).alias("cut"))
-        on = F.struct(grown.alias("out"), (acc["n"] + 1).alias("n"), x["_s"].alias("open"), acc["closed"].alias("closed"), acc["cut"].alias("cut"))
-        return F.when(acc["closed"] == x["_s"], acc).when(over, shut).otherwise(on)
+
+        def taken(out):
+            too_large = lambda whole: (F.length(whole) > HARD_CHARS) | (token_estimate(whole) > MOST_TOKENS)
+            large = let(wrapped(out), too_large) if wrap else F.length(out) > HARD_CHARS
+            over = (x["_r"] > x["most"]) | large | (~first & (F.length(out) > TARGET_CHARS) & (F.length(x["line"]) > LINE_CHARS // 2))
+            shut = F.struct(acc["out"].alias("out"), acc["n"].alias("n"), acc["open"].alias("open"), x["_s"].alias("closed"), F.lit(True).alias("cut"))
+            on = F.struct(out.alias("out"), (acc["n"] + 1).alias("n"), x["_s"].alias("open"), acc["closed"].alias("closed"), acc["cut"].alias("cut"))
+            return F.when(over, shut).otherwise(on)
+
+        return F.when(acc["closed"] == x["_s"], acc).otherwise(let(grown, taken))
 
     folded = ranked.groupBy(owner).agg(lines.alias("lines")).select(owner, F.aggregate("lines", start, step).alias("b"))
     out = F.when(F.col("b.out") == "", "").otherwise(wrapped(F.col("b.out"))) if wrap else F.col("b.out")

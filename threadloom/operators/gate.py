@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import let
 from threadloom.operators import gate_tables as fixed
 from threadloom.operators.history import WHITE, WORD_EDGE, jaccard
 
@@ -248,7 +249,7 @@ def token_estimate(text: Column) -> Column:
 def envelope(text: Column) -> Column:
     """A JSON string that cannot close a tag."""
     quoted = F.get_json_object(F.to_json(F.struct(F.array(text).alias("x"))), "$.x")
-    out = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    out = let(quoted, lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
     for sign, code in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e")):
         out = F.replace(out, F.lit(sign), F.lit(code))
     return out

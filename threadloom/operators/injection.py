@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.operators.continuity import render_bundle
+from threadloom.operators.continuity import clip_line, render_bundle
 from threadloom.operators.gate import fits, trimmed
 from threadloom.operators.graph import AFFIRMATIVE, OTHER_WEIGHT, both_ways, priority
 from threadloom.operators.lanes import clears_margin
@@ -101,7 +101,8 @@ def bundles(injected: DataFrame, facts: DataFrame, wrap: bool = False) -> DataFr
 
     ``facts`` has id and fact. With ``wrap`` the limits hold for the text in its envelope.
     """
-    items = injected.join(facts.select("id", "fact"), "id")
+    # A fact is cut to its line before it is moved, once for all prompts that get it.
+    items = injected.join(facts.select("id", clip_line(F.coalesce("fact", F.lit(""))).alias("fact")), "id")
     return render_bundle(items, "request_id", "lane", ["place"], "fact", SECTIONS, wrap=wrap)
 
 
