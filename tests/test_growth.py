@@ -121,3 +121,22 @@ def test_lines_of_any_white_space(spark):
 
     got = {r["id"]: (r["x"], r["y"]) for r in rows.select("id", continuity.clip_line(F.col("t")).alias("x"), continuity.clip_line(continuity.clip_line(F.col("t"))).alias("y")).collect()}
     assert got == {i: (None, None) if t is None else (line(t), line(t)) for i, t in enumerate(texts)}
+
+
+def test_neighbours_are_seen_before_they_are_shuffled(spark):
+    """What a prompt and an edge tell decides who sees a neighbour, on the rows of the walk, not after a join by fact."""
+    asked = spark.createDataFrame([(1, 5, True, "p"), (2, 6, True, "q"), (3, 6, False, "p")], "request_id long, session long, trace boolean, project string")
+    hits = spark.createDataFrame([(r, 10, 0.9, 0.1, None) for r in (1, 2, 3)], "request_id long, id long, similarity double, baseline double, lexical_score int")
+    edges = spark.createDataFrame([(10, n, "SUPPORTS" if n % 2 else "RELATES", n) for n in range(20, 30)], "source_id long, target_id long, relation_type string, created_at long")
+    links = graph.both_ways(edges).withColumn("_of", F.when(F.col("to") < 26, "p").otherwise("q"))
+    seen = []
+
+    def visible(rows):
+        seen.extend(rows.columns)
+        return rows.where(F.col("_of") == F.col("project"))
+
+    none = spark.createDataFrame([], "session long, id long, current boolean")
+    got = injection.inject(asked, hits, links, visible, none)
+    assert {"project", "_of", "session", "id"} <= {*seen}
+    want = {(r, 10, "semantic") for r in (1, 2, 3)} | {(1, n, "related") for n in (21, 23, 25)} | {(2, n, "related") for n in (26, 27, 29)}
+    assert {(r["request_id"], r["id"], r["lane"]) for r in got.collect()} == want

@@ -68,6 +68,8 @@ def inject(asked: DataFrame, hits: DataFrame, relations: DataFrame, visible: Cal
     ``asked``: request_id, session, trace (does the prompt ask for relations?), of prompts that the gate lets retrieve;
     ``hits``: request_id, id, similarity, baseline, lexical_score, of active facts that the session may see; ``visible``
     keeps of rows (session, id, …) those whose session may see the fact; ``residents``: what it holds already (session, id, current).
+    ``relations`` may be ``both_ways``; what else its rows and those of ``asked`` tell is there for ``visible``, which sees
+    every neighbour before anything is shuffled by prompt, so that what it can tell from a row costs no join.
 
     Hits that words named or that clear the margin compete, words first; the best k stay. A trace adds up to
     ``related`` neighbours over one edge. What the session holds in its current form is left out; what it holds in an
@@ -76,12 +78,14 @@ def inject(asked: DataFrame, hits: DataFrame, relations: DataFrame, visible: Cal
     strong = hits.where(clears_margin(F.col("similarity"), F.col("baseline"), F.col("lexical_score")))
     best = Window.partitionBy("request_id").orderBy(F.desc_nulls_last("lexical_score"), F.desc_nulls_last("similarity"), "id")
     chosen = strong.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).select("request_id", "id", F.when(F.col("lexical_score").isNotNull(), "lexical").otherwise("semantic").alias("lane"), F.coalesce("similarity", F.lit(1.0)).alias("relevance"))
-    chosen = settled(chosen.join(asked.select("request_id", "session", "trace"), "request_id"))
+    chosen = settled(chosen.join(asked, "request_id"))
     weight = F.when(F.col("relation_type").isin(*AFFIRMATIVE), 1.0).otherwise(OTHER_WEIGHT)
-    near = both_ways(relations).select(F.col("from").alias("id"), "to", "relation_type", "created_at", priority().alias("p"))
-    hop = chosen.where("trace").select("request_id", "session", "id").join(near, "id").groupBy("request_id", "session", "to").agg(F.min(F.struct("p", "created_at", "id", "relation_type")).alias("e"))
-    hop = hop.select("request_id", "session", F.col("to").alias("id"), F.col("e.relation_type").alias("relation_type"), F.col("e.p").alias("p"))
-    hop = visible(hop).join(chosen.select("request_id", "id"), ["request_id", "id"], "left_anti").withColumn("relevance", weight)
+    links = relations if "from" in relations.columns else both_ways(relations)
+    traced = chosen.where("trace").drop("trace", "lane", "relevance").withColumnRenamed("id", "from")
+    near = links.join(traced.select("from").distinct(), "from", "left_semi").withColumnRenamed("to", "id").withColumn("p", priority())
+    hop = visible(traced.join(near, "from")).groupBy("request_id", "session", "id").agg(F.min(F.struct("p", "created_at", F.col("from").alias("id"), "relation_type")).alias("e"))
+    hop = hop.select("request_id", "session", "id", F.col("e.relation_type").alias("relation_type"), F.col("e.p").alias("p"))
+    hop = hop.join(chosen.select("request_id", "id"), ["request_id", "id"], "left_anti").withColumn("relevance", weight)
     first = Window.partitionBy("request_id").orderBy(F.desc("relevance"), "p", "id")
     hop = hop.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= related).select("request_id", "session", "id", F.lit("related").alias("lane"), "relevance")
     found = chosen.select("request_id", "session", "id", "lane", "relevance").unionByName(hop)

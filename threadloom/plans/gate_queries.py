@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threadloom.operators import continuity, gate, history, injection, lanes
+from threadloom.operators import continuity, gate, graph, history, injection, lanes
 from threadloom.operators import gate_tables as fixed
 from threadloom.operators.retrieval import dot
 from threadloom.operators.storage import settled
@@ -229,11 +229,12 @@ def injected(spark, sf_dir):
     named = sessions.select("session", F.col("project").alias("_of"), "q", F.explode(F.array(s + 5, s + 105, s + 205)).alias("id")).join(v, "id").where(everywhere | (F.col("project") == F.col("_of"))).select("session", "id", F.round(dot(F.col("v"), F.col("q")), 9).alias("similarity"))
     word = F.when(F.col("id").isin(s + 5, s + 105, s + 205), 2)
     hits = ask.select("request_id", "session", "baseline").join(near.unionByName(named).dropDuplicates(["session", "id"]), "session").select("request_id", "id", "similarity", "baseline", word.alias("lexical_score"))
-    home = sessions.select("session", F.col("project").alias("_home"))
-    visible = lambda rows: rows.join(v.select("id", F.col("project").alias("_of"), "scope_type"), "id").join(home, "session").where(everywhere | (F.col("_of") == F.col("_home"))).drop("_of", "scope_type", "_home")
+    # Neighbours that are no active facts are seen by nobody; the others bring their scope, so nothing is joined a prompt.
+    links = graph.both_ways(relations(spark, sf_dir)).join(v.select(F.col("id").alias("to"), F.col("project").alias("_of"), "scope_type"), "to")
+    visible = lambda rows: rows.where(everywhere | (F.col("_of") == F.col("project")))
     c = F.col("conv_id")
     held = table(spark, sf_dir, "conversations").select(c).distinct().select(c.alias("session"), F.explode(F.array(c, c + 40, c + 80)).alias("id")).join(v.select("id"), "id").select("session", "id", (F.col("id") % 3 != 0).alias("current"))
-    return injection.inject(ask.select("request_id", "session", "trace"), hits, relations(spark, sf_dir), visible, held)
+    return injection.inject(ask.select("request_id", "session", "trace", "project"), hits, links, visible, held)
 
 
 @query(f"WITH {_GIVEN} SELECT * FROM placed")
