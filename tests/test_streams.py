@@ -252,3 +252,45 @@ def test_damage_refuses_a_device(spark, shelf, harm):
     with pytest.raises(Exception, match="torn"):
         read().collect()
     assert {r["_device"] for r in read(onDamage="skip").collect()} == {"sound"}
+
+
+def test_state_is_called_for_what_remains_not_for_each_action():
+    """A session's trigger reads its state once and writes what has become of it; a thousand actions are a few calls."""
+    import pandas as pd
+
+    calls, state = [], {}
+
+    class Variable:
+        def __init__(self, name):
+            self.name, self.kept = name, state.setdefault(name, {})
+
+        def __getattr__(self, method):
+            def call(*args):
+                calls.append((self.name, method))
+                if method in ("updateValue",):
+                    self.kept[args[0]] = args[1]
+                elif method in ("update", "put", "appendList"):
+                    self.kept[0] = args[0] if method != "appendList" else [*self.kept.get(0, []), *args[0]]
+                elif method == "clear":
+                    self.kept.clear()
+                return {"get": lambda: self.kept.get(0), "exists": lambda: bool(self.kept), "iterator": lambda: iter(self.kept.items()), "getValue": lambda: self.kept.get(args[0]), "containsKey": lambda: args[0] in self.kept}.get(method, lambda: None)()
+
+            return call
+
+    class Handle:
+        getValueState = getMapState = getListState = lambda self, name, *kinds: Variable(name)
+
+        def registerTimer(self, at):
+            calls.append(("timer", at))
+
+    processor = session_state.SessionState(session_state.DAY_US)
+    processor.init(Handle())
+    n = 1000
+    kinds = ["resident", "evidence", "read", "other"]
+    rows = pd.DataFrame([(i * 1000, i, kinds[i % 4], None, None, f"f{i % 12 // 4}" if i % 4 < 2 else None, i) for i in range(n)], columns=["at_us", "seq", "action", "marker", "token", "item", "generation"])
+    out = pd.concat(processor.handleInputRows(("s",), iter([rows[500:], rows[:500]]), None))
+    assert [tuple(x) for x in out[["seq", "what", "n"]].itertuples(index=False)][:4] == [(0, "resident", 0), (1, "evidence", 0), (2, "read", 1), (4, "resident", 4)]
+    assert len(out) == 750 and set(out[out.what == "read"].n) == {1} and len(calls) < 12
+    again = pd.DataFrame([(n * 1000, n, "read", None, None, None, 0), (n * 1000 + 1, n + 1, "resident", None, None, "f0", 1)], columns=rows.columns)
+    out = pd.concat(processor.handleInputRows(("s",), iter([again]), None))
+    assert [tuple(x) for x in out[["what", "n"]].itertuples(index=False)] == [("read", 0), ("held", 1)]

@@ -10,14 +10,19 @@ generation or a newer one (``held``); n is the generation. ``evidence`` lives fo
 
 A stream takes a session's actions in the order of (ts, seq). One that is not after the last one taken is ``refused``,
 one behind the watermark never arrives; neither changes anything. Within a trigger a session's actions are sorted, so
-the trigger's size bounds what a task holds. State lies in value and map variables, expiry in event-time timers. A
+the trigger's size bounds what a task holds. State lies in value, map and list variables, expiry in event-time timers,
+one at a time for a session. A call on state costs more than an action, so a trigger reads what a session holds once,
+when it is first asked for, and writes what has become of it at its end. A
 stream's evidence expires as the watermark passes it, a table's as of its last action less the lateness.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -31,77 +36,119 @@ _ACTIONS = ("session", "ts", "at_us", "seq", "action", "marker", "token", "item"
 
 
 class SessionState(StatefulProcessor):
-    """State of one session: the last action taken, applied markers, residents and what was carried over, evidence."""
+    """State of one session: the last action taken, applied markers, residents and what was carried over, evidence in order."""
 
     def __init__(self, ttl_us: int):
         self.ttl_us = ttl_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.head = handle.getValueState("head", "at_us bigint, seq bigint, epoch bigint, token string, read_us bigint, read_seq bigint")
+        self.head = handle.getValueState("head", "at_us bigint, seq bigint, epoch bigint, token string, read_us bigint, read_seq bigint, timer_ms bigint")
         self.markers = handle.getMapState("markers", "marker string", "seq bigint")
         self.resident = handle.getMapState("resident", "item string", "generation bigint")
         self.carry = handle.getMapState("carry", "item string", "generation bigint")
-        self.evidence = handle.getMapState("evidence", "at_us bigint, seq bigint", "item string, epoch bigint")
+        self.evidence = handle.getListState("evidence", "at_us bigint, seq bigint, item string, epoch bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
-        frame = pd.concat(list(rows)).sort_values(["at_us", "seq"], kind="stable")
-        at, seq, epoch, token, read_us, read_seq = self.head.get() if self.head.exists() else (-(1 << 62), 0, 0, None, -(1 << 62), 0)
-        out = []
-        for row in frame.itertuples(index=False):
-            text = lambda x: None if pd.isna(x) else x
-            marker, item = text(row.marker), text(row.item)
-            say = lambda what, n=0: out.append((key[0], int(row.at_us), int(row.seq), what, item, epoch, int(n)))  # noqa: B023, E731
-            if (row.at_us, row.seq) <= (at, seq):
+        parts = list(rows)
+        frame = parts[0] if len(parts) == 1 else pd.concat(parts)
+        order = np.lexsort((frame["seq"].to_numpy(), frame["at_us"].to_numpy()))
+        columns = (frame[c].to_numpy()[order].tolist() for c in ("at_us", "seq", "action", "marker", "token", "item", "generation"))
+        was = self.head.get()
+        at, seq, epoch, token, read_us, read_seq, timer = was or (-(1 << 62), 0, 0, None, -(1 << 62), 0, None)
+        # None: not read yet. A session that is new holds nothing.
+        held, carried, living = (None, None, None) if was else ({}, {}, [])
+        out, fresh, known, applied, changed, anew, turned = [], [], {}, {}, set(), False, False
+        text = lambda x: None if x is None or x != x else x
+        for at_us, number, action, marker, given, item, generation in zip(*columns, strict=True):
+            marker, given, item = text(marker), text(given), text(item)
+            say = lambda what, n=0: out.append((key[0], at_us, number, what, item, epoch, n))  # noqa: B023, E731
+            if (at_us, number) <= (at, seq):
                 say("refused")
                 continue
-            at, seq = int(row.at_us), int(row.seq)
-            if row.action in ("compact", "clear"):
-                if (marker is not None and self.markers.containsKey((marker,))) or (token is not None and text(row.token) == token):
+            at, seq = at_us, number
+            if action in ("compact", "clear"):
+                if marker is not None and marker not in known:
+                    known[marker] = bool(was) and self.markers.containsKey((marker,))
+                if (marker is not None and known[marker]) or (token is not None and given == token):
                     say("repeat")
                 else:
-                    epoch, token, read_us, read_seq = epoch + 1, text(row.token), -(1 << 62), 0
-                    self._advance(row.action)
+                    epoch, token, read_us, read_seq = epoch + 1, given, -(1 << 62), 0
+                    # A compaction carries the residents over, unless older ones still wait; a cleared context carries nothing.
+                    if action == "clear":
+                        carried, turned = {}, True
+                    else:
+                        carried = self._all(self.carry) if carried is None else carried
+                        if not carried:
+                            carried, turned = self._all(self.resident) if held is None else held, True
+                    held, anew = {}, True
+                    changed.clear()
                     say("epoch")
                 if marker is not None:
-                    self.markers.updateValue((marker,), (seq,))
-            elif row.action == "resident" and item is not None:
-                have = self.resident.getValue((item,))
-                if have is not None and have[0] >= row.generation:
-                    say("held", row.generation)
+                    known[marker], applied[marker] = True, seq
+            elif action == "resident" and item is not None:
+                held = self._all(self.resident) if held is None else held
+                if held.get(item, generation - 1) >= generation:
+                    say("held", generation)
                 else:
-                    self.resident.updateValue((item,), (int(row.generation),))
-                    say("resident", row.generation)
-            elif row.action == "evidence":
-                self.evidence.updateValue((at, seq), (item, epoch))
-                self.handle.registerTimer((at + self.ttl_us) // 1000)
+                    held[item] = generation
+                    changed.add(item)
+                    say("resident", generation)
+            elif action == "evidence":
+                fresh.append((at, seq, item, epoch))
+                if living is not None:
+                    living.append((at, seq))
                 say("evidence")
-            elif row.action == "read":
-                low = at - self.ttl_us
-                say("read", sum(e > (read_us, read_seq) and e[0] > low for e, _ in self.evidence.iterator()))
+            elif action == "read":
+                if living is None:
+                    living = [(e[0], e[1]) for e in (*self.evidence.get(), *fresh)]
+                say("read", len(living) - bisect_right(living, max((read_us, read_seq), (at - self.ttl_us, math.inf))))
                 read_us, read_seq = at, seq
-        self.head.update((at, seq, epoch, token, read_us, read_seq))
+        if anew and was:
+            self.resident.clear()
+        for item in changed:
+            self.resident.updateValue((item,), (held[item],))
+        if turned:
+            if was:
+                self.carry.clear()
+            for item, generation in carried.items():
+                self.carry.updateValue((item,), (generation,))
+        for marker, n in applied.items():
+            self.markers.updateValue((marker,), (n,))
+        if fresh:
+            self.evidence.appendList(fresh)
+            timer = self._timer(fresh) if timer is None else timer
+        self.head.update((at, seq, epoch, token, read_us, read_seq, timer))
         yield pd.DataFrame(out, columns=["session", "at_us", "seq", "what", "item", "epoch", "n"])
 
-    def _advance(self, action: str) -> None:
-        """A compaction carries the residents over, unless older ones still wait; a cleared context carries nothing."""
-        if action == "clear":
-            self.carry.clear()
-        elif not self.carry.exists():
-            for item, generation in list(self.resident.iterator()):
-                self.carry.updateValue(item, generation)
-        self.resident.clear()
+    @staticmethod
+    def _all(state) -> dict:
+        return {k[0]: v[0] for k, v in state.iterator()}
+
+    def _timer(self, evidence: list) -> int | None:
+        """Evidence comes in order, so the first to expire is the first; the others wait for their turn."""
+        if not evidence:
+            return None
+        due = (evidence[0][0] + self.ttl_us) // 1000
+        self.handle.registerTimer(due)
+        return due
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
 
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        gone = [(e, v) for e, v in self.evidence.iterator() if (e[0] + self.ttl_us) // 1000 <= now]
-        for e, _ in gone:
-            self.evidence.removeKey(e)
-        yield pd.DataFrame([(key[0], e[0] + self.ttl_us, e[1], "expired", v[0], v[1], 0) for e, v in gone], columns=["session", "at_us", "seq", "what", "item", "epoch", "n"])
+        # All that the watermark has passed goes at once, whichever timer woke the session.
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        evidence = list(self.evidence.get())
+        n = sum((e[0] + self.ttl_us) // 1000 <= now for e in evidence)
+        gone, rest = evidence[:n], evidence[n:]
+        if rest:
+            self.evidence.put(rest)
+        else:
+            self.evidence.clear()
+        self.head.update((*self.head.get()[:-1], self._timer(rest)))
+        yield pd.DataFrame([(key[0], e[0] + self.ttl_us, e[1], "expired", e[2], e[3], 0) for e in gone], columns=["session", "at_us", "seq", "what", "item", "epoch", "n"])
 
     def close(self) -> None:
         pass
