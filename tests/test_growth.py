@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import blocks, classification, continuity, graph, injection, placement, set_join, text_index, vector_cells
+from threadloom.operators import blocks, classification, continuity, graph, history, injection, placement, revisions, set_join, text_index, vector_cells
 
 
 def vectors(spark, x, scope):
@@ -140,3 +140,33 @@ def test_neighbours_are_seen_before_they_are_shuffled(spark):
     assert {"project", "_of", "session", "id"} <= {*seen}
     want = {(r, 10, "semantic") for r in (1, 2, 3)} | {(1, n, "related") for n in (21, 23, 25)} | {(2, n, "related") for n in (26, 27, 29)}
     assert {(r["request_id"], r["id"], r["lane"]) for r in got.collect()} == want
+
+
+def test_signatures_come_from_the_beginning_of_a_text(spark):
+    """Cut or whole, the same signature: what crosses the cut, what shrinks, and white space of any length."""
+    rng = np.random.default_rng(9)
+    parts = ["word", "2024-01-02 03:04:05.6z", "/usr/lib/x.py", "0xdeadbeef", "123.5", "deadbeef1", "\x1b[31m", "\n\n", " ", "12345678-1234-1234-1234-123456789abc", "t", " ", "Ünï", "7", "-", "/"]
+    texts = ["".join(parts[j] + " " * int(rng.integers(0, 2)) for j in rng.integers(0, len(parts), n)) for n in rng.integers(1, 400, 300)]
+    texts += ["7 " * 900, "a" * 3000, " " * 900 + "b c" * 300, "x" * (history.HEAD_CHARS - 12) + " 2024-01-02 03:04 end" * 9, "/a/b" * 900 + " z" * 300, "1 " * 299 + "2024-01-02 03:04:05 " * 90]
+    rows = spark.createDataFrame(list(enumerate([None, "", *texts])), "id long, t string")
+
+    def whole(t):
+        s = F.lower(F.regexp_replace(F.coalesce(t, F.lit("")), history.ANSI, ""))
+        for pattern, name in history.SIGNATURE:
+            s = F.regexp_replace(s, pattern.replace("\\b", history.WORD_EDGE), name)
+        return F.substring(F.trim(F.regexp_replace(s, f"{history.WHITE}+", " ")), 1, history.SIGNATURE_CHARS)
+
+    assert rows.where(history.signature(F.col("t")) != whole(F.col("t"))).count() == 0
+
+
+def test_patterns_meet_texts_where_they_lie(spark):
+    """No shuffle of texts by word, and a text hands on its best few only."""
+    known = spark.createDataFrame([(f"k{i:02}", f"same few words here number{i % 2}", i, i) for i in range(30)], "key string, text string, episodes long, last_at long")
+    probes = spark.createDataFrame([(i, "same few words here number1") for i in range(50)], "probe_id long, text string")
+    found = revisions.match_patterns(known, probes)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    got = {(r["probe_id"], r["place"]): (r["key"], r["score"]) for r in found.collect()}
+    assert got == {(p, n + 1): (f"k{29 - 2 * n:02}", 1.0) for p in range(50) for n in range(5)}
+    few = revisions.resembling(probes.withColumn("words", F.split("text", " ")), [(f"k{i}", None, ["same", "few", "words", "here", f"number{i % 2}"]) for i in range(30)], 0.5, 5)
+    assert few.count() == 250
