@@ -170,3 +170,18 @@ def test_patterns_meet_texts_where_they_lie(spark):
     assert got == {(p, n + 1): (f"k{29 - 2 * n:02}", 1.0) for p in range(50) for n in range(5)}
     few = revisions.resembling(probes.withColumn("words", F.split("text", " ")), [(f"k{i}", None, ["same", "few", "words", "here", f"number{i % 2}"]) for i in range(30)], 0.5, 5)
     assert few.count() == 250
+
+
+def test_edges_are_laid_out_by_one_shuffle(spark, monkeypatch):
+    """Hubs go to the edges: no plan of the build sorts or shuffles edges to learn of hubs, and they are found once."""
+    plans, settle = [], graph.settled
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df)
+
+    monkeypatch.setattr(graph, "settled", seen)
+    rows = spark.createDataFrame([(i % 7, 1000 + i, "SUPPORTS", i) for i in range(900)], "source_id long, target_id long, relation_type string, created_at long")
+    laid = graph.adjacency(rows, hub_edges=50)
+    assert not any("SortMergeJoin" in p for p in plans) and plans[-1].count("Exchange hashpartitioning") == 1
+    assert laid.count() == 1800 and {r["_parts"] for r in graph.hubs(laid).collect()} == {3}

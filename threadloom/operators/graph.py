@@ -75,12 +75,13 @@ def adjacency(edges: DataFrame, hub_edges: int = HUB_EDGES) -> DataFrame:
     """``both_ways`` of the edges, laid out by node once and kept: hash-partitioned by (from, _part), a node with over
     ``hub_edges`` edges in several parts. ``_parts`` and ``_to_parts`` tell how many parts either end has."""
     spark = edges.sparkSession
-    links = both_ways(edges)
-    size = links.groupBy(F.col("from").alias("id")).agg(F.ceil(F.count(F.lit(1)) / hub_edges).cast("int").alias("_n")).where("_n > 1")
-    own, other = size.withColumnsRenamed({"id": "from", "_n": "_parts"}), size.withColumnsRenamed({"id": "to", "_n": "_to_parts"})
+    links = both_ways(settled(edges.select("source_id", "target_id", "relation_type", "created_at")))
+    # There is a hub for ``hub_edges`` edges at most, so hubs go to the edges and not the edges to hubs.
+    size = settled(links.groupBy(F.col("from").alias("id")).agg(F.ceil(F.count(F.lit(1)) / hub_edges).cast("int").alias("_n")).where("_n > 1"))
+    own, other = (F.broadcast(size.withColumnsRenamed({"id": end, "_n": n})) for end, n in (("from", "_parts"), ("to", "_to_parts")))
     laid = links.join(own, "from", "left").join(other, "to", "left").withColumns({"_parts": F.coalesce("_parts", F.lit(1)), "_to_parts": F.coalesce("_to_parts", F.lit(1))})
     parts = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = settled(laid.withColumn("_part", F.pmod(F.xxhash64("to"), F.col("_parts")).cast("int")))
+    rows = laid.withColumn("_part", F.pmod(F.xxhash64("to"), F.col("_parts")).cast("int"))
     # A checkpoint of an adaptive plan forgets how its rows are partitioned, and joins would shuffle them again.
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
