@@ -20,7 +20,7 @@ import re
 import struct
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from itertools import count
+from itertools import accumulate, count
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -337,41 +337,49 @@ def shard_transducers(docs: DataFrame, bounds: list[tuple]) -> DataFrame:
 def range_bounds(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> list[tuple]:
     """Windows (lang, words) that part the corpus into ranges of about equal weight, from a sample of texts.
 
-    There are ``MAX_RANGES`` at most, which bounds what is broadcast; past 1 TB of text ranges grow instead.
+    The sample is counted, sorted and numbered in tasks; only the bounds and a row for each sorted partition come to the
+    driver. There are ``MAX_RANGES`` at most, which bounds what is broadcast; past 1 TB of text ranges grow instead.
     """
+    spark = docs.sparkSession
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(min(bytes_ // range_bytes, MAX_RANGES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(min(bytes_ // range_bytes, MAX_RANGES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     share = min(1.0, ranges * SAMPLED * STRIDE * 6 / max(1, bytes_))
+    names = ["lang", *(f"w{k}" for k in range(MOST))]
 
     def run(batches):
         import pyarrow as pa
 
         for part in slices(batches):
-            langs, windows = [], []
+            rows = []
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 for data in _pieces(text):
                     tokens = data.split()
                     for at in range(0, len(tokens), STRIDE):
                         window = [*tokens[at : at + MOST], b"."]
                         if window[0] != b".":
-                            langs.append(lang)
-                            windows.append(b" ".join(window[: window.index(b".")]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(windows, pa.string())], ["lang", "window"])
+                            rows.append([lang, *(w.decode() for w in window[: window.index(b".")]), *[""] * (MOST - window.index(b"."))])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(len(names))], names)
 
     sample = docs if share == 1.0 else docs.sample(share, 17)
-    seen = []
-    for r in sample.mapInArrow(run, "lang string, window string").collect():
-        window = r["window"].encode().split(b" ")
-        seen.append((r["lang"].encode(), *window, *[b""] * (MOST - len(window))))
-    seen.sort()
-    return sorted({seen[len(seen) * k // ranges] for k in range(1, ranges)}) if seen else []
+    windows = sample.mapInArrow(run, ", ".join(f"{c} string" for c in names)).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    laid = materialize(windows.orderBy(*names).withColumn("part", F.spark_partition_id()), "window-sample")
+    counts = sorted(laid.groupBy("part").agg(F.sum("n")).collect())
+    total = sum(n for _, n in counts)
+    if not total:
+        return []
+    starts = spark.createDataFrame(list(zip((part for part, _ in counts), accumulate((n for _, n in counts), initial=0))), "part int, start bigint")
+    own = Window.partitionBy("part").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    placed = laid.join(F.broadcast(starts), "part").withColumn("before", F.col("start") + F.coalesce(F.sum("n").over(own), F.lit(0)))
+    # The k-th bound is the window at place total * k // ranges of the sample.
+    k = F.greatest(F.lit(1), F.expr(f"(before * {ranges} + {total - 1}) div {total}"))
+    bounds = placed.where((k < ranges) & (k * total < (F.col("before") + F.col("n")) * ranges)).select(*names)
+    return sorted(tuple(w.encode() for w in r) for r in bounds.collect())
 
 
 def range_transducers(shards: DataFrame, bounds: list[tuple], floor: int) -> DataFrame:
     """(range, lang, words, blob): one pruned transducer for each range and language; shards are united as they come."""
     shared = shards.sparkSession.sparkContext.broadcast(bounds)
-    parts = max(1, len(bounds) + 1)
-    placed = shards.repartitionByRange(parts, "range").sortWithinPartitions("range", "lang")
+    placed = shards.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "lang")
 
     def run(batches):
         import pyarrow as pa
